@@ -19,14 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df once into the folder that ``spark.checkpoint.dir`` names and go on from there.
+def shared_path(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the checkpoint folder set below."""
+    set_checkpoint_dir(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
 
-    A temporary folder is used only where the session names none (tests on one machine).
-    """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+def set_checkpoint_dir(spark: SparkSession) -> None:
+    """A temporary folder serves only where the session names none: tests on one machine."""
+    sc = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write df once into the folder that ``spark.checkpoint.dir`` names and go on from there."""
+    set_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
