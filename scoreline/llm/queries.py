@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, tokens
+from . import mixing, neighbours, packing, simhash, tokens
 from .common import table
 
 
@@ -31,12 +31,17 @@ def op7_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pack_best_fit": op2_pack_best_fit,
         "op4_simhash": op4_simhash,
         "op5_mix_sources": op5_mix_sources,
         "op7_pack_tokens": op7_pack_tokens,
+        "op10_cross_polytope": op10_cross_polytope,
     }
 
 
