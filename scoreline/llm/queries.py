@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neighbours, packing, simhash, tokens, toxicity
+from . import langid, mixing, neighbours, packing, quality, simhash, tokens, toxicity
 from .common import fold, table
 
 
@@ -45,6 +45,12 @@ def op8_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_quality_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality.classify(docs, labels.filter(fold("doc_id", 3) != 1))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -57,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mix_sources": op5_mix_sources,
         "op7_pack_tokens": op7_pack_tokens,
         "op8_toxic_grammar": op8_toxic_grammar,
+        "op9_quality_kernel": op9_quality_kernel,
         "op10_cross_polytope": op10_cross_polytope,
     }
 
