@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neighbours, packing, quality, simhash, tokens, toxicity
+from . import langid, mixing, neighbours, packing, perplexity, quality, simhash, tokens, toxicity
 from .common import fold, table
 
 
+def op1_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_perplexity_rules": op1_perplexity_rules,
         "op2_pack_best_fit": op2_pack_best_fit,
         "op3_language_mixture": op3_language_mixture,
         "op4_simhash": op4_simhash,
