@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,3 +93,38 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa
                 yield from out.to_batches() if isinstance(out, pa.Table) else (out,)
 
     return df.mapInArrow(run, schema)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again; smaller than a checkpoint for large tables."""
+    path = f"{shared_path(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def sum_vectors(df: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], width: int, parts: int = 16) -> np.ndarray:
+    """Sum of the vectors of ``width`` numbers that of(batch) gives for the batches of df.
+
+    Each task sums its own first, and df is read by no more tasks than the cluster runs at once, so that what meets
+    is of a size that width and the cluster bound.
+    """
+    cut = np.linspace(0, width, parts + 1).astype(int)
+
+    def partial(batches):
+        total = np.zeros(width)
+        for batch in batches:
+            total += of(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array([total[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["part", "sums"])
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(frame["sums"].iloc[0]) // 8)
+        for data in frame["sums"]:
+            total += np.frombuffer(data)
+        return pd.DataFrame({"part": [frame["part"].iloc[0]], "sums": [total.tobytes()]})
+
+    tasks = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    sums = df.coalesce(tasks).mapInArrow(partial, "part long, sums binary").groupBy("part").applyInPandas(add, "part long, sums binary").toPandas()
+    out = np.zeros(width)
+    for part, data in zip(sums["part"], sums["sums"], strict=True):
+        out[cut[part] : cut[part + 1]] = np.frombuffer(data)
+    return out

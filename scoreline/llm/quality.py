@@ -13,12 +13,11 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches, texts
+from .common import checkpointed, map_batches, sum_vectors, texts
 
 FREQUENCIES = 256
 BANDWIDTH = 4.0
@@ -118,29 +117,9 @@ def isotonic(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, _, n in blocks]) if blocks else np.zeros(0)
 
 
-def _summed(rows: DataFrame, of, width: int, parts: int = 16) -> np.ndarray:
-    """Sum over rows (x, y) of the vectors of ``width`` numbers that of(matrix, y) gives; each task sums its own rows first.
-
-    Rows are dealt to no more tasks than the cluster runs at once, so that what meets is of a bounded size.
-    """
-    cut = np.linspace(0, width, parts + 1).astype(int)
-
-    def partial(batches):
-        total = np.zeros(width)
-        for batch in batches:
-            total += of(as_matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(float))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array([total[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["part", "sums"])
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(s) for s in frame["sums"]], axis=0)
-        return pd.DataFrame({"part": [frame["part"].iloc[0]], "sums": [total.tobytes()]})
-
-    tasks = max(2, rows.sparkSession.sparkContext.defaultParallelism)
-    sums = rows.select("x", "y").coalesce(tasks).mapInArrow(partial, "part long, sums binary").groupBy("part").applyInPandas(add, "part long, sums binary").toPandas()
-    out = np.zeros(width)
-    for part, data in zip(sums["part"], sums["sums"], strict=True):
-        out[cut[part] : cut[part + 1]] = np.frombuffer(data)
-    return out
+def _summed(rows: DataFrame, of, width: int) -> np.ndarray:
+    """Sum over rows (x, y) of the vectors that of(matrix, y) gives."""
+    return sum_vectors(rows.select("x", "y"), lambda batch: of(as_matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(float)), width)
 
 
 def train(rows: DataFrame, labels: DataFrame, label: str = "quality", seed: int = 9) -> QualityModel:

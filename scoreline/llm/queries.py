@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neighbours, packing, perplexity, quality, simhash, tokens, toxicity
+from . import langid, maxent, mixing, neighbours, packing, perplexity, quality, simhash, tokens, toxicity
 from .common import fold, table
 
 
@@ -36,6 +36,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 5) == 1
+    found = maxent.score(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_mixture": op3_language_mixture,
         "op4_simhash": op4_simhash,
         "op5_mix_sources": op5_mix_sources,
+        "op6_maxent_scores": op6_maxent_scores,
         "op7_pack_tokens": op7_pack_tokens,
         "op8_toxic_grammar": op8_toxic_grammar,
         "op9_quality_kernel": op9_quality_kernel,
