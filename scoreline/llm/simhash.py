@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_batches, texts
@@ -241,3 +241,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     labels = rooted.join(ids, "root").select(F.col("fp").alias("l_fp"), "component_id")
     return marked.join(labels, F.col("fp") == F.col("l_fp")).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is the smallest of its component; one row of each id, the first by text.
+
+    Rows without an id can't be named as a component's document; all of them stay.
+    """
+    found = near_duplicates(docs, radius, width).filter("doc_id = component_id")
+    kept = checkpointed(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows")))
+    joined = docs.join(kept, docs["doc_id"].cast("long") == F.col("__id"))
+    if not kept.filter("__rows > 1").isEmpty():
+        first = Window.partitionBy("__id").orderBy("text")
+        joined = joined.withColumn("__place", F.row_number().over(first)).filter("__place = 1").drop("__place")
+    return joined.drop("__id", "__rows").unionByName(docs.filter("doc_id IS NULL"))
