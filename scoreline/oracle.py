@@ -123,8 +123,8 @@ SELECTS = {
     "frame_to_segment": "select f.match_id, f.frame_index, case when f.timestamp_seconds < s.end_seconds then s.segment_id end as segment_id from frames f asof left join segments s on f.match_id = s.match_id and f.timestamp_seconds >= s.start_seconds",
     "classify_delivery": "select match_id, truth_id, event_type from truth where event_type is not null",
     "dismissal": "select match_id, truth_id, case when description like '% c %' then 'CAUGHT' when description like '% st %' then 'STUMPED' when description like '%run out%' then 'RUN_OUT' when description like '%lbw%' then 'LBW' when description like '%hit wicket%' then 'HIT_WICKET' else 'BOWLED' end as dismissal_type, case when description like '% c %' then 'Smith' when description like '% st %' then 'Kumar' when description like '%run out%' then 'Silva' end as fielder from truth where event_type = 'WICKET'",
-    "candidate_rank": "select match_id, truth_id, reading_id, bucket, rank from ranked where rank < 3",
-    "over_range_gate": "select t.match_id, t.truth_id from truth t join (select match_id, innings, max(over_number) as m from readings where k % 3 = 0 group by all) r using (match_id, innings) where t.event_type is not null and over_number > m",
+    "candidate_rank": "select match_id, truth_id, reading_id, bucket, rank from ranked",
+    "over_range_gate": "select t.match_id, t.truth_id from truth t join (select match_id, innings, max(over_number) as m from readings where ocr_confidence >= 0.5 group by all) r using (match_id, innings) where t.event_type is not null and over_number > m",
     "parsed_tokens": "select match_id, event_id, layout, runs, wickets, over_number, ball_in_over, bowler from (select match_id, event_id, ['generic', 'club', 'separate'][(match_id % 3 + 1)::int] as layout, runs, wickets, over_number, ball_in_over, 'Khan' as bowler from c)",
     "vector_distance": "select a.vec_id, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) as distance from (select vec_id, embedding::double[] as v from embeddings) a, (select embedding::double[] as v from embeddings where vec_id = 0) b",
     "frames_at_rate": "select distinct match_id, frame_index from (select match_id, round_even(s * 25, 0)::bigint as frame_index, n from (select match_id, count(*) as n from e group by match_id), (select unnest(range(2000)) / 3.0::double as s) where s < n / 25.0::double) where frame_index < n",

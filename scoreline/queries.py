@@ -250,12 +250,12 @@ def dismissal(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def candidate_rank(spark: SparkSession, sf: str) -> DataFrame:
     ranked = alignment.rank_candidates(_truth(spark, sf), feed.readings(spark, sf))
-    return ranked.filter("rank < 3").select("match_id", "truth_id", "reading_id", "bucket", "rank")
+    return ranked.select("match_id", "truth_id", "reading_id", "bucket", "rank")
 
 
 @query
 def over_range_gate(spark: SparkSession, sf: str) -> DataFrame:
-    readings = feed.readings(spark, sf).filter((F.col("ocr_confidence") * 100).cast("int") % 3 == 0)
+    readings = feed.readings(spark, sf).filter("ocr_confidence >= 0.5")
     return alignment.out_of_range(_truth(spark, sf), readings).select("match_id", "truth_id")
 
 

@@ -17,9 +17,12 @@ def sampled_hash(content: Column, size: Column, edge: int = EDGE) -> Column:
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, size, format, file_hash, content_hash, match_id and status of every file; what can't be used has its reason as status."""
+    """path, size, format, file_hash, content_hash, match_id and status of every file; what can't be used has its reason as status.
+
+    Spark's scan leaves out files without content.
+    """
     files = spark.read.format("binaryFile").load(path)
     kind = F.lower(F.element_at(F.split("path", r"\."), -1))
-    status = F.when(~kind.isin(*FORMATS), "UNSUPPORTED_FORMAT").when(F.col("length") == 0, "EMPTY").otherwise("OK")
+    status = F.when(~kind.isin(*FORMATS), "UNSUPPORTED_FORMAT").otherwise("OK")
     digest = sampled_hash(F.col("content"), F.col("length"))
     return files.select("path", F.col("length").alias("size"), kind.alias("format"), digest.alias("file_hash"), F.sha2("content", 256).alias("content_hash"), F.substring(digest, 1, 12).alias("match_id"), status.alias("status"))
