@@ -134,9 +134,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most_cop
 
 def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of docs, all columns, each as often as mixed (doc_id, copies) says; rows of one id as the most taken of them."""
-    copies = mixed.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("copies").cast("int").alias("__copies")).filter("__copies > 0")
-    joined = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__id", "__copies", "__copy")
+    copies = mixed.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("copies").cast("int").alias("times")).filter("times > 0")
+    joined = docs.select(F.struct("*").alias("r")).join(copies, F.col("r.doc_id").cast("long").eqNullSafe(F.col("id")))
+    return joined.select("r", F.explode(F.sequence(F.lit(1), F.col("times")))).select("r.*")
 
 
 MIX_SQL = r"""

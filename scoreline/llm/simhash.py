@@ -249,9 +249,9 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> Dat
     Rows without an id can't be named as a component's document; all of them stay.
     """
     found = near_duplicates(docs, radius, width).filter("doc_id = component_id")
-    kept = checkpointed(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows")))
-    joined = docs.join(kept, docs["doc_id"].cast("long") == F.col("__id"))
-    if not kept.filter("__rows > 1").isEmpty():
-        first = Window.partitionBy("__id").orderBy("text")
-        joined = joined.withColumn("__place", F.row_number().over(first)).filter("__place = 1").drop("__place")
-    return joined.drop("__id", "__rows").unionByName(docs.filter("doc_id IS NULL"))
+    kept = checkpointed(found.groupBy("doc_id").agg(F.count("*").alias("rows")))
+    joined = docs.select(F.struct("*").alias("r")).join(kept, F.col("r.doc_id").cast("long") == F.col("doc_id"))
+    if not kept.filter("rows > 1").isEmpty():
+        first = Window.partitionBy("doc_id").orderBy("r.text")
+        joined = joined.withColumn("place", F.row_number().over(first)).filter("place = 1")
+    return joined.select("r.*").unionByName(docs.filter("doc_id IS NULL"))
