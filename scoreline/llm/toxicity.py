@@ -258,49 +258,40 @@ def surprising(t: np.ndarray, f: np.ndarray, toxic: float, clean: float, tried:
     return (share > base) & (n * divergence > np.log(3 * max(1, tried)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, least_precision: float = 0.8) -> ToxicityModel:
-    """Learn stems and coefficients from the rows of labels. Without labels of both kinds, the fixed words serve alone."""
-    sample, stands_for = labelled_sample(docs, labels, label, most)
+def _counting(known: set[str], wanted):
+    def run(batches):
+        counts: dict[str, int] = {}
+        for batch in batches:
+            for part in slices(batch):
+                for text in texts(part):
+                    here = stems_of(text)
+                    if not known.isdisjoint(here):
+                        continue
+                    here.add("")  # counts the texts
+                    for stem in here if wanted is None else here & wanted.value:
+                        counts[stem] = counts.get(stem, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["stem", "n"])
 
-    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = pa.array([least_hash(t) for t in texts(batch)], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), hashes], names=["text", "y", "h"])
+    return run
 
-    # One text of each smallest hash; the sample is bounded, so these texts may be shuffled.
-    sample = checkpointed(map_batches(sample, mark, "text string, y int, h long").dropDuplicates(["h"]).drop("h"))
-    size = {int(r["y"]): r["count"] for r in sample.groupBy("y").count().collect()}
+
+def learn_stems(rows: DataFrame, rate: float, least_precision: float = 0.8) -> dict[str, float]:
+    """Stems and their weights from rows (text, y); a clean row stands for ``rate`` times as many as a toxic one."""
+    size = {int(r["y"]): r["count"] for r in rows.groupBy("y").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
+    stems: dict[str, float] = {}
     if not toxic or not clean:
-        return ToxicityModel()
-
-    def counting(known: set[str], wanted):
-        def run(batches):
-            counts: dict[str, int] = {}
-            for batch in batches:
-                for part in slices(batch):
-                    for text in texts(part):
-                        here = stems_of(text)
-                        if not known.isdisjoint(here):
-                            continue
-                        here.add("")  # counts the texts
-                        for stem in here if wanted is None else here & wanted.value:
-                            counts[stem] = counts.get(stem, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["stem", "n"])
-
-        return run
+        return stems
 
     def counted(y: int, known: set[str], wanted=None) -> DataFrame:
-        return sample.filter(F.col("y") == y).select("text").mapInArrow(counting(known, wanted), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+        return rows.filter(F.col("y") == y).select("text").mapInArrow(_counting(known, wanted), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
 
-    spark = docs.sparkSession
-    rate = stands_for.get(0, 1.0) / stands_for.get(1, 1.0)
-    stems: dict[str, float] = {}
     for _ in range(ROUNDS):
         known = set(stems)
         # No stem of fewer toxic texts than this can surprise, so those left are fewer than the sample's words.
         least = max(2, int(np.log(10) / np.log((toxic + clean) / toxic)))
         found = counted(1, known).filter(F.col("n") >= least).toPandas()
-        wanted = spark.sparkContext.broadcast(set(found["stem"]))
+        wanted = rows.sparkSession.sparkContext.broadcast(set(found["stem"]))
         found = found.merge(counted(0, known, wanted).toPandas(), on="stem", how="left", suffixes=("", "_clean")).fillna({"n_clean": 0})
         whole = found["stem"] == ""
         if not whole.any():
@@ -315,14 +306,37 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         for stem, weight in sorted(zip(found["stem"], found["weight"], strict=True), key=lambda x: (len(x[0]), x[0])):
             if not any(stem[:n] in stems for n in STEMS):
                 stems[stem] = float(weight)
-    model = ToxicityModel(stems)
-    shared = spark.sparkContext.broadcast(model)
+    return stems
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> ToxicityModel:
+    """Learn stems and coefficients from the rows of labels. Without labels of both kinds, the fixed words serve alone.
+
+    The coefficients are fitted on each half of the sample with the stems of the other half, since stems found
+    in a text tell more of that text than of others.
+    """
+    sample, stands_for = labelled_sample(docs, labels, label, most)
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = pa.array([least_hash(t) for t in texts(batch)], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), hashes], names=["text", "y", "h"])
+
+    # One text of each smallest hash; the sample is bounded, so these texts may be shuffled.
+    sample = checkpointed(map_batches(sample, mark, "text string, y int, h long").dropDuplicates(["h"]).select("text", "y", (F.xxhash64("h") % 2 == 0).alias("half")))
+    rate = stands_for.get(0, 1.0) / stands_for.get(1, 1.0)
+    model = ToxicityModel(learn_stems(sample, rate))
+    if not model.stems:
+        return model
+    halves = [ToxicityModel(learn_stems(sample.filter(F.col("half") == side), rate)) for side in (False, True)]
+    shared = docs.sparkSession.sparkContext.broadcast(halves)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = sums(texts(batch), shared.value, Codes(shared.value))
+        x, own, half = np.zeros((batch.num_rows, len(KINDS))), texts(batch), np.array(batch.column(2).to_pylist(), bool)
+        for side, other in ((half, shared.value[0]), (~half, shared.value[1])):
+            x[side] = sums([t for t, mine in zip(own, side, strict=True) if mine], other, Codes(other))
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = map_batches(sample.select("text", "y"), features, "y int, x array<double>").toPandas()
+    rows = map_batches(sample, features, "y int, x array<double>").toPandas()
     y = rows["y"].to_numpy(float)
     weight = np.where(y == 1, stands_for.get(1, 1.0), stands_for.get(0, 1.0))
     model.coefficients = logistic(np.array(rows["x"].tolist()), y, weight)
