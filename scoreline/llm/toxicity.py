@@ -244,7 +244,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int =
     """
     one = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max(label).cast("int").alias("y"))
     counts = {int(r["y"]): r["count"] for r in one.groupBy("y").count().collect()}
-    parts = [one.filter(F.col("y") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(most) for y in (0, 1)]
+
+    def least_hashes(y: int) -> DataFrame:
+        rows, share = one.filter(F.col("y") == y).withColumn("hash", F.pmod(F.xxhash64("l_id"), F.lit(1 << 40))), 1.2 * (most + 1000) / max(1, counts.get(y, 0))
+        rows = rows if share >= 1 else rows.filter(F.col("hash") < int(share * (1 << 40)))  # little more than is kept
+        return rows.orderBy("hash", "l_id").limit(most).drop("hash")
+
+    parts = [least_hashes(y) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, F.col("doc_id") == F.col("l_id"))
     return sample.select("doc_id", "text", "y"), {y: max(1.0, n / most) for y, n in counts.items()}
