@@ -102,11 +102,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def gathered(df: DataFrame, partitions: int = 4) -> DataFrame:
+    """df with this many partitions a task, but no fewer tasks than the cluster runs at once; nothing is shuffled."""
+    tasks = max(2, df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions() // partitions)
+    return df.coalesce(tasks)
+
+
 def sum_vectors(df: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], width: int, parts: int = 16) -> np.ndarray:
     """Sum of the vectors of ``width`` numbers that of(batch) gives for the batches of df.
 
-    Each task sums its own first, and df is read by no more tasks than the cluster runs at once, so that what meets
-    is of a size that width and the cluster bound.
+    Each task sums its own first. Tasks read several partitions of df (see gathered), so that the sums are small
+    beside what they sum.
     """
     cut = np.linspace(0, width, parts + 1).astype(int)
 
@@ -122,8 +128,7 @@ def sum_vectors(df: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], width
             total += np.frombuffer(data)
         return pd.DataFrame({"part": [frame["part"].iloc[0]], "sums": [total.tobytes()]})
 
-    tasks = max(2, df.sparkSession.sparkContext.defaultParallelism)
-    sums = df.coalesce(tasks).mapInArrow(partial, "part long, sums binary").groupBy("part").applyInPandas(add, "part long, sums binary").toPandas()
+    sums = gathered(df).mapInArrow(partial, "part long, sums binary").groupBy("part").applyInPandas(add, "part long, sums binary").toPandas()
     out = np.zeros(width)
     for part, data in zip(sums["part"], sums["sums"], strict=True):
         out[cut[part] : cut[part + 1]] = np.frombuffer(data)
