@@ -23,7 +23,8 @@ def duck(data):
 def rows(frame):
     columns = sorted(frame.columns)
     frame = frame[columns]
-    plain = [[None if v is None or v != v else float(v) if isinstance(v, (int, float)) or hasattr(v, "dtype") else v for v in row] for row in frame.itertuples(index=False)]
+    frame = frame.astype(object).where(frame.notna(), None)
+    plain = [[float(v) if isinstance(v, (int, float)) or hasattr(v, "dtype") else v for v in row] for row in frame.itertuples(index=False)]
     return columns, sorted(plain, key=str)
 
 
