@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ball_of, classify_delivery, over_of
-from .innings import values
 
 SCORING = ("FOUR", "SIX", "WICKET")
 BALL_RADIUS = 8
@@ -79,7 +81,7 @@ class AnchorWalk:
                 pacing = "WITHIN_EXPECTED" if 1 / PACING_TOLERANCE <= pace / self.pace <= PACING_TOLERANCE else "SUSPICIOUS"
         return ocr, score, order, pacing
 
-    def visit(self, over: int, ball: int, candidates: list[tuple]) -> tuple:
+    def visit(self, over: int, ball: int, candidates: Iterable[tuple]) -> tuple:
         """(rank or None, tier, the four signals, rejected, out of order, first tried out of order)."""
         first, rejected, violations, prevented = None, 0, 0, 0
         for rank, exact, seconds, runs, wickets, confidence in candidates:
@@ -105,27 +107,51 @@ class AnchorWalk:
         return None, "UNRESOLVED", *(first or (None,) * 4), rejected, violations, prevented
 
 
+ANCHOR = "match_id long, innings int, truth_id long, rank int, reading_id long, anchor_seconds double, n_candidates int, tier string, ocr_quality string, score_state string, ordering string, pacing string, n_rejected int, n_violations int, n_prevented int"
+ANCHOR_COLUMNS = [c.split()[0] for c in ANCHOR.split(", ")]
+
+
+def _with_candidates(truth: DataFrame, ranked: DataFrame) -> DataFrame:
+    columns = ["reading_id", "rank", "bucket", "timestamp_seconds", "r_runs", "r_wickets", "ocr_confidence"]
+    events = truth.select("match_id", "innings", "truth_id", "over_number", "ball_in_over", "event_type")
+    return events.join(ranked.select("match_id", "truth_id", *columns), ["match_id", "truth_id"], "left")
+
+
+def _anchors(frame: pd.DataFrame) -> pd.DataFrame:
+    """Anchors of one innings from its events with their candidates; candidates are looked at until one is accepted."""
+    frame = frame.sort_values(["over_number", "ball_in_over", "truth_id", "rank"], kind="stable")
+    column = {c: frame[c].to_numpy() for c in frame.columns}
+    truth, walk, out = column["truth_id"], AnchorWalk(), []
+    known = {c: pd.notna(column[c]) for c in ("rank", "r_runs", "r_wickets", "ocr_confidence")}
+
+    def candidates(rows: range):
+        for i in rows:
+            runs, wickets, confidence = (column[c][i] if known[c][i] else None for c in ("r_runs", "r_wickets", "ocr_confidence"))
+            yield int(column["rank"][i]), column["bucket"][i] == 0, column["timestamp_seconds"][i], runs, wickets, confidence
+
+    starts = [0, *(np.flatnonzero(truth[1:] != truth[:-1]) + 1)] if len(truth) else []
+    for a, b in zip(starts, [*starts[1:], len(truth)], strict=True):
+        n = b - a if known["rank"][a] else 0
+        rank, *more = walk.visit(int(column["over_number"][a]), int(column["ball_in_over"][a]), candidates(range(a, a + n)))
+        reading, seconds = (None, None) if rank is None else (int(column["reading_id"][a + rank]), float(column["timestamp_seconds"][a + rank]))
+        out.append((column["match_id"][a], column["innings"][a], truth[a], rank, reading, seconds, n, *more))
+    return pd.DataFrame(out, columns=ANCHOR_COLUMNS).astype({"rank": "Int64", "reading_id": "Int64"})
+
+
 def walk_anchors(truth: DataFrame, ranked: DataFrame) -> DataFrame:
     """An anchor for each event: accepted rank, reading and time (or null), tier, signals and counts of rejected candidates."""
-    columns = ["rank", "bucket", "timestamp_seconds", "r_runs", "r_wickets", "ocr_confidence"]
-    rows = truth.join(ranked.select("match_id", "truth_id", "reading_id", *columns), ["match_id", "truth_id"], "left")
-    names = ["ocr_quality", "score_state", "ordering", "pacing", "n_rejected", "n_violations", "n_prevented"]
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["over_number", "ball_in_over", "truth_id", "rank"], kind="stable")
-        walk, out = AnchorWalk(), []
-        for (over, ball, truth_id), own in frame.groupby(["over_number", "ball_in_over", "truth_id"], sort=False):
-            own = own[own["rank"].notna()]
-            candidates = [(r, b == 0, *rest) for r, b, *rest in values(own, *columns)]
-            rank, *more = walk.visit(over, ball, candidates)
-            reading = own.iloc[rank] if rank is not None else None
-            out.append((truth_id, rank, None if rank is None else int(reading["reading_id"]), None if rank is None else float(reading["timestamp_seconds"]), len(own), *more))
-        found = pd.DataFrame(out, columns=["truth_id", "rank", "reading_id", "anchor_seconds", "n_candidates", "tier", *names]).astype({"rank": "Int64", "reading_id": "Int64"})
-        return found.assign(match_id=frame["match_id"].iloc[0], innings=frame["innings"].iloc[0])
-
-    schema = "match_id long, innings int, truth_id long, rank int, reading_id long, anchor_seconds double, n_candidates int, tier string, ocr_quality string, score_state string, ordering string, pacing string, n_rejected int, n_violations int, n_prevented int"
-    order = [c.split()[0] for c in schema.split(", ")]
-    return rows.groupBy("match_id", "innings").applyInPandas(lambda f: fold(f)[order], schema)
+    return _with_candidates(truth, ranked).groupBy("match_id", "innings").applyInPandas(_anchors, ANCHOR)
+
+
+def nearest_free(known: list[tuple[int, float]], events: list[tuple[str, float]], most: float) -> list[tuple[int, str, float]]:
+    """(truth_id, event_key, offset): events in their order each take the nearest of the known that is free; the first of equally near ones."""
+    free, out = list(known), []
+    for key, seconds in events:
+        near = min(free, key=lambda x: abs(x[1] - seconds), default=None)
+        if near is not None and abs(near[1] - seconds) <= most:
+            free.remove(near)
+            out.append((near[0], key, near[1] - seconds))
+    return out
 
 
 def match_detected(anchors: DataFrame, detected: DataFrame, most: float = MATCH_SECONDS) -> DataFrame:
@@ -139,24 +165,31 @@ def match_detected(anchors: DataFrame, detected: DataFrame, most: float = MATCH_
 
     def greedy(frame: pd.DataFrame) -> pd.DataFrame:
         known = frame[frame["event_key"].isna()].sort_values("truth_id")
-        free = list(zip(known["truth_id"].astype(int), known["seconds"], strict=True))
-        out = []
-        for key, seconds in frame[frame["event_key"].notna()].sort_values(["seconds", "event_key"])[["event_key", "seconds"]].itertuples(index=False):
-            near = min(free, key=lambda x: abs(x[1] - seconds), default=None)
-            if near is not None and abs(near[1] - seconds) <= most:
-                free.remove(near)
-                out.append((frame["match_id"].iloc[0], near[0], key, near[1] - seconds))
-        return pd.DataFrame(out, columns=["match_id", "truth_id", "event_key", "offset_seconds"])
+        events = frame[frame["event_key"].notna()].sort_values(["seconds", "event_key"])
+        found = nearest_free(list(zip(known["truth_id"].astype(int), known["seconds"], strict=True)), list(zip(events["event_key"], events["seconds"], strict=True)), most)
+        return pd.DataFrame([(frame["match_id"].iloc[0], *x) for x in found], columns=["match_id", "truth_id", "event_key", "offset_seconds"])
 
     return one.unionByName(two).groupBy("match_id", "innings", "event_type").applyInPandas(greedy, "match_id long, truth_id long, event_key string, offset_seconds double")
 
 
-def align(truth: DataFrame, readings: DataFrame, detected: DataFrame) -> DataFrame:
-    """truth with its anchor, outcome, recovery_eligible and matched event_key."""
-    anchors = walk_anchors(truth, rank_candidates(truth, readings))
+def align(truth: DataFrame, readings: DataFrame, detected: DataFrame, most: float = MATCH_SECONDS) -> DataFrame:
+    """truth with its anchor, outcome, recovery_eligible and matched event_key; anchors and matches come of one pass over an innings."""
+    events = detected.filter(F.col("event_type").isin(*SCORING)).select("match_id", F.col("innings").cast("int").alias("innings"), "event_type", "timestamp_seconds", "event_key")
+
+    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        anchors = _anchors(left)
+        kinds = dict(zip(left["truth_id"], left["event_type"], strict=True))
+        placed = anchors[anchors["reading_id"].notna()].sort_values("truth_id")
+        right, keys = right.sort_values(["timestamp_seconds", "event_key"]), {}
+        for kind in SCORING:
+            known = [(t, s) for t, s in zip(placed["truth_id"], placed["anchor_seconds"], strict=True) if kinds[t] == kind]
+            own = right[right["event_type"] == kind]
+            keys |= {t: key for t, key, _ in nearest_free(known, list(zip(own["event_key"], own["timestamp_seconds"], strict=True)), most)}
+        return anchors.assign(event_key=[keys.get(t) for t in anchors["truth_id"]])
+
+    left, keys = _with_candidates(truth, rank_candidates(truth, readings)), ["match_id", "innings"]
+    anchors = left.groupBy(*keys).cogroup(events.groupBy(*keys)).applyInPandas(fold, ANCHOR + ", event_key string")
     rows = truth.join(anchors.drop("innings"), ["match_id", "truth_id"])
-    matched = match_detected(rows, detected).select("match_id", "truth_id", "event_key")
-    rows = rows.join(matched, ["match_id", "truth_id"], "left")
     found = F.col("n_candidates") > 0
     outcome = F.when(F.col("event_key").isNotNull(), "TRUE_POSITIVE").when(found, "RECOVERABLE_MISS").otherwise("UNRECOVERABLE_MISS")
     eligible = F.col("event_key").isNull() & F.col("reading_id").isNotNull() & F.col("tier").isin("HIGH", "MEDIUM")
