@@ -126,6 +126,9 @@ SELECTS = {
     "candidate_rank": "select match_id, truth_id, reading_id, bucket, rank from ranked",
     "over_range_gate": "select t.match_id, t.truth_id from truth t join (select match_id, innings, max(over_number) as m from readings where ocr_confidence >= 0.5 group by all) r using (match_id, innings) where t.event_type is not null and over_number > m",
     "parsed_tokens": "select match_id, event_id, layout, runs, wickets, over_number, ball_in_over, bowler from (select match_id, event_id, ['generic', 'club', 'separate'][(match_id % 3 + 1)::int] as layout, runs, wickets, over_number, ball_in_over, 'Khan' as bowler from c)",
+    "anomaly_examples": "select match_id, state_id, row_number() over (partition by match_id order by state_id) as place from scan where anomaly qualify place <= 10",
+    "state_reduction": "select match_id, n_readings, n_states, round(100.0::double * (1 - n_states / n_readings::double), 6) as reduction from (select match_id, count(*) as n_readings from readings group by 1) join (select match_id, count(*) as n_states from runs_t group by 1) using (match_id)",
+    "replay_totals": "select match_id, count(*) as n, round(sum(end_seconds - start_seconds), 6) as total_seconds, round(max(end_seconds - start_seconds), 6) as longest_seconds, 0.9::double as confidence from replays group by match_id",
     "vector_distance": "select a.vec_id, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) as distance from (select vec_id, embedding::double[] as v from embeddings) a, (select embedding::double[] as v from embeddings where vec_id = 0) b",
     "frames_at_rate": "select distinct match_id, frame_index from (select match_id, round_even(s * 25, 0)::bigint as frame_index, n from (select match_id, count(*) as n from e group by match_id), (select unnest(range(2000)) / 3.0::double as s) where s < n / 25.0::double) where frame_index < n",
     "json_props": "select user_id as match_id, count(*) as n, sum(cast(json_extract_string(props, '$.k') as bigint)) as total from events group by all",

@@ -312,6 +312,28 @@ def parsed_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.parse(rows).select("match_id", "event_id", "layout", "runs", "wickets", "over_number", "ball_in_over", "bowler")
 
 
+@query
+def anomaly_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """The first ten anomalous states of each match."""
+    rows = rules.last_accepted(_states(spark, sf), track=False).filter("anomaly")
+    order = Window.partitionBy("match_id").orderBy("state_id")
+    return rows.withColumn("place", F.row_number().over(order)).filter("place <= 10").select("match_id", "state_id", "place")
+
+
+@query
+def state_reduction(spark: SparkSession, sf: str) -> DataFrame:
+    """How much fewer states a match has than readings, in per cent."""
+    states_of = _states(spark, sf).groupBy("match_id").agg(F.count("*").alias("n_states"))
+    readings_of = feed.readings(spark, sf).groupBy("match_id").agg(F.count("*").alias("n_readings"))
+    return readings_of.join(states_of, "match_id").withColumn("reduction", F.round(100.0 * (1 - F.col("n_states") / F.col("n_readings")), 6))
+
+
+@query
+def replay_totals(spark: SparkSession, sf: str) -> DataFrame:
+    length = F.col("end_seconds") - F.col("start_seconds")
+    return feed.replays(spark, sf).groupBy("match_id").agg(F.count("*").alias("n"), F.round(F.sum(length), 6).alias("total_seconds"), F.round(F.max(length), 6).alias("longest_seconds"), F.max("confidence").alias("confidence"))
+
+
 @query
 def vector_distance(spark: SparkSession, sf: str) -> DataFrame:
     rows = feed.scan(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
