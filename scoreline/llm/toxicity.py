@@ -327,8 +327,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         hashes = pa.array([least_hash(t) for t in texts(batch)], pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), hashes], names=["text", "y", "h"])
 
-    # One text of each smallest hash; the sample is bounded, so these texts may be shuffled.
-    sample = checkpointed(map_batches(sample, mark, "text string, y int, h long").dropDuplicates(["h"]).select("text", "y", (F.xxhash64("h") % 2 == 0).alias("half")))
+    # One text of each smallest hash; the sample is bounded, so these texts may be shuffled, and need few tasks however many shuffles have.
+    once = map_batches(sample, mark, "text string, y int, h long").dropDuplicates(["h"]).coalesce(2 * max(2, docs.sparkSession.sparkContext.defaultParallelism))
+    sample = checkpointed(once.select("text", "y", (F.xxhash64("h") % 2 == 0).alias("half")))
     rate = stands_for.get(0, 1.0) / stands_for.get(1, 1.0)
     model = ToxicityModel(learn_stems(sample, rate))
     if not model.stems:

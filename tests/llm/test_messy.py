@@ -1,13 +1,15 @@
 """Every operator on a table with nulls, empty and long texts, ties, repeated rows and clashing columns, and on an empty one."""
 
 import math
+from collections import Counter
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
 from scoreline.llm import langid, maxent, mixing, neighbours, packing, perplexity, quality, simhash, tokens, toxicity
+from scoreline.llm.common import stored
 
-from .test_operators import TOKENIZER
+from .test_operators import TOKENIZER, WORDS, brute_components, brute_fingerprint
 
 
 def test_perplexity(messy, nothing):
@@ -111,3 +113,21 @@ def test_pipeline_stages(spark, messy, nothing, data):
     assert packed.count() >= docs.count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, data).count() == 0
+
+
+def test_pipeline_against_brute_force(spark, data):
+    """Each stage on what the one before kept: what goes, what stays, and that no word is lost in the end."""
+    docs, kept = spark.read.parquet(f"{data}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, data))
+        kept.append({r.doc_id: r.text for r in docs.collect()})
+    known, clean, single, mixed = kept
+    assert set(known) >= set(clean) >= set(single) >= set(mixed)
+    want = brute_components({d: brute_fingerprint(t) for d, t in clean.items()})
+    assert set(single) == set(want.values())
+    copies = Counter(r.doc_id for r in docs.collect())
+    assert max(copies.values()) <= 2
+    words = sum(n * len(WORDS.findall(single[d])) for d, n in copies.items())
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, data).collect()
+    assert sum(r.n_words for r in packed) == words
+    assert sorted((r.doc_id, r.piece, r.n_words) for r in packed) == sorted((r.doc_id, r.piece, r.n_words) for r in corpus_pipeline.run(spark, data).collect())
