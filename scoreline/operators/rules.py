@@ -17,7 +17,7 @@ BEFORE = ("runs", "wickets", "over_number", "ball_in_over", "batter")
 def pairwise(states: DataFrame) -> DataFrame:
     """Each state with the one before it in its match and innings: columns prev_*, balls, deltas, anomaly, event_type."""
     order = Window.partitionBy("match_id", "innings").orderBy("state_id")
-    rows = states.withColumns({f"prev_{c}": F.lag(c).over(order) for c in (*BEFORE, "start_seconds", "state_id")}).filter("prev_state_id is not null")
+    rows = states.withColumns({f"prev_{c}": F.lag(c).over(order) for c in (*BEFORE, "start_seconds", "start_confidence", "state_id")}).filter("prev_state_id is not null")
     return judged(rows)
 
 
@@ -40,16 +40,13 @@ def importance(kind: Column) -> Column:
     return F.create_map(*(F.lit(x) for pair in IMPORTANCE.items() for x in pair))[kind]
 
 
-def finish_events(rows: DataFrame, raw: DataFrame) -> DataFrame:
-    """Events with key, importance, confidence (the least of the two readings' two confidences) and dismissed player."""
-    latest = raw.groupBy("match_id", "timestamp_seconds").agg(F.least(F.max_by("ocr_confidence", "reading_id"), F.max_by("parse_confidence", "reading_id")).alias("c"))
-    rows = rows.join(latest.withColumnsRenamed({"timestamp_seconds": "start_seconds", "c": "c_now"}), ["match_id", "start_seconds"], "left")
-    rows = rows.join(latest.withColumnsRenamed({"timestamp_seconds": "prev_start_seconds", "c": "c_before"}), ["match_id", "prev_start_seconds"], "left")
+def finish_events(rows: DataFrame) -> DataFrame:
+    """Events with key, importance, confidence (the least of the two states' readings' confidences) and dismissed player."""
     return rows.select(
         "match_id", "innings", F.col("start_seconds").alias("timestamp_seconds"), "over_number", "ball_in_over", "event_type", "milestone_value",
         event_key(F.col("innings"), F.col("over_number"), F.col("ball_in_over"), F.col("event_type"), F.col("milestone_value")).alias("event_key"),
         F.when(F.col("event_type") == "WICKET", F.col("prev_batter")).alias("player"), F.lit(None).cast("string").alias("team"),
-        F.least("c_now", "c_before").alias("confidence"), importance(F.col("event_type")).alias("importance"),
+        F.least("start_confidence", "prev_start_confidence").alias("confidence"), importance(F.col("event_type")).alias("importance"),
     )
 
 
@@ -61,13 +58,13 @@ def last_accepted(states: DataFrame, track: bool = True) -> DataFrame:
     match has null prev_*.
     """
     config = TrackerConfig(confirmations=1, low_confidence_factor=1.0)
-    fields = ["state_id", "runs", "wickets", "over_number", "ball_in_over", "batter", "start_seconds"]
+    fields = ["state_id", "runs", "wickets", "over_number", "ball_in_over", "batter", "start_seconds", "start_confidence"]
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("state_id")
         tracker, base, out = InningsTracker(config), None, []
         for row in values(frame, *fields, "mean_confidence"):
-            state_id, runs, wickets, over, ball, _, _, confidence = row
+            state_id, runs, wickets, over, ball, *_, confidence = row
             anomaly, decision, compared = False, NOT_A_CANDIDATE, base
             if base is not None:
                 balls = (over - base[3]) * 6 + ball - base[4] if over >= base[3] else None
@@ -86,13 +83,13 @@ def last_accepted(states: DataFrame, track: bool = True) -> DataFrame:
         found = pd.DataFrame(out, columns=columns).astype({f"prev_{c}": "Int64" for c in fields[:5]})
         return found.assign(match_id=int(frame["match_id"].iloc[0]))[["match_id", *columns]]
 
-    schema = "match_id long, state_id long, anomaly boolean, decision string, segment int, prev_state_id long, prev_runs int, prev_wickets int, prev_over_number int, prev_ball_in_over int, prev_batter string, prev_start_seconds double"
+    schema = "match_id long, state_id long, anomaly boolean, decision string, segment int, prev_state_id long, prev_runs int, prev_wickets int, prev_over_number int, prev_ball_in_over int, prev_batter string, prev_start_seconds double, prev_start_confidence double"
     return states.select("match_id", *fields, "mean_confidence").groupBy("match_id").applyInPandas(fold, schema)
 
 
-def detect_events(states: DataFrame, raw: DataFrame, interval: int = 50) -> DataFrame:
+def detect_events(states: DataFrame, interval: int = 50) -> DataFrame:
     """Events of all matches, each state compared with the last accepted one. Anomalous states give none."""
     compared = last_accepted(states).drop("anomaly").withColumnRenamed("segment", "__segment")
     compared = compared.filter(F.col("prev_state_id").isNotNull() & F.col("decision").isin(NOT_A_CANDIDATE))
     rows = judged(states.join(compared, ["match_id", "state_id"]).withColumn("innings", F.col("__segment"))).filter("not anomaly")
-    return finish_events(with_milestones(rows, interval), raw)
+    return finish_events(with_milestones(rows, interval))

@@ -9,17 +9,19 @@ from .smoothing import CORE
 
 
 def state_runs(cleaned: DataFrame, raw: DataFrame | None = None) -> DataFrame:
-    """One row for each run of equal core values: match_id, state_id, innings, core, batter, start, end, n_samples, mean_confidence.
+    """One row for each run of equal core values: match_id, state_id, innings, core, batter, start, end, n_samples, mean_confidence, start_confidence.
 
     Rows with a null in the core are left out before runs are formed; a value that returns is a new state. With raw
-    readings, mean_confidence is the mean of their ocr_confidence at the run's times, 0 if there is none.
+    readings, mean_confidence is the mean of their ocr_confidence at the run's times, 0 if there is none, and
+    start_confidence the lesser of the two confidences of the reading at its start.
     """
     rows = cleaned.dropna(subset=list(CORE))
     if raw is not None:
-        latest = raw.groupBy("match_id", "timestamp_seconds").agg(F.max_by("ocr_confidence", "reading_id").alias("confidence"))
+        lesser = F.max_by(F.least("ocr_confidence", "parse_confidence"), "reading_id")
+        latest = raw.groupBy("match_id", "timestamp_seconds").agg(F.max_by("ocr_confidence", "reading_id").alias("confidence"), lesser.alias("lesser"))
         rows = rows.join(latest, ["match_id", "timestamp_seconds"], "left")
     else:
-        rows = rows.withColumn("confidence", F.lit(None).cast("double"))
+        rows = rows.withColumns({"confidence": F.lit(None).cast("double"), "lesser": F.lit(None).cast("double")})
     order = Window.partitionBy("match_id").orderBy("timestamp_seconds", "reading_id")
     now = F.struct(*CORE)
     changed = (~now.eqNullSafe(F.lag(now).over(order))).cast("int")
@@ -33,4 +35,5 @@ def state_runs(cleaned: DataFrame, raw: DataFrame | None = None) -> DataFrame:
         F.max("timestamp_seconds").alias("end_seconds"),
         F.count("*").alias("n_samples"),
         F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_confidence"),
+        F.min_by("lesser", first).alias("start_confidence"),
     )

@@ -15,13 +15,13 @@ from ..operators.replay import tag_replays
 def analyze(readings: DataFrame, replays: DataFrame) -> DataFrame:
     """Events of raw readings, tagged with is_replay; each state is compared with the last accepted one."""
     found = states.state_runs(smoothing.smooth(readings), readings)
-    return tag_replays(rules.detect_events(found, readings), replays)
+    return tag_replays(rules.detect_events(found), replays)
 
 
 def quick_events(readings: DataFrame, replays: DataFrame) -> DataFrame:
     """The same with neighbouring states compared, by windows alone; it differs where a state is anomalous."""
     found = states.state_runs(smoothing.smooth(readings), readings)
-    events = rules.finish_events(rules.with_milestones(rules.pairwise(found).filter("not anomaly")), readings)
+    events = rules.finish_events(rules.with_milestones(rules.pairwise(found).filter("not anomaly")))
     return tag_replays(events, replays)
 
 

@@ -87,7 +87,7 @@ def smoothing_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def state_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return _states(spark, sf).withColumn("mean_confidence", F.round("mean_confidence", 6))
+    return _states(spark, sf).drop("start_confidence").withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
 @query
