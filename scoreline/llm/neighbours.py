@@ -30,6 +30,8 @@ ROUNDS = 3
 #: Vectors of a bucket, and queries, that meet in one part.
 PART = 4096
 HELD = 1 << 20
+#: Exact products made at once.
+AT_ONCE = 1 << 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -195,13 +197,16 @@ def nearest(
                 if columns[-1][a] == 0:
                     asking, wanted = np.concatenate((asking, ids[a:b])), np.concatenate((wanted, x[a:b]))
                     continue
+                k = min(most, b - a)
                 for c in range(0, len(asking), 1024):
-                    rough = wanted[c : c + 1024] @ x[a:b].T
-                    k = min(most + 11, b - a)  # more than needed, since sums in another order differ in the last digits
-                    near = np.argpartition(-rough, k - 1, axis=1)[:, :k]
-                    row = np.repeat(np.arange(len(rough)), k)
-                    score = (wanted[c : c + 1024][row] * x[a:b][near.ravel()]).sum(axis=1)
-                    held.append((asking[c : c + 1024][row], ids[a:b][near.ravel()], score))
+                    own = wanted[c : c + 1024]
+                    rough = own @ x[a:b].T
+                    least = np.partition(rough, b - a - k, axis=1)[:, b - a - k]
+                    # All that may be among the k best stay, ties included; sums in another order differ by less than slack.
+                    slack = np.nan_to_num(4 * width * np.finfo(float).eps * largest * np.sqrt((own * own).sum(axis=1)))
+                    row, near = np.nonzero(rough >= (least - slack)[:, None])
+                    score = [(own[row[i : i + AT_ONCE]] * x[a:b][near[i : i + AT_ONCE]]).sum(axis=1) for i in range(0, len(row), AT_ONCE)]
+                    held.append((asking[c : c + 1024][row], ids[a:b][near], np.concatenate([np.zeros(0), *score])))
                 if sum(len(h[0]) for h in held) > HELD:
                     held = [merged()]
         if held:

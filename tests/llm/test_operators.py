@@ -384,6 +384,20 @@ def test_recall(spark, data):
     assert sum(len(set(want[q]) & set(got[q].values())) for q in want) >= 0.9 * 20 * len(want)
 
 
+def test_ties_of_many_different_vectors(spark):
+    """More different vectors tie than results are asked for: the smallest ids win, wherever the rows lie."""
+    random = np.random.default_rng(11)
+    order = random.permutation(400)
+    vectors = {int(i): [1.0, float(a), float(b), 0.0] for i, (a, b) in zip(order, ((a, b) for a in range(20) for b in range(20)), strict=True)}
+    vectors |= {1000: [1.0, 0.0, 0.0, 0.0], 1001: [2.0, 0.0, 0.0, 0.0], 1002: [float("1e200")] * 4}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").filter("vec_id < 1002")
+    rows = neighbours.nearest(df, F.col("vec_id") == 1000, top=20, probes=16).orderBy("rank").collect()
+    assert [r.vec_id for r in rows] == [1001, *range(19)]
+    assert [r.score for r in rows] == [2.0] + [1.0] * 19
+    huge = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    assert neighbours.nearest(huge, F.col("vec_id") == 1002, top=2).count() <= 2
+
+
 def test_copies_ties_and_parts(spark):
     random = np.random.default_rng(4)
     base = random.normal(size=(30, 8)).round(2)
