@@ -99,5 +99,15 @@ def concat_line(path: Column) -> Column:
     return F.concat(F.lit("file '"), F.replace(path, F.lit("'"), F.lit("'\\''")), F.lit("'"))
 
 
+# The least confidence of each level of reading quality.
+OCR_LEVELS = (("HIGH", 0.60), ("MEDIUM", 0.35), ("LOW", 0.15))
+
+
+def ocr_quality(confidence: Column) -> Column:
+    """HIGH, MEDIUM, LOW or INSUFFICIENT; UNKNOWN for null."""
+    level = F.coalesce(*(F.when(confidence >= least, name) for name, least in OCR_LEVELS), F.lit("INSUFFICIENT"))
+    return F.when(confidence.isNull(), "UNKNOWN").otherwise(level)
+
+
 def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))

@@ -9,15 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ball_of, classify_delivery, over_of
+from ..functions.scalar import OCR_LEVELS, ball_of, classify_delivery, over_of
 
 SCORING = ("FOUR", "SIX", "WICKET")
 BALL_RADIUS = 8
 MATCH_SECONDS = 120.0
 TIERS = ("EXACT_BALL_VALIDATED_READING", "EXACT_BALL_ANY_READING", "NEARBY_BALL_RADIUS_N", "NEARBY_BALL_RADIUS_N")
 
-# Bounds of the four signals that an anchor is judged by.
-OCR_LEVELS = (("HIGH", 0.60), ("MEDIUM", 0.35), ("LOW", 0.15))
+# Bounds of the other signals that an anchor is judged by.
 PACING_TOLERANCE = 5.0
 RUNS_PER_BALL, WICKETS_PER_BALL, WICKETS_AT_ONCE = 11, 1, 3
 

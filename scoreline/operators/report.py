@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .alignment import SCORING
@@ -39,6 +39,13 @@ def accuracy(aligned: DataFrame, detected: DataFrame) -> DataFrame:
     return long_format(rows, ["match_id"]).filter("value is not null")
 
 
+def misses(aligned: DataFrame) -> DataFrame:
+    """Events of the commentary that were not detected, with their place in the report: those without a signal first."""
+    rows = aligned.filter(F.col("outcome") != "TRUE_POSITIVE").withColumn("has_signal", F.col("outcome") == "RECOVERABLE_MISS")
+    order = Window.partitionBy("match_id").orderBy("has_signal", "innings", "over_number", "ball_in_over", "truth_id")
+    return rows.select("match_id", "truth_id", "event_type", "has_signal", F.row_number().over(order).alias("place"))
+
+
 def tiers(anchors: DataFrame) -> DataFrame:
     """Counts of anchors by tier, and of candidates out of order: seen, and kept from being taken first."""
     kinds = [F.count_if(F.col("tier") == t).alias(t.lower()) for t in ("HIGH", "MEDIUM", "LOW", "UNRESOLVED")]

@@ -90,7 +90,13 @@ scan as (select match_id, l, 1 as pos, l[1][1] as state_id, false as anomaly, ca
   select match_id, l, pos + 1, x[1], bad, base[1], case when bad then base else x end from (
     select *, x[3] - base[3] > (case when b > 0 then b else 3 end) or x[2] - base[2] > (case when b > 0 then b * 11 else 11 end) as bad from (
       select match_id, l, pos, base, l[pos + 1] as x, case when l[pos + 1][4] >= base[4] and (l[pos + 1][4] - base[4]) * 6 + l[pos + 1][5] - base[5] >= 0 then (l[pos + 1][4] - base[4]) * 6 + l[pos + 1][5] - base[5] end as b
-      from scan where pos < len(l))))
+      from scan where pos < len(l)))),
+scores as (select match_id, list(score order by frame_index) as l from frames group by match_id),
+reuse as (select match_id, l, 1 as pos, 0::bigint as source_frame, l[1] as read from scores
+  union all
+  select match_id, l, pos + 1, case when same then source_frame else pos end, case when same then read else l[pos + 1] end from (select *, abs(l[pos + 1] - read) <= 10 as same from reuse where pos < len(l))),
+videos as (select match_id, count(*) as frame_count from e group by match_id),
+log as (select match_id, arg_max(case event_type when 'purchase' then 'COMPLETE' when 'error' then 'NOT_ANALYZED' else 'IN_PROGRESS' end, us) as status from e where event_type in ('purchase', 'error', 'click') group by match_id)
 """
 
 SELECTS = {
@@ -131,6 +137,19 @@ SELECTS = {
     "replay_totals": "select match_id, count(*) as n, round(sum(end_seconds - start_seconds), 6) as total_seconds, round(max(end_seconds - start_seconds), 6) as longest_seconds, 0.9::double as confidence from replays group by match_id",
     "vector_distance": "select a.vec_id, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) as distance from (select vec_id, embedding::double[] as v from embeddings) a, (select embedding::double[] as v from embeddings where vec_id = 0) b",
     "frames_at_rate": "select distinct match_id, frame_index from (select match_id, round_even(s * 25, 0)::bigint as frame_index, n from (select match_id, count(*) as n from e group by match_id), (select unnest(range(2000)) / 3.0::double as s) where s < n / 25.0::double) where frame_index < n",
+    "frames_at_times": "select distinct match_id, greatest(0, least(round_even((k - 5) / 8.0::double * 25.0::double, 0)::bigint, frame_count - 1)) as frame_index from e join videos using (match_id) where k >= 5 and (k - 5) / 8.0::double <= frame_count / 25.0::double",
+    "frames_listed": "select distinct match_id, k - 5 as frame_index, k - 5 between 0 and frame_count - 1 as exists from e join videos using (match_id)",
+    "effective_fps": "select match_id, case when max(us) > min(us) then round((count(*) - 1) / (max(us / 1e6::double) - min(us / 1e6::double)), 9) end as fps from e group by match_id",
+    "frame_axis": "select match_id, frame_index, case when score > 10 then score end as score, case when score > 10 then score / 50 else 0.0::double end as ocr_confidence, case when score > 10 then 1.0::double else 0.0::double end as parse_confidence from frames",
+    "unchanged_reuse": "select match_id, pos::bigint - 1 as frame_index, source_frame from reuse",
+    "input_checks": "select match_id, metric, value from (select match_id, count(*)::double as readings, count(*) filter (timestamp_seconds is null)::double as without_time, count(*) filter (timestamp_seconds <= b)::double as out_of_order, count(*) filter (runs is null)::double as incomplete, count(*) filter (ocr_confidence not between 0 and 1)::double as bad_confidence from (select *, lag(timestamp_seconds) over (partition by match_id order by reading_id) as b from gaps) group by match_id) unpivot (value for metric in (readings, without_time, out_of_order, incomplete, bad_confidence))",
+    "boundary_checks": "select match_id, event_id from cuts where confidence * 2 > 1",
+    "reading_stats": "select match_id, count(*) as n_readings, 0::bigint as undetectable, count(*) filter (ocr_confidence < 0.5) as low_confidence, count(*) filter (parse_confidence = 0) as rejected, count(*) filter (ocr_confidence = 0 or parse_confidence = 0) as unusable, round(avg(ocr_confidence), 6) as mean_ocr_confidence, round(avg(parse_confidence), 6) as mean_parse_confidence from gaps group by match_id",
+    "event_stats": "select match_id, count(*) filter (event_type = 'FOUR') as n_four, count(*) filter (event_type = 'SIX') as n_six, count(*) filter (event_type = 'WICKET') as n_wicket, count(*) filter (event_type = 'TEAM_MILESTONE') as n_team_milestone, count(*) filter (is_replay) as n_replays, round(avg(confidence), 6) as mean_confidence from tagged group by match_id",
+    "ocr_quality": "select match_id, case when ocr_confidence >= 0.6 then 'HIGH' when ocr_confidence >= 0.35 then 'MEDIUM' when ocr_confidence >= 0.15 then 'LOW' else 'INSUFFICIENT' end as level, count(*) as n from readings group by all",
+    "parse_over_ball": "select match_id, truth_id as delivery_id, over_number, ball_in_over from commentary",
+    "analysis_status": "select match_id, status from log",
+    "analysis_todo": "select match_id from videos where match_id not in (select match_id from log where status = 'COMPLETE')",
     "json_props": "select user_id as match_id, count(*) as n, sum(cast(json_extract_string(props, '$.k') as bigint)) as total from events group by all",
 }
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import alignment, clips, filters, innings, repair, replay, report, rules, scenes, smoothing, states, tokens
+from .operators import alignment, checks, clips, filters, innings, repair, replay, report, rules, scenes, smoothing, states, tokens
 from .plans import match
+from .sources import analysis_log
 from .sources import event_feed as feed
 from .sources import frames as frame_plans
 
@@ -337,8 +338,9 @@ def replay_totals(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def vector_distance(spark: SparkSession, sf: str) -> DataFrame:
     rows = feed.scan(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    origin = rows.filter("vec_id = 0").select(F.col("v").alias("origin")).limit(1)
-    return rows.crossJoin(F.broadcast(origin)).select("vec_id", F.round(scalar.euclidean(F.col("v"), F.col("origin")), 6).alias("distance"))
+    origin = rows.filter("vec_id = 0").agg(F.max("v")).scalar()
+    rows = rows.withColumn("origin", origin)
+    return rows.select("vec_id", F.round(scalar.euclidean(F.col("v"), F.col("origin")), 6).alias("distance"))
 
 
 @query
@@ -353,5 +355,99 @@ def json_props(spark: SparkSession, sf: str) -> DataFrame:
     return feed.scan(spark, sf, "events").groupBy(F.col("user_id").alias("match_id")).agg(F.count("*").alias("n"), F.sum(k).alias("total"))
 
 
+def _videos(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.events(spark, sf).groupBy("match_id").agg(F.count("*").alias("frame_count"), F.lit(25.0).alias("fps"))
+
+
+@query
+def frames_at_times(spark: SparkSession, sf: str) -> DataFrame:
+    return frame_plans.at_times(_videos(spark, sf), feed.events(spark, sf).select("match_id", ((F.col("k") - 5) / 8.0).alias("seconds")))
+
+
+@query
+def frames_listed(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = feed.events(spark, sf).select("match_id", (F.col("k") - 5).alias("frame_index"))
+    inside, outside = frame_plans.listed(_videos(spark, sf), wanted)
+    return inside.withColumn("exists", F.lit(True)).unionByName(outside.withColumn("exists", F.lit(False)))
+
+
+@query
+def effective_fps(spark: SparkSession, sf: str) -> DataFrame:
+    return frame_plans.effective_fps(feed.frame_scores(spark, sf)).withColumn("fps", F.round("fps", 9))
+
+
+@query
+def frame_axis(spark: SparkSession, sf: str) -> DataFrame:
+    """A reading for each frame, where those with a score of 10 or less show no scoreboard."""
+    frames = feed.frame_scores(spark, sf)
+    shown = frames.filter("score > 10").select("match_id", "frame_index", "score", (F.col("score") / 50).alias("ocr_confidence"), F.lit(1.0).alias("parse_confidence"))
+    return frame_plans.on_axis(frames, shown)
+
+
+@query
+def unchanged_reuse(spark: SparkSession, sf: str) -> DataFrame:
+    return frame_plans.reuse_unchanged(feed.frame_scores(spark, sf), "score", 10.0)
+
+
+@query
+def input_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.reading_checks(feed.readings(spark, sf, gaps=True))
+
+
+@query
+def boundary_checks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = feed.boundaries(spark, sf).withColumn("confidence", F.col("confidence") * 2)
+    return checks.bad_boundaries(rows).select("match_id", "event_id")
+
+
+@query
+def reading_stats(spark: SparkSession, sf: str) -> DataFrame:
+    rows = checks.reading_stats(feed.readings(spark, sf, gaps=True))
+    return rows.withColumns({c: F.round(c, 6) for c in ("mean_ocr_confidence", "mean_parse_confidence")})
+
+
+@query
+def event_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.event_stats(_events(spark, sf)).withColumn("mean_confidence", F.round("mean_confidence", 6))
+
+
+@query
+def ocr_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.readings(spark, sf).groupBy("match_id", scalar.ocr_quality(F.col("ocr_confidence")).alias("level")).agg(F.count("*").alias("n"))
+
+
+@query
+def validation_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return innings.validate_readings(feed.readings(spark, sf, gaps=True)).groupBy("match_id", "reason").agg(F.count("*").alias("n"))
+
+
+@query
+def missed_events(spark: SparkSession, sf: str) -> DataFrame:
+    aligned, _ = _aligned(spark, sf)
+    return report.misses(aligned)
+
+
+@query
+def parse_over_ball(spark: SparkSession, sf: str) -> DataFrame:
+    ball = F.col("ball")
+    return feed.commentary(spark, sf).select("match_id", "delivery_id", scalar.over_of(ball).alias("over_number"), scalar.ball_of(ball).alias("ball_in_over"))
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases as completed analyses, errors as failed ones, and clicks as begun ones."""
+    status = F.when(F.col("event_type") == "purchase", "COMPLETE").when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "click", "IN_PROGRESS")
+    return feed.events(spark, sf).select("match_id", status.alias("status"), (F.col("us") / 1e6).alias("at"))
+
+
+@query
+def analysis_status(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis_log.statuses(_log(spark, sf))
+
+
+@query
+def analysis_todo(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis_log.to_analyze(_spans(spark, sf), _log(spark, sf)).select("match_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(registry)

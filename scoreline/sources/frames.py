@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,5 +47,30 @@ def effective_fps(stamps: DataFrame) -> DataFrame:
     return rows.select("match_id", F.when(F.col("span") > 0, (F.col("n") - 1) / F.col("span")).alias("fps"))
 
 
+def on_axis(frames: DataFrame, readings: DataFrame) -> DataFrame:
+    """A row of readings for each frame (match_id, frame_index); where nothing was read, the fields are null and both confidences 0."""
+    rows = frames.select("match_id", "frame_index").join(readings, ["match_id", "frame_index"], "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("ocr_confidence", "parse_confidence")})
+
+
+def reuse_unchanged(frames: DataFrame, feature: str, tolerance: float = 2.0) -> DataFrame:
+    """match_id, frame_index, source_frame: the frame whose reading serves, which is the last one read if the feature is within tolerance of it.
+
+    What was read last depends on what was reused, hence a fold over a match. A null feature is read anew.
+    """
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("frame_index")
+        read, at, out = None, None, []
+        for i, x in zip(frame["frame_index"], frame["x"], strict=True):
+            if read is None or pd.isna(x) or pd.isna(read) or abs(x - read) > tolerance:
+                read, at = x, i
+            out.append(at)
+        return frame[["match_id", "frame_index"]].assign(source_frame=out)
+
+    rows = frames.select("match_id", F.col("frame_index").cast("long").alias("frame_index"), F.col(feature).cast("double").alias("x"))
+    return rows.groupBy("match_id").applyInPandas(fold, "match_id long, frame_index long, source_frame long")
+
+
 def _distinct(rows: DataFrame, index: Column) -> DataFrame:
     return rows.withColumn("frame_index", index).filter(F.col("frame_index") < F.col("frame_count")).select("match_id", "frame_index").distinct()

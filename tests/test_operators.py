@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreline.functions import scalar
-from scoreline.operators import clips, filters, intervals, repair, smoothing, states, tokens
-from scoreline.sources import commentary, files, frames, sinks
+from scoreline.operators import checks, clips, filters, intervals, repair, report, smoothing, states, tokens
+from scoreline.sources import analysis_log, commentary, files, frames, sinks
 
 READING = "match_id long, innings int, timestamp_seconds double, reading_id long, over_number int, ball_in_over int, runs int, wickets int, batter string, ocr_confidence double, parse_confidence double"
 
@@ -189,3 +189,43 @@ def test_stream_gives_the_batch_changes(spark, tmp_path):
     running.processAllAvailable()
     running.stop()
     assert [r.runs for r in spark.sql("select runs from changes order by reading_id").collect()] == [5, 6, 5]
+
+
+def test_analysis_log(spark):
+    log = spark.createDataFrame([(1, "IN_PROGRESS", 0.0), (1, "COMPLETE", 1.0), (2, "COMPLETE", 0.0), (2, "FAILED", 5.0), (3, "IN_PROGRESS", 2.0), (4, "unknown", 9.0), (5, "COMPLETE", 3.0), (5, "IN_PROGRESS", 3.0), (6, None, None)], analysis_log.SCHEMA)
+    assert {r.match_id: r.status for r in analysis_log.statuses(log).collect()} == {1: "COMPLETE", 2: "NOT_ANALYZED", 3: "IN_PROGRESS", 5: "COMPLETE"}
+    matches = spark.range(1, 8).withColumnRenamed("id", "match_id")
+    assert sorted(r.match_id for r in analysis_log.to_analyze(matches, log).collect()) == [2, 3, 4, 6, 7]
+    assert analysis_log.to_analyze(matches, log, force=True).count() == 7
+    assert analysis_log.statuses(log.unionByName(analysis_log.entries(matches, "COMPLETE", 10.0))).filter("status = 'COMPLETE'").count() == 7
+    with pytest.raises(ValueError):
+        analysis_log.entries(matches, "DONE", 1.0)
+
+
+def test_unchanged_frames_reuse_the_last_one_read(spark):
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate([0.0, 1.5, 3.0, 4.5, None, 4.5, 4.0])], "match_id long, frame_index long, x double")
+    assert [r.source_frame for r in frames.reuse_unchanged(df, "x", 2.0).orderBy("frame_index").collect()] == [0, 0, 2, 2, 4, 5, 5]
+
+
+def test_bad_boundaries(spark):
+    rows = [(1.0, "ORDINARY_CUT", 0.5), (None, "ORDINARY_CUT", 0.5), (float("nan"), "ORDINARY_CUT", 0.5), (1.0, "FADE", 0.5), (1.0, "ORDINARY_CUT", 1.5), (1.0, None, None)]
+    assert checks.bad_boundaries(spark.createDataFrame(rows, "timestamp_seconds double, boundary_type string, confidence double")).count() == 5
+
+
+def test_reading_checks(spark):
+    rows = [(1, 1, 0.0, 1, 1, 5, 0, 0.5, 1.0), (1, 2, 0.0, 1, 1, None, 0, 1.5, 1.0), (1, 3, None, None, None, None, None, None, 0.0)]
+    df = spark.createDataFrame(rows, "match_id long, reading_id long, timestamp_seconds double, over_number int, ball_in_over int, runs int, wickets int, ocr_confidence double, parse_confidence double")
+    assert {r.metric: r.value for r in checks.reading_checks(df).collect()} == {"readings": 3, "without_time": 1, "out_of_order": 1, "incomplete": 2, "bad_confidence": 2}
+    stats = checks.reading_stats(df).first()
+    assert (stats.n_readings, stats.undetectable, stats.low_confidence, stats.rejected) == (3, 1, 0, 0)
+
+
+def test_misses_without_a_signal_come_first(spark):
+    rows = [(1, 1, 0, 1, 10, "FOUR", "RECOVERABLE_MISS"), (1, 1, 0, 2, 11, "SIX", "TRUE_POSITIVE"), (1, 1, 3, 1, 12, "SIX", "UNRECOVERABLE_MISS")]
+    df = spark.createDataFrame(rows, "match_id long, innings int, over_number int, ball_in_over int, truth_id long, event_type string, outcome string")
+    assert [(r.truth_id, r.place) for r in report.misses(df).orderBy("place").collect()] == [(12, 1), (10, 2)]
+
+
+def test_ocr_quality(spark):
+    df = spark.createDataFrame([(0.6,), (0.59,), (0.35,), (0.15,), (0.0,), (None,)], "c double")
+    assert [r[0] for r in df.select(scalar.ocr_quality(F.col("c"))).collect()] == ["HIGH", "MEDIUM", "MEDIUM", "LOW", "INSUFFICIENT", "UNKNOWN"]
