@@ -1,4 +1,4 @@
-"""SimHash near-duplicates with bit-sliced comparison.
+"""SimHash near-duplicates with bit-sliced comparison, and near copies by exact similarity.
 
 1. Each document's fingerprint is the bitwise majority of the hashes of its word shingles.
 2. Documents of one fingerprint are one node from here on, so copies cost nothing more.
@@ -11,6 +11,10 @@
    into vertical counters, and a comparison is abandoned once all lanes exceed the radius.
 6. A task passes on a spanning forest of the links found, not the links; the forests are joined to components by
    alternating large-star and small-star steps.
+
+near_copies and keep_one, for the pipeline's stage, link by the similarity of five-word shingles instead: pairs at 0.8
+lie up to 13 bits apart, where block tables no longer cut the work, so candidates are those that share a band of a
+MinHash signature, and whole sets of shingles are compared before two texts are linked.
 """
 
 from __future__ import annotations
@@ -28,6 +32,14 @@ from .common import checkpointed, map_batches, texts
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
+#: The rule of the pipeline's stage: near copies share this much of their sets of shingles of this many words.
+COPY_SHINGLE = 5
+SIMILARITY = 0.8
+BANDS = 24
+BAND = 4
+#: Bytes of shingle sets of a bucket that meet in one part.
+PART_BYTES = 16 << 20
+ORDER = ["t", "k", "x", "y"]
 BUCKET = 64
 PART = 2048
 #: Comparisons (a fingerprint with 64 lanes) held in memory at once.
@@ -157,38 +169,38 @@ def forest(fps: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> np.ndarra
     return root
 
 
-def links(fps: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKET, part: int = PART) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that join all pairs within the radius, directly or by others."""
-    masks = table_masks(blocks_for(n, radius, bucket), radius)
-    met = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)))).alias("m")).select("fp", "m.t", "m.k")
-    large = met.groupBy("t", "k").count().filter(F.col("count") > part).select("t", "k", F.ceil(F.col("count") / part).cast("int").alias("parts"))
-    met = met.join(large, ["t", "k"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+def in_parts(met: DataFrame, large: DataFrame, node: str) -> DataFrame:
+    """met (t, k, node and more) with the pair x, y of parts in which a row is compared, in order of t, k, x, y; large (t, k, parts) has the buckets that are cut."""
+    carried = [c for c in met.columns if c not in ("t", "k")]
+    met = met.join(large, ["t", "k"], "left").withColumn("own", F.pmod(F.xxhash64(node), F.col("parts")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("own"))
     pairs = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(
         F.transform(others, lambda x: F.struct(F.least(x, F.col("own")).alias("x"), F.greatest(x, F.col("own")).alias("y")))
     )
-    met = met.select("fp", "t", "k", F.explode(pairs).alias("p")).select("fp", "t", "k", "p.x", "p.y")
+    met = met.select(*carried, "t", "k", F.explode(pairs).alias("p")).select(*carried, "t", "k", "p.x", "p.y")
+    return met.repartition(*ORDER).sortWithinPartitions(*ORDER)
 
-    def compare(batches):
+
+def by_bucket(compare):
+    """For mapInArrow over rows in order of ORDER: compare(table, starts) of whole buckets, a table of them at a time."""
+
+    def run(batches):
         held: list[pa.Table] = []
 
         def flush(table: pa.Table):
-            fp = table.column("fp").to_numpy().view(np.uint64)
-            keys = [table.column(k).to_numpy() for k in ("t", "k", "x", "y")]
-            new = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))))
-            ends = np.repeat(np.append(new[1:], len(fp)), np.diff(np.append(new, len(fp))))
-            root = forest(fp, ends, radius)
-            linked = np.flatnonzero(root != np.arange(len(fp)))
-            return pa.RecordBatch.from_arrays([pa.array(fp[linked].view(np.int64)), pa.array(fp[root[linked]].view(np.int64))], names=["a", "b"])
+            keys = [table.column(k).to_numpy() for k in ORDER]
+            return compare(table, np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))))
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch])
-            if held:
-                table = pa.concat_tables([*held, table]).combine_chunks()
-            if not table.num_rows:
+            last = [table.column(k)[-1].as_py() for k in ORDER]
+            if held and all(held[0].column(k)[0].as_py() == v for k, v in zip(ORDER, last, strict=True)):
+                held.append(table)  # still the bucket that is held
                 continue
-            last = [table.column(k)[-1].as_py() for k in ("t", "k", "x", "y")]
-            same = np.logical_and.reduce([table.column(k).to_numpy() == v for k, v in zip(("t", "k", "x", "y"), last, strict=True)])
+            table = pa.concat_tables([*held, table]).combine_chunks()
+            same = np.logical_and.reduce([table.column(k).to_numpy() == v for k, v in zip(ORDER, last, strict=True)])
             cut = int(np.argmax(same))
             if cut:
                 yield flush(table.slice(0, cut).combine_chunks())
@@ -196,8 +208,24 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKET, pa
         if held:
             yield flush(pa.concat_tables(held).combine_chunks())
 
-    order = ["t", "k", "x", "y"]
-    return met.repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
+    return run
+
+
+def links(fps: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKET, part: int = PART) -> DataFrame:
+    """a, b: links between distinct fingerprints (column fp) that join all pairs within the radius, directly or by others."""
+    masks = table_masks(blocks_for(n, radius, bucket), radius)
+    met = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)))).alias("m")).select("fp", "m.t", "m.k")
+    large = met.groupBy("t", "k").count().filter(F.col("count") > part).select("t", "k", F.ceil(F.col("count") / part).cast("int").alias("parts"))
+    met = in_parts(met, large, "fp")
+
+    def compare(table: pa.Table, new: np.ndarray):
+        fp = table.column("fp").to_numpy().view(np.uint64)
+        ends = np.repeat(np.append(new[1:], len(fp)), np.diff(np.append(new, len(fp))))
+        root = forest(fp, ends, radius)
+        linked = np.flatnonzero(root != np.arange(len(fp)))
+        return pa.RecordBatch.from_arrays([pa.array(fp[linked].view(np.int64)), pa.array(fp[root[linked]].view(np.int64))], names=["a", "b"])
+
+    return met.mapInArrow(by_bucket(compare), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -243,12 +271,99 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
     return marked.join(labels, F.col("fp") == F.col("l_fp")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component; one row of each id, the first by text.
+def signature(shingles: np.ndarray) -> list[int]:
+    """BANDS hashes of BAND smallest permuted hashes each; none of a text without words."""
+    if not len(shingles):
+        return []
+    random = np.random.default_rng(SEED)
+    times, plus = random.integers(0, 2**64, (2, BANDS * BAND, 1), np.uint64)
+    least = np.full(BANDS * BAND, ALL)
+    for at in range(0, len(shingles), 4096):
+        least = np.minimum(least, (shingles[at : at + 4096] * (times | np.uint64(1)) + plus).min(axis=1))
+    return [xxhash.xxh3_64_intdigest(band.tobytes()) - (1 << 63) for band in least.reshape(BANDS, BAND)]
+
+
+def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
+    """Root index of each set of shingles, none empty, after linking those whose exact Jaccard similarity is at least ``least``."""
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    sizes, root = sizes[order], np.arange(len(sets))
+    words, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    starts, held = np.cumsum(sizes) - sizes, np.zeros(len(words), bool)
+    # A set is met by those after it that are not too large, and not at all once all of them are linked with it.
+    upto = np.searchsorted(sizes, sizes / least * (1 + 1e-9), "right")
+    for i in range(len(sets)):
+        a, b = i + 1, int(upto[i])
+        if a >= b or (root[a:b] == root[i]).all():
+            continue
+        own = ids[starts[i] : starts[i] + sizes[i]]
+        held[own] = True
+        common = np.add.reduceat(held[ids[starts[a] : starts[b - 1] + sizes[b - 1]]], starts[a:b] - starts[a], dtype=np.int64)
+        held[own] = False
+        near = a + np.flatnonzero(common / (sizes[i] + sizes[a:b] - common) >= least)
+        root = join_roots(root, np.full(len(near), i), near)
+    out = np.empty(len(sets), int)
+    out[order] = order[root]
+    return out
+
+
+def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SHINGLE, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, node (a hash of the shingle set) and component_id of every row.
+
+    Rows whose sets of ``width``-word shingles have a Jaccard similarity of at least ``least`` are linked; component_id
+    is the smallest doc_id reachable. Candidates share a band of a MinHash signature, which two texts at 0.8 miss with
+    a probability of 3e-6; each link is confirmed by comparing the whole sets. Rows of equal sets are one node, and so
+    are rows without words. Nulls, repeated rows and empty tables are as in near_duplicates.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(t, width)) for t in texts(batch)]
+        nodes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array([signature(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in texts(batch)]
+        return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["s_node", "shingles"])
+
+    marked = checkpointed(map_batches(own, sketch, "doc_id long, node binary, bands array<long>"))
+    nodes = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")))
+    met = nodes.select("node", F.posexplode("bands").alias("t", "k"))
+    # Of the buckets that hold the same nodes, one is enough.
+    buckets = met.groupBy("t", "k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("v")).filter("n > 1")
+    buckets = buckets.groupBy("n", "u", "v").agg(F.min(F.struct("t", "k")).alias("m")).select("m.t", "m.k")
+    members = checkpointed(met.join(buckets, ["t", "k"]))
+    asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("a_node"), F.col("least_id").alias("a_id"))
+    named = own.join(asked.filter("a_id IS NOT NULL").select("a_id"), F.col("doc_id") == F.col("a_id"), "left_semi")
+    sets = map_batches(named.unionByName(own.filter("doc_id IS NULL")), whole, "s_node binary, shingles binary").join(asked, F.col("s_node") == F.col("a_node"), "left_semi")
+    sets = checkpointed(sets.dropDuplicates(["s_node"]))
+    sized = members.join(sets.select("s_node", F.length("shingles").alias("bytes")), F.col("node") == F.col("s_node")).select("t", "k", "node", "bytes")
+    large = sized.groupBy("t", "k").agg(F.ceil(F.sum("bytes") / part_bytes).cast("int").alias("parts")).filter("parts > 1")
+    met = in_parts(members.join(sets, F.col("node") == F.col("s_node")).select("t", "k", "node", "shingles"), large, "node")
+
+    def compare(table: pa.Table, starts: np.ndarray):
+        names, data = table.column("node").to_pylist(), table.column("shingles").to_pylist()
+        a, b = [], []
+        for start, end in zip(starts, np.append(starts[1:], len(names)), strict=True):
+            for i, r in enumerate(similar([np.frombuffer(x, np.uint64) for x in data[start:end]], least)):
+                if r != i:
+                    a.append(names[start + i])
+                    b.append(names[start + r])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    roots = components(met.mapInArrow(by_bucket(compare), "a binary, b binary"))
+    rooted = nodes.select(F.col("node").alias("l_node"), "least_id").join(roots, F.col("l_node") == F.col("node"), "left").select("l_node", "least_id", F.coalesce("root", "l_node").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    labels = rooted.join(ids, "root").select("l_node", "component_id")
+    return marked.join(labels, F.col("node") == F.col("l_node")).select("doc_id", "node", "component_id")
+
+
+def keep_one(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is the smallest of its component of near_copies; one row of each id, the first by text.
 
     Rows without an id can't be named as a component's document; all of them stay.
     """
-    found = near_duplicates(docs, radius, width).filter("doc_id = component_id")
+    found = near_copies(docs, least, width).filter("doc_id = component_id")
     kept = checkpointed(found.groupBy("doc_id").agg(F.count("*").alias("rows")))
     joined = docs.select(F.struct("*").alias("r")).join(kept, F.col("r.doc_id").cast("long") == F.col("doc_id"))
     if not kept.filter("rows > 1").isEmpty():
