@@ -15,8 +15,8 @@ score. A word by itself decides nothing: its weight enters by the kind that its
 
 Learning. At most SAMPLE labelled rows of each label are used, chosen by a hash of the id. A stem (a word or its first
 4 to 6 letters) is taken as an insult if its share of toxic texts is above the sample's by more than chance allows
-for as many stems as were tried; up to ROUNDS times more, stems are looked for in the texts that hold none yet. Texts that share the smallest hash of their words count once, so that copies
-of one text don't turn its words into insults.
+for as many stems as were tried; up to ROUNDS times more, stems are looked for in the texts that hold none yet. Texts of
+one label with the same words in the same order count once, so that copies of one text don't turn its words into insults.
 """
 
 from __future__ import annotations
@@ -233,8 +233,9 @@ def stems_of(text: str) -> set[str]:
     return bare | {w[:n] for n in STEMS for w in bare if len(w) > n}
 
 
-def least_hash(text: str) -> int:
-    return min((xxhash.xxh3_64_intdigest(w) for w in set(text.lower().encode("utf-8", "surrogatepass").split())), default=0) >> 1
+def text_hash(text: str) -> int:
+    """Of the lower-cased words in their order."""
+    return xxhash.xxh3_64_intdigest(b" ".join(text.lower().encode("utf-8", "surrogatepass").split())) >> 1
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> tuple[DataFrame, dict[int, float]]:
@@ -315,6 +316,18 @@ def learn_stems(rows: DataFrame, rate: float, least_precision: float = 0.8) -> d
     return stems
 
 
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """text, y, n, half: each different text of each label once, as the row with the smallest doc_id has it, and the rows it stands for."""
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([text_hash(t) for t in texts(batch)], pa.int64())], names=["doc_id", "text", "y", "h"])
+
+    # The sample is bounded, so its texts may be shuffled, and need few tasks however many shuffles have.
+    once = map_batches(sample, mark, "doc_id long, text string, y int, h long").groupBy("h", "y").agg(F.min(F.struct("doc_id", "text")).alias("r"), F.count("*").alias("n"))
+    once = once.coalesce(2 * max(2, sample.sparkSession.sparkContext.defaultParallelism))
+    return checkpointed(once.select("r.text", "y", "n", (F.xxhash64("h") % 2 == 0).alias("half")))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> ToxicityModel:
     """Learn stems and coefficients from the rows of labels. Without labels of both kinds, the fixed words serve alone.
 
@@ -323,13 +336,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     """
     sample, stands_for = labelled_sample(docs, labels, label, most)
 
-    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = pa.array([least_hash(t) for t in texts(batch)], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), hashes], names=["text", "y", "h"])
-
-    # One text of each smallest hash; the sample is bounded, so these texts may be shuffled, and need few tasks however many shuffles have.
-    once = map_batches(sample, mark, "text string, y int, h long").dropDuplicates(["h"]).coalesce(2 * max(2, docs.sparkSession.sparkContext.defaultParallelism))
-    sample = checkpointed(once.select("text", "y", (F.xxhash64("h") % 2 == 0).alias("half")))
+    sample = distinct_texts(sample)
+    sizes = sample.groupBy("y").agg(F.sum("n").alias("rows"), F.count("*").alias("texts")).collect()
+    stands_for |= {r["y"]: stands_for[r["y"]] * r["rows"] / r["texts"] for r in sizes}
     rate = stands_for.get(0, 1.0) / stands_for.get(1, 1.0)
     model = ToxicityModel(learn_stems(sample, rate))
     if not model.stems:
@@ -338,7 +347,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     shared = docs.sparkSession.sparkContext.broadcast(halves)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, own, half = np.zeros((batch.num_rows, len(KINDS))), texts(batch), np.array(batch.column(2).to_pylist(), bool)
+        x, own, half = np.zeros((batch.num_rows, len(KINDS))), texts(batch), np.array(batch.column(3).to_pylist(), bool)
         for side, other in ((half, shared.value[0]), (~half, shared.value[1])):
             x[side] = sums([t for t, mine in zip(own, side, strict=True) if mine], other, Codes(other))
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
