@@ -1,8 +1,8 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols: insult, threat, target, negation, reported speech, other. Insults and threats are a list of
-stems with weights; stems of all languages are learnt from labelled texts, beside a short fixed list. Each part of
-the grammar is a transducer from symbols to symbols:
+Words become symbols: insult, threat, target, negation, reported speech, other. Insults are stems with weights, of all
+languages, learnt from labelled texts alone; a short fixed list serves only where no stem could be learnt. Threats and
+the other symbols are fixed lists. Each part of the grammar is a transducer from symbols to symbols:
 
     negation   insults after a negation, up to NEGATION_REACH words on, become denied insults
     report     insults after a verb of saying become reported insults
@@ -45,9 +45,9 @@ CLAUSE_ENDS = (".", "!", "?", ";", ":")
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, DENIED, REPORTED, AIMED, AIMED_THREAT = range(10)
 KINDS = (INSULT, DENIED, REPORTED, AIMED, THREAT, AIMED_THREAT)
 
-# English words of each symbol.
+# English words of each symbol. The insults are a general list, for models without learnt stems only.
 WORDS = {
-    INSULT: "idiot moron stupid loser scum trash pathetic worthless disgusting clown",
+    INSULT: "idiot fool jerk coward imbecile bastard creep dimwit",
     THREAT: "kill hurt beat destroy shoot stab",
     TARGET: "you your you're u he she him her they them their",
     NEGATION: "not never no isn't aren't wasn't don't doesn't nobody",
@@ -135,7 +135,7 @@ class ToxicityModel:
 
     def __post_init__(self) -> None:
         self.next, self.out, self.factor = negation().then(report()).then(target()).then(threat()).compiled()
-        fixed = {w: (symbol, FIXED_WEIGHT) for symbol, words in WORDS.items() for w in words.split()}
+        fixed = {w: (symbol, FIXED_WEIGHT) for symbol, words in WORDS.items() if symbol != INSULT or not self.stems for w in words.split()}
         self.entries = [(OTHER, 0.0)]
         self.places: dict[str, int] = {}
         for stem, (symbol, weight) in (fixed | {s + "*": (INSULT, w) for s, w in self.stems.items()}).items():

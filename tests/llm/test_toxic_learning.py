@@ -12,3 +12,16 @@ def test_texts_that_share_words_are_all_learnt_from(spark):
     assert sorted((r.text, r.y, r.n) for r in found if r.n > 1) == [("the and of Word8 more", 1, 6)]
     assert len(found) == 201 and sum(r.n for r in found) == len(rows)
     assert {r.half for r in found} == {True, False}
+
+
+def test_insults_come_from_the_labels_alone(spark):
+    """Words that are in no list are learnt, and listed ones that the labels don't show as insults have no weight."""
+    random = np.random.default_rng(8)
+    words = [f"plain{i}" for i in range(300)]
+    rows = [(i, " ".join([*random.choice(words, 30), *(["grobnik"] if i % 6 == 0 else ["clown", "idiot"] if i % 6 == 1 else [])]), int(i % 6 == 0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.drop("toxic"), df.drop("text"))
+    x = toxicity.sums(["the grobnik", "the clown", "the idiot"], model, toxicity.Codes(model))
+    assert x[0].any() and not x[1:].any()
+    p = toxicity.probabilities(x, model.coefficients)
+    assert p[0] >= toxicity.THRESHOLD > p[1]
