@@ -2,7 +2,7 @@
 
 Words become symbols: insult, threat, target, negation, reported speech, other. Insults are stems with weights, of all
 languages, learnt from labelled texts alone; a short fixed list serves only where no stem could be learnt. Threats and
-the other symbols are fixed lists. Each part of the grammar is a transducer from symbols to symbols:
+the other symbols are fixed lists in four languages. Each part of the grammar is a transducer from symbols to symbols:
 
     negation   insults after a negation, up to NEGATION_REACH words on, become denied insults
     report     insults after a verb of saying become reported insults
@@ -45,13 +45,27 @@ CLAUSE_ENDS = (".", "!", "?", ";", ":")
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, DENIED, REPORTED, AIMED, AIMED_THREAT = range(10)
 KINDS = (INSULT, DENIED, REPORTED, AIMED, THREAT, AIMED_THREAT)
 
-# English words of each symbol. The insults are a general list, for models without learnt stems only.
+# Words of each symbol, in English, German, French and Spanish. Scoring doesn't know a text's language, so a
+# word that is common with another sense in one of the others (German die, French du) is left out. The insults are a
+# general list, for models without learnt stems only.
 WORDS = {
     INSULT: "idiot fool jerk coward imbecile bastard creep dimwit",
-    THREAT: "kill hurt beat destroy shoot stab",
-    TARGET: "you your you're u he she him her they them their",
-    NEGATION: "not never no isn't aren't wasn't don't doesn't nobody",
-    REPORT: "said says say wrote writes claimed called calls quoted told",
+    THREAT: "kill hurt beat destroy shoot stab "
+    "töten töte umbringen verletzen verprügeln schlagen schlage zerstören erschießen erstechen "
+    "tuer tuerai tuerais blesser frapper frapperai détruire abattre poignarder "
+    "matar mataré mataría herir golpear golpearé destruir disparar apuñalar",
+    TARGET: "you your you're u he she him her they them their "
+    "du dich dir dein deine euch ihr er ihn ihm sie ihnen "
+    "tu te toi vous votre vos il elle ils elles lui leur "
+    "tú ti usted ustedes vosotros él ella ellos ellas",
+    NEGATION: "not never no isn't aren't wasn't don't doesn't nobody "
+    "nicht nie niemals kein keine keinen keiner niemand "
+    "pas jamais aucun aucune personne n'est n'es "
+    "nunca jamás ningún ninguna nadie tampoco",
+    REPORT: "said says say wrote writes claimed called calls quoted told "
+    "sagte sagt sagten schrieb schreibt behauptete behauptet nannte nennt zitierte "
+    "dit disait écrit écrivait affirme affirmait appelait cité "
+    "dijo dice decía escribió escribe afirmó llamó llama citó",
 }
 FIXED_WEIGHT = 2.0
 

@@ -25,3 +25,19 @@ def test_insults_come_from_the_labels_alone(spark):
     assert x[0].any() and not x[1:].any()
     p = toxicity.probabilities(x, model.coefficients)
     assert p[0] >= toxicity.THRESHOLD > p[1]
+
+
+@pytest.mark.parametrize(
+    "aimed, plain, denied, reported, threat",
+    [
+        ("you grobnik", "the grobnik", "not a grobnik", "said grobnik", "you kill"),
+        ("du grobnik", "das grobnik", "kein grobnik", "sagte grobnik", "dich töten"),
+        ("toi grobnik", "le grobnik", "pas un grobnik", "dit grobnik", "te tuer"),
+        ("tú grobnik", "el grobnik", "nunca un grobnik", "dijo grobnik", "usted matar"),
+    ],
+)
+def test_the_grammar_fires_in_every_language(aimed, plain, denied, reported, threat):
+    model = toxicity.ToxicityModel({"grobnik": 2.0})
+    x = toxicity.sums([aimed, plain, denied, reported, threat], model, toxicity.Codes(model))
+    kinds = [[toxicity.KINDS[i] for i in np.flatnonzero(row)] for row in x]
+    assert kinds == [[toxicity.AIMED], [toxicity.INSULT], [toxicity.DENIED], [toxicity.REPORTED], [toxicity.AIMED_THREAT]]
