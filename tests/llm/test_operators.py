@@ -409,3 +409,46 @@ def test_copies_ties_and_parts(spark):
         score = (x * x[q]).sum(axis=1)
         want = [int(i) for i in np.lexsort((np.arange(300), -score)) if i != q][:15]
         assert [r.vec_id for r in sorted(rows, key=lambda r: r.rank) if r.query_id == q] == want
+
+
+@pytest.mark.parametrize("lengths", ["equal", "lognormal", "one long", "one very long", "two bands"])
+def test_recall_with_unequal_norms(spark, lengths):
+    random = np.random.default_rng(12)
+    x = random.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if lengths == "lognormal":
+        x *= random.lognormal(0, 1, (len(x), 1))
+    elif lengths == "two bands":
+        x[::2] *= 3
+    elif lengths != "equal":
+        x[77] *= 10 if lengths == "one long" else 1000
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    rows = neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    frame = df.toPandas()
+    want = neighbours.exact_nearest(frame, np.arange(0, 3000, 20))
+    got = defaultdict(set)
+    for r in rows:
+        got[r.query_id].add(r.vec_id)
+    assert all(len(got[q]) == 20 for q in want)
+    assert sum(len(got[q] & set(want[q])) for q in want) >= 0.9 * 20 * len(want)
+
+
+@pytest.mark.parametrize("n", [2, 15, 21, 60])
+def test_small_tables_give_every_query_its_rows(spark, n):
+    random = np.random.default_rng(n)
+    df = spark.createDataFrame([(i, random.normal(size=6).tolist()) for i in range(n)], "vec_id long, embedding array<float>")
+    rows = neighbours.nearest(df, F.col("vec_id") >= 0).collect()
+    assert len(rows) == n * min(20, n - 1)
+
+
+def test_large_buckets_and_busy_groups(spark):
+    """All vectors point nearly one way, so one bucket holds most of them and most queries."""
+    random = np.random.default_rng(5)
+    x = np.array([1.0, *[0.0] * 7]) + 0.05 * random.normal(size=(600, 8))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    rows = neighbours.nearest(df, F.col("vec_id") % 2 == 0, part=50, turn_of=20, recall=1.0).collect()
+    want = neighbours.exact_nearest(df.toPandas(), np.arange(0, 600, 2))
+    got = defaultdict(set)
+    for r in rows:
+        got[r.query_id].add(r.vec_id)
+    assert sum(len(got[q] & set(want[q])) for q in want) >= 0.95 * 20 * len(want)
