@@ -3,7 +3,7 @@
 Equal vectors are one node. A node keeps the top + 1 smallest ids of its vectors: more can't be in a result, since a
 query leaves out no id but its own.
 
-1. Norms. Nodes are dealt to bands of norms within a factor of 2, each with its own tables. The longest nodes, HEAD or
+1. Norms. Nodes are dealt to bands of norms within a factor of 2 (unit vectors lie in the middle of one), each with its own tables. The longest nodes, HEAD or
    an eighth of them (top + 1 at least), are also compared with every query, which gives each query a bound: a band
    whose longest vector can't reach it is not probed, and what stays below it is dropped.
 2. Hash. A vector's direction, padded with zeros to a power of two, is turned by three rounds of random signs and a fast
@@ -94,6 +94,14 @@ def nearest_axes(y: np.ndarray, signed: int) -> np.ndarray:
     return np.stack((y, -y), axis=2).reshape(len(y), -1)
 
 
+def leading(score: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` largest of each row, the largest first."""
+    if score.shape[1] <= most:
+        return np.argsort(-score, axis=1, kind="stable")
+    best = np.sort(np.argpartition(-score, most - 1, axis=1)[:, :most], axis=1)
+    return np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, axis=1), axis=1, kind="stable"), axis=1)
+
+
 def buckets(x: np.ndarray, table: int, probes: int, axes: list[int]) -> np.ndarray:
     """(rows, probes or fewer) buckets of a table for directions x, the nearest first."""
     score, bucket = np.zeros((len(x), 1), np.float32), np.zeros((len(x), 1), np.int64)
@@ -102,11 +110,11 @@ def buckets(x: np.ndarray, table: int, probes: int, axes: list[int]) -> np.ndarr
         if probes == 1:
             bucket = bucket * signed + products.argmax(axis=1)[:, None]
             continue
-        best = np.argsort(-products, axis=1, kind="stable")[:, :probes]
+        best = leading(products, probes)
         near = np.take_along_axis(products, best, axis=1)
         score = (score[:, :, None] + near[:, None, :]).reshape(len(x), -1)
         bucket = (bucket[:, :, None] * signed + best[:, None, :]).reshape(len(x), -1)
-        best = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+        best = leading(score, probes)
         score, bucket = np.take_along_axis(score, best, axis=1), np.take_along_axis(bucket, best, axis=1)
     return bucket
 
@@ -154,21 +162,21 @@ class Band:
         return max(1, -(-self.n // GROUP))
 
 
-def fitted(n: int, queries: np.ndarray, neighbours: np.ndarray, tables: int, recall: float = RECALL) -> tuple[list[int], int]:
-    """Axes and probes of a band of n vectors: the least work that meets ``recall`` of the pairs (directions of query and neighbour).
+def fitted(n: int, queries: np.ndarray, row: np.ndarray, neighbours: np.ndarray, tables: int, recall: float = RECALL) -> tuple[list[int], int]:
+    """Axes and probes of a band of n vectors: the least work that meets ``recall`` of the pairs queries[row], neighbours (directions).
 
     If no setting tried does, the one that meets most. Without pairs, the setting for a cosine of a half.
     """
-    if not len(queries):
+    if not len(row):
         random = np.random.default_rng(n)
         queries, others = (directions(random.normal(size=(64, queries.shape[1]))) for _ in range(2))
-        neighbours = directions(queries / 2 + np.sqrt(0.75) * others)
+        row, neighbours = np.arange(64), directions(queries / 2 + np.sqrt(0.75) * others)
     found = []
     for bucket in BUCKETS:
         axes = axes_for(queries.shape[1], n, bucket)
-        first = np.full(len(queries), MOST_PROBES)
+        first = np.full(len(row), MOST_PROBES)
         for t in range(tables):
-            hit = buckets(queries, t, MOST_PROBES, axes) == buckets(neighbours, t, 1, axes)
+            hit = buckets(queries, t, MOST_PROBES, axes)[row] == buckets(neighbours, t, 1, axes)
             first = np.minimum(first, np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_PROBES))
         needed = int(np.sort(first)[min(len(first) - 1, int(np.ceil(recall * len(first))) - 1)]) + 1
         probes = min(needed, MOST_PROBES)
@@ -220,7 +228,7 @@ def nearest(
             x = np.frombuffer(b"".join(r[0] for r in some), stored).reshape(-1, width).astype(np.float64)
             largest = np.abs(x).max(axis=1)
             norm = largest * np.sqrt(((x / largest[:, None]) ** 2).sum(axis=1))
-            columns = [pa.array([r[0] for r in some], pa.binary()), pa.array([r[1] for r in some], pa.list_(pa.int64())), pa.array(norm), pa.array(np.floor(np.log2(norm)).astype(np.int32))]
+            columns = [pa.array([r[0] for r in some], pa.binary()), pa.array([r[1] for r in some], pa.list_(pa.int64())), pa.array(norm), pa.array(np.round(np.log2(norm)).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["v", "ids", "norm", "band"])
 
     own = own.mapInArrow(as_bytes, "id long, v binary, query boolean")
@@ -272,12 +280,12 @@ def nearest(
         truth = nodes.select("u", "v").mapInArrow(scan, "q long, score double, near long").withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= most)
         pairs = nodes.join(truth, F.col("u") == F.col("near")).select("q", "v", "band").toPandas().sort_values(["q", "v"])
         pairs = pairs[[v != tried["v"].iloc[q] for q, v in zip(pairs["q"], pairs["v"], strict=True)]]
-    asks, near = directions(rows_of(tried["v"]))[pairs["q"].to_numpy(int)] if len(tried) else sample.value, directions(rows_of(pairs["v"]))
+    asks, near, row = directions(rows_of(tried["v"])), directions(rows_of(pairs["v"])), pairs["q"].to_numpy(int)
     bands = {}
     for b, r in sizes.items():
         mine = (pairs["band"] == b).to_numpy(bool)
         mine = mine if mine.sum() >= 2 * top else np.ones(len(pairs), bool)  # too few to go by: all together
-        setting = fitted(r["n"], asks[mine], near[mine], tables, recall) if probes is None else ([2 * near.shape[1]], probes)
+        setting = fitted(r["n"], asks, row[mine], near[mine], tables, recall) if probes is None else ([2 * near.shape[1]], probes)
         bands[b] = Band(r["n"], r["longest"], *setting)
     shared = spark.sparkContext.broadcast((bands, head["u"].to_numpy(np.int64), head["least_id"].to_numpy(np.int64), rows_of(head["v"])))
 
