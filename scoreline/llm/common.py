@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Vectors that a task adds up at a time.
+FAN = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,21 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the checkpoint folder set below."""
-    set_checkpoint_dir(spark)
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` or the context's checkpoint folder names it.
 
-
-def set_checkpoint_dir(spark: SparkSession) -> None:
-    """A temporary folder serves only where the session names none: tests on one machine."""
+    Where neither is set, a temporary folder serves on one machine (tests), and a cluster is an error. What stays
+    in the folder is the caller's to clear once results are written.
+    """
     sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df once into the folder that ``spark.checkpoint.dir`` names and go on from there."""
-    set_checkpoint_dir(df.sparkSession)
+    shared_path(df.sparkSession)
     return df.checkpoint()
 
 
@@ -102,34 +107,43 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def gathered(df: DataFrame, partitions: int = 4) -> DataFrame:
-    """df with this many partitions a task, but no fewer tasks than the cluster runs at once; nothing is shuffled."""
-    tasks = max(2, df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions() // partitions)
-    return df.coalesce(tasks)
-
-
 def sum_vectors(df: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], width: int, parts: int = 16) -> np.ndarray:
     """Sum of the vectors of ``width`` numbers that of(batch) gives for the batches of df.
 
-    Each task sums its own first. Tasks read several partitions of df (see gathered), so that the sums are small
-    beside what they sum.
+    Each task sums its own first; the tasks' sums are added FAN at a time, level by level, so that no task reads more
+    than FAN vectors, however many tasks there were.
     """
     cut = np.linspace(0, width, parts + 1).astype(int)
 
     def partial(batches):
+        from pyspark import TaskContext
+
         total = np.zeros(width)
         for batch in batches:
             total += of(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array([total[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["part", "sums"])
+        if total.any():
+            lanes = np.full(parts, TaskContext.get().partitionId())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array(lanes), pa.array([total[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["part", "lane", "sums"])
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(frame["sums"].iloc[0]) // 8)
-        for data in frame["sums"]:
-            total += np.frombuffer(data)
-        return pd.DataFrame({"part": [frame["part"].iloc[0]], "sums": [total.tobytes()]})
-
-    sums = gathered(df).mapInArrow(partial, "part long, sums binary").groupBy("part").applyInPandas(add, "part long, sums binary").toPandas()
+    sums = tree_sum(df.mapInArrow(partial, "part long, lane long, sums binary"), df.rdd.getNumPartitions(), np.float64).toPandas()
     out = np.zeros(width)
     for part, data in zip(sums["part"], sums["sums"], strict=True):
         out[cut[part] : cut[part + 1]] = np.frombuffer(data)
     return out
+
+
+def tree_sum(df: DataFrame, lanes: int, kind: type, fan: int = FAN) -> DataFrame:
+    """part and sums, the sum over all lanes of the vectors that rows (part, lane below ``lanes``, sums) hold as bytes; groups hold up to ``fan`` rows."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(frame["sums"].iloc[0], kind).copy()
+        for data in frame["sums"].iloc[1:]:
+            total += np.frombuffer(data, kind)
+        return frame.iloc[:1].assign(sums=[total.tobytes()])
+
+    while True:
+        lanes = -(-lanes // fan)
+        df = df.withColumn("lane", F.col("lane") % max(1, lanes))
+        df = df.groupBy("part", "lane").applyInPandas(add, "part long, lane long, sums binary")
+        if lanes <= 1:
+            return df.select("part", "sums")

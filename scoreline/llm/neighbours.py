@@ -36,7 +36,7 @@ TABLES = 10
 ROUNDS = 3
 HEAD = 1024
 CALIBRATION = 128
-RECALL = 0.975
+RECALL = 0.95
 MOST_PROBES = 256
 #: Vectors of a bucket, on average, that are tried as settings.
 BUCKETS = (16, 32, 64, 128, 256)
