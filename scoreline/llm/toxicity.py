@@ -2,14 +2,21 @@
 
 Words become symbols: insult, threat, target, negation, reported speech, other. Insults are stems with weights, of all
 languages, learnt from labelled texts alone; a short fixed list serves only where no stem could be learnt. Threats and
-the other symbols are fixed lists in four languages. Each part of the grammar is a transducer from symbols to symbols:
+the other symbols are fixed lists in four languages, to which words are added that labelled clauses show to be telling
+beside an insult. The grammar is two cascades of transducers from symbols to symbols. The first reads a clause forwards:
 
-    negation   insults after a negation, up to NEGATION_REACH words on, become denied insults
-    report     insults after a verb of saying become reported insults
-    target     insults up to TARGET_REACH words after a target, or before one, become aimed insults
-    threat     threats with a target in the clause become aimed threats
+    negation      insults after a negation, up to NEGATION_REACH words on, become denied insults
+    report        insults after a verb of saying become reported insults
+    target        insults up to TARGET_REACH words after a target become aimed insults
+    threat        threats after a target become aimed threats
 
-They are composed to one table, which runs over the symbols of each clause that holds an insult or a threat; the kinds
+and the second reads what came out backwards:
+
+    report        insults before a verb of saying become reported insults
+    target        insults up to TARGET_REACH words before a target become aimed insults
+    threat        threats up to TARGET_REACH words before a target become aimed threats
+
+Each cascade is composed to one table, which runs over the symbols of each clause that holds an insult or a threat; the kinds
 that come out, with their stems' weights, are summed over the document, and a logistic model of these sums gives the
 score. A word by itself decides nothing: its weight enters by the kind that its clause gives it.
 
@@ -17,12 +24,15 @@ Learning. At most SAMPLE labelled rows of each label are used, chosen by a hash
 4 to 6 letters) is taken as an insult if its share of toxic texts is above the sample's by more than chance allows
 for as many stems as were tried; up to ROUNDS times more, stems are looked for in the texts that hold none yet. Texts of
 one label with the same words in the same order count once, so that copies of one text don't turn its words into insults.
+With the stems known, the words up to TARGET_REACH places from an insult in its clause are counted: those that toxic
+texts have there more often than chance allows become targets, those that clean texts have there become negations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -142,24 +152,41 @@ def threat(factor: float = 2.0) -> Transducer:
     return Transducer(False, step)
 
 
+def threat_before(reach: int = TARGET_REACH, factor: float = 2.0) -> Transducer:
+    def step(left, symbol):
+        if symbol == TARGET:
+            return reach, symbol, 1.0
+        if symbol == THREAT and left:
+            return left - 1, AIMED_THREAT, factor
+        return max(0, left - 1), symbol, 1.0
+
+    return Transducer(0, step)
+
+
+FORWARDS = (negation, report, target, threat)
+BACKWARDS = (report, target, threat_before)
+
+
 @dataclass
 class ToxicityModel:
     stems: dict[str, float] = field(default_factory=dict)
+    beside: dict[str, int] = field(default_factory=dict)  # words learnt beside insults, TARGET or NEGATION
     coefficients: np.ndarray = field(default_factory=lambda: np.array([-4.0, 2.0, 1.0, 1.0, 2.0, 1.0, 2.0]))
 
     def __post_init__(self) -> None:
-        self.next, self.out, self.factor = negation().then(report()).then(target()).then(threat()).compiled()
+        self.forwards, self.backwards = (reduce(Transducer.then, (part() for part in cascade)).compiled() for cascade in (FORWARDS, BACKWARDS))
         fixed = {w: (symbol, FIXED_WEIGHT) for symbol, words in WORDS.items() if symbol != INSULT or not self.stems for w in words.split()}
         self.entries = [(OTHER, 0.0)]
         self.places: dict[str, int] = {}
-        for stem, (symbol, weight) in (fixed | {s + "*": (INSULT, w) for s, w in self.stems.items()}).items():
+        beside = {w: (symbol, 0.0) for w, symbol in self.beside.items()}
+        for stem, (symbol, weight) in (beside | fixed | {s + "*": (INSULT, w) for s, w in self.stems.items()}).items():
             self.places[stem] = len(self.entries)
             self.entries.append((symbol, weight))
         self.symbols = np.array([e[0] for e in self.entries])
         self.weights = np.array([e[1] for e in self.entries])
 
     def __getstate__(self):
-        return {"stems": self.stems, "coefficients": self.coefficients}
+        return {"stems": self.stems, "beside": self.beside, "coefficients": self.coefficients}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -183,40 +210,44 @@ class Codes(dict):
         return code
 
 
+def marked_clauses(text: str, model: ToxicityModel, codes: Codes) -> Iterator[tuple[list[str], np.ndarray, list[int]]]:
+    """Words, entries and symbols of each clause of the text that holds an insult or a threat."""
+    words = text.split()
+    code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+    entry = code >> 1
+    symbol = model.symbols[entry]
+    marked = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
+    if not len(marked):
+        return
+    ends = np.flatnonzero(code & 1)
+    for c in np.unique(np.searchsorted(ends, marked)).tolist():
+        first = int(ends[c - 1]) + 1 if c else 0
+        last = int(ends[c]) + 1 if c < len(ends) else len(words)
+        yield words[first:last], entry[first:last], symbol[first:last].tolist()
+
+
+def parsed(symbols: list[int], model: ToxicityModel) -> tuple[list[int], list[float]]:
+    """The symbols that both cascades put out for a clause, and the factors on their weights."""
+    factors, places = [1.0] * len(symbols), range(len(symbols))
+    for (after, out, factor), order in ((model.forwards, places), (model.backwards, reversed(places))):
+        state = 0
+        for i in order:
+            s = symbols[i]
+            symbols[i], factors[i] = int(out[state, s]), factors[i] * float(factor[state, s])
+            state = int(after[state, s])
+    return symbols, factors
+
+
 def sums(batch_texts: list[str | None], model: ToxicityModel, codes: Codes) -> np.ndarray:
     """(texts, kinds) log(1 + sum of weights) of what the grammar puts out."""
     out = np.zeros((len(batch_texts), len(KINDS)))
     column = {kind: i for i, kind in enumerate(KINDS)}
     for row, text in enumerate(batch_texts):
-        if not text:
-            continue
-        words = text.split()
-        code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-        entry = code >> 1
-        symbol = model.symbols[entry]
-        marked = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
-        if not len(marked):
-            continue
-        ends = np.flatnonzero(code & 1)
-        clauses = np.unique(np.searchsorted(ends, marked))
-        for c in clauses.tolist():
-            first = int(ends[c - 1]) + 1 if c else 0
-            last = int(ends[c]) + 1 if c < len(ends) else len(words)
-            held, state, missed, aimed_at = symbol[first:last].tolist(), 0, 0, None
-            for i, s in enumerate(held):
-                kind = int(model.out[state, s])
-                weight = model.weights[entry[first + i]] * model.factor[state, s]
-                state = int(model.next[state, s])
-                if kind == INSULT:  # a target may still follow
-                    aimed_at = i
-                    missed = weight
-                elif kind == TARGET and aimed_at is not None and i - aimed_at <= TARGET_REACH:
-                    out[row, column[INSULT]] -= missed
-                    out[row, column[AIMED]] += 1.5 * missed
-                    aimed_at = None
+        for _, entry, symbols in marked_clauses(text, model, codes) if text else ():
+            for kind, factor, e in zip(*parsed(symbols, model), entry.tolist(), strict=True):
                 if kind in column:
-                    out[row, column[kind]] += weight
-    return np.log1p(np.maximum(out, 0))
+                    out[row, column[kind]] += factor * model.weights[e]
+    return np.log1p(out)
 
 
 def probabilities(features: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
@@ -330,6 +361,45 @@ def learn_stems(rows: DataFrame, rate: float, least_precision: float = 0.8) -> d
     return stems
 
 
+def learn_beside(rows: DataFrame, model: ToxicityModel) -> dict[str, int]:
+    """Words that stand near insults in toxic texts (targets) or in clean ones (negations) more often than chance allows, from rows (text, y)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches):
+        model = shared.value
+        codes, counts = Codes(model), {}
+        for batch in batches:
+            for part in slices(batch):
+                for text, y in zip(texts(part), texts(part, "y"), strict=True):
+                    near = set()
+                    for words, _, symbols in marked_clauses(text, model, codes):
+                        insults = np.flatnonzero(np.array(symbols) == INSULT)
+                        if len(insults):
+                            near.add("")  # counts the texts
+                        for i, w in enumerate(words):
+                            if symbols[i] == OTHER and len(insults) and np.abs(insults - i).min() <= TARGET_REACH:
+                                near.add(w.strip(EDGES).lower())
+                    for w in near:
+                        counts[w, y] = counts.get((w, y), 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "y", "n"])
+
+    counted = rows.select("text", "y").mapInArrow(count, "word string, y int, n long").groupBy("word")
+    found = counted.agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("f")).toPandas().sort_values("word")
+    whole = found["word"] == ""
+    if not whole.any():
+        return {}
+    toxic, clean = float(found["t"][whole].iloc[0]), float(found["f"][whole].iloc[0])
+    found = found[~whole]
+    t, f = found["t"].to_numpy(float), found["f"].to_numpy(float)
+    out = {str(w): NEGATION for w in found["word"][surprising(f, t, clean, toxic, len(found))]}
+    return out | {str(w): TARGET for w in found["word"][surprising(t, f, toxic, clean, len(found))]}
+
+
+def learnt(rows: DataFrame, rate: float) -> ToxicityModel:
+    model = ToxicityModel(learn_stems(rows, rate))
+    return ToxicityModel(model.stems, learn_beside(rows, model)) if model.stems else model
+
+
 def distinct_texts(sample: DataFrame) -> DataFrame:
     """text, y, n, half: each different text of each label once, as the row with the smallest doc_id has it, and the rows it stands for."""
 
@@ -354,10 +424,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     sizes = sample.groupBy("y").agg(F.sum("n").alias("rows"), F.count("*").alias("texts")).collect()
     stands_for |= {r["y"]: stands_for[r["y"]] * r["rows"] / r["texts"] for r in sizes}
     rate = stands_for.get(0, 1.0) / stands_for.get(1, 1.0)
-    model = ToxicityModel(learn_stems(sample, rate))
+    model = learnt(sample, rate)
     if not model.stems:
         return model
-    halves = [ToxicityModel(learn_stems(sample.filter(F.col("half") == side), rate)) for side in (False, True)]
+    halves = [learnt(sample.filter(F.col("half") == side), rate) for side in (False, True)]
     shared = docs.sparkSession.sparkContext.broadcast(halves)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -366,7 +436,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             x[side] = sums([t for t, mine in zip(own, side, strict=True) if mine], other, Codes(other))
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = map_batches(sample, features, "y int, x array<double>").toPandas()
+    rows = map_batches(sample, features, "y int, x array<double>").orderBy("y", "x").toPandas()  # the same sums in any partitioning
     y = rows["y"].to_numpy(float)
     weight = np.where(y == 1, stands_for.get(1, 1.0), stands_for.get(0, 1.0))
     model.coefficients = logistic(np.array(rows["x"].tolist()), y, weight)

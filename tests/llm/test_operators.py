@@ -312,10 +312,10 @@ def test_words_make_up_the_text(text):
 def test_grammar_weighs_clauses():
     model = toxicity.ToxicityModel()
     codes = toxicity.Codes(model)
-    x = toxicity.sums(["you idiot", "the idiot", "not an idiot", "he said idiot", "idiot you", "I will kill you", "you said. kill", "nothing here", None, "not here. idiot"], model, codes)
+    x = toxicity.sums(["you idiot", "the idiot", "not an idiot", "he said idiot", "idiot you", "I will kill you", "you said. kill", "nothing here", None, "not here. idiot", "idiot, he said"], model, codes)
     kinds = [{toxicity.KINDS[i] for i in np.flatnonzero(row)} for row in x]
     T = toxicity
-    assert kinds == [{T.AIMED}, {T.INSULT}, {T.DENIED}, {T.REPORTED}, {T.AIMED}, {T.THREAT}, {T.THREAT}, set(), set(), {T.INSULT}]
+    assert kinds == [{T.AIMED}, {T.INSULT}, {T.DENIED}, {T.REPORTED}, {T.AIMED}, {T.AIMED_THREAT}, {T.THREAT}, set(), set(), {T.INSULT}, {T.REPORTED}]
     assert x[0].sum() > x[1].sum() > x[2].sum()
 
 

@@ -41,3 +41,67 @@ def test_the_grammar_fires_in_every_language(aimed, plain, denied, reported, thr
     x = toxicity.sums([aimed, plain, denied, reported, threat], model, toxicity.Codes(model))
     kinds = [[toxicity.KINDS[i] for i in np.flatnonzero(row)] for row in x]
     assert kinds == [[toxicity.AIMED], [toxicity.INSULT], [toxicity.DENIED], [toxicity.REPORTED], [toxicity.AIMED_THREAT]]
+
+
+def cascade(symbols):
+    """The rules of the grammar one after another over a whole clause, without transducers."""
+    T, out, factor = toxicity, list(symbols), [1.0] * len(symbols)
+
+    def near(mark, reach, ahead, i):
+        """The places of the marks within reach before i, or after it; marks are never changed by a rule."""
+        places = range(i + 1, min(len(symbols), i + 1 + reach)) if ahead else range(max(0, i - reach), i)
+        return any(symbols[k] == mark for k in places)
+
+    rules = [
+        (T.NEGATION, T.NEGATION_REACH, False, T.INSULT, T.DENIED, 0.6), (T.REPORT, 10**6, False, T.INSULT, T.REPORTED, 0.6), (T.TARGET, T.TARGET_REACH, False, T.INSULT, T.AIMED, 1.5),
+        (T.TARGET, 10**6, False, T.THREAT, T.AIMED_THREAT, 2.0), (T.REPORT, 10**6, True, T.INSULT, T.REPORTED, 0.6), (T.TARGET, T.TARGET_REACH, True, T.INSULT, T.AIMED, 1.5),
+        (T.TARGET, T.TARGET_REACH, True, T.THREAT, T.AIMED_THREAT, 2.0),
+    ]
+    for mark, reach, ahead, old, new, f in rules:
+        for i, s in enumerate(out):
+            if s == old and near(mark, reach, ahead, i):
+                out[i], factor[i] = new, factor[i] * f
+    return out, factor
+
+
+def test_clauses_against_the_rules_one_by_one():
+    model, random = toxicity.ToxicityModel(), np.random.default_rng(6)
+    for _ in range(500):
+        symbols = random.choice(6, random.integers(1, 14), p=[0.4, 0.25, 0.1, 0.1, 0.1, 0.05]).tolist()
+        want = cascade(symbols)
+        assert toxicity.parsed(list(symbols), model) == want
+
+
+def labelled(n=500):
+    """Texts in two invented languages; toxic ones aim the insult at somebody, clean ones deny it."""
+    random, rows = np.random.default_rng(9), []
+    plain = [[f"{a}{i}" for i in range(150)] for a in ("lo", "ve")]
+    insults, targets, denials = (("grobnik", "skarn"), ("zhu", "omu")), ("tebi", "vosto"), ("nikak", "nolle")
+    for i in range(n):
+        side, y = i % 2, int(i % 5 == 0)
+        words = random.choice(plain[side], 30).tolist()
+        at = int(random.integers(5, 25))
+        if y:
+            words[at : at + 2] = [targets[side], str(random.choice(insults[side]))]
+        elif i % 50 in (1, 2):
+            words[at : at + 2] = [denials[side], str(random.choice(insults[side]))]
+        else:
+            words[at] = targets[side]
+        rows.append((i, " ".join(words), y))
+    return rows
+
+
+def test_words_beside_insults_are_learnt_in_every_language(spark):
+    df = spark.createDataFrame(labelled(3000), "doc_id long, text string, toxic int")
+    model = toxicity.train(df.drop("toxic"), df.drop("text"))
+    assert model.beside == {"tebi": toxicity.TARGET, "vosto": toxicity.TARGET, "nikak": toxicity.NEGATION, "nolle": toxicity.NEGATION}
+    x = toxicity.sums(["lo1 tebi grobnik", "lo1 nikak grobnik", "ve1 vosto omu", "ve1 nolle omu"], model, toxicity.Codes(model))
+    assert [[toxicity.KINDS[i] for i in np.flatnonzero(row)] for row in x] == [[toxicity.AIMED], [toxicity.DENIED]] * 2
+    p = toxicity.probabilities(x, model.coefficients)
+    assert min(p[0], p[2]) > max(p[1], p[3])
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = [sorted((r.doc_id, r.score) for r in toxicity.score(d, toxicity.train(d, labels)).collect()) for d in (docs, docs.repartition(7))]
+    assert got[0] == got[1]
