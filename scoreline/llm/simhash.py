@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_batches, texts
@@ -42,6 +42,10 @@ PART_BYTES = 16 << 20
 ORDER = ["t", "k", "x", "y"]
 BUCKET = 64
 PART = 2048
+#: A node with more than 1 / HUBS of the edges is a hub.
+HUBS = 512
+#: The rank of nodes without an id: after all others.
+NO_ID = (1 << 63) - 1
 #: Comparisons (a fingerprint with 64 lanes) held in memory at once.
 AT_ONCE = 1 << 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -212,9 +216,9 @@ def by_bucket(compare):
 
 
 def links(fps: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKET, part: int = PART) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that join all pairs within the radius, directly or by others."""
+    """a, b (structs of rank i and fingerprint n): links between distinct fingerprints, rows (fp, least_id), that join all pairs within the radius, directly or by others."""
     masks = table_masks(blocks_for(n, radius, bucket), radius)
-    met = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)))).alias("m")).select("fp", "m.t", "m.k")
+    met = fps.select("fp", rank(), F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)))).alias("m")).select("fp", "i", "m.t", "m.k")
     large = met.groupBy("t", "k").count().filter(F.col("count") > part).select("t", "k", F.ceil(F.col("count") / part).cast("int").alias("parts"))
     met = in_parts(met, large, "fp")
 
@@ -223,30 +227,41 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKET, pa
         ends = np.repeat(np.append(new[1:], len(fp)), np.diff(np.append(new, len(fp))))
         root = forest(fp, ends, radius)
         linked = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[linked].view(np.int64)), pa.array(fp[root[linked]].view(np.int64))], names=["a", "b"])
+        own = [table.column(k).combine_chunks() for k in ("i", "fp")]
+        return pa.RecordBatch.from_arrays([ends_of(*own, linked), ends_of(*own, root[linked])], names=["a", "b"])
 
-    return met.mapInArrow(by_bucket(compare), "a long, b long")
+    return met.mapInArrow(by_bucket(compare), "a struct<i: long, n: long>, b struct<i: long, n: long>")
+
+
+def rank() -> Column:
+    return F.coalesce("least_id", F.lit(NO_ID)).alias("i")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b): root is the smallest node of its component.
 
     Large-star and small-star steps alternate until the edges stay the same; each pair of steps is checkpointed.
+    The least neighbour of a node reaches its edges by a join on the node; for the nodes that hold more than 1 / HUBS
+    of the edges, fewer than HUBS, by a broadcast, so that no task gets all edges of a hub.
     """
 
-    def least(sym: DataFrame) -> DataFrame:
-        return sym.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("m", "a").alias("m"))
-
     def sign(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def with_least(df: DataFrame, n: int) -> DataFrame:
+        """df with m, the least b of each a, for a df of at most n rows."""
+        least = df.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+        hubs = F.broadcast(least.filter(F.col("degree") * HUBS > n).select("c", "m"))
+        rest = df.join(hubs.select("c"), F.col("a") == F.col("c"), "left_anti")
+        rest = rest.join(least.filter(F.col("degree") * HUBS <= n).select("c", "m"), F.col("a") == F.col("c"))
+        return df.join(hubs, F.col("a") == F.col("c")).unionByName(rest).drop("c")
+
     edges = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = sign(edges)
     while True:
         sym = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = sym.join(least(sym), F.col("a") == F.col("c")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down.withColumnRenamed("a", "c"), F.col("a") == F.col("c")).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        large = with_least(sym, 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).filter("a <> b").distinct()
+        small = with_least(large, seen[0]).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         edges = checkpointed(small.filter("a <> b").distinct())
         now = sign(edges)
         if now == seen:
@@ -254,6 +269,23 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def labelled(nodes: DataFrame, name: str, edges: DataFrame) -> DataFrame:
+    """name and component_id, the smallest least_id reached, of every row of nodes (name, least_id).
+
+    The ends of edges are structs (i, n) of the node's rank and its name, so that the least node of a component says
+    its result, and nothing is joined on it: one component may hold a large share of all nodes.
+    """
+    roots = components(edges).select(F.col("node.n").alias("r_name"), F.col("root.i").alias("root_id"))
+    rooted = nodes.join(roots, F.col(name) == F.col("r_name"), "left")
+    reached = F.when(F.col("root_id") < NO_ID, F.col("root_id"))
+    return rooted.select(name, F.when(F.col("r_name").isNull(), F.col("least_id")).otherwise(reached).alias("component_id"))
+
+
+def ends_of(rank: pa.Array, name: pa.Array, places) -> pa.StructArray:
+    places = pa.array(places, pa.int64())
+    return pa.StructArray.from_arrays([rank.take(places), name.take(places)], names=["i", "n"])
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, bucket: int = BUCKET, part: int = PART) -> DataFrame:
     """doc_id, fp (signed long) and component_id of every row.
 
@@ -264,10 +296,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
     """
     marked = checkpointed(fingerprints(docs, width))
     nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(links(nodes, nodes.count(), radius, bucket, part))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = rooted.join(ids, "root").select(F.col("fp").alias("l_fp"), "component_id")
+    labels = labelled(nodes, "fp", links(nodes, nodes.count(), radius, bucket, part)).select(F.col("fp").alias("l_fp"), "component_id")
     return marked.join(labels, F.col("fp") == F.col("l_fp")).select("doc_id", "fp", "component_id")
 
 
@@ -328,7 +357,7 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SH
 
     marked = checkpointed(map_batches(own, sketch, "doc_id long, node binary, bands array<long>"))
     nodes = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")))
-    met = nodes.select("node", F.posexplode("bands").alias("t", "k"))
+    met = nodes.select("node", rank(), F.posexplode("bands").alias("t", "k"))
     # Of the buckets that hold the same nodes, one is enough.
     buckets = met.groupBy("t", "k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("v")).filter("n > 1")
     buckets = buckets.groupBy("n", "u", "v").agg(F.min(F.struct("t", "k")).alias("m")).select("m.t", "m.k")
@@ -339,22 +368,19 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SH
     sets = checkpointed(sets.dropDuplicates(["s_node"]))
     sized = members.join(sets.select("s_node", F.length("shingles").alias("bytes")), F.col("node") == F.col("s_node")).select("t", "k", "node", "bytes")
     large = sized.groupBy("t", "k").agg(F.ceil(F.sum("bytes") / part_bytes).cast("int").alias("parts")).filter("parts > 1")
-    met = in_parts(members.join(sets, F.col("node") == F.col("s_node")).select("t", "k", "node", "shingles"), large, "node")
+    met = in_parts(members.join(sets, F.col("node") == F.col("s_node")).select("t", "k", "node", "i", "shingles"), large, "node")
 
     def compare(table: pa.Table, starts: np.ndarray):
-        names, data = table.column("node").to_pylist(), table.column("shingles").to_pylist()
+        own, data = [table.column(k).combine_chunks() for k in ("i", "node")], table.column("shingles").to_pylist()
         a, b = [], []
-        for start, end in zip(starts, np.append(starts[1:], len(names)), strict=True):
+        for start, end in zip(starts, np.append(starts[1:], len(data)), strict=True):
             for i, r in enumerate(similar([np.frombuffer(x, np.uint64) for x in data[start:end]], least)):
                 if r != i:
-                    a.append(names[start + i])
-                    b.append(names[start + r])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    roots = components(met.mapInArrow(by_bucket(compare), "a binary, b binary"))
-    rooted = nodes.select(F.col("node").alias("l_node"), "least_id").join(roots, F.col("l_node") == F.col("node"), "left").select("l_node", "least_id", F.coalesce("root", "l_node").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = rooted.join(ids, "root").select("l_node", "component_id")
+                    a.append(start + i)
+                    b.append(start + r)
+        return pa.RecordBatch.from_arrays([ends_of(*own, a), ends_of(*own, b)], names=["a", "b"])
+
+    labels = labelled(nodes.select("node", "least_id"), "node", met.mapInArrow(by_bucket(compare), "a struct<i: long, n: binary>, b struct<i: long, n: binary>")).select(F.col("node").alias("l_node"), "component_id")
     return marked.join(labels, F.col("node") == F.col("l_node")).select("doc_id", "node", "component_id")
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from scoreline.llm import langid, maxent, mixing, neighbours, packing, perplexity, quality, simhash, tokens, toxicity
 from scoreline.llm.common import stored
 
-from .test_operators import TOKENIZER, WORDS, brute_components, brute_fingerprint
+from .test_near_copies import brute_copies
+from .test_operators import TOKENIZER, WORDS
 
 
 def test_perplexity(messy, nothing):
@@ -123,7 +124,7 @@ def test_pipeline_against_brute_force(spark, data):
         kept.append({r.doc_id: r.text for r in docs.collect()})
     known, clean, single, mixed = kept
     assert set(known) >= set(clean) >= set(single) >= set(mixed)
-    want = brute_components({d: brute_fingerprint(t) for d, t in clean.items()})
+    want = brute_copies(clean)  # the rule for stages: five words, similarity 0.8 or more
     assert set(single) == set(want.values())
     copies = Counter(r.doc_id for r in docs.collect())
     assert max(copies.values()) <= 2

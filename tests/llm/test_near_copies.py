@@ -56,3 +56,21 @@ def test_similar_against_brute_force():
             low, high = sorted((group[a], group[b]))
             group = [low if g == high else g for g in group]
     assert len({(r, g) for r, g in zip(root.tolist(), group)}) == len(set(group)) == len(set(root.tolist()))
+
+
+def test_hubs_chains_and_missing_ids(spark):
+    """Hubs go by broadcast; the result is the least id of the component, wherever it lies in it."""
+    star = [(900, i) for i in range(1000, 3000)]  # 900 is the least
+    hub = [(5000, i) for i in range(3001, 4500)] + [(3001, 7)]  # 7 hangs on one leaf
+    chain = [(i, i + 1) for i in range(6000, 6040)]
+    edges = [((a, f"n{a}"), (b, f"n{b}")) for a, b in star + hub + chain]
+    unknown = (simhash.NO_ID, "nobody")
+    edges += [(unknown, (8000, "n8000")), ((simhash.NO_ID, "x"), (simhash.NO_ID, "y"))]
+    kind = "struct<i: long, n: string>"
+    df = spark.createDataFrame(edges, f"a {kind}, b {kind}").repartition(4)
+    ids = {x[1]: x[0] for e in edges for x in e} | {"alone": 9000}
+    nodes = spark.createDataFrame([(n, None if i == simhash.NO_ID else i) for n, i in ids.items()], "name string, least_id long")
+    got = {r.name: r.component_id for r in simhash.labelled(nodes, "name", df).collect()}
+    want = {f"n{b}": 900 for _, b in star} | {f"n{b}": 7 for _, b in hub} | {f"n{b}": 6000 for _, b in chain}
+    want |= {"n900": 900, "n5000": 7, "n3001": 7, "n6000": 6000, "n8000": 8000, "nobody": 8000, "x": None, "y": None, "alone": 9000}
+    assert got == want

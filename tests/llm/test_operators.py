@@ -174,10 +174,9 @@ def test_bit_slices_against_popcount(seeds, flips, radius):
 def test_parts_of_large_buckets_lose_no_link(spark):
     random = np.random.default_rng(3)
     fps = {int(v) for v in (random.integers(0, 2**63, 40, np.uint64)[:, None] ^ (np.uint64(1) << random.integers(0, 40, (40, 5)).astype(np.uint64))).ravel()}
-    df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    edges = simhash.components(simhash.links(df, len(fps), part=7)).collect()
-    want = brute_components({f: f for f in fps})
-    assert {f: dict((r.node, r.root) for r in edges).get(f, f) for f in fps} == want
+    df = spark.createDataFrame([(f, f) for f in fps], "fp long, least_id long")
+    found = simhash.labelled(df, "fp", simhash.links(df, len(fps), part=7)).collect()
+    assert {r.fp: r.component_id for r in found} == brute_components({f: f for f in fps})
 
 
 def test_long_chains(spark):
