@@ -14,6 +14,7 @@ from ..functions.scalar import OCR_LEVELS, ball_of, classify_delivery, over_of
 SCORING = ("FOUR", "SIX", "WICKET")
 BALL_RADIUS = 8
 MATCH_SECONDS = 120.0
+# Names of the search tiers.
 TIERS = ("EXACT_BALL_VALIDATED_READING", "EXACT_BALL_ANY_READING", "NEARBY_BALL_RADIUS_N", "NEARBY_BALL_RADIUS_N")
 
 # Bounds of the other signals that an anchor is judged by.
@@ -33,6 +34,14 @@ def out_of_range(truth: DataFrame, readings: DataFrame) -> DataFrame:
     return truth.join(most, ["match_id", "innings"]).filter("over_number > last_over")
 
 
+def require_in_range(truth: DataFrame, readings: DataFrame, shown: int = 5) -> None:
+    """An error that names some events of the commentary in overs beyond the last one read, if there are any."""
+    beyond = out_of_range(truth, readings).orderBy("match_id", "truth_id").limit(shown).collect()
+    if beyond:
+        places = ", ".join(f"match {r.match_id} innings {r.innings} over {r.over_number} (read up to {r.last_over})" for r in beyond)
+        raise ValueError(f"the commentary goes beyond the overs read: {places}")
+
+
 def rank_candidates(truth: DataFrame, readings: DataFrame, radius: int = BALL_RADIUS) -> DataFrame:
     """Readings that may show an event, ranked from 0: those of its ball, then of near balls of its over, validated ones first."""
     shown = readings.filter("ball_in_over is not null").select(

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from .intervals import asof_backward, merge_intervals
 
 
-def clip_windows(events: DataFrame, durations: DataFrame, pre: float = 8.0, post: float = 12.0, include_replays: bool = False) -> DataFrame:
-    """events with clip_start and clip_end, clamped to the match; replays are left out unless asked for."""
+def clip_windows(events: DataFrame, durations: DataFrame | None = None, pre: float = 8.0, post: float = 12.0, include_replays: bool = False) -> DataFrame:
+    """events with clip_start and clip_end, clamped to the match; replays are left out unless asked for.
+
+    duration_seconds comes from durations by match, or is a column of events.
+    """
     if not pre >= 0 or not post >= 0:
         raise ValueError("pre and post are seconds of 0 or more")
-    rows = events.join(durations, "match_id")
+    rows = events if durations is None else events.join(durations, "match_id")
     rows = rows if include_replays else rows.filter(~F.coalesce("is_replay", F.lit(False)))
     zero, end = F.lit(0.0), F.col("duration_seconds")
     start = F.greatest(zero, F.least(end, F.col("timestamp_seconds") - pre))

@@ -9,7 +9,9 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+# Names of the outcomes.
 NOT_A_CANDIDATE = "NOT_A_CANDIDATE"
 ACCEPTED = "ACCEPTED"
 IMPLAUSIBLE = "REJECTED_IMPLAUSIBLE_RESET"
@@ -20,6 +22,7 @@ TOO_MANY = "REJECTED_MAX_SEGMENTS_REACHED"
 
 @dataclass(frozen=True)
 class TrackerConfig:
+    # How a new innings is told from a misread score.
     confirmations: int = 2
     low_confidence_factor: float = 2.0
     low_confidence: float = 0.5
@@ -75,7 +78,11 @@ def values(frame: pd.DataFrame, *columns: str) -> list[tuple]:
 
 
 def tag_innings(readings: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:
-    """match_id, reading_id, decision and segment (from 1) of every reading, in order of time."""
+    """match_id, reading_id, decision and segment (from 1) of every reading, in order of time.
+
+    A reading's confidence is its ocr_confidence, else the mean of its tokens' (mean_token_confidence, if there is such
+    a column), else its parse_confidence.
+    """
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["timestamp_seconds", "reading_id"])
@@ -85,7 +92,8 @@ def tag_innings(readings: DataFrame, config: TrackerConfig = TrackerConfig()) ->
             segments.append(tracker.segment)
         return frame[["match_id", "reading_id"]].assign(decision=decisions, segment=segments)
 
-    columns = ["match_id", "reading_id", "timestamp_seconds", "runs", "wickets", "over_number", "ocr_confidence"]
+    known = [c for c in ("ocr_confidence", "mean_token_confidence", "parse_confidence") if c in readings.columns]
+    columns = ["match_id", "reading_id", "timestamp_seconds", "runs", "wickets", "over_number", F.coalesce(*known).alias("ocr_confidence")]
     return readings.select(*columns).groupBy("match_id").applyInPandas(fold, "match_id long, reading_id long, decision string, segment int")
 
 
@@ -107,6 +115,7 @@ class ReadingValidator:
                 self.over, self.ball = (over if over is not None else self.over), (ball if ball is not None else self.ball)
         return reason
 
+    # Names of the reasons, and the order in which they are tried.
     def _reason(self, runs, wickets, over, ball, batter) -> str | None:
         if batter is None and runs is None and wickets is None and over is None and ball is None:
             return "PLAYER_PARSE_FAILED"

@@ -1,4 +1,4 @@
-"""Replay intervals: tagging of events, segments between cuts, and scoring against a live baseline."""
+"""Replay intervals: tagging of events, segments between cuts, and scoring of segments by five signals."""
 
 from __future__ import annotations
 
@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 
 from .intervals import asof_backward
 
-WEIGHTS = {"logo": 0.3, "scoreboard": 0.3, "motion": 0.2, "boundary": 0.2}
+# The weight of each signal, the score where nothing is known, how many live segments make a baseline,
+# and the distance of frame features that counts as another camera.
+WEIGHTS = {"logo": 0.15, "scoreboard": 0.25, "motion": 0.25, "transition": 0.20, "camera": 0.15}
 NEUTRAL = 0.5
+WARM = 3
+OTHER_CAMERA = 40.0
+THRESHOLD = 0.5
+LEAST_SECONDS = 3.0
 
 
 def tag_replays(events: DataFrame, replays: DataFrame) -> DataFrame:
@@ -21,13 +27,15 @@ def tag_replays(events: DataFrame, replays: DataFrame) -> DataFrame:
 def candidate_segments(boundaries: DataFrame, spans: DataFrame) -> DataFrame:
     """Segments between neighbouring points of {0, the cuts, the match's duration}; empty ones are left out.
 
-    segment_id counts the kept ones of a match from 0; boundary_confidence is that of the cut at the start, if any.
+    segment_id counts the kept ones of a match from 0; boundary_confidence and boundary_type are those of the cut at the
+    start, if any; of several at one time, of the surest.
     """
-    cuts = boundaries.groupBy("match_id", F.col("timestamp_seconds").alias("start_seconds")).agg(F.max("confidence").alias("boundary_confidence"))
-    ends = spans.select("match_id", F.explode(F.array(F.lit(0.0), "duration_seconds")).alias("start_seconds"), F.lit(None).cast("double").alias("boundary_confidence"))
-    points = cuts.unionByName(ends).groupBy("match_id", "start_seconds").agg(F.max("boundary_confidence").alias("boundary_confidence"))
+    cuts = boundaries.groupBy("match_id", F.col("timestamp_seconds").alias("start_seconds")).agg(F.max(F.struct("confidence", "boundary_type")).alias("cut"))
+    ends = spans.select("match_id", F.explode(F.array(F.lit(0.0), "duration_seconds")).alias("start_seconds"), F.lit(None).cast("struct<confidence:double,boundary_type:string>").alias("cut"))
+    points = cuts.unionByName(ends).groupBy("match_id", "start_seconds").agg(F.max("cut").alias("cut"))
     order = Window.partitionBy("match_id").orderBy("start_seconds")
     rows = points.withColumn("end_seconds", F.lead("start_seconds").over(order)).filter("end_seconds > start_seconds")
+    rows = rows.withColumns({"boundary_confidence": F.col("cut.confidence"), "boundary_type": F.col("cut.boundary_type")}).drop("cut")
     return rows.withColumn("segment_id", F.row_number().over(order) - 1)
 
 
@@ -37,35 +45,58 @@ def frames_to_segments(frames: DataFrame, segments: DataFrame) -> DataFrame:
     return found.withColumn("segment_id", F.when(F.col("timestamp_seconds") < F.col("end_seconds"), F.col("segment_id"))).drop("end_seconds")
 
 
-def deviation(base: float | None, x: float | None) -> float:
-    """How far x fell below the baseline, 0 to 1; NEUTRAL where nothing is known, 0 for a baseline of 0 or less."""
-    if base is None or x is None:
-        return NEUTRAL
+def segment_evidence(frames: DataFrame, segments: DataFrame) -> DataFrame:
+    """segments with n_frames and the means of their frames' logo, scoreboard, motion, intensity and contrast; null without frames.
+
+    Segments after the last one that holds a frame were never looked at and are left out.
+    """
+    inside = frames_to_segments(frames, segments).filter("segment_id is not null")
+    means = inside.groupBy("match_id", "segment_id").agg(F.count("*").alias("n_frames"), *(F.avg(c).alias(c) for c in MEASURES))
+    rows = segments.join(means, ["match_id", "segment_id"], "left").withColumn("n_frames", F.coalesce("n_frames", F.lit(0)))
+    last = F.max(F.when(F.col("n_frames") > 0, F.col("segment_id"))).over(Window.partitionBy("match_id"))
+    return rows.withColumn("__last", F.coalesce(last, F.lit(0))).filter("segment_id <= __last").drop("__last")
+
+
+MEASURES = ("logo", "scoreboard", "motion", "intensity", "contrast")
+EVIDENCE = "match_id long, segment_id int, start_seconds double, end_seconds double, logo_score double, scoreboard_score double, motion_score double, transition_score double, camera_score double, score double, is_replay boolean"
+
+
+def fallen(base: float, x: float) -> float:
+    """How far x fell below the baseline, as a share of it, 0 to 1; 0 for a baseline of 0 or less."""
     return 0.0 if base <= 0 else min(1.0, max(0.0, (base - x) / base))
 
 
-def score_segments(segments: DataFrame, threshold: float = 0.55, least_seconds: float = 0.0, warm: int = 3) -> DataFrame:
-    """Score segments (logo, scoreboard, motion means, n_frames) in order against the mean of those found live.
+def score_segments(segments: DataFrame, threshold: float = THRESHOLD, least_seconds: float = LEAST_SECONDS, warm: int = WARM) -> DataFrame:
+    """The five signals, score, is_replay and replay_id (from 0 in order of time, null if it is none) of each segment.
 
-    A segment below the threshold is live and, if it has frames, feeds the baseline, which serves from ``warm`` on; the
-    others are replays if long enough. Whether a segment feeds the baseline depends on its own score, hence a fold.
+    The logo signal is the mean match of its template, the transition signal the confidence of a REPLAY_TRANSITION at
+    the start. The others compare with the mean of the segments found live so far, and are NEUTRAL until there are
+    ``warm`` of them or where the segment has no frames: how far scoreboard and motion fell, and how far intensity and
+    contrast are from the baseline's. A segment below the threshold is live and, if it has frames, feeds the baseline; the
+    others are replays if long enough. What feeds the baseline depends on the score before it, hence a fold.
     """
-    names = ["logo", "scoreboard", "motion"]
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("segment_id")
-        sums, n, out = dict.fromkeys(names, 0.0), 0, []
+        sums, n, out = dict.fromkeys(MEASURES[1:], 0.0), 0, []
         for row in frame.to_dict("records"):
-            ready, has = n >= warm, row["n_frames"] > 0
-            signals = {k: deviation(sums[k] / n if ready else None, row[k] if has else None) for k in names}
-            boundary = row["boundary_confidence"] if row["boundary_confidence"] == row["boundary_confidence"] and row["boundary_confidence"] is not None else 0.0
-            total = min(1.0, max(0.0, sum(WEIGHTS[k] * v for k, v in signals.items()) + WEIGHTS["boundary"] * boundary))
+            has = row["n_frames"] > 0
+            signals = {"logo": row["logo"] if has else 0.0, **dict.fromkeys(("scoreboard", "motion"), NEUTRAL)}
+            signals |= {"transition": row["boundary_confidence"] if row["boundary_type"] == "REPLAY_TRANSITION" else 0.0, "camera": NEUTRAL}
+            if has and n >= warm:
+                signals |= {k: fallen(sums[k] / n, row[k]) for k in ("scoreboard", "motion")}
+                far = sum((row[k] - sums[k] / n) ** 2 for k in ("intensity", "contrast")) ** 0.5
+                signals["camera"] = min(1.0, far / OTHER_CAMERA)
+            total = min(1.0, max(0.0, sum(WEIGHTS[k] * v for k, v in signals.items())))
             live = total < threshold
             if live and has:
                 n += 1
-                for k in names:
+                for k in sums:
                     sums[k] += row[k]
-            out.append((row["match_id"], row["segment_id"], total, not live and row["end_seconds"] - row["start_seconds"] >= least_seconds))
-        return pd.DataFrame(out, columns=["match_id", "segment_id", "score", "is_replay"])
+            span = row["start_seconds"], row["end_seconds"]
+            out.append((row["match_id"], row["segment_id"], *span, *signals.values(), total, not live and span[1] - span[0] >= least_seconds))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in EVIDENCE.split(", ")])
 
-    return segments.groupBy("match_id").applyInPandas(fold, "match_id long, segment_id int, score double, is_replay boolean")
+    found = segments.groupBy("match_id").applyInPandas(fold, EVIDENCE)
+    order = Window.partitionBy("match_id", "is_replay").orderBy("start_seconds", "end_seconds")
+    return found.withColumn("replay_id", F.when(F.col("is_replay"), F.row_number().over(order) - 1))

@@ -51,7 +51,7 @@ def finish_events(rows: DataFrame) -> DataFrame:
 
 
 def last_accepted(states: DataFrame, track: bool = True) -> DataFrame:
-    """Each state with the last one that was neither anomalous nor a rejected innings candidate (prev_*), anomaly and segment.
+    """The fields of each state, and of the last one that was neither anomalous nor a rejected innings candidate (prev_*), anomaly, decision and segment.
 
     With track, a tracker that needs one confirmation sees the states that are not anomalous; a state that it
     accepts as a new innings is compared with nothing, and one that it rejects is no baseline. The first state of a
@@ -64,7 +64,7 @@ def last_accepted(states: DataFrame, track: bool = True) -> DataFrame:
         frame = frame.sort_values("state_id")
         tracker, base, out = InningsTracker(config), None, []
         for row in values(frame, *fields, "mean_confidence"):
-            state_id, runs, wickets, over, ball, *_, confidence = row
+            _, runs, wickets, over, ball, *_, confidence = row
             anomaly, decision, compared = False, NOT_A_CANDIDATE, base
             if base is not None:
                 balls = (over - base[3]) * 6 + ball - base[4] if over >= base[3] else None
@@ -78,18 +78,19 @@ def last_accepted(states: DataFrame, track: bool = True) -> DataFrame:
             else:
                 compared = None if decision == ACCEPTED else base
                 base = row[:-1]
-            out.append((state_id, anomaly, decision, tracker.segment, *(compared or (None,) * len(fields))))
-        columns = ["state_id", "anomaly", "decision", "segment", *(f"prev_{c}" for c in fields)]
+            out.append((anomaly, decision, tracker.segment, *row[:-1], *(compared or (None,) * len(fields))))
+        columns = ["anomaly", "decision", "segment", *fields, *(f"prev_{c}" for c in fields)]
         found = pd.DataFrame(out, columns=columns).astype({f"prev_{c}": "Int64" for c in fields[:5]})
         return found.assign(match_id=int(frame["match_id"].iloc[0]))[["match_id", *columns]]
 
-    schema = "match_id long, state_id long, anomaly boolean, decision string, segment int, prev_state_id long, prev_runs int, prev_wickets int, prev_over_number int, prev_ball_in_over int, prev_batter string, prev_start_seconds double, prev_start_confidence double"
+    kinds = ("long", "int", "int", "int", "int", "string", "double", "double")
+    schema = ", ".join(["match_id long, anomaly boolean, decision string, segment int", *(f"{p}{c} {kind}" for p in ("", "prev_") for c, kind in zip(fields, kinds, strict=True))])
     return states.select("match_id", *fields, "mean_confidence").groupBy("match_id").applyInPandas(fold, schema)
 
 
 def detect_events(states: DataFrame, interval: int = 50) -> DataFrame:
     """Events of all matches, each state compared with the last accepted one. Anomalous states give none."""
-    compared = last_accepted(states).drop("anomaly").withColumnRenamed("segment", "__segment")
-    compared = compared.filter(F.col("prev_state_id").isNotNull() & F.col("decision").isin(NOT_A_CANDIDATE))
-    rows = judged(states.join(compared, ["match_id", "state_id"]).withColumn("innings", F.col("__segment"))).filter("not anomaly")
+    compared = last_accepted(states).withColumnRenamed("segment", "innings")
+    compared = compared.filter(F.col("prev_state_id").isNotNull() & (F.col("decision") == NOT_A_CANDIDATE) & ~F.col("anomaly"))
+    rows = judged(compared.drop("anomaly"))
     return finish_events(with_milestones(rows, interval))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FLOOR = 8.0
@@ -36,17 +35,18 @@ def post_cut(scores: DataFrame, cuts: DataFrame, reach: int = 3) -> DataFrame:
 
 
 def suppress_close(cuts: DataFrame, apart: int = KEEP_APART) -> DataFrame:
-    """cuts more than ``apart`` frames after the last kept one; what is kept depends on what was, hence a fold."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("frame_index")
-        last, keep = None, []
-        for i in frame["frame_index"]:
-            keep.append(last is None or i > last + apart)
-            last = i if keep[-1] else last
-        return frame[keep]
-
-    return cuts.groupBy("match_id").applyInPandas(fold, cuts.schema)
+    """cuts more than ``apart`` frames after the last kept one; what is kept depends on what was, hence a fold of a match's cuts."""
+    own = F.array_sort(F.collect_list(F.struct(F.col("frame_index").alias("__at"), F.struct("*").alias("__cut"))))
+    none = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("keep"))
+
+    def step(held: Column, x: Column) -> Column:
+        far = held["last"].isNull() | (x["__at"] > held["last"] + apart)
+        at = x["__at"].cast("long")
+        return F.when(far, F.struct(at.alias("last"), F.concat(held["keep"], F.array(at)).alias("keep"))).otherwise(held)
+
+    rows = cuts.groupBy("match_id").agg(own.alias("__own")).withColumn("__kept", F.aggregate("__own", none, step)["keep"])
+    rows = rows.select(F.explode(F.filter("__own", lambda x: F.array_contains("__kept", x["__at"].cast("long")))).alias("x"))
+    return rows.select("x.__cut.*")
 
 
 def number_boundaries(cuts: DataFrame) -> DataFrame:

@@ -32,13 +32,17 @@ def resolve(readings: DataFrame, window: int = 2, core: tuple[str, ...] = CORE)
 
 
 def hold_forward(resolved: DataFrame, fields: tuple[str, ...] = (*CORE, "batter"), core: tuple[str, ...] = CORE) -> DataFrame:
-    """Cleaned rows: passed readings as they are, others with the last passed one whose core is complete, or nulls."""
+    """Cleaned rows: passed readings as they are, others with the last passed one whose core is complete, or nulls.
+
+    Confidences stay those of the reading itself.
+    """
     complete = reduce(and_, (F.col(c).isNotNull() for c in core))
     order = Window.partitionBy("match_id").orderBy("timestamp_seconds", "reading_id").rowsBetween(Window.unboundedPreceding, 0)
     held = F.last(F.when((F.col("resolution") == "passed") & complete, F.struct(*fields)), ignorenulls=True).over(order)
     rows = resolved.withColumn("__held", held)
     values = [F.when(F.col("resolution") == "passed", F.col(c)).otherwise(F.col(f"__held.{c}")).alias(c) for c in fields]
-    return rows.select("match_id", "innings", "timestamp_seconds", "reading_id", *values, "resolution")
+    own = [c for c in ("ocr_confidence", "parse_confidence") if c in rows.columns]
+    return rows.select("match_id", "innings", "timestamp_seconds", "reading_id", *values, "resolution", *own)
 
 
 def smooth(readings: DataFrame, window: int = 2) -> DataFrame:

@@ -11,12 +11,14 @@ from .smoothing import CORE
 def state_runs(cleaned: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """One row for each run of equal core values: match_id, state_id, innings, core, batter, start, end, n_samples, mean_confidence, start_confidence.
 
-    Rows with a null in the core are left out before runs are formed; a value that returns is a new state. With raw
-    readings, mean_confidence is the mean of their ocr_confidence at the run's times, 0 if there is none, and
-    start_confidence the lesser of the two confidences of the reading at its start.
+    Rows with a null in the core are left out before runs are formed; a value that returns is a new state.
+    mean_confidence is the mean ocr_confidence of the run's readings, 0 if there is none, and start_confidence the lesser
+    of the two confidences of its first reading. Cleaned rows without confidences take those of the raw readings at their times.
     """
     rows = cleaned.dropna(subset=list(CORE))
-    if raw is not None:
+    if "ocr_confidence" in rows.columns:
+        rows = rows.withColumns({"confidence": F.col("ocr_confidence"), "lesser": F.least("ocr_confidence", "parse_confidence")})
+    elif raw is not None:
         lesser = F.max_by(F.least("ocr_confidence", "parse_confidence"), "reading_id")
         latest = raw.groupBy("match_id", "timestamp_seconds").agg(F.max_by("ocr_confidence", "reading_id").alias("confidence"), lesser.alias("lesser"))
         rows = rows.join(latest, ["match_id", "timestamp_seconds"], "left")

@@ -1,4 +1,4 @@
-"""DuckDB SQL of the registered queries, as one chain of common table expressions and a select for each key."""
+"""DuckDB SQL of the registered queries: one chain of common table expressions, recursions for the folds, and a select for each key."""
 
 CHAIN = r"""
 with recursive e as (
@@ -10,9 +10,9 @@ c as (select match_id, innings, us, event_id, k, event_type, value, m, cast(floo
     cast(sum(case event_type when 'error' then 1 else 0 end) over w as int) as wickets
   from i window w as (partition by match_id, innings order by us, event_id rows between unbounded preceding and current row)),
 readings as (select match_id, innings, (us + s * 500) / 1e6::double as timestamp_seconds, event_id * 10 + s as reading_id, over_number, ball_in_over,
-    runs + case when k % 9 = 4 and s = 3 then 1000 else 0 end as runs, wickets, 'P' || cast(m % 11 as int) as batter,
+    runs + case when k % 9 = 4 and s = 3 then 1000 when k = 41 then 400 else 0 end as runs, wickets, 'P' || cast(m % 11 as int) as batter,
     k::double / 100 as ocr_confidence, case when k % 10 = s then 0.0::double else 1.0::double end as parse_confidence, k
-  from c, (select unnest(range(7)) as s) g),
+  from c, (select unnest(range(7)) as s) g where not (match_id % 4 = 1 and over_number = 2)),
 gaps as (select * replace (case when k % 11 <> 0 then runs end as runs) from readings),
 neighbours as (select *, (ocr_confidence = 0 or parse_confidence = 0) as unus, row(over_number, ball_in_over, runs, wickets) as core from gaps),
 lagged as (select *, lag(core, 1) over w as b1, lag(core, 2) over w as b2, lead(core, 1) over w as a1, lead(core, 2) over w as a2,
@@ -63,19 +63,20 @@ windows as (select t.*, greatest(0.0::double, least(duration_seconds, t.timestam
   from tagged t join spans using (match_id) where not is_replay),
 cuts as (select match_id, us / 1e6::double as timestamp_seconds, case when k % 2 = 0 then 'REPLAY_TRANSITION' else 'ORDINARY_CUT' end as boundary_type, k / 100.0::double as confidence, event_id from e where k % 5 = 0),
 frontier as (select *, max(clip_end) over (partition by match_id order by clip_start, clip_end, timestamp_seconds, event_key rows between unbounded preceding and 1 preceding) as frontier from windows),
-islands as (select *, sum(case when frontier is null or clip_start - frontier > 20 then 1 else 0 end) over (partition by match_id order by clip_start, clip_end, timestamp_seconds, event_key rows between unbounded preceding and current row) - 1 as island from frontier),
+islands as (select *, sum(case when frontier is null or clip_start - frontier > 20000 then 1 else 0 end) over (partition by match_id order by clip_start, clip_end, timestamp_seconds, event_key rows between unbounded preceding and current row) - 1 as island from frontier),
 anchored as (select *, first_value(clip_end) over w as anchor_end, row_number() over w as place from islands window w as (partition by match_id, island order by clip_start, clip_end, timestamp_seconds, event_key)),
-merged as (select *, case when place = 1 then null when clip_start <= anchor_end then 'OVERLAP' when clip_start - anchor_end <= 20 then 'GAP_THRESHOLD' else 'CHAIN_MERGE' end as merge_reason from anchored),
+merged as (select *, case when place = 1 then null when clip_start <= anchor_end then 'OVERLAP' when clip_start - anchor_end <= 20000 then 'GAP_THRESHOLD' else 'CHAIN_MERGE' end as merge_reason from anchored),
 clips as (select match_id, cast(island as bigint) as island, string_agg(event_key, '+' order by event_key) as clip_id, min(clip_start) as start_seconds, max(clip_end) as end_seconds, count(*) as n_events, count(*) > 1 as merged, bool_or(is_replay) as is_replay
   from merged group by match_id, island),
 frames as (select match_id, row_number() over (partition by match_id order by us, event_id) - 1 as frame_index, us / 1e6::double as timestamp_seconds, k * 0.5::double as score from e),
 fw as (select *, (sum(score) over w - score) / 4 as near, count(*) over w as whole from frames window w as (partition by match_id order by frame_index rows between 2 preceding and 2 following)),
 found_cuts as (select match_id, frame_index, timestamp_seconds, score from fw where whole = 5 and score >= 8.0 and score >= 1.5::double * near),
 after_cut as (select match_id, frame_index, array_agg(score) over (partition by match_id order by frame_index rows between 1 following and 3 following) as after from frames),
-points as (select match_id, timestamp_seconds as start_seconds, max(confidence) as boundary_confidence from (select match_id, timestamp_seconds, confidence from cuts
-    union all select match_id, unnest([0.0::double, d]), null from (select match_id, max(us) / 1e6::double + 1.0::double as d from e group by match_id)) group by all),
+points as (select match_id, timestamp_seconds as start_seconds, max(confidence) as boundary_confidence, max_by(boundary_type, (confidence, boundary_type)) filter (confidence is not null) as boundary_type
+  from (select match_id, timestamp_seconds, confidence, boundary_type from cuts
+    union all select match_id, unnest([0.0::double, d]), null, null from (select match_id, max(us) / 1e6::double + 1.0::double as d from e group by match_id)) group by all),
 segs as (select *, lead(start_seconds) over (partition by match_id order by start_seconds) as end_seconds from points),
-segments as (select match_id, start_seconds, end_seconds, boundary_confidence, row_number() over (partition by match_id order by start_seconds) - 1 as segment_id from segs where end_seconds > start_seconds),
+segments as (select match_id, start_seconds, end_seconds, boundary_confidence, boundary_type, row_number() over (partition by match_id order by start_seconds) - 1 as segment_id from segs where end_seconds > start_seconds),
 commentary as (select match_id, innings, over_number, ball_in_over, event_id as truth_id, case event_type when 'signup' then 'FOUR through covers' when 'purchase' then 'SIX over long on' when 'click' then '1 run to mid off'
     else case k % 6 when 0 then 'OUT c Smith b Jones' when 1 then 'OUT st Kumar b Patel' when 2 then 'OUT run out (Silva)' when 3 then 'OUT lbw b Khan' when 4 then 'OUT hit wicket b Ali' else 'OUT b Brown' end end as description
   from c where event_type in ('signup', 'purchase', 'error', 'click') and k % 7 <> 0),
@@ -153,6 +154,138 @@ SELECTS = {
     "json_props": "select user_id as match_id, count(*) as n, sum(cast(json_extract_string(props, '$.k') as bigint)) as total from events group by all",
 }
 
+#: Folds, each a recursion over the rows of a match in their order, and the select on it.
+TAGS = r"""
+, tag_rows as (select match_id, list({'id': reading_id, 'r': runs, 'w': wickets, 'o': over_number, 'c': ocr_confidence} order by timestamp_seconds, reading_id) as l from gaps group by match_id),
+tag as (select match_id, l, 0 as pos, null::bigint as reading_id, null::varchar as d, 1 as segment, 0 as confirmed, null::int as br, null::int as bw from tag_rows
+  union all
+  select match_id, l, pos + 1, x.id, d, case when d = 'ACCEPTED' then segment + 1 else segment end,
+    case when x.r is null or x.w is null then confirmed when d in ('REJECTED_INSUFFICIENT_PERSISTENCE', 'REJECTED_MAX_SEGMENTS_REACHED') then confirmed + 1 else 0 end,
+    case when d in ('ACCEPTED', 'NOT_A_CANDIDATE') and x.r is not null and x.w is not null then x.r else br end,
+    case when d in ('ACCEPTED', 'NOT_A_CANDIDATE') and x.r is not null and x.w is not null then x.w else bw end
+  from (select *, case when x.r is null or x.w is null or br is null or not (x.r < br and x.w < bw) then 'NOT_A_CANDIDATE'
+        when x.r >= 20 or x.w > 2 then 'REJECTED_IMPLAUSIBLE_RESET' when x.o is null or x.o > 1 then 'REJECTED_NO_OVER_BALL_RESET'
+        when confirmed + 1 < case when x.c < 0.5 then 4 else 2 end then 'REJECTED_INSUFFICIENT_PERSISTENCE'
+        when segment >= 2 then 'REJECTED_MAX_SEGMENTS_REACHED' else 'ACCEPTED' end as d
+    from (select * exclude (d), l[pos + 1] as x from tag where pos < len(l))))
+"""
+
+VALID = r"""
+, valid_rows as (select match_id, list({'id': reading_id, 'r': runs, 'w': wickets, 'o': over_number, 'b': ball_in_over, 'p': batter} order by timestamp_seconds, reading_id) as l from gaps group by match_id),
+valid as (select match_id, l, 0 as pos, null::bigint as reading_id, null::varchar as reason, null::int as ar, null::int as aw, null::int as ao, null::int as ab, 1 as segment, null::int as br, null::int as bw from valid_rows
+  union all
+  select match_id, l, pos + 1, x.id, reason, case when reason is null then coalesce(x.r, ar) else ar end, case when reason is null then coalesce(x.w, aw) else aw end,
+    case when reason is null and x.r is not null and x.w is not null then coalesce(x.o, ao) else ao end, case when reason is null and x.r is not null and x.w is not null then coalesce(x.b, ab) else ab end,
+    case when seen and d = 'ACCEPTED' then segment + 1 else segment end,
+    case when seen and x.r is not null and x.w is not null and d in ('ACCEPTED', 'NOT_A_CANDIDATE') then x.r else br end, case when seen and x.r is not null and x.w is not null and d in ('ACCEPTED', 'NOT_A_CANDIDATE') then x.w else bw end
+  from (select *, case branch when 0 then null when 5 then case when d = 'ACCEPTED' then null else 'RUNS_DECREASED' end when 1 then 'PLAYER_PARSE_FAILED' when 2 then 'INVALID_BALL_NUMBER' when 3 then 'WICKETS_DECREASED'
+        when 4 then 'INVALID_OVER_SEQUENCE' else 'RUNS_DECREASED' end as reason, branch in (0, 5) as seen
+    from (select *, case when x.p is null and x.r is null and x.w is null and x.o is null and x.b is null then 1 when x.b < 0 or x.b > 6 then 2 when x.w < 0 or x.w > 10 then 3 when x.o < 0 or x.o > 50 then 4
+          when x.o = ao and x.b = ab and x.r <> ar then 6 when x.r < ar and x.w < aw then 5 when x.r < ar then 6 when x.w < aw then 3 when x.o < ao or (x.o = ao and x.b < ab) then 4 else 0 end as branch,
+        case when x.r is null or x.w is null or br is null or not (x.r < br and x.w < bw) then 'NOT_A_CANDIDATE' when x.r >= 20 or x.w > 2 then 'IMPLAUSIBLE' when x.o is null or x.o > 1 then 'NO_OVER_BALL'
+          when segment >= 2 then 'TOO_MANY' else 'ACCEPTED' end as d
+      from (select * exclude (reason), l[pos + 1] as x from valid where pos < len(l)))))
+"""
+
+ACCEPTED = r"""
+, acc_rows as (select match_id, list({'id': state_id, 'r': runs, 'w': wickets, 'o': over_number, 'b': ball_in_over, 'p': batter, 's': start_seconds} order by state_id) as l from runs_t group by match_id),
+acc as (select match_id, l, 0 as pos, 1 as segment, l[1] as x, null::int as br, null::int as bw, l[1] as base, false as known, false as compared, l[1] as prev from acc_rows
+  union all
+  select match_id, l, pos + 1, case when d = 'ACCEPTED' then segment + 1 else segment end, x, case when d in ('ACCEPTED', 'NOT_A_CANDIDATE') then x.r else br end, case when d in ('ACCEPTED', 'NOT_A_CANDIDATE') then x.w else bw end,
+    case when d in ('ACCEPTED', 'NOT_A_CANDIDATE') then x else base end, true, known and d = 'NOT_A_CANDIDATE', base
+  from (select *, case when bad then 'ANOMALY' when br is null or not (x.r < br and x.w < bw) then 'NOT_A_CANDIDATE' when x.r >= 20 or x.w > 2 then 'IMPLAUSIBLE' when x.o > 1 then 'NO_OVER_BALL' when segment >= 2 then 'TOO_MANY' else 'ACCEPTED' end as d
+    from (select *, known and (x.w - base.w > (case when balls > 0 then balls else 3 end) or x.r - base.r > (case when balls > 0 then balls * 11 else 11 end)) as bad
+      from (select * exclude (x), l[pos + 1] as x, case when l[pos + 1].o >= base.o and (l[pos + 1].o - base.o) * 6 + l[pos + 1].b - base.b >= 0 then (l[pos + 1].o - base.o) * 6 + l[pos + 1].b - base.b end as balls
+        from acc where pos < len(l))))),
+acc_kind as (select *, case when x.w - prev.w = 1 then 'WICKET' when ((x.o = prev.o and x.b = prev.b + 1) or (x.o = prev.o + 1 and prev.b = 5 and x.b = 0)) and x.w = prev.w then case x.r - prev.r when 4 then 'FOUR' when 6 then 'SIX' end end as own
+  from acc where compared),
+acc_all as (select *, own as kind, null::int as milestone_value from acc_kind where own is not null
+  union all select *, 'TEAM_MILESTONE', cast(unnest(range(cast(floor(prev.r / 50) as int) + 1, cast(floor(x.r / 50) as int) + 1)) * 50 as int) from acc_kind),
+acc_found as (select h.match_id, segment as innings, x.s as timestamp_seconds, x.o as over_number, x.b as ball_in_over, kind as event_type, milestone_value,
+    segment || ':' || x.o || '.' || x.b || ':' || kind || coalesce(':' || milestone_value, '') as event_key, case when kind = 'WICKET' then prev.p end as player, null::varchar as team, least(a.c, b.c) as confidence,
+    case kind when 'FOUR' then 60 when 'SIX' then 80 when 'WICKET' then 95 else 65 end as importance
+  from acc_all h left join conf a on h.match_id = a.match_id and h.x.s = a.timestamp_seconds left join conf b on h.match_id = b.match_id and h.prev.s = b.timestamp_seconds)
+"""
+
+SUPPRESSED = r"""
+, sup_rows as (select match_id, list({'f': frame_index, 't': timestamp_seconds, 's': score} order by frame_index) as l from found_cuts group by match_id),
+sup as (select match_id, l, 0 as pos, null::bigint as last, false as keep from sup_rows
+  union all select match_id, l, pos + 1, case when k then l[pos + 1].f else last end, k from (select *, last is null or l[pos + 1].f > last + 3 as k from sup where pos < len(l)))
+"""
+
+REPLAYS = r"""
+, seen as (select f.match_id, s.segment_id, count(*) as n, avg(f.score / 50) as logo, avg((f.frame_index * 7) % 10 + 1.0::double) as board, avg(f.score) as motion, avg(f.score * 3 + f.frame_index % 50) as intensity, avg(f.score % 20 + 1.0::double) as contrast
+  from frames f asof join segments s on f.match_id = s.match_id and f.timestamp_seconds >= s.start_seconds where f.timestamp_seconds < s.end_seconds group by all),
+evidence as (select s.*, coalesce(n, 0) as n, logo, board, motion, intensity, contrast, coalesce(max(case when n > 0 then s.segment_id end) over (partition by s.match_id), 0) as last from segments s left join seen using (match_id, segment_id)),
+score_rows as (select match_id, list({'id': segment_id, 's': start_seconds, 't': end_seconds, 'bc': boundary_confidence, 'bt': boundary_type, 'n': n, 'logo': logo, 'board': board, 'motion': motion, 'i': intensity, 'c': contrast} order by segment_id) as l
+  from evidence where segment_id <= last group by match_id),
+scored as (select match_id, l, 0 as pos, 0 as n, 0.0::double as sb, 0.0::double as sm, 0.0::double as si, 0.0::double as sc, 0.0::double as logo, 0.0::double as board, 0.0::double as motion, 0.0::double as transition, 0.0::double as camera, 0.0::double as total from score_rows
+  union all
+  select match_id, l, pos + 1, n + feed, sb + case when feed = 1 then x.board else 0 end, sm + case when feed = 1 then x.motion else 0 end, si + case when feed = 1 then x.i else 0 end, sc + case when feed = 1 then x.c else 0 end, logo, board, motion, transition, camera, total
+  from (select *, case when total < 0.5 and x.n > 0 then 1 else 0 end as feed from (select *, greatest(0.0::double, least(1.0::double, 0.15 * logo + 0.25 * board + 0.25 * motion + 0.2 * transition + 0.15 * camera)) as total
+    from (select match_id, l, pos, n, sb, sm, si, sc, x, case when x.n > 0 then x.logo else 0.0::double end as logo, case when x.bt = 'REPLAY_TRANSITION' then x.bc else 0.0::double end as transition,
+        case when x.n = 0 or n < 3 then 0.5::double when sb <= 0 then 0.0::double else greatest(0.0::double, least(1.0::double, (sb / n - x.board) / (sb / n))) end as board,
+        case when x.n = 0 or n < 3 then 0.5::double when sm <= 0 then 0.0::double else greatest(0.0::double, least(1.0::double, (sm / n - x.motion) / (sm / n))) end as motion,
+        case when x.n = 0 or n < 3 then 0.5::double else least(1.0::double, sqrt((x.i - si / n) ** 2 + (x.c - sc / n) ** 2) / 40) end as camera
+      from (select *, l[pos + 1] as x from scored where pos < len(l)))))),
+replay_found as (select match_id, l[pos].id as segment_id, l[pos].s as start_seconds, l[pos].t as end_seconds, logo, board, motion, transition, camera, total, total >= 0.5 and l[pos].t - l[pos].s >= 3 as is_replay from scored where pos > 0)
+"""
+
+ANCHORS = r"""
+, lots as (select match_id, truth_id, list({'rank': rank, 'exact': bucket = 0, 's': k.timestamp_seconds, 'r': r.runs, 'w': r.wickets, 'c': r.ocr_confidence, 'id': reading_id} order by rank) as cands from ranked k join readings r using (match_id, reading_id) group by all),
+walk_rows as (select t.match_id, t.innings, list({'t': t.truth_id, 'o': t.over_number, 'b': t.ball_in_over, 'cands': coalesce(cands, [])} order by t.over_number, t.ball_in_over, t.truth_id) as l from truth t left join lots using (match_id, truth_id) where t.event_type is not null group by all),
+walk as (select match_id, innings, l, 0 as pos, false as known, 0 as o, 0 as b, 0.0::double as s, 0 as r, 0 as w, null::double as pace, null::bigint as truth_id, [{'rank': 0::bigint, 'exact': true, 's': 0.0::double, 'r': 0, 'w': 0, 'c': 0.0::double, 'id': 0::bigint, 'ocr': '', 'score': '', 'ord': '', 'pac': '', 'ok': true}][2:] as tried, 0::bigint as hit, null::varchar as tier from walk_rows
+  union all
+  select match_id, innings, l, pos + 1, known or trust, case when trust then x.o else o end, case when trust then x.b else b end, case when trust then a.s else s end, case when trust then a.r else r end, case when trust then a.w else w end,
+    case when trust and known and balls > 0 and a.s > s then (a.s - s) / balls else pace end, x.t, tried, hit, tier
+  from (select *, hit > 0 and tier <> 'LOW' as trust from (select *, case when hit = 0 then 'UNRESOLVED' when a.pac = 'SUSPICIOUS' then 'LOW' when a.exact and a.ocr = 'HIGH' then 'HIGH' when a.exact or known then 'MEDIUM' else 'LOW' end as tier
+    from (select *, tried[hit] as a from (select *, coalesce(list_position(list_transform(tried, lambda c: c.ok), true), 0)::bigint as hit
+      from (select *, list_transform(judged, lambda c: struct_insert(c, ok := c.ocr <> 'INSUFFICIENT' and c.score <> 'INCONSISTENT' and c.ord <> 'VIOLATION')) as tried
+        from (select *, list_transform(x.cands, lambda c: struct_insert(c,
+            ocr := case when c.c is null then 'UNKNOWN' when c.c >= 0.6 then 'HIGH' when c.c >= 0.35 then 'MEDIUM' when c.c >= 0.15 then 'LOW' else 'INSUFFICIENT' end,
+            score := case when not known or c.r is null or c.w is null or r is null or w is null then 'UNKNOWN'
+              when c.r - r between 0 and (case when balls > 0 then balls * 11 else 11 end) and c.w - w between 0 and (case when balls > 0 then balls else 3 end) then 'CONSISTENT' else 'INCONSISTENT' end,
+            ord := case when known and c.s < s then 'VIOLATION' else 'PRESERVED' end,
+            pac := case when known and pace <> 0 and balls > 0 and c.s <> s then case when (c.s - s) / balls / pace between 0.2 and 5 then 'WITHIN_EXPECTED' else 'SUSPICIOUS' end else 'UNKNOWN' end)) as judged
+          from (select match_id, innings, l, pos, known, o, b, s, r, w, pace, l[pos + 1] as x, case when (l[pos + 1].o - o) * 6 + l[pos + 1].b - b >= 0 then (l[pos + 1].o - o) * 6 + l[pos + 1].b - b end as balls
+            from walk where pos < len(l))))))))),
+anchors as (select match_id, innings, truth_id, case when hit > 0 then tried[hit].rank end as rank, case when hit > 0 then tried[hit].id end as reading_id, case when hit > 0 then tried[hit].s end as anchor_seconds, len(tried) as n_candidates, tier,
+    tried[greatest(hit, 1)].ocr as ocr_quality, tried[greatest(hit, 1)].score as score_state, tried[greatest(hit, 1)].ord as ordering, tried[greatest(hit, 1)].pac as pacing,
+    case when hit > 0 then hit - 1 else len(tried) end as n_rejected, len(list_filter(case when hit > 0 then tried[:hit - 1] else tried end, lambda c: c.ord = 'VIOLATION')) as n_violations,
+    case when hit <> 1 and tried[1].ord = 'VIOLATION' then 1 else 0 end as n_prevented
+  from walk where pos > 0)
+"""
+
+MATCHES = ANCHORS + r"""
+, free_rows as (select match_id, innings, event_type, list({'t': truth_id, 's': anchor_seconds} order by truth_id) as free from anchors join truth using (match_id, innings, truth_id) where anchor_seconds is not null group by all),
+take_rows as (select match_id, innings, event_type, list({'k': event_key, 's': timestamp_seconds} order by timestamp_seconds, event_key) as l from tagged where event_type <> 'TEAM_MILESTONE' group by all),
+take as (select match_id, innings, event_type, l, free, 0 as pos, null::bigint as truth_id, null::varchar as event_key from free_rows join take_rows using (match_id, innings, event_type)
+  union all
+  select match_id, innings, event_type, l, case when hit then list_filter(free, lambda f: f.t <> near.t) else free end, pos, case when hit then near.t end, case when hit then l[pos].k end
+  from (select * replace (pos + 1 as pos), coalesce(abs(near.s - l[pos + 1].s) <= 120, false) as hit from (select *, free[list_position(far, list_min(far))] as near
+    from (select *, list_transform(free, lambda f: abs(f.s - l[pos + 1].s)) as far from take where pos < len(l))))),
+aligned as (select t.match_id, t.innings, t.over_number, t.ball_in_over, t.event_type, t.description, t.truth_id, a.* exclude (match_id, innings, truth_id), m.event_key,
+    case when m.event_key is not null then 'TRUE_POSITIVE' when n_candidates > 0 then 'RECOVERABLE_MISS' else 'UNRECOVERABLE_MISS' end as outcome,
+    m.event_key is null and reading_id is not null and tier in ('HIGH', 'MEDIUM') as recovery_eligible
+  from truth t join anchors a using (match_id, truth_id) left join (select match_id, truth_id, event_key from take where truth_id is not null) m using (match_id, truth_id))
+"""
+
+FOLDS = {
+    "innings_tags": (TAGS, "select match_id, reading_id, d as decision, segment from tag where pos > 0"),
+    "reading_validation": (VALID, "select match_id, reading_id, reason, case when reason is null then 1.0::double else 0.0::double end as parse_confidence from valid where pos > 0"),
+    "validation_reasons": (VALID, "select match_id, reason, count(*) as n from valid where pos > 0 group by all"),
+    "events_last_accepted": (ACCEPTED, "select f.*, coalesce(f.timestamp_seconds <= r.end_seconds, false) as is_replay from acc_found f asof left join replays r on f.match_id = r.match_id and f.timestamp_seconds >= r.start_seconds"),
+    "cut_suppression": (SUPPRESSED, "select match_id, l[pos].f as frame_index, l[pos].t as timestamp_seconds, l[pos].s as score from sup where pos > 0 and keep"),
+    "replay_scoring": (REPLAYS, "select match_id, segment_id, start_seconds, end_seconds, is_replay, case when is_replay then row_number() over (partition by match_id, is_replay order by start_seconds, end_seconds) - 1 end as replay_id, round(logo, 6) as logo_score, round(board, 6) as scoreboard_score, round(motion, 6) as motion_score, round(transition, 6) as transition_score, round(camera, 6) as camera_score, round(total, 6) as score from replay_found"),
+    "anchor_walk": (ANCHORS, "select * from anchors"),
+    "tier_summary": (ANCHORS, "select match_id, count(*) filter (tier = 'HIGH') as high, count(*) filter (tier = 'MEDIUM') as medium, count(*) filter (tier = 'LOW') as low, count(*) filter (tier = 'UNRESOLVED') as unresolved, sum(n_violations)::bigint as violations, sum(n_prevented)::bigint as prevented from anchors group by match_id"),
+    "greedy_match": (MATCHES, "select match_id, truth_id, event_key, outcome, recovery_eligible from aligned"),
+    "accuracy_report": (MATCHES, "select match_id, metric, value from (select match_id, total::double as total, tp::double as true_positives, no_signal::double as missed_no_signal, signal::double as missed_with_signal, recall_four, recall_six, recall_wicket, coalesce(n, 0)::double as n_detected, (coalesce(n, 0) - tp)::double as false_positives, coalesce(tp::double / nullif(n, 0), 0.0::double) as precision, (tp + signal)::double / total as success_rate from (select match_id, count(*) as total, count(*) filter (outcome = 'TRUE_POSITIVE') as tp, count(*) filter (outcome = 'UNRECOVERABLE_MISS') as no_signal, count(*) filter (outcome = 'RECOVERABLE_MISS') as signal, " + ", ".join(f"count(*) filter (event_type = '{k}' and outcome = 'TRUE_POSITIVE')::double / nullif(count(*) filter (event_type = '{k}'), 0) as recall_{k.lower()}" for k in ("FOUR", "SIX", "WICKET")) + " from aligned group by match_id) left join (select match_id, count(*) as n from tagged where event_type <> 'TEAM_MILESTONE' group by match_id) using (match_id)) unpivot (value for metric in (total, true_positives, missed_no_signal, missed_with_signal, recall_four, recall_six, recall_wicket, n_detected, false_positives, precision, success_rate))"),
+    "missed_events": (MATCHES, "select match_id, truth_id, event_type, outcome = 'RECOVERABLE_MISS' as has_signal, row_number() over (partition by match_id order by outcome = 'RECOVERABLE_MISS', innings, over_number, ball_in_over, truth_id) as place from aligned where outcome <> 'TRUE_POSITIVE'"),
+    "recovery_append": (MATCHES, "select match_id, innings, anchor_seconds as timestamp_seconds, over_number, ball_in_over, event_type, innings || ':' || over_number || '.' || ball_in_over || ':' || event_type as event_key, 0.75::double as confidence, null::int as importance, false as is_replay, 'METADATA' as source, innings || ':' || over_number || '.' || ball_in_over || ':' || event_type || ':' || truth_id as metadata_id from aligned where recovery_eligible"),
+    "enrichment_update": (MATCHES, r"select t.match_id, t.event_key, k.kind as dismissal_type, k.fielder from tagged t join (select match_id, event_key, min_by(kind, truth_id) as kind, min_by(fielder, truth_id) as fielder from (select *, case when regexp_matches(description, 'c [A-Z]') then 'CAUGHT' when regexp_matches(description, 'st [A-Z]') then 'STUMPED' when contains(description, 'run out') then 'RUN_OUT' when contains(description, 'lbw') then 'LBW' when contains(description, 'hit wicket') then 'HIT_WICKET' else 'BOWLED' end as kind, nullif(regexp_extract(description, '(?:c |st |\()([A-Za-z]+)', 1), '') as fielder from aligned where event_type = 'WICKET' and event_key is not null) group by all) k using (match_id, event_key)"),
+}
+
 
 def oracle_sql() -> dict[str, str]:
-    return {key: CHAIN + select for key, select in SELECTS.items()}
+    return {key: CHAIN + select for key, select in SELECTS.items()} | {key: CHAIN + fold + select for key, (fold, select) in FOLDS.items()}

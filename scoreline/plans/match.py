@@ -5,7 +5,7 @@ Everything is keyed by match_id: the windows of smoothing, runs and rules share
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import alignment, clips, report, rules, smoothing, states
@@ -14,28 +14,29 @@ from ..operators.replay import tag_replays
 
 def analyze(readings: DataFrame, replays: DataFrame) -> DataFrame:
     """Events of raw readings, tagged with is_replay; each state is compared with the last accepted one."""
-    found = states.state_runs(smoothing.smooth(readings), readings)
+    found = states.state_runs(smoothing.smooth(readings))
     return tag_replays(rules.detect_events(found), replays)
 
 
 def quick_events(readings: DataFrame, replays: DataFrame) -> DataFrame:
     """The same with neighbouring states compared, by windows alone; it differs where a state is anomalous."""
-    found = states.state_runs(smoothing.smooth(readings), readings)
+    found = states.state_runs(smoothing.smooth(readings))
     events = rules.finish_events(rules.with_milestones(rules.pairwise(found).filter("not anomaly")))
     return tag_replays(events, replays)
 
 
-def durations(events: DataFrame, margin: float = 60.0) -> DataFrame:
-    """A match's duration where none is known: its last event and a margin."""
-    return events.groupBy("match_id").agg((F.max("timestamp_seconds") + margin).alias("duration_seconds"))
+def with_durations(events: DataFrame, margin: float = 60.0) -> DataFrame:
+    """events with duration_seconds, a match's duration where none is known: its last event and a margin."""
+    return events.withColumn("duration_seconds", F.max("timestamp_seconds").over(Window.partitionBy("match_id")) + margin)
 
 
 def generate(events: DataFrame, spans: DataFrame | None = None, pre: float = 8.0, post: float = 12.0, gap: float = 3.0) -> DataFrame:
     """The clip plan of events."""
-    return clips.clips(clips.merge_clips(clips.clip_windows(events, spans if spans is not None else durations(events), pre, post), gap))
+    return clips.clips(clips.merge_clips(clips.clip_windows(events if spans is not None else with_durations(events), spans, pre, post), gap))
 
 
 def validate(readings: DataFrame, events: DataFrame, commentary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The aligned commentary, and the accuracy report."""
+    """The aligned commentary, and the accuracy report. A commentary that goes beyond the overs read is an error."""
+    alignment.require_in_range(alignment.ground_truth(commentary), readings)
     aligned = alignment.align(alignment.ground_truth(commentary), readings, events)
     return aligned, report.accuracy(aligned, events)

@@ -14,7 +14,7 @@ from .sources import analysis_log
 from .sources import event_feed as feed
 from .sources import frames as frame_plans
 
-GAP = 20.0
+GAP = 20_000.0
 SNAP_SECONDS = 10_000.0
 CUT_RATIO = 1.5
 
@@ -33,7 +33,7 @@ def _resolved(spark: SparkSession, sf: str) -> DataFrame:
 
 def _states(spark: SparkSession, sf: str) -> DataFrame:
     raw = feed.readings(spark, sf, gaps=True)
-    return states.state_runs(smoothing.smooth(raw), raw)
+    return states.state_runs(smoothing.smooth(raw))
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,8 +41,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _windows(spark: SparkSession, sf: str) -> DataFrame:
-    events = _events(spark, sf)
-    return clips.clip_windows(events, match.durations(events))
+    return clips.clip_windows(match.with_durations(_events(spark, sf)))
 
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,11 +229,13 @@ def frame_to_segment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def replay_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    segments = replay.candidate_segments(feed.boundaries(spark, sf), _spans(spark, sf))
-    frames = replay.frames_to_segments(feed.frame_scores(spark, sf), segments).filter("segment_id is not null")
-    means = frames.groupBy("match_id", "segment_id").agg(F.count("*").alias("n_frames"), F.avg("score").alias("motion"), F.avg(F.col("frame_index") % 7).alias("logo"), F.avg(F.col("score") % 5).alias("scoreboard"))
-    rows = segments.join(means, ["match_id", "segment_id"], "left").withColumn("n_frames", F.coalesce("n_frames", F.lit(0)))
-    return replay.score_segments(rows).withColumn("score", F.round("score", 6))
+    """Signals of made-up frames: the logo by the frame's score, the scoreboard by its number, intensity and contrast by both."""
+    i, score = F.col("frame_index"), F.col("score")
+    frames = feed.frame_scores(spark, sf).select(
+        "match_id", "timestamp_seconds", (score / 50).alias("logo"), ((i * 7) % 10 + 1.0).alias("scoreboard"), score.alias("motion"), (score * 3 + i % 50).alias("intensity"), (score % 20 + 1.0).alias("contrast")
+    )
+    found = replay.score_segments(replay.segment_evidence(frames, replay.candidate_segments(feed.boundaries(spark, sf), _spans(spark, sf))))
+    return found.select("match_id", "segment_id", "start_seconds", "end_seconds", "is_replay", "replay_id", *(F.round(c, 6).alias(c) for c in found.columns if c.endswith("score")))
 
 
 @query
