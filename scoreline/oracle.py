@@ -283,7 +283,7 @@ FOLDS = {
     "accuracy_report": (MATCHES, "select match_id, metric, value from (select match_id, total::double as total, tp::double as true_positives, no_signal::double as missed_no_signal, signal::double as missed_with_signal, recall_four, recall_six, recall_wicket, coalesce(n, 0)::double as n_detected, (coalesce(n, 0) - tp)::double as false_positives, coalesce(tp::double / nullif(n, 0), 0.0::double) as precision, (tp + signal)::double / total as success_rate from (select match_id, count(*) as total, count(*) filter (outcome = 'TRUE_POSITIVE') as tp, count(*) filter (outcome = 'UNRECOVERABLE_MISS') as no_signal, count(*) filter (outcome = 'RECOVERABLE_MISS') as signal, " + ", ".join(f"count(*) filter (event_type = '{k}' and outcome = 'TRUE_POSITIVE')::double / nullif(count(*) filter (event_type = '{k}'), 0) as recall_{k.lower()}" for k in ("FOUR", "SIX", "WICKET")) + " from aligned group by match_id) left join (select match_id, count(*) as n from tagged where event_type <> 'TEAM_MILESTONE' group by match_id) using (match_id)) unpivot (value for metric in (total, true_positives, missed_no_signal, missed_with_signal, recall_four, recall_six, recall_wicket, n_detected, false_positives, precision, success_rate))"),
     "missed_events": (MATCHES, "select match_id, truth_id, event_type, outcome = 'RECOVERABLE_MISS' as has_signal, row_number() over (partition by match_id order by outcome = 'RECOVERABLE_MISS', innings, over_number, ball_in_over, truth_id) as place from aligned where outcome <> 'TRUE_POSITIVE'"),
     "recovery_append": (MATCHES, "select match_id, innings, anchor_seconds as timestamp_seconds, over_number, ball_in_over, event_type, innings || ':' || over_number || '.' || ball_in_over || ':' || event_type as event_key, 0.75::double as confidence, null::int as importance, false as is_replay, 'METADATA' as source, innings || ':' || over_number || '.' || ball_in_over || ':' || event_type || ':' || truth_id as metadata_id from aligned where recovery_eligible"),
-    "enrichment_update": (MATCHES, r"select t.match_id, t.event_key, k.kind as dismissal_type, k.fielder from tagged t join (select match_id, event_key, min_by(kind, truth_id) as kind, min_by(fielder, truth_id) as fielder from (select *, case when regexp_matches(description, 'c [A-Z]') then 'CAUGHT' when regexp_matches(description, 'st [A-Z]') then 'STUMPED' when contains(description, 'run out') then 'RUN_OUT' when contains(description, 'lbw') then 'LBW' when contains(description, 'hit wicket') then 'HIT_WICKET' else 'BOWLED' end as kind, nullif(regexp_extract(description, '(?:c |st |\()([A-Za-z]+)', 1), '') as fielder from aligned where event_type = 'WICKET' and event_key is not null) group by all) k using (match_id, event_key)"),
+    "enrichment_update": (MATCHES, r"select t.match_id, t.event_key, k.kind as dismissal_type, k.fielder from tagged t join (select match_id, event_key, min_by(kind, truth_id) as kind, min_by(fielder, truth_id) as fielder from (select *, case when regexp_matches(description, '\bc [A-Z]') then 'CAUGHT' when regexp_matches(description, '\bst [A-Z]') then 'STUMPED' when contains(description, 'run out') then 'RUN_OUT' when contains(description, 'lbw') then 'LBW' when contains(description, 'hit wicket') then 'HIT_WICKET' else 'BOWLED' end as kind, nullif(regexp_extract(description, '(?:\bc |\bst |\()([A-Za-z]+)', 1), '') as fielder from aligned where event_type = 'WICKET' and event_key is not null) group by all) k using (match_id, event_key)"),
 }
 
 
