@@ -3,8 +3,11 @@
 A language is a distribution over the character trigrams of its words (with a space before and after), hashed to
 2**16 buckets; Spark counts them over all labelled texts. A document is a mixture of languages: each of its words was
 drawn from one of them. Expectation-maximisation estimates the proportions, from all languages at first. The set of
-languages is then chosen among the 1, 2, ... MOST_LANGUAGES with the largest shares by the likelihood, less
-PENALTY * log(words) for each language after the first. The prediction is the largest share of the chosen set.
+languages is then chosen by the likelihood, less PENALTY * log(words) for each language after the first, going
+backwards from all: languages whose shares are so small that the likelihood can't lose as much as the penalty
+gives back go at once; where several are left, the one without which the penalised likelihood is highest goes, as long as it
+does not fall. The same is done forwards from the best single language, and the better set is taken. No bound is set on
+the set's size. The prediction is the largest share of the chosen set.
 
 The model has 2**16 numbers a language, whatever the size of the corpus.
 """
@@ -23,7 +26,6 @@ from .common import Numbering, map_batches, slices, texts
 
 BUCKETS = 1 << 16
 ITERATIONS = 12
-MOST_LANGUAGES = 3
 PENALTY = 2.0
 #: Trigrams overlap by two letters, so each tells a third of what independent ones would.
 SHARPNESS = 1 / 3
@@ -95,6 +97,63 @@ def mixture(doc: np.ndarray, p: np.ndarray, times: np.ndarray, n_docs: int, allo
     return shares, np.bincount(doc, times * np.log(np.maximum((shares[doc] * p).sum(axis=1), 1e-300)), n_docs)
 
 
+def negligible(shares: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Which languages of each document may go at once: without a share of s among the rest, the likelihood loses at most -log(1 - s) a word.
+
+    gain is what the penalty gives back for one language, per word. They go from the smallest share on, each among what is left.
+    """
+    order = np.argsort(shares, axis=1, kind="stable")
+    upto = np.cumsum(np.take_along_axis(shares, order, axis=1), axis=1)
+    left = np.maximum(1 - upto, 1e-12)
+    fine = np.log(np.column_stack((np.ones(len(left)), left[:, :-1]))) - np.log(left) < gain[:, None]
+    fine[:, -1] = False  # one stays
+    out = np.zeros(shares.shape, bool)
+    np.put_along_axis(out, order, np.logical_and.accumulate(fine, axis=1), axis=1)
+    return out
+
+
+def chosen(doc: np.ndarray, p: np.ndarray, times: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Shares of the languages of each document's set; first holds those of all languages."""
+    n_docs, n_lang = first.shape
+    words = np.bincount(doc, times, n_docs)
+    penalty = PENALTY * np.log(1 + words)
+    allowed = ~negligible(first, penalty / np.maximum(words, 1))
+    open_docs = np.flatnonzero(allowed.sum(axis=1) > 1)
+    alone = np.stack([np.bincount(doc, times * np.log(np.maximum(column, 1e-300)), n_docs) for column in p.T], axis=1)
+    single = alone.argmax(axis=1)
+    shares, fit = np.eye(n_lang)[single], alone.max(axis=1)
+
+    def refit(which: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.full(n_docs, -1)
+        place[which] = np.arange(len(which))
+        mine = place[doc] >= 0
+        got, value = mixture(place[doc[mine]], p[mine], times[mine], len(which), sets.astype(float))
+        return got, value - penalty[which] * (sets.sum(axis=1) - 1)
+
+    def stepwise(which: np.ndarray, sets: np.ndarray, present: bool) -> None:
+        """Take languages out (present) or add them, the best one at a time, while that helps; keep what beats the sets known so far."""
+        got, value = refit(which, sets)
+        while len(which):
+            better = value > fit[which]
+            shares[which[better]], fit[which[better]] = got[better], value[better]
+            best, new = np.full(len(which), -np.inf), np.zeros((len(which), n_lang))
+            for language in range(n_lang):
+                own = np.flatnonzero((sets[:, language] == present) & (sets.sum(axis=1) > present))
+                if len(own):
+                    other = sets[own].copy()
+                    other[:, language] = not present
+                    found, v = refit(which[own], other)
+                    higher = v > best[own]
+                    best[own[higher]], new[own[higher]] = v[higher], found[higher]
+            on = best >= value
+            which, sets, got, value = which[on], new[on] > 0, new[on], best[on]
+
+    if len(open_docs):
+        stepwise(open_docs, allowed[open_docs], True)
+        stepwise(open_docs, np.eye(n_lang, dtype=bool)[single[open_docs]], False)
+    return shares
+
+
 def infer(batch_texts: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, its share, and the shares of all languages of the chosen set, for each text."""
     n_docs, n_lang = len(batch_texts), len(model.languages)
@@ -108,24 +167,8 @@ def infer(batch_texts: list[str | None], model: LanguageModel) -> tuple[list[str
         pairs, times = np.unique(doc * len(words) + word, return_counts=True)
         doc, p = pairs // len(words), likelihood[pairs % len(words)]
         first, _ = mixture(doc, p, times, n_docs, np.ones((n_docs, n_lang)))
-        order = np.argsort(-first, axis=1, kind="stable")
-        total, best = np.maximum(np.bincount(doc, times, n_docs), 1), np.full(n_docs, -np.inf)
-        # A document whose second language has almost nothing can't gain more than the penalty.
-        open_docs = np.arange(n_docs)
-        for k in range(1, min(MOST_LANGUAGES, n_lang) + 1):
-            place = np.full(n_docs, -1)
-            place[open_docs] = np.arange(len(open_docs))
-            mine = place[doc] >= 0
-            allowed = np.zeros((len(open_docs), n_lang))
-            np.put_along_axis(allowed, order[open_docs, :k], 1.0, axis=1)
-            got, fit = mixture(place[doc[mine]], p[mine], times[mine], len(open_docs), allowed, 1 if k == 1 else ITERATIONS)
-            fit -= PENALTY * (k - 1) * np.log(1 + total[open_docs])
-            better = fit > best[open_docs]
-            shares[open_docs[better]], best[open_docs[better]] = got[better], fit[better]
-            if k < n_lang:
-                open_docs = open_docs[np.take_along_axis(first, order[:, k : k + 1], axis=1)[open_docs, 0] > 0.01]
-            if not len(open_docs):
-                break
+        some = np.bincount(doc, times, n_docs) > 0
+        shares = chosen(doc, p, times, first) * some[:, None]
     known = np.array([bool(t) and bool(LETTER.search(t)) for t in batch_texts], bool) & (shares.sum(axis=1) > 0)
     top = shares.argmax(axis=1) if n_lang else np.zeros(n_docs, int)
     names = [model.languages[i] if k else UNKNOWN for i, k in zip(top, known, strict=True)]
@@ -153,7 +196,11 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: Column | str = "doc_
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_share: float = 0.4) -> DataFrame:
-    """The rows of docs, all columns, whose language is known and has at least least_share of the words."""
+    """The rows of docs, all columns, whose language is known and has at least least_share of the words.
+
+    Null and empty texts and those without a letter go. Texts are read whole; repeated rows fare alike. Of the columns only
+    text is read, whatever the others are called. An empty table gives no row.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
