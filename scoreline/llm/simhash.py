@@ -295,9 +295,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
     empty table gives no row.
     """
     marked = checkpointed(fingerprints(docs, width))
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    labels = labelled(nodes, "fp", links(nodes, nodes.count(), radius, bucket, part)).select(F.col("fp").alias("l_fp"), "component_id")
-    return marked.join(labels, F.col("fp") == F.col("l_fp")).select("doc_id", "fp", "component_id")
+    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows")))
+    return with_components(marked, nodes, "fp", links(nodes, nodes.count(), radius, bucket, part))
+
+
+def with_components(marked: DataFrame, nodes: DataFrame, name: str, edges: DataFrame) -> DataFrame:
+    """doc_id, name and component_id of marked (doc_id, name); those of the nodes (name, least_id, rows) with more than 1 / HUBS of the rows, fewer than HUBS, by a broadcast."""
+    total = nodes.agg(F.sum("rows")).first()[0] or 0
+    labels = checkpointed(labelled(nodes, name, edges).join(nodes.select(F.col(name).alias("n_name"), (F.col("rows") * HUBS > total).alias("hub")), F.col(name) == F.col("n_name")).select(F.col(name).alias("l_name"), "component_id", "hub"))
+    hubs = F.broadcast(labels.filter("hub"))
+    rest = marked.join(hubs, F.col(name) == F.col("l_name"), "left_anti").join(labels.filter("not hub"), F.col(name) == F.col("l_name"))
+    columns = ["doc_id", name, "component_id"]
+    return marked.join(hubs, F.col(name) == F.col("l_name")).select(*columns).unionByName(rest.select(*columns))
 
 
 def signature(shingles: np.ndarray) -> list[int]:
@@ -356,7 +365,7 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SH
         return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["s_node", "shingles"])
 
     marked = checkpointed(map_batches(own, sketch, "doc_id long, node binary, bands array<long>"))
-    nodes = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")))
+    nodes = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.count("*").alias("rows")))
     met = nodes.select("node", rank(), F.posexplode("bands").alias("t", "k"))
     # Of the buckets that hold the same nodes, one is enough.
     buckets = met.groupBy("t", "k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("v")).filter("n > 1")
@@ -380,8 +389,7 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SH
                     b.append(start + r)
         return pa.RecordBatch.from_arrays([ends_of(*own, a), ends_of(*own, b)], names=["a", "b"])
 
-    labels = labelled(nodes.select("node", "least_id"), "node", met.mapInArrow(by_bucket(compare), "a struct<i: long, n: binary>, b struct<i: long, n: binary>")).select(F.col("node").alias("l_node"), "component_id")
-    return marked.join(labels, F.col("node") == F.col("l_node")).select("doc_id", "node", "component_id")
+    return with_components(marked.select("doc_id", "node"), nodes.select("node", "least_id", "rows"), "node", met.mapInArrow(by_bucket(compare), "a struct<i: long, n: binary>, b struct<i: long, n: binary>"))
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SHINGLE) -> DataFrame:
