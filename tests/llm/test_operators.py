@@ -68,11 +68,13 @@ def test_bands_keep_clean_documents(spark, data):
 # Packing
 
 
-@given(st.lists(st.tuples(st.integers(0, 25), st.sampled_from([None, "a", "b"]), st.sampled_from([None, 1, 2, 3])), max_size=30), st.integers(1, 3))
+@given(st.lists(st.tuples(st.integers(0, 25), st.sampled_from([None, "a", "b"]), st.sampled_from([None, 1, 2, 3])), max_size=30), st.sampled_from([0.1, 0.5, 1.0]))
 @settings(max_examples=150, deadline=None)
-def test_best_fit_against_brute_force(rows, most):
+def test_best_fit_against_brute_force(rows, share):
     sizes, sources, clusters = ([r[i] for r in rows] for i in range(3))
-    got = packing.pack_shard(sizes, sources, clusters, 10, most)
+    got = packing.pack_shard(sizes, sources, clusters, 10, share)
+    of = {s: sum(n % 10 for n, x in zip(sizes, sources, strict=True) if x == s) for s in set(sources) - {None}}
+    most = {s: 10 * min(1.0, max(share, 1.25 * n / max(1, sum(of.values())), 1.25 / len(of))) for s, n in of.items()}
     bins = [(10, [i]) for i, n in enumerate(sizes) for _ in range(n // 10)]
     whole = len(bins)
     bins = [None] * whole
@@ -84,9 +86,9 @@ def test_best_fit_against_brute_force(rows, most):
         for b in range(whole, len(bins)):
             left, inside = bins[b]
             if left > 0 and left >= size:
-                same = sum(sources[j] == sources[i] for j in inside) if sources[i] is not None else 0
+                same = [sizes[j] % 10 for j in inside if sources[j] == sources[i]] if sources[i] is not None else []
                 twin = clusters[i] is not None and any(clusters[j] == clusters[i] for j in inside)
-                if same < most and not twin:
+                if not (same and sum(same) >= most[sources[i]]) and not twin:
                     fits.append((left, b))
         b = min(fits)[1] if fits else len(bins)
         if b == len(bins):
@@ -110,6 +112,14 @@ def test_packing_covers_every_word(spark, data, docs):
         assert all(a + n <= b for (a, n), (b, _) in zip(pieces, pieces[1:])) and sum(n for _, n in pieces) <= packing.CAPACITY
 
 
+@pytest.mark.parametrize("low, high, sources, least", [(20, 60, 1, 0.97), (20, 60, 3, 0.97), (50, 400, 1, 0.97), (1, 30, 2, 0.97), (50, 3000, 8, 0.9)])
+def test_bins_are_full_whatever_the_texts_and_sources(low, high, sources, least):
+    random = np.random.default_rng(2)
+    sizes = random.integers(low, high, 4096).tolist()
+    pieces = packing.pack_shard(sizes, random.choice(sources, 4096, p=np.arange(1, sources + 1) / sum(range(1, sources + 1))).tolist(), [None] * 4096)
+    assert sum(sizes) >= least * packing.CAPACITY * len({b for _, _, b, _ in pieces})
+
+
 # Language
 
 
