@@ -2,7 +2,8 @@
 
 Each text is described by STATISTICS, standardised over all documents. Cosines at random frequencies approximate a
 Gaussian kernel on them. Tasks sum their part of the normal equations of the ridge regression from the labelled rows;
-the sums, of a size that depends on FREQUENCIES alone, are added up by Spark and solved on the driver. Scores of the labelled rows,
+the sums, of a size that depends on FREQUENCIES alone, are added up by Spark and solved on the driver. For calibration, each
+half of the labelled rows (by a hash of the id) is scored with the weights of the other half; these scores,
 counted in BINS bins, are made monotone by pooling adjacent violators, and the steps turn a score into a probability.
 """
 
@@ -133,23 +134,34 @@ def train(rows: DataFrame, labels: DataFrame, label: str = "quality", seed: int
     model = QualityModel(mean, np.where(scale > 1e-9, scale, 1.0), random.normal(size=(d, FREQUENCIES)) / BANDWIDTH, random.uniform(0, 2 * np.pi, FREQUENCIES))
 
     one = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max(label).cast("int").alias("y"))
-    labelled = checkpointed(rows.join(one, F.col("doc_id") == F.col("l_id")).select("x", "y"))
+    half = F.pmod(F.xxhash64("l_id"), F.lit(2)).cast("int")
+    labelled = checkpointed(rows.join(one, F.col("doc_id") == F.col("l_id")).select("x", (F.col("y") + 2 * half).alias("y")))
     m = FREQUENCIES + 1
+    width = 1 + m * m + m
 
     def normal(x, y):
-        z = model.cosines(x)
-        return np.concatenate(([len(x)], (z.T @ z).ravel(), z.T @ y))
-
-    sums = _summed(labelled, normal, 1 + m * m + m)
-    if not sums[0]:
+        z, out = model.cosines(x), []
+        for side in (0, 1):
+            own = y // 2 == side
+            out += [[own.sum()], (z[own].T @ z[own]).ravel(), z[own].T @ (y[own] % 2)]
+        return np.concatenate(out)
+
+    def solved(sums: np.ndarray) -> np.ndarray:
+        gram, moment = sums[1 : 1 + m * m].reshape(m, m), sums[1 + m * m :]
+        ridge = np.diag(np.concatenate(([1e-9], np.full(m - 1, RIDGE)))) * max(1.0, sums[0])
+        return np.linalg.solve(gram + ridge, moment)
+
+    sums = _summed(labelled, normal, 2 * width).reshape(2, width)
+    if not sums[:, 0].sum():
         return model
-    gram, moment = sums[1 : 1 + m * m].reshape(m, m), sums[1 + m * m :]
-    ridge = np.diag(np.concatenate(([1e-9], np.full(m - 1, RIDGE)))) * sums[0]
-    model.weights = np.linalg.solve(gram + ridge, moment)
+    model.weights = solved(sums.sum(axis=0))
+    # A half without rows has the weights of all.
+    of_other = [solved(sums[1 - side]) if sums[1 - side, 0] else model.weights for side in (0, 1)]
 
     def counted(x, y):
-        b = bin_of(model.raw(x))
-        return np.concatenate((np.bincount(b, minlength=BINS), np.bincount(b, y, BINS)))
+        side, z = y // 2 == 1, model.cosines(x)
+        b = bin_of(np.where(side, z @ of_other[1], z @ of_other[0]))
+        return np.concatenate((np.bincount(b, minlength=BINS), np.bincount(b, y % 2, BINS)))
 
     both = _summed(labelled, counted, 2 * BINS)
     count, good = both[:BINS], both[BINS:]
