@@ -55,3 +55,8 @@ def event_stats(events: DataFrame) -> DataFrame:
     """Per match: events of each type, events in replays, and the mean confidence."""
     kinds = [F.count_if(F.col("event_type") == k).alias(f"n_{k.lower()}") for k in ("FOUR", "SIX", "WICKET", "TEAM_MILESTONE")]
     return events.groupBy("match_id").agg(*kinds, F.count_if(F.coalesce("is_replay", F.lit(False))).alias("n_replays"), F.avg("confidence").alias("mean_confidence"))
+
+
+def counts_by(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+    """match_id, metric (prefix and value), n: how many rows a match has of each value; nulls are left out."""
+    return rows.filter(F.col(column).isNotNull()).groupBy("match_id", F.concat(F.lit(prefix), column).alias("metric")).agg(F.count("*").alias("n"))

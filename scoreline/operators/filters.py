@@ -43,3 +43,18 @@ def complete(rows: DataFrame, core: tuple[str, ...]) -> DataFrame:
 
 def without_replays(events: DataFrame, include_replays: bool = False) -> DataFrame:
     return events if include_replays else events.filter(~F.coalesce("is_replay", F.lit(False)))
+
+
+def find_one(rows: DataFrame, **values) -> DataFrame:
+    """At most one row that has these values."""
+    return rows.filter(reduce(and_, (F.col(c).eqNullSafe(F.lit(v)) for c, v in values.items()), F.lit(True))).limit(1)
+
+
+def known(rows: DataFrame, others: DataFrame, keys: list[str], is_known: bool = True) -> DataFrame:
+    """The rows whose keys others has, or those whose keys it has not."""
+    return rows.join(others.select(*keys), keys, "left_semi" if is_known else "left_anti")
+
+
+def looked_up(rows: DataFrame, others: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """rows with the column of others, the least where several have the keys; null where none has."""
+    return rows.join(others.groupBy(*keys).agg(F.min(column).alias(column)), keys, "left")

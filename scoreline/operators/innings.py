@@ -97,6 +97,12 @@ def tag_innings(readings: DataFrame, config: TrackerConfig = TrackerConfig()) ->
     return readings.select(*columns).groupBy("match_id").applyInPandas(fold, "match_id long, reading_id long, decision string, segment int")
 
 
+def with_innings(readings: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:
+    """readings with innings, the segment that the tracker finds for them."""
+    found = tag_innings(readings, config).select("match_id", "reading_id", F.col("segment").alias("innings"))
+    return readings.drop("innings").join(found, ["match_id", "reading_id"])
+
+
 class ReadingValidator:
     """Checks a reading against the last accepted values; returns None or the reason of its rejection."""
 

@@ -100,3 +100,13 @@ def score_segments(segments: DataFrame, threshold: float = THRESHOLD, least_seco
     found = segments.groupBy("match_id").applyInPandas(fold, EVIDENCE)
     order = Window.partitionBy("match_id", "is_replay").orderBy("start_seconds", "end_seconds")
     return found.withColumn("replay_id", F.when(F.col("is_replay"), F.row_number().over(order) - 1))
+
+
+def outcomes(scored: DataFrame) -> DataFrame:
+    """Per match: segments taken as replays and not, mean and largest score of those taken, their longest and their total length."""
+    length = F.when(F.col("is_replay"), F.col("end_seconds") - F.col("start_seconds"))
+    score = F.when(F.col("is_replay"), F.col("score"))
+    return scored.groupBy("match_id").agg(
+        F.count_if("is_replay").alias("n_accepted"), F.count_if(~F.col("is_replay")).alias("n_rejected"), F.avg(score).alias("mean_score"), F.max(score).alias("max_score"),
+        F.max(length).alias("longest_seconds"), F.coalesce(F.sum(length), F.lit(0.0)).alias("total_seconds"),
+    )

@@ -14,6 +14,21 @@ def long_format(row: DataFrame, keys: list[str]) -> DataFrame:
     return row.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names))).alias("m")).select(*keys, "m.metric", "m.value")
 
 
+def false_positives(aligned: DataFrame, detected: DataFrame) -> DataFrame:
+    """Detected scoring events that no event of the commentary was matched with."""
+    matched = aligned.filter("event_key is not null").select("match_id", "event_key")
+    return detected.filter(F.col("event_type").isin(*SCORING)).join(matched, ["match_id", "event_key"], "left_anti")
+
+
+def as_document(accuracies: DataFrame, missed: DataFrame) -> DataFrame:
+    """match_id and report, one JSON document a match: its figures by name, and the missed events in their order."""
+    figures = accuracies.groupBy("match_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("figures"))
+    entry = F.struct("place", "truth_id", "event_type", "has_signal")
+    listed = missed.groupBy("match_id").agg(F.array_sort(F.collect_list(entry)).alias("missed_events"))
+    rows = figures.join(listed, "match_id", "left").withColumn("missed_events", F.coalesce("missed_events", F.array().cast("array<struct<place:int,truth_id:bigint,event_type:string,has_signal:boolean>>")))
+    return rows.select("match_id", F.to_json(F.struct("match_id", "figures", "missed_events")).alias("report"))
+
+
 def accuracy(aligned: DataFrame, detected: DataFrame) -> DataFrame:
     """Per match: outcomes, precision, success rate and recall by type (types without events are left out)."""
 
@@ -32,8 +47,8 @@ def accuracy(aligned: DataFrame, detected: DataFrame) -> DataFrame:
         *(recall(k).alias(f"recall_{k.lower()}") for k in SCORING),
     )
     two = detected.filter(F.col("event_type").isin(*SCORING)).groupBy("match_id").agg(F.count("*").alias("n_detected"))
-    rows = one.join(two, "match_id", "left").withColumn("n_detected", F.coalesce("n_detected", F.lit(0)))
-    rows = rows.withColumn("false_positives", F.col("n_detected") - F.col("true_positives"))
+    unmatched = false_positives(aligned, detected).groupBy("match_id").agg(F.count("*").alias("false_positives"))
+    rows = one.join(two, "match_id", "left").join(unmatched, "match_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_detected", "false_positives")})
     rows = rows.withColumn("precision", F.coalesce(F.try_divide(F.col("true_positives").cast("double"), F.col("n_detected").cast("double")), F.lit(0.0)))
     rows = rows.withColumn("success_rate", F.coalesce(F.try_divide((F.col("true_positives") + F.col("missed_with_signal")).cast("double"), F.col("total").cast("double")), F.lit(0.0)))
     return long_format(rows, ["match_id"]).filter("value is not null")

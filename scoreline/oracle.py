@@ -77,9 +77,12 @@ points as (select match_id, timestamp_seconds as start_seconds, max(confidence)
     union all select match_id, unnest([0.0::double, d]), null, null from (select match_id, max(us) / 1e6::double + 1.0::double as d from e group by match_id)) group by all),
 segs as (select *, lead(start_seconds) over (partition by match_id order by start_seconds) as end_seconds from points),
 segments as (select match_id, start_seconds, end_seconds, boundary_confidence, boundary_type, row_number() over (partition by match_id order by start_seconds) - 1 as segment_id from segs where end_seconds > start_seconds),
-commentary as (select match_id, innings, over_number, ball_in_over, event_id as truth_id, case event_type when 'signup' then 'FOUR through covers' when 'purchase' then 'SIX over long on' when 'click' then '1 run to mid off'
-    else case k % 6 when 0 then 'OUT c Smith b Jones' when 1 then 'OUT st Kumar b Patel' when 2 then 'OUT run out (Silva)' when 3 then 'OUT lbw b Khan' when 4 then 'OUT hit wicket b Ali' else 'OUT b Brown' end end as description
-  from c where event_type in ('signup', 'purchase', 'error', 'click') and k % 7 <> 0),
+named as (select *, ['Smith', 'Mary Ann Evans', 'O''Neil', 'van der Berg', 'Al-Amin', 'Q. Idris'] as names from c),
+commentary as (select match_id, innings, over_number, ball_in_over, event_id as truth_id, case event_type when 'click' then '1 run to mid off' when 'signup' then 'FOUR, ' || one || ' through covers' when 'purchase' then two || ' hits a SIX over long on'
+    else case k % 6 when 0 then 'OUT c ' || one || ' b ' || two when 1 then 'that is OUT! st ' || one || ' b ' || two when 2 then 'OUT, Run Out (' || two || ') by a mile' when 3 then 'OUT LBW b ' || one when 4 then 'OUT hit wicket b ' || two
+      else case when k % 4 = 1 then 'OUT, retired' else 'OUT b ' || one end end end as description
+  from (select *, names[((k + match_id) % 6 + 1)::int] as one, names[((k + match_id * 3) % 6 + 1)::int] as two from named)
+  where event_type in ('signup', 'purchase', 'error', 'click') and k % 7 <> 0),
 truth as (select *, case when contains(description, 'SIX') then 'SIX' when contains(description, 'FOUR') then 'FOUR' when regexp_matches(description, '\bOUT\b') then 'WICKET' end as event_type from commentary),
 cand as (select t.match_id, t.truth_id, r.reading_id, r.timestamp_seconds, r.ball_in_over - t.ball_in_over as delta,
     case when r.ball_in_over = t.ball_in_over then 0 else 2 end + case when r.parse_confidence = 1.0 then 0 else 1 end as bucket
@@ -129,10 +132,10 @@ SELECTS = {
     "candidate_segments": "select match_id, segment_id, start_seconds, end_seconds, boundary_confidence from segments",
     "frame_to_segment": "select f.match_id, f.frame_index, case when f.timestamp_seconds < s.end_seconds then s.segment_id end as segment_id from frames f asof left join segments s on f.match_id = s.match_id and f.timestamp_seconds >= s.start_seconds",
     "classify_delivery": "select match_id, truth_id, event_type from truth where event_type is not null",
-    "dismissal": "select match_id, truth_id, case when description like '% c %' then 'CAUGHT' when description like '% st %' then 'STUMPED' when description like '%run out%' then 'RUN_OUT' when description like '%lbw%' then 'LBW' when description like '%hit wicket%' then 'HIT_WICKET' else 'BOWLED' end as dismissal_type, case when description like '% c %' then 'Smith' when description like '% st %' then 'Kumar' when description like '%run out%' then 'Silva' end as fielder from truth where event_type = 'WICKET'",
+    "dismissal": r"select match_id, truth_id, case when regexp_matches(description, '\bc [A-Za-z].* b [A-Za-z]') then 'CAUGHT' when regexp_matches(description, '\bst [A-Za-z].* b [A-Za-z]') then 'STUMPED' when description ilike '%run out (%' then 'RUN_OUT' when regexp_matches(description, '(?i)\blbw\b') then 'LBW' when description ilike '%hit wicket%' then 'HIT_WICKET' when regexp_matches(description, '\bb [A-Za-z]') then 'BOWLED' end as dismissal_type, nullif(coalesce(nullif(regexp_extract(description, '\b(?:c|st) ([A-Za-z].*) b [A-Za-z]', 1), ''), nullif(regexp_extract(description, '(?i)run out \(([^)]*)\)', 1), '')), '') as fielder from truth where event_type = 'WICKET'",
     "candidate_rank": "select match_id, truth_id, reading_id, bucket, rank from ranked",
     "over_range_gate": "select t.match_id, t.truth_id from truth t join (select match_id, innings, max(over_number) as m from readings where ocr_confidence >= 0.5 group by all) r using (match_id, innings) where t.event_type is not null and over_number > m",
-    "parsed_tokens": "select match_id, event_id, layout, runs, wickets, over_number, ball_in_over, bowler from (select match_id, event_id, ['generic', 'club', 'separate'][(match_id % 3 + 1)::int] as layout, runs, wickets, over_number, ball_in_over, 'Khan' as bowler from c)",
+    "parsed_tokens": "select match_id, event_id, ['generic', 'club', 'separate'][(match_id % 3 + 1)::int] as layout, runs, wickets, over_number, ball_in_over, ['Khan', 'Brown', 'Iyer', 'Mills'][(k % 4 + 1)::int] as bowler, round((80 + k % 20) / 100.0::double, 6) as token_confidence from c",
     "anomaly_examples": "select match_id, state_id, row_number() over (partition by match_id order by state_id) as place from scan where anomaly qualify place <= 10",
     "state_reduction": "select match_id, n_readings, n_states, round(100.0::double * (1 - n_states / n_readings::double), 6) as reduction from (select match_id, count(*) as n_readings from readings group by 1) join (select match_id, count(*) as n_states from runs_t group by 1) using (match_id)",
     "replay_totals": "select match_id, count(*) as n, round(sum(end_seconds - start_seconds), 6) as total_seconds, round(max(end_seconds - start_seconds), 6) as longest_seconds, 0.9::double as confidence from replays group by match_id",
@@ -140,7 +143,7 @@ SELECTS = {
     "frames_at_rate": "select distinct match_id, frame_index from (select match_id, round_even(s * 25, 0)::bigint as frame_index, n from (select match_id, count(*) as n from e group by match_id), (select unnest(range(2000)) / 3.0::double as s) where s < n / 25.0::double) where frame_index < n",
     "frames_at_times": "select distinct match_id, greatest(0, least(round_even((k - 5) / 8.0::double * 25.0::double, 0)::bigint, frame_count - 1)) as frame_index from e join videos using (match_id) where k >= 5 and (k - 5) / 8.0::double <= frame_count / 25.0::double",
     "frames_listed": "select distinct match_id, k - 5 as frame_index, k - 5 between 0 and frame_count - 1 as exists from e join videos using (match_id)",
-    "effective_fps": "select match_id, case when max(us) > min(us) then round((count(*) - 1) / (max(us / 1e6::double) - min(us / 1e6::double)), 9) end as fps from e group by match_id",
+    "effective_fps": "select match_id, case when max(us) > min(us) then round((count(*) - 1) / (max(us / 1e6::double) - min(us / 1e6::double)), 9) else 25.0::double end as fps from e group by match_id",
     "frame_axis": "select match_id, frame_index, case when score > 10 then score end as score, case when score > 10 then score / 50 else 0.0::double end as ocr_confidence, case when score > 10 then 1.0::double else 0.0::double end as parse_confidence from frames",
     "unchanged_reuse": "select match_id, pos::bigint - 1 as frame_index, source_frame from reuse",
     "input_checks": "select match_id, metric, value from (select match_id, count(*)::double as readings, count(*) filter (timestamp_seconds is null)::double as without_time, count(*) filter (timestamp_seconds <= b)::double as out_of_order, count(*) filter (runs is null)::double as incomplete, count(*) filter (ocr_confidence not between 0 and 1)::double as bad_confidence from (select *, lag(timestamp_seconds) over (partition by match_id order by reading_id) as b from gaps) group by match_id) unpivot (value for metric in (readings, without_time, out_of_order, incomplete, bad_confidence))",
@@ -151,6 +154,8 @@ SELECTS = {
     "parse_over_ball": "select match_id, truth_id as delivery_id, over_number, ball_in_over from commentary",
     "analysis_status": "select match_id, status from log",
     "analysis_todo": "select match_id from videos where match_id not in (select match_id from log where status = 'COMPLETE')",
+    "clip_of_event": "select t.match_id, t.event_key, w.clip_start from (select distinct match_id, event_key from tagged) t left join (select match_id, event_key, min(clip_start) as clip_start from windows group by all) w using (match_id, event_key)",
+    "events_without_clip": "select distinct match_id, event_key from tagged t where not exists (select 1 from windows w where w.match_id = t.match_id and w.event_key = t.event_key)",
     "json_props": "select user_id as match_id, count(*) as n, sum(cast(json_extract_string(props, '$.k') as bigint)) as total from events group by all",
 }
 
@@ -283,7 +288,11 @@ FOLDS = {
     "accuracy_report": (MATCHES, "select match_id, metric, value from (select match_id, total::double as total, tp::double as true_positives, no_signal::double as missed_no_signal, signal::double as missed_with_signal, recall_four, recall_six, recall_wicket, coalesce(n, 0)::double as n_detected, (coalesce(n, 0) - tp)::double as false_positives, coalesce(tp::double / nullif(n, 0), 0.0::double) as precision, (tp + signal)::double / total as success_rate from (select match_id, count(*) as total, count(*) filter (outcome = 'TRUE_POSITIVE') as tp, count(*) filter (outcome = 'UNRECOVERABLE_MISS') as no_signal, count(*) filter (outcome = 'RECOVERABLE_MISS') as signal, " + ", ".join(f"count(*) filter (event_type = '{k}' and outcome = 'TRUE_POSITIVE')::double / nullif(count(*) filter (event_type = '{k}'), 0) as recall_{k.lower()}" for k in ("FOUR", "SIX", "WICKET")) + " from aligned group by match_id) left join (select match_id, count(*) as n from tagged where event_type <> 'TEAM_MILESTONE' group by match_id) using (match_id)) unpivot (value for metric in (total, true_positives, missed_no_signal, missed_with_signal, recall_four, recall_six, recall_wicket, n_detected, false_positives, precision, success_rate))"),
     "missed_events": (MATCHES, "select match_id, truth_id, event_type, outcome = 'RECOVERABLE_MISS' as has_signal, row_number() over (partition by match_id order by outcome = 'RECOVERABLE_MISS', innings, over_number, ball_in_over, truth_id) as place from aligned where outcome <> 'TRUE_POSITIVE'"),
     "recovery_append": (MATCHES, "select match_id, innings, anchor_seconds as timestamp_seconds, over_number, ball_in_over, event_type, innings || ':' || over_number || '.' || ball_in_over || ':' || event_type as event_key, 0.75::double as confidence, null::int as importance, false as is_replay, 'METADATA' as source, innings || ':' || over_number || '.' || ball_in_over || ':' || event_type || ':' || truth_id as metadata_id from aligned where recovery_eligible"),
-    "enrichment_update": (MATCHES, r"select t.match_id, t.event_key, k.kind as dismissal_type, k.fielder from tagged t join (select match_id, event_key, min_by(kind, truth_id) as kind, min_by(fielder, truth_id) as fielder from (select *, case when regexp_matches(description, '\bc [A-Z]') then 'CAUGHT' when regexp_matches(description, '\bst [A-Z]') then 'STUMPED' when contains(description, 'run out') then 'RUN_OUT' when contains(description, 'lbw') then 'LBW' when contains(description, 'hit wicket') then 'HIT_WICKET' else 'BOWLED' end as kind, nullif(regexp_extract(description, '(?:\bc |\bst |\()([A-Za-z]+)', 1), '') as fielder from aligned where event_type = 'WICKET' and event_key is not null) group by all) k using (match_id, event_key)"),
+    "enrichment_update": (MATCHES, r"select t.match_id, t.event_key, k.kind as dismissal_type, k.fielder from tagged t join (select match_id, event_key, min_by(kind, truth_id) as kind, arg_min_null(fielder, truth_id) as fielder from (select *, case when regexp_matches(description, '\bc [A-Za-z].* b [A-Za-z]') then 'CAUGHT' when regexp_matches(description, '\bst [A-Za-z].* b [A-Za-z]') then 'STUMPED' when description ilike '%run out (%' then 'RUN_OUT' when regexp_matches(description, '(?i)\blbw\b') then 'LBW' when description ilike '%hit wicket%' then 'HIT_WICKET' when regexp_matches(description, '\bb [A-Za-z]') then 'BOWLED' end as kind, nullif(coalesce(nullif(regexp_extract(description, '\b(?:c|st) ([A-Za-z].*) b [A-Za-z]', 1), ''), nullif(regexp_extract(description, '(?i)run out \(([^)]*)\)', 1), '')), '') as fielder from aligned where event_type = 'WICKET' and event_key is not null) where kind is not null group by all) k using (match_id, event_key)"),
+    "false_positives": (MATCHES, "select match_id, event_key from tagged t where event_type <> 'TEAM_MILESTONE' and not exists (select 1 from aligned a where a.match_id = t.match_id and a.event_key = t.event_key)"),
+    "readings_with_innings": (TAGS, "select match_id, reading_id, segment as innings from tag where pos > 0"),
+    "replay_outcomes": (REPLAYS, "select match_id, count(*) filter (is_replay) as n_accepted, count(*) filter (not is_replay) as n_rejected, round(avg(total) filter (is_replay), 6) as mean_score, round(max(total) filter (is_replay), 6) as max_score, round(max(end_seconds - start_seconds) filter (is_replay), 6) as longest_seconds, round(coalesce(sum(end_seconds - start_seconds) filter (is_replay), 0.0::double), 6) as total_seconds from replay_found group by match_id"),
+    "run_counts": (VALID, "select match_id, 'reason_' || reason as metric, count(*) as n from valid where pos > 0 and reason is not null group by all union all select match_id, 'parser_' || ['generic', 'club', 'separate'][(match_id % 3 + 1)::int], count(*) from c group by all"),
 }
 
 

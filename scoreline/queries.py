@@ -227,14 +227,18 @@ def frame_to_segment(spark: SparkSession, sf: str) -> DataFrame:
     return replay.frames_to_segments(feed.frame_scores(spark, sf), segments).select("match_id", "frame_index", "segment_id")
 
 
-@query
-def replay_scoring(spark: SparkSession, sf: str) -> DataFrame:
+def _scored_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Signals of made-up frames: the logo by the frame's score, the scoreboard by its number, intensity and contrast by both."""
     i, score = F.col("frame_index"), F.col("score")
     frames = feed.frame_scores(spark, sf).select(
         "match_id", "timestamp_seconds", (score / 50).alias("logo"), ((i * 7) % 10 + 1.0).alias("scoreboard"), score.alias("motion"), (score * 3 + i % 50).alias("intensity"), (score % 20 + 1.0).alias("contrast")
     )
-    found = replay.score_segments(replay.segment_evidence(frames, replay.candidate_segments(feed.boundaries(spark, sf), _spans(spark, sf))))
+    return replay.score_segments(replay.segment_evidence(frames, replay.candidate_segments(feed.boundaries(spark, sf), _spans(spark, sf))))
+
+
+@query
+def replay_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    found = _scored_segments(spark, sf)
     return found.select("match_id", "segment_id", "start_seconds", "end_seconds", "is_replay", "replay_id", *(F.round(c, 6).alias(c) for c in found.columns if c.endswith("score")))
 
 
@@ -303,15 +307,20 @@ def enrichment_update(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def parsed_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf)
+
+
+def _parsed(spark: SparkSession, sf: str) -> DataFrame:
     """Overlay tokens of three layouts, one for each match, parsed back to fields."""
     score = F.col("runs").cast("string"), F.col("wickets").cast("string"), F.col("over_number").cast("string"), F.col("ball_in_over").cast("string")
-    generic = [F.concat(score[0], F.lit("/"), score[1]), F.concat(score[2], F.lit("."), score[3]), F.lit("Smith*"), F.lit("Jones"), F.lit("B:"), F.lit("Khan")]
-    club = [F.lit("SAI"), F.lit("0(0)"), F.lit("RAO"), F.lit("3"), F.lit("(4)"), F.concat(F.lit("_"), score[0], F.lit("-"), score[1], F.lit("/"), score[2], F.lit("."), score[3], F.lit("(20)")), F.lit("Khan"), F.lit("0-0(0)")]
-    apart = [F.lit("Www"), F.concat(score[0], F.lit("-"), score[1]), F.concat(score[2], F.lit("."), score[3]), F.lit("(20)"), F.lit("x9"), F.lit("Khan"), F.lit("0-12"), F.lit("(3)"), F.lit("CRR:"), F.lit("6.50")]
-    as_tokens = [F.transform(F.array(*layout), lambda t: F.struct(t.alias("text"), F.lit(90.0).alias("conf"))) for layout in (generic, club, apart)]
+    bowler = F.array(*map(F.lit, ("Khan", "Brown", "Iyer", "Mills")))[F.col("k") % 4]
+    generic = [F.concat(score[0], F.lit("/"), score[1]), F.concat(score[2], F.lit("."), score[3]), F.lit("Smith*"), F.lit("Jones"), F.lit("B:"), bowler]
+    club = [F.lit("SAI"), F.lit("0(0)"), F.lit("RAO"), F.lit("3"), F.lit("(4)"), F.concat(F.lit("_"), score[0], F.lit("-"), score[1], F.lit("/"), score[2], F.lit("."), score[3], F.lit("(20)")), bowler, F.lit("0-0(0)")]
+    apart = [F.lit("Www"), F.concat(score[0], F.lit("-"), score[1]), F.concat(score[2], F.lit("."), score[3]), F.lit("(20)"), F.lit("x9"), bowler, F.lit("0-12"), F.lit("(3)"), F.lit("CRR:"), F.lit("6.50")]
+    as_tokens = [F.transform(F.array(*layout), lambda t: F.struct(t.alias("text"), (F.col("k") % 20 + 80.0).alias("conf"))) for layout in (generic, club, apart)]
     kind = F.col("match_id") % 3
-    rows = feed.deliveries(spark, sf).select("match_id", "event_id", F.when(kind == 0, as_tokens[0]).when(kind == 1, as_tokens[1]).otherwise(as_tokens[2]).alias("tokens"))
-    return tokens.parse(rows).select("match_id", "event_id", "layout", "runs", "wickets", "over_number", "ball_in_over", "bowler")
+    rows = feed.deliveries(spark, sf).select("match_id", "event_id", "k", F.when(kind == 0, as_tokens[0]).when(kind == 1, as_tokens[1]).otherwise(as_tokens[2]).alias("tokens"))
+    return tokens.parse(rows).select("match_id", "event_id", "layout", "runs", "wickets", "over_number", "ball_in_over", "bowler", F.round("token_confidence", 6).alias("token_confidence"))
 
 
 @query
@@ -374,7 +383,7 @@ def frames_listed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def effective_fps(spark: SparkSession, sf: str) -> DataFrame:
-    return frame_plans.effective_fps(feed.frame_scores(spark, sf)).withColumn("fps", F.round("fps", 9))
+    return frame_plans.effective_fps(feed.frame_scores(spark, sf), 25.0).withColumn("fps", F.round("fps", 9))
 
 
 @query
@@ -428,6 +437,45 @@ def missed_events(spark: SparkSession, sf: str) -> DataFrame:
     return report.misses(aligned)
 
 
+@query
+def false_positives(spark: SparkSession, sf: str) -> DataFrame:
+    aligned, events = _aligned(spark, sf)
+    return report.false_positives(aligned, events).select("match_id", "event_key")
+
+
+@query
+def accuracy_document(spark: SparkSession, sf: str) -> DataFrame:
+    aligned, events = _aligned(spark, sf)
+    return report.as_document(report.accuracy(aligned, events).withColumn("value", F.round("value", 6)), report.misses(aligned))
+
+
+@query
+def readings_with_innings(spark: SparkSession, sf: str) -> DataFrame:
+    return innings.with_innings(feed.readings(spark, sf, gaps=True)).select("match_id", "reading_id", "innings")
+
+
+@query
+def replay_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = replay.outcomes(_scored_segments(spark, sf))
+    return rows.withColumns({c: F.round(c, 6) for c in rows.columns if c.endswith(("score", "seconds"))})
+
+
+@query
+def run_counts(spark: SparkSession, sf: str) -> DataFrame:
+    reasons = checks.counts_by(innings.validate_readings(feed.readings(spark, sf, gaps=True)), "reason", "reason_")
+    return reasons.unionByName(checks.counts_by(_parsed(spark, sf), "layout", "parser_"))
+
+
+@query
+def clip_of_event(spark: SparkSession, sf: str) -> DataFrame:
+    return filters.looked_up(_events(spark, sf).select("match_id", "event_key").distinct(), _windows(spark, sf), ["match_id", "event_key"], "clip_start")
+
+
+@query
+def events_without_clip(spark: SparkSession, sf: str) -> DataFrame:
+    return filters.known(_events(spark, sf).select("match_id", "event_key").distinct(), _windows(spark, sf), ["match_id", "event_key"], is_known=False)
+
+
 @query
 def parse_over_ball(spark: SparkSession, sf: str) -> DataFrame:
     ball = F.col("ball")

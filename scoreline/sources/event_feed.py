@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 EPOCH_MICROS = 1704067200000000
 BALLS = 30
 SAMPLES = 7
+NAMES = ("Smith", "Mary Ann Evans", "O'Neil", "van der Berg", "Al-Amin", "Q. Idris")
 SAMPLE_MICROS = 500
 
 
@@ -80,15 +81,17 @@ def frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commentary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External descriptions of the balls: match_id, innings, ball ("over.ball"), description, delivery_id."""
+    one, two = (F.array(*map(F.lit, NAMES))[(F.col("k") + F.col("match_id") * i).cast("int") % len(NAMES)] for i in (1, 3))
     form = (
-        F.when(F.col("event_type") == "signup", "FOUR through covers")
-        .when(F.col("event_type") == "purchase", "SIX over long on")
-        .when(F.col("k") % 6 == 0, "OUT c Smith b Jones")
-        .when(F.col("k") % 6 == 1, "OUT st Kumar b Patel")
-        .when(F.col("k") % 6 == 2, "OUT run out (Silva)")
-        .when(F.col("k") % 6 == 3, "OUT lbw b Khan")
-        .when(F.col("k") % 6 == 4, "OUT hit wicket b Ali")
-        .otherwise("OUT b Brown")
+        F.when(F.col("event_type") == "signup", F.concat(F.lit("FOUR, "), one, F.lit(" through covers")))
+        .when(F.col("event_type") == "purchase", F.concat(two, F.lit(" hits a SIX over long on")))
+        .when(F.col("k") % 6 == 0, F.concat(F.lit("OUT c "), one, F.lit(" b "), two))
+        .when(F.col("k") % 6 == 1, F.concat(F.lit("that is OUT! st "), one, F.lit(" b "), two))
+        .when(F.col("k") % 6 == 2, F.concat(F.lit("OUT, Run Out ("), two, F.lit(") by a mile")))
+        .when(F.col("k") % 6 == 3, F.concat(F.lit("OUT LBW b "), one))
+        .when(F.col("k") % 6 == 4, F.concat(F.lit("OUT hit wicket b "), two))
+        .when(F.col("k") % 4 == 1, F.lit("OUT, retired"))
+        .otherwise(F.concat(F.lit("OUT b "), one))
     )
     rows = deliveries(spark, sf_dir).filter("event_type in ('signup', 'purchase', 'error', 'click') and k % 7 <> 0")
     description = F.when(F.col("event_type") == "click", "1 run to mid off").otherwise(form)

@@ -35,16 +35,25 @@ def listed(videos: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def resume(frames: DataFrame, frame_index: int | None = None, seconds: float | None = None, fps: float | None = None) -> DataFrame:
-    """Frames from a point on; a frame index comes before a time."""
+    """Frames from a point on; a frame index comes before a time. A point below 0 is an error, and so is, when the
+    frames are read, one that a match (frame_count, where frames have it) does not reach."""
     if frame_index is None and seconds is not None:
         frame_index = round(seconds * (fps or 0))
-    return frames if frame_index is None else frames.filter(F.col("frame_index") >= frame_index)
-
-
-def effective_fps(stamps: DataFrame) -> DataFrame:
-    """match_id, fps from the first and last decoded frames (frame_index, timestamp_seconds); null where they coincide."""
+    if frame_index is None:
+        return frames
+    if frame_index < 0:
+        raise ValueError("the resume point is before the first frame")
+    rows = frames.filter(F.col("frame_index") >= frame_index)
+    if "frame_count" in frames.columns:
+        beyond = F.raise_error(F.concat(F.lit("resume point beyond the frames of match "), F.col("match_id").cast("string"))).cast("boolean")
+        rows = frames.filter(F.when(F.col("frame_count") <= frame_index, beyond).otherwise(F.col("frame_index") >= frame_index))
+    return rows
+
+
+def effective_fps(stamps: DataFrame, native: float | None = None) -> DataFrame:
+    """match_id, fps from the first and last decoded frames (frame_index, timestamp_seconds); the native rate, if given, where they coincide."""
     rows = stamps.groupBy("match_id").agg(F.count("*").alias("n"), (F.max("timestamp_seconds") - F.min("timestamp_seconds")).alias("span"))
-    return rows.select("match_id", F.when(F.col("span") > 0, (F.col("n") - 1) / F.col("span")).alias("fps"))
+    return rows.select("match_id", F.when(F.col("span") > 0, (F.col("n") - 1) / F.col("span")).otherwise(F.lit(native).cast("double")).alias("fps"))
 
 
 def on_axis(frames: DataFrame, readings: DataFrame) -> DataFrame:
