@@ -42,8 +42,8 @@ PART_BYTES = 16 << 20
 ORDER = ["t", "k", "x", "y"]
 BUCKET = 64
 PART = 2048
-#: A node with more than 1 / HUBS of the edges is a hub.
-HUBS = 512
+#: Rows of one key are dealt to so many places, if it has so many.
+SALTS = 1024
 #: The rank of nodes without an id: after all others.
 NO_ID = (1 << 63) - 1
 #: Comparisons (a fingerprint with 64 lanes) held in memory at once.
@@ -241,27 +241,26 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b): root is the smallest node of its component.
 
     Large-star and small-star steps alternate until the edges stay the same; each pair of steps is checkpointed.
-    The least neighbour of a node reaches its edges by a join on the node; for the nodes that hold more than 1 / HUBS
-    of the edges, fewer than HUBS, by a broadcast, so that no task gets all edges of a hub.
+    The edges of a node are dealt by a salt as well, and its least neighbour goes to the salts that it has, so that no
+    task gets all edges of a hub.
     """
 
     def sign(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    def with_least(df: DataFrame, n: int) -> DataFrame:
-        """df with m, the least b of each a, for a df of at most n rows."""
-        least = df.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"), F.count("*").alias("degree"))
-        hubs = F.broadcast(least.filter(F.col("degree") * HUBS > n).select("c", "m"))
-        rest = df.join(hubs.select("c"), F.col("a") == F.col("c"), "left_anti")
-        rest = rest.join(least.filter(F.col("degree") * HUBS <= n).select("c", "m"), F.col("a") == F.col("c"))
-        return df.join(hubs, F.col("a") == F.col("c")).unionByName(rest).drop("c")
+    def with_least(df: DataFrame) -> DataFrame:
+        """df with m, the least b of each a."""
+        df = df.withColumn("salt", salt("b")).repartition("a", "salt")
+        least = df.groupBy("a", "salt").agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+        least = least.select(F.col("a").alias("c"), "m", F.explode("salts").alias("z"))
+        return df.join(least, (F.col("a") == F.col("c")) & (F.col("salt") == F.col("z"))).select("a", "b", "m")
 
     edges = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = sign(edges)
     while True:
         sym = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = with_least(sym, 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).filter("a <> b").distinct()
-        small = with_least(large, seen[0]).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        large = with_least(sym).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).filter("a <> b").distinct()
+        small = with_least(large).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         edges = checkpointed(small.filter("a <> b").distinct())
         now = sign(edges)
         if now == seen:
@@ -294,19 +293,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
     link others, and have the component_id null if no row they reach has an id. Repeated rows share a component. An
     empty table gives no row.
     """
-    marked = checkpointed(fingerprints(docs, width))
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows")))
+    marked = checkpointed(fingerprints(docs, width).withColumn("salt", salt("doc_id")))
+    nodes = marked.groupBy("fp", "salt").agg(F.min("doc_id").alias("least_id"))
+    nodes = checkpointed(nodes.groupBy("fp").agg(F.min("least_id").alias("least_id"), F.collect_list("salt").alias("salts")))
     return with_components(marked, nodes, "fp", links(nodes, nodes.count(), radius, bucket, part))
 
 
+def salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
 def with_components(marked: DataFrame, nodes: DataFrame, name: str, edges: DataFrame) -> DataFrame:
-    """doc_id, name and component_id of marked (doc_id, name); those of the nodes (name, least_id, rows) with more than 1 / HUBS of the rows, fewer than HUBS, by a broadcast."""
-    total = nodes.agg(F.sum("rows")).first()[0] or 0
-    labels = checkpointed(labelled(nodes, name, edges).join(nodes.select(F.col(name).alias("n_name"), (F.col("rows") * HUBS > total).alias("hub")), F.col(name) == F.col("n_name")).select(F.col(name).alias("l_name"), "component_id", "hub"))
-    hubs = F.broadcast(labels.filter("hub"))
-    rest = marked.join(hubs, F.col(name) == F.col("l_name"), "left_anti").join(labels.filter("not hub"), F.col(name) == F.col("l_name"))
-    columns = ["doc_id", name, "component_id"]
-    return marked.join(hubs, F.col(name) == F.col("l_name")).select(*columns).unionByName(rest.select(*columns))
+    """doc_id, name and component_id of marked (doc_id, name, salt); nodes (name, least_id, salts) says which salts a name has, as one name may have a large share of all rows."""
+    held = nodes.select(F.col(name).alias("h_name"), F.explode("salts").alias("z"))
+    labels = labelled(nodes, name, edges).withColumnRenamed(name, "l_name")
+    labels = labels.join(held, F.col("l_name") == F.col("h_name")).select("l_name", "z", "component_id")
+    return marked.join(labels, (F.col(name) == F.col("l_name")) & (F.col("salt") == F.col("z"))).select("doc_id", name, "component_id")
 
 
 def signature(shingles: np.ndarray) -> list[int]:
@@ -364,8 +366,9 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SH
         sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in texts(batch)]
         return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["s_node", "shingles"])
 
-    marked = checkpointed(map_batches(own, sketch, "doc_id long, node binary, bands array<long>"))
-    nodes = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.count("*").alias("rows")))
+    marked = checkpointed(map_batches(own, sketch, "doc_id long, node binary, bands array<long>").withColumn("salt", salt("doc_id")))
+    nodes = marked.groupBy("node", "salt").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
+    nodes = checkpointed(nodes.groupBy("node").agg(F.min("least_id").alias("least_id"), F.first("bands").alias("bands"), F.collect_list("salt").alias("salts")))
     met = nodes.select("node", rank(), F.posexplode("bands").alias("t", "k"))
     # Of the buckets that hold the same nodes, one is enough.
     buckets = met.groupBy("t", "k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("v")).filter("n > 1")
@@ -389,7 +392,7 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SH
                     b.append(start + r)
         return pa.RecordBatch.from_arrays([ends_of(*own, a), ends_of(*own, b)], names=["a", "b"])
 
-    return with_components(marked.select("doc_id", "node"), nodes.select("node", "least_id", "rows"), "node", met.mapInArrow(by_bucket(compare), "a struct<i: long, n: binary>, b struct<i: long, n: binary>"))
+    return with_components(marked.select("doc_id", "node", "salt"), nodes.select("node", "least_id", "salts"), "node", met.mapInArrow(by_bucket(compare), "a struct<i: long, n: binary>, b struct<i: long, n: binary>"))
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SHINGLE) -> DataFrame:
