@@ -436,10 +436,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             x[side] = sums([t for t, mine in zip(own, side, strict=True) if mine], other, Codes(other))
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = map_batches(sample, features, "y int, x array<double>").orderBy("y", "x").toPandas()  # the same sums in any partitioning
-    y = rows["y"].to_numpy(float)
+    rows = map_batches(sample, features, "y int, x array<double>").toPandas()
+    x = np.array(rows["x"].tolist())
+    order = np.lexsort((*x.T, rows["y"]))  # the same sums in any partitioning
+    x, y = x[order], rows["y"].to_numpy(float)[order]
     weight = np.where(y == 1, stands_for.get(1, 1.0), stands_for.get(0, 1.0))
-    model.coefficients = logistic(np.array(rows["x"].tolist()), y, weight)
+    model.coefficients = logistic(x, y, weight)
     return model
 
 
