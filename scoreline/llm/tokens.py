@@ -135,12 +135,21 @@ def word_ids(tokenizer_file: str):
     return of
 
 
+def same_as_whole(tokenizer_file: str, piece: pa.RecordBatch, words: list[list[bytes]], known: dict[bytes, bytes]) -> None:
+    """An error if the first text with words, as a whole, has other ids than its words in a row: the tokenizer doesn't cut at white space."""
+    at = next((i for i, ws in enumerate(words) if ws), None)
+    if at is not None:
+        whole = _cache[(tokenizer_file,)][0].encode(texts(piece)[at], add_special_tokens=False).ids
+        if np.array(whole, "<u4").tobytes() != b"".join(map(known.__getitem__, words[at])):
+            raise ValueError(f"{tokenizer_file} does not cut texts at white space alone")
+
+
 def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, path: str) -> None:
     """Encode docs (doc_id, text) and write segments in ascending doc_id order to the folder path.
 
     Texts are never cut; null texts are empty; null ids come first; rows of one id are in order of their texts. The
-    ids are those of encoding the whole text, which is tested. Other columns are not read. An empty table gives an
-    empty file set.
+    ids are those of encoding the whole text, which is compared for one text of every batch. Other columns are not
+    read. An empty table gives an empty file set.
     """
 
     def encode(batches):
@@ -164,6 +173,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, path: str) -
             for piece in slices(batch):
                 words = [t.split() for t in texts_as_bytes(piece)]
                 known = of([w for ws in words for w in ws])
+                same_as_whole(tokenizer_file, piece, words, known)
                 for doc_id, ws in zip(texts(piece, "doc_id"), words, strict=True):
                     got = np.frombuffer(b"".join(map(known.__getitem__, ws)) + end, "<u4")
                     doc_ids.append(doc_id)
@@ -210,6 +220,11 @@ def read_tokens(segments: DataFrame) -> DataFrame:
 
 
 def encode_and_read(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every row of docs, read back from the file set that write_tokens makes of it.
+
+    Null and empty texts have the end id alone. Rows without an id and repeated rows are documents of their own. Texts
+    are read whole; columns other than doc_id and text are not read. An empty table gives no row.
+    """
     spark = docs.sparkSession
     path = f"{shared_path(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, tokenizer_file, end_id, path)

@@ -315,6 +315,23 @@ def test_words_make_up_the_text(text):
     assert np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
 
 
+def test_tokenizers_that_do_not_cut_at_white_space_are_refused(spark, data):
+    import glob
+
+    docs, refused = spark.createDataFrame([(1, "two  words\nand  more")], "doc_id long, text string"), 0
+    for path in sorted(glob.glob("/opt/tokenizers/*.json")):
+        try:
+            whole = Tokenizer.from_file(path).encode("two  words\nand  more", add_special_tokens=False).ids
+            parts = [i for w in ("two", "words", "and", "more") for i in Tokenizer.from_file(path).encode(w, add_special_tokens=False).ids]
+        except Exception:  # not a tokenizer
+            continue
+        if whole != parts:
+            refused += 1
+            with pytest.raises(Exception, match="white space"):
+                tokens.encode_and_read(docs, path, 2).collect()
+    assert tokens.encode_and_read(docs, TOKENIZER, 2).count() == 1
+
+
 # Toxicity
 
 
