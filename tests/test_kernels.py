@@ -5,7 +5,7 @@ import pytest
 
 from scoreline.operators.alignment import AnchorWalk
 from scoreline.operators.innings import ACCEPTED, IMPLAUSIBLE, NO_OVER_BALL, NOT_A_CANDIDATE, NOT_PERSISTENT, TOO_MANY, InningsTracker, ReadingValidator, TrackerConfig
-from scoreline.operators.replay import NEUTRAL, deviation
+from scoreline.operators.replay import fallen
 
 
 def test_tracker_accepts_after_two_confirmations():
@@ -76,11 +76,11 @@ def test_anchor_walk_without_candidates_or_with_bad_ones():
     assert AnchorWalk().visit(1, 0, [(0, True, 1.0, 0, 0, 0.1)])[:3] == (None, "UNRESOLVED", "INSUFFICIENT")
 
 
-def test_deviation():
-    assert deviation(None, 1.0) == NEUTRAL
-    assert deviation(0.0, 1.0) == 0.0
-    assert deviation(4.0, 1.0) == 0.75
-    assert deviation(1.0, 4.0) == 0.0
+def test_fallen():
+    assert fallen(0.0, 1.0) == 0.0
+    assert fallen(4.0, 1.0) == 0.75
+    assert fallen(1.0, 4.0) == 0.0
+    assert fallen(2.0, -5.0) == 1.0
 
 
 def test_suppress_close(spark):

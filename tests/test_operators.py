@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreline.functions import scalar
-from scoreline.operators import checks, clips, filters, intervals, repair, report, smoothing, states, tokens
+from scoreline.operators import alignment, checks, clips, filters, innings, intervals, repair, replay, report, smoothing, states, tokens
 from scoreline.sources import analysis_log, commentary, files, frames, sinks
 
 READING = "match_id long, innings int, timestamp_seconds double, reading_id long, over_number int, ball_in_over int, runs int, wickets int, batter string, ocr_confidence double, parse_confidence double"
@@ -96,8 +96,8 @@ def test_milestones(spark):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        (["125/3", "12.3", "Smith*", "Jones", "B:", "Kumar"], ("generic", 125, 3, 12, 3, "Smith", "Jones", "Kumar", None)),
-        (["MAHESH", "0(0)", "SAI", "KRISHNA", "3", "(4)", "_0-0/0.0(20)", "RAO", "0-0(0)"], ("club", 0, 0, 0, 0, "MAHESH", "SAI KRISHNA", "RAO", None)),
+        (["88/2", "9.4", "Okoro*", "Lund", "B:", "Petit"], ("generic", 88, 2, 9, 4, "Okoro", "Lund", "Petit", None)),
+        (["OKORO", "7(5)", "ANN", "LUND", "2", "(3)", "_9-1/1.2(20)", "PETIT", "0-4(1)"], ("club", 9, 1, 1, 2, "OKORO", "ANN LUND", "PETIT", None)),
         (["Www", "12-0", "1.0,", "(20)]", "Mo", "Ali", "x", "0-12", "(1)", "CRR:", "12.00"], ("separate", 12, 0, 1, 0, None, None, "Mo Ali", 12.0)),
         (["Www", "(90-5", "13.3", "20)"], ("separate", 90, 5, 13, 3, None, None, None, None)),
         ([], ("generic", None, None, None, None, None, None, None, None)),
@@ -229,3 +229,87 @@ def test_misses_without_a_signal_come_first(spark):
 def test_ocr_quality(spark):
     df = spark.createDataFrame([(0.6,), (0.59,), (0.35,), (0.15,), (0.0,), (None,)], "c double")
     assert [r[0] for r in df.select(scalar.ocr_quality(F.col("c"))).collect()] == ["HIGH", "MEDIUM", "MEDIUM", "LOW", "INSUFFICIENT", "UNKNOWN"]
+
+
+def test_commentary_beyond_the_overs_read_is_an_error(spark):
+    rows = readings(spark, [5, 5, 6])
+    truth = spark.createDataFrame([(1, 1, 0, 2, "FOUR", "FOUR", 7), (1, 1, 3, 0, "SIX", "SIX", 8)], "match_id long, innings int, over_number int, ball_in_over int, event_type string, description string, truth_id long")
+    alignment.require_in_range(truth.filter("over_number = 0"), rows)
+    with pytest.raises(ValueError, match=r"match 1 innings 1 over 3 \(read up to 0\)"):
+        alignment.require_in_range(truth, rows)
+
+
+def test_resume_points(spark):
+    df = spark.createDataFrame([(1, i, 5) for i in range(5)], "match_id long, frame_index long, frame_count long")
+    assert sorted(r.frame_index for r in frames.resume(df, 3, seconds=0.0, fps=25.0).collect()) == [3, 4]
+    assert sorted(r.frame_index for r in frames.resume(df, seconds=0.08, fps=25.0).collect()) == [2, 3, 4]
+    with pytest.raises(ValueError, match="before the first"):
+        frames.resume(df, -1)
+    with pytest.raises(Exception, match="beyond the frames of match 1"):
+        frames.resume(df, 5).collect()
+
+
+def test_frame_rate_falls_back_to_the_native_one(spark):
+    df = spark.createDataFrame([(1, 0, 2.0), (2, 0, 0.0), (2, 1, 0.5)], "match_id long, frame_index long, timestamp_seconds double")
+    assert {r.match_id: r.fps for r in frames.effective_fps(df, 30.0).collect()} == {1: 30.0, 2: 2.0}
+    assert {r.match_id: r.fps for r in frames.effective_fps(df).collect()} == {1: None, 2: 2.0}
+
+
+def test_innings_confidence_falls_back(spark):
+    """A low confidence asks for more confirmations, wherever it comes from."""
+    rows = [(1, float(i), i, r, w, 0, None, t, p) for i, (r, w, t, p) in enumerate([(90, 5, 0.9, 1.0), (3, 0, 0.9, 0.0), (4, 0, 0.9, 0.0), (80, 4, 0.9, 1.0)])]
+    schema = "match_id long, timestamp_seconds double, reading_id long, runs int, wickets int, over_number int, ocr_confidence double, mean_token_confidence double, parse_confidence double"
+    df = spark.createDataFrame(rows, schema)
+    assert in_order(innings.tag_innings(df), "decision")[1:3] == ["REJECTED_INSUFFICIENT_PERSISTENCE", "ACCEPTED"]
+    assert in_order(innings.tag_innings(df.drop("mean_token_confidence")), "decision")[1:3] == ["REJECTED_INSUFFICIENT_PERSISTENCE"] * 2
+    assert in_order(innings.with_innings(df), "innings") == [1, 1, 2, 2]
+
+
+def segments(spark, rows):
+    return spark.createDataFrame([(1, i, float(10 * i), float(10 * i + seconds), *more) for i, (seconds, *more) in enumerate(rows)], "match_id long, segment_id int, start_seconds double, end_seconds double, boundary_confidence double, boundary_type string, n_frames int, logo double, scoreboard double, motion double, intensity double, contrast double")
+
+
+def test_segment_signals(spark):
+    live = (10, None, None, 4, 0.0, 8.0, 20.0, 100.0, 30.0)
+    replay_cut = (10, 0.8, "REPLAY_TRANSITION", 4, 1.0, 2.0, 5.0, 130.0, 70.0)
+    plain_cut = (10, 0.8, "ORDINARY_CUT", 4, 1.0, 8.0, 20.0, 100.0, 30.0)
+    nothing_seen = (10, 0.9, "REPLAY_TRANSITION", 0, None, None, None, None, None)
+    short = (2, *replay_cut[1:])
+    got = replay.score_segments(segments(spark, [live, live, live, replay_cut, plain_cut, nothing_seen, short])).orderBy("segment_id").collect()
+    cold = 0.25 * 0.5 + 0.25 * 0.5 + 0.15 * 0.5
+    assert [r.score for r in got[:3]] == pytest.approx([cold] * 3)
+    # A strong logo raises the score, the boundary counts by its type, and far features are another camera.
+    assert (got[3].logo_score, got[3].scoreboard_score, got[3].motion_score, got[3].transition_score, got[3].camera_score) == pytest.approx((1.0, 0.75, 0.75, 0.8, 1.0))
+    assert got[3].score == pytest.approx(0.15 + 0.25 * 0.75 * 2 + 0.2 * 0.8 + 0.15)
+    assert (got[4].logo_score, got[4].transition_score, got[4].score) == pytest.approx((1.0, 0.0, 0.15))
+    assert (got[5].logo_score, got[5].scoreboard_score, got[5].camera_score, got[5].score) == pytest.approx((0.0, 0.5, 0.5, cold + 0.2 * 0.9))
+    assert [r.is_replay for r in got] == [False, False, False, True, False, True, False]  # the last is too short
+    assert [r.replay_id for r in got] == [None, None, None, 0, None, 1, None]
+    totals = replay.outcomes(replay.score_segments(segments(spark, [live, live, live, replay_cut]))).first()
+    assert (totals.n_accepted, totals.n_rejected, totals.longest_seconds) == (1, 3, 10.0)
+
+
+def test_segments_after_the_last_frame_are_left_out(spark):
+    cuts = spark.createDataFrame([(1, 10.0, "REPLAY_TRANSITION", 0.7), (1, 10.0, "ORDINARY_CUT", 0.9), (1, 20.0, "ORDINARY_CUT", 0.5)], "match_id long, timestamp_seconds double, boundary_type string, confidence double")
+    found = replay.candidate_segments(cuts, spark.createDataFrame([(1, 30.0)], "match_id long, duration_seconds double"))
+    assert [(r.start_seconds, r.boundary_type) for r in found.orderBy("segment_id").collect()] == [(0.0, None), (10.0, "ORDINARY_CUT"), (20.0, "ORDINARY_CUT")]
+    seen = spark.createDataFrame([(1, 12.0, 0.1, 1.0, 2.0, 3.0, 4.0), (1, 14.0, 0.3, 1.0, 2.0, 3.0, 4.0)], "match_id long, timestamp_seconds double, logo double, scoreboard double, motion double, intensity double, contrast double")
+    rows = replay.segment_evidence(seen, found).orderBy("segment_id").collect()
+    assert [(r.segment_id, r.n_frames, r.logo) for r in rows] == [(0, 0, None), (1, 2, pytest.approx(0.2))]
+
+
+def test_lookups(spark):
+    df = spark.createDataFrame([(1, "a", 5), (1, "a", 4), (2, "b", 6)], "match_id long, name string, x int")
+    asked = spark.createDataFrame([(1, "a"), (3, "c")], "match_id long, name string")
+    assert filters.find_one(df, match_id=1, name="a").count() == 1 and filters.find_one(df, match_id=9).count() == 0
+    assert [r.match_id for r in filters.known(asked, df, ["match_id", "name"]).collect()] == [1]
+    assert [r.match_id for r in filters.known(asked, df, ["match_id", "name"], is_known=False).collect()] == [3]
+    assert {r.match_id: r.x for r in filters.looked_up(asked, df, ["match_id", "name"], "x").collect()} == {1: 4, 3: None}
+
+
+def test_accuracy_document(spark):
+    figures = spark.createDataFrame([(1, "total", 2.0), (1, "precision", 0.5), (2, "total", 0.0)], "match_id long, metric string, value double")
+    missed = spark.createDataFrame([(1, 7, "SIX", False, 1)], "match_id long, truth_id long, event_type string, has_signal boolean, place int")
+    got = {r.match_id: json.loads(r.report) for r in report.as_document(figures, missed).collect()}
+    assert got[1] == {"match_id": 1, "figures": {"precision": 0.5, "total": 2.0}, "missed_events": [{"place": 1, "truth_id": 7, "event_type": "SIX", "has_signal": False}]}
+    assert got[2]["missed_events"] == []
