@@ -275,6 +275,16 @@ aligned as (select t.match_id, t.innings, t.over_number, t.ball_in_over, t.event
   from truth t join anchors a using (match_id, truth_id) left join (select match_id, truth_id, event_key from take where truth_id is not null) m using (match_id, truth_id))
 """
 
+ACCURACY = "select match_id, metric, value from (select match_id, total::double as total, tp::double as true_positives, no_signal::double as missed_no_signal, signal::double as missed_with_signal, recall_four, recall_six, recall_wicket, coalesce(n, 0)::double as n_detected, (coalesce(n, 0) - tp)::double as false_positives, coalesce(tp::double / nullif(n, 0), 0.0::double) as precision, (tp + signal)::double / total as success_rate from (select match_id, count(*) as total, count(*) filter (outcome = 'TRUE_POSITIVE') as tp, count(*) filter (outcome = 'UNRECOVERABLE_MISS') as no_signal, count(*) filter (outcome = 'RECOVERABLE_MISS') as signal, " + ", ".join(f"count(*) filter (event_type = '{k}' and outcome = 'TRUE_POSITIVE')::double / nullif(count(*) filter (event_type = '{k}'), 0) as recall_{k.lower()}" for k in ("FOUR", "SIX", "WICKET")) + " from aligned group by match_id) left join (select match_id, count(*) as n from tagged where event_type <> 'TEAM_MILESTONE' group by match_id) using (match_id)) unpivot (value for metric in (total, true_positives, missed_no_signal, missed_with_signal, recall_four, recall_six, recall_wicket, n_detected, false_positives, precision, success_rate))"
+
+MISSES = "select match_id, truth_id, event_type, outcome = 'RECOVERABLE_MISS' as has_signal, row_number() over (partition by match_id order by outcome = 'RECOVERABLE_MISS', innings, over_number, ball_in_over, truth_id) as place from aligned where outcome <> 'TRUE_POSITIVE'"
+
+DOCUMENT = """
+select f.match_id, '{"match_id":' || f.match_id || ',"figures":{' || figures || '},"missed_events":[' || coalesce(listed, '') || ']}' as report
+from (select match_id, string_agg('"' || metric || '":' || round(value, 6), ',' order by metric) as figures from figures group by match_id) f
+left join (select match_id, string_agg('{"place":' || place || ',"truth_id":' || truth_id || ',"event_type":"' || event_type || '","has_signal":' || has_signal || '}', ',' order by place) as listed from misses group by match_id) m using (match_id)
+"""
+
 FOLDS = {
     "innings_tags": (TAGS, "select match_id, reading_id, d as decision, segment from tag where pos > 0"),
     "reading_validation": (VALID, "select match_id, reading_id, reason, case when reason is null then 1.0::double else 0.0::double end as parse_confidence from valid where pos > 0"),
@@ -285,8 +295,9 @@ FOLDS = {
     "anchor_walk": (ANCHORS, "select * from anchors"),
     "tier_summary": (ANCHORS, "select match_id, count(*) filter (tier = 'HIGH') as high, count(*) filter (tier = 'MEDIUM') as medium, count(*) filter (tier = 'LOW') as low, count(*) filter (tier = 'UNRESOLVED') as unresolved, sum(n_violations)::bigint as violations, sum(n_prevented)::bigint as prevented from anchors group by match_id"),
     "greedy_match": (MATCHES, "select match_id, truth_id, event_key, outcome, recovery_eligible from aligned"),
-    "accuracy_report": (MATCHES, "select match_id, metric, value from (select match_id, total::double as total, tp::double as true_positives, no_signal::double as missed_no_signal, signal::double as missed_with_signal, recall_four, recall_six, recall_wicket, coalesce(n, 0)::double as n_detected, (coalesce(n, 0) - tp)::double as false_positives, coalesce(tp::double / nullif(n, 0), 0.0::double) as precision, (tp + signal)::double / total as success_rate from (select match_id, count(*) as total, count(*) filter (outcome = 'TRUE_POSITIVE') as tp, count(*) filter (outcome = 'UNRECOVERABLE_MISS') as no_signal, count(*) filter (outcome = 'RECOVERABLE_MISS') as signal, " + ", ".join(f"count(*) filter (event_type = '{k}' and outcome = 'TRUE_POSITIVE')::double / nullif(count(*) filter (event_type = '{k}'), 0) as recall_{k.lower()}" for k in ("FOUR", "SIX", "WICKET")) + " from aligned group by match_id) left join (select match_id, count(*) as n from tagged where event_type <> 'TEAM_MILESTONE' group by match_id) using (match_id)) unpivot (value for metric in (total, true_positives, missed_no_signal, missed_with_signal, recall_four, recall_six, recall_wicket, n_detected, false_positives, precision, success_rate))"),
-    "missed_events": (MATCHES, "select match_id, truth_id, event_type, outcome = 'RECOVERABLE_MISS' as has_signal, row_number() over (partition by match_id order by outcome = 'RECOVERABLE_MISS', innings, over_number, ball_in_over, truth_id) as place from aligned where outcome <> 'TRUE_POSITIVE'"),
+    "accuracy_report": (MATCHES, ACCURACY),
+    "accuracy_document": (MATCHES + ", figures as (" + ACCURACY + "), misses as (" + MISSES + ")", DOCUMENT),
+    "missed_events": (MATCHES, MISSES),
     "recovery_append": (MATCHES, "select match_id, innings, anchor_seconds as timestamp_seconds, over_number, ball_in_over, event_type, innings || ':' || over_number || '.' || ball_in_over || ':' || event_type as event_key, 0.75::double as confidence, null::int as importance, false as is_replay, 'METADATA' as source, innings || ':' || over_number || '.' || ball_in_over || ':' || event_type || ':' || truth_id as metadata_id from aligned where recovery_eligible"),
     "enrichment_update": (MATCHES, r"select t.match_id, t.event_key, k.kind as dismissal_type, k.fielder from tagged t join (select match_id, event_key, min_by(kind, truth_id) as kind, arg_min_null(fielder, truth_id) as fielder from (select *, case when regexp_matches(description, '\bc [A-Za-z].* b [A-Za-z]') then 'CAUGHT' when regexp_matches(description, '\bst [A-Za-z].* b [A-Za-z]') then 'STUMPED' when description ilike '%run out (%' then 'RUN_OUT' when regexp_matches(description, '(?i)\blbw\b') then 'LBW' when description ilike '%hit wicket%' then 'HIT_WICKET' when regexp_matches(description, '\bb [A-Za-z]') then 'BOWLED' end as kind, nullif(coalesce(nullif(regexp_extract(description, '\b(?:c|st) ([A-Za-z].*) b [A-Za-z]', 1), ''), nullif(regexp_extract(description, '(?i)run out \(([^)]*)\)', 1), '')), '') as fielder from aligned where event_type = 'WICKET' and event_key is not null) where kind is not null group by all) k using (match_id, event_key)"),
     "false_positives": (MATCHES, "select match_id, event_key from tagged t where event_type <> 'TEAM_MILESTONE' and not exists (select 1 from aligned a where a.match_id = t.match_id and a.event_key = t.event_key)"),
