@@ -291,7 +291,7 @@ FOLDS = {
     "validation_reasons": (VALID, "select match_id, reason, count(*) as n from valid where pos > 0 group by all"),
     "events_last_accepted": (ACCEPTED, "select f.*, coalesce(f.timestamp_seconds <= r.end_seconds, false) as is_replay from acc_found f asof left join replays r on f.match_id = r.match_id and f.timestamp_seconds >= r.start_seconds"),
     "cut_suppression": (SUPPRESSED, "select match_id, l[pos].f as frame_index, l[pos].t as timestamp_seconds, l[pos].s as score from sup where pos > 0 and keep"),
-    "replay_scoring": (REPLAYS, "select match_id, segment_id, start_seconds, end_seconds, is_replay, case when is_replay then row_number() over (partition by match_id, is_replay order by start_seconds, end_seconds) - 1 end as replay_id, round(logo, 6) as logo_score, round(board, 6) as scoreboard_score, round(motion, 6) as motion_score, round(transition, 6) as transition_score, round(camera, 6) as camera_score, round(total, 6) as score from replay_found"),
+    "replay_scoring": (REPLAYS, "select match_id, segment_id, start_seconds, end_seconds, is_replay, case when is_replay then row_number() over (partition by match_id, is_replay order by start_seconds, end_seconds) - 1 end as replay_id, round(logo, 9) as logo_score, round(board, 9) as scoreboard_score, round(motion, 9) as motion_score, round(transition, 9) as transition_score, round(camera, 9) as camera_score, round(total, 9) as score from replay_found"),
     "anchor_walk": (ANCHORS, "select * from anchors"),
     "tier_summary": (ANCHORS, "select match_id, count(*) filter (tier = 'HIGH') as high, count(*) filter (tier = 'MEDIUM') as medium, count(*) filter (tier = 'LOW') as low, count(*) filter (tier = 'UNRESOLVED') as unresolved, sum(n_violations)::bigint as violations, sum(n_prevented)::bigint as prevented from anchors group by match_id"),
     "greedy_match": (MATCHES, "select match_id, truth_id, event_key, outcome, recovery_eligible from aligned"),
@@ -302,7 +302,7 @@ FOLDS = {
     "enrichment_update": (MATCHES, r"select t.match_id, t.event_key, k.kind as dismissal_type, k.fielder from tagged t join (select match_id, event_key, min_by(kind, truth_id) as kind, arg_min_null(fielder, truth_id) as fielder from (select *, case when regexp_matches(description, '\bc [A-Za-z].* b [A-Za-z]') then 'CAUGHT' when regexp_matches(description, '\bst [A-Za-z].* b [A-Za-z]') then 'STUMPED' when description ilike '%run out (%' then 'RUN_OUT' when regexp_matches(description, '(?i)\blbw\b') then 'LBW' when description ilike '%hit wicket%' then 'HIT_WICKET' when regexp_matches(description, '\bb [A-Za-z]') then 'BOWLED' end as kind, nullif(coalesce(nullif(regexp_extract(description, '\b(?:c|st) ([A-Za-z].*) b [A-Za-z]', 1), ''), nullif(regexp_extract(description, '(?i)run out \(([^)]*)\)', 1), '')), '') as fielder from aligned where event_type = 'WICKET' and event_key is not null) where kind is not null group by all) k using (match_id, event_key)"),
     "false_positives": (MATCHES, "select match_id, event_key from tagged t where event_type <> 'TEAM_MILESTONE' and not exists (select 1 from aligned a where a.match_id = t.match_id and a.event_key = t.event_key)"),
     "readings_with_innings": (TAGS, "select match_id, reading_id, segment as innings from tag where pos > 0"),
-    "replay_outcomes": (REPLAYS, "select match_id, count(*) filter (is_replay) as n_accepted, count(*) filter (not is_replay) as n_rejected, round(avg(total) filter (is_replay), 6) as mean_score, round(max(total) filter (is_replay), 6) as max_score, round(max(end_seconds - start_seconds) filter (is_replay), 6) as longest_seconds, round(coalesce(sum(end_seconds - start_seconds) filter (is_replay), 0.0::double), 6) as total_seconds from replay_found group by match_id"),
+    "replay_outcomes": (REPLAYS, "select match_id, count(*) filter (is_replay) as n_accepted, count(*) filter (not is_replay) as n_rejected, round(avg(total) filter (is_replay), 9) as mean_score, round(max(total) filter (is_replay), 9) as max_score, round(max(end_seconds - start_seconds) filter (is_replay), 9) as longest_seconds, round(coalesce(sum(end_seconds - start_seconds) filter (is_replay), 0.0::double), 9) as total_seconds from replay_found group by match_id"),
     "run_counts": (VALID, "select match_id, 'reason_' || reason as metric, count(*) as n from valid where pos > 0 and reason is not null group by all union all select match_id, 'parser_' || ['generic', 'club', 'separate'][(match_id % 3 + 1)::int], count(*) from c group by all"),
 }
 
