@@ -24,8 +24,9 @@ Learning. At most SAMPLE labelled rows of each label are used, chosen by a hash
 4 to 6 letters) is taken as an insult if its share of toxic texts is above the sample's by more than chance allows
 for as many stems as were tried; up to ROUNDS times more, stems are looked for in the texts that hold none yet. Texts of
 one label with the same words in the same order count once, so that copies of one text don't turn its words into insults.
-With the stems known, the words up to TARGET_REACH places from an insult in its clause are counted: those that toxic
-texts have there more often than chance allows become targets, those that clean texts have there become negations.
+With the stems known, the words up to TARGET_REACH places from an insult in its clause are counted. What is expected of a
+word's texts is the share of toxic ones among those of the same stem, so that words of a language whose stems are surer
+are not taken for telling: words with more toxic texts than chance allows become targets, those with fewer negations.
 """
 
 from __future__ import annotations
@@ -302,11 +303,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int =
     return sample.select("doc_id", "text", "y"), {y: max(1.0, n / most) for y, n in counts.items()}
 
 
-def surprising(t: np.ndarray, f: np.ndarray, toxic: float, clean: float, tried: int) -> np.ndarray:
-    """Whether t of toxic and f of clean texts is more than chance gives to any of the stems tried (odds of 1 to 3)."""
-    base, n = toxic / max(1, toxic + clean), t + f
+def surprising(t: np.ndarray, f: np.ndarray, base: np.ndarray | float, tried: int) -> np.ndarray:
+    """Whether t toxic and f clean texts, where a share of base is expected, are more toxic than chance makes any of the words tried (odds of 1 to 3)."""
+    n, base = t + f, np.clip(base, 1e-12, 1 - 1e-12)
     share = np.clip(t / np.maximum(n, 1), 1e-12, 1 - 1e-12)
-    divergence = share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)) if 0 < base < 1 else np.zeros(len(t))
+    divergence = share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base))
     return (share > base) & (n * divergence > np.log(3 * max(1, tried)))
 
 
@@ -352,7 +353,7 @@ def learn_stems(rows: DataFrame, rate: float, least_precision: float = 0.8) -> d
         found = found[~whole]
         t, f = found["n"].to_numpy(float), found["n_clean"].to_numpy(float)
         found["weight"] = np.log((t + 0.5) / (left + 1)) - np.log((f + 0.5) / (others + 1))
-        found = found[surprising(t, f, left, others, len(found)) & (t / (t + f * rate) >= least_precision)]
+        found = found[surprising(t, f, left / max(1, left + others), len(found)) & (t / (t + f * rate) >= least_precision)]
         if not len(found):
             break
         for stem, weight in sorted(zip(found["stem"], found["weight"], strict=True), key=lambda x: (len(x[0]), x[0])):
@@ -362,37 +363,39 @@ def learn_stems(rows: DataFrame, rate: float, least_precision: float = 0.8) -> d
 
 
 def learn_beside(rows: DataFrame, model: ToxicityModel) -> dict[str, int]:
-    """Words that stand near insults in toxic texts (targets) or in clean ones (negations) more often than chance allows, from rows (text, y)."""
+    """Words that stand near insults in toxic texts (targets) or in clean ones (negations) more often than the insults let expect, from rows (text, y)."""
+    size = {int(r["y"]): r["count"] for r in rows.groupBy("y").count().collect()}
+    odds = np.log(size.get(1, 0) + 0.5) - np.log(size.get(0, 0) + 0.5)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def count(batches):
-        model = shared.value
-        codes, counts = Codes(model), {}
+        model, counts = shared.value, {}
+        codes = Codes(model)
+        expected = 1 / (1 + np.exp(-(model.weights + odds)))  # the share of toxic texts among those with a stem
         for batch in batches:
             for part in slices(batch):
                 for text, y in zip(texts(part), texts(part, "y"), strict=True):
-                    near = set()
-                    for words, _, symbols in marked_clauses(text, model, codes):
+                    near: dict[str, float] = {}
+                    for words, entry, symbols in marked_clauses(text, model, codes):
                         insults = np.flatnonzero(np.array(symbols) == INSULT)
-                        if len(insults):
-                            near.add("")  # counts the texts
                         for i, w in enumerate(words):
-                            if symbols[i] == OTHER and len(insults) and np.abs(insults - i).min() <= TARGET_REACH:
-                                near.add(w.strip(EDGES).lower())
-                    for w in near:
-                        counts[w, y] = counts.get((w, y), 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "y", "n"])
-
-    counted = rows.select("text", "y").mapInArrow(count, "word string, y int, n long").groupBy("word")
-    found = counted.agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("f")).toPandas().sort_values("word")
-    whole = found["word"] == ""
-    if not whole.any():
-        return {}
-    toxic, clean = float(found["t"][whole].iloc[0]), float(found["f"][whole].iloc[0])
-    found = found[~whole]
-    t, f = found["t"].to_numpy(float), found["f"].to_numpy(float)
-    out = {str(w): NEGATION for w in found["word"][surprising(f, t, clean, toxic, len(found))]}
-    return out | {str(w): TARGET for w in found["word"][surprising(t, f, toxic, clean, len(found))]}
+                            if symbols[i] == OTHER and len(insults):
+                                at = insults[np.abs(insults - i).argmin()]
+                                if abs(at - i) <= TARGET_REACH:
+                                    near.setdefault(w.strip(EDGES).lower(), round(float(expected[entry[at]]), 6))
+                    for w, share in near.items():
+                        held = counts.setdefault(w, [0, 0, 0])
+                        held[0] += y
+                        held[1] += 1
+                        held[2] += int(1e6 * share)  # whole numbers add up alike in any order
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(3))], names=["word", "t", "n", "e"])
+
+    counted = rows.select("text", "y").mapInArrow(count, "word string, t long, n long, e long").groupBy("word")
+    found = counted.agg(*(F.sum(c).alias(c) for c in ("t", "n", "e"))).filter("word <> ''").toPandas().sort_values("word")
+    t, n, base = (found[c].to_numpy(float) for c in ("t", "n", "e"))
+    base = base / np.maximum(n, 1) / 1e6
+    out = {str(w): NEGATION for w in found["word"][surprising(n - t, t, 1 - base, len(found))]}
+    return out | {str(w): TARGET for w in found["word"][surprising(t, n - t, base, len(found))]}
 
 
 def learnt(rows: DataFrame, rate: float) -> ToxicityModel:
