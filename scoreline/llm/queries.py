@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, maxent, mixing, neighbours, packing, perplexity, quality, simhash, tokens, toxicity
+from . import filter_audit, langid, maxent, mixing, neighbours, packing, perplexity, quality, simhash, tokens, toxicity
 from .common import fold, table
 
 
@@ -65,6 +65,10 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_perplexity_rules": op1_perplexity_rules,
@@ -77,10 +81,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxic_grammar": op8_toxic_grammar,
         "op9_quality_kernel": op9_quality_kernel,
         "op10_cross_polytope": op10_cross_polytope,
+        "op12_filter_audit": op12_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_mix_sources": mixing.OP5_SQL,
+        "op12_filter_audit": filter_audit.OP12_SQL,
     }
