@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, filter_audit, langid, maxent, mixing, neighbours, packing, perplexity, quality, simhash, tokens, toxicity
-from .common import fold, table
+from . import chat, filter_audit, langid, maxent, mixing, neighbours, packing, perplexity, quality, simhash, spelling, tokens, toxicity
+from .common import fold, stored, table
 
 
 def op1_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(table(spark, sf_dir, "documents"))
+    words = stored(spelling.vocabulary(runs.select(spelling.typos(F.col("run"), F.col("doc_id")).alias("word"))))
+    return spelling.with_roots(spelling.variants(words)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -88,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxic_grammar": op8_toxic_grammar,
         "op9_quality_kernel": op9_quality_kernel,
         "op10_cross_polytope": op10_cross_polytope,
+        "op11_spelling_variants": op11_spelling_variants,
         "op12_filter_audit": op12_filter_audit,
         "op13_chat_format": op13_chat_format,
     }
@@ -96,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_mix_sources": mixing.OP5_SQL,
+        "op11_spelling_variants": spelling.OP11_SQL,
         "op12_filter_audit": filter_audit.OP12_SQL,
         "op13_chat_format": chat.OP13_SQL,
     }
