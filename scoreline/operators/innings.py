@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names of the outcomes.
@@ -39,6 +39,16 @@ class InningsTracker:
         self.config, self.segment, self.confirmed = config, 1, 0
         self.baseline: tuple[int, int] | None = None
 
+    def state(self) -> tuple:
+        """Four plain values that ``resumed`` goes on from."""
+        return self.segment, self.confirmed, *(self.baseline or (None, None))
+
+    def resumed(self, state: tuple | None) -> InningsTracker:
+        if state is not None:
+            self.segment, self.confirmed, *baseline = state
+            self.baseline = None if baseline[0] is None else tuple(baseline)
+        return self
+
     def observe(self, runs, wickets, over, confidence=None) -> str:
         c = self.config
         if runs is None or wickets is None:
@@ -77,6 +87,10 @@ def values(frame: pd.DataFrame, *columns: str) -> list[tuple]:
     return list(zip(*out, strict=True))
 
 
+def confidence_of(readings: DataFrame) -> Column:
+    return F.coalesce(*(c for c in ("ocr_confidence", "mean_token_confidence", "parse_confidence") if c in readings.columns))
+
+
 def tag_innings(readings: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:
     """match_id, reading_id, decision and segment (from 1) of every reading, in order of time.
 
@@ -92,8 +106,7 @@ def tag_innings(readings: DataFrame, config: TrackerConfig = TrackerConfig()) ->
             segments.append(tracker.segment)
         return frame[["match_id", "reading_id"]].assign(decision=decisions, segment=segments)
 
-    known = [c for c in ("ocr_confidence", "mean_token_confidence", "parse_confidence") if c in readings.columns]
-    columns = ["match_id", "reading_id", "timestamp_seconds", "runs", "wickets", "over_number", F.coalesce(*known).alias("ocr_confidence")]
+    columns = ["match_id", "reading_id", "timestamp_seconds", "runs", "wickets", "over_number", confidence_of(readings).alias("ocr_confidence")]
     return readings.select(*columns).groupBy("match_id").applyInPandas(fold, "match_id long, reading_id long, decision string, segment int")
 
 
@@ -110,6 +123,15 @@ class ReadingValidator:
         self.runs = self.wickets = self.over = self.ball = None
         self.tracker = InningsTracker(TrackerConfig(confirmations=1))
 
+    def state(self) -> tuple:
+        return self.runs, self.wickets, self.over, self.ball, *self.tracker.state()
+
+    def resumed(self, state: tuple | None) -> ReadingValidator:
+        if state is not None:
+            self.runs, self.wickets, self.over, self.ball = state[:4]
+            self.tracker.resumed(state[4:])
+        return self
+
     def check(self, runs, wickets, over, ball, batter) -> str | None:
         reason = self._reason(runs, wickets, over, ball, batter)
         if reason is None:

@@ -34,6 +34,16 @@ def post_cut(scores: DataFrame, cuts: DataFrame, reach: int = 3) -> DataFrame:
     return rows.withColumns({"boundary_type": kind, "confidence": confidence}).drop("after", "n_after")
 
 
+def classify(score: float, later: list[float]) -> tuple[str, float]:
+    """boundary_type and confidence of one cut by the scores after it, as post_cut has them."""
+    hot = sum(x >= score * ELEVATED for x in later)
+    if not later or not score > 0:
+        return "ORDINARY_CUT", 0.5
+    if hot >= 2:
+        return "REPLAY_TRANSITION", min(1.0, 0.5 + 0.5 * (hot / len(later)))
+    return "ORDINARY_CUT", 0.5 + 0.5 * (1 - hot / len(later))
+
+
 def suppress_close(cuts: DataFrame, apart: int = KEEP_APART) -> DataFrame:
     """cuts more than ``apart`` frames after the last kept one; what is kept depends on what was, hence a fold of a match's cuts."""
     own = F.array_sort(F.collect_list(F.struct(F.col("frame_index").alias("__at"), F.struct("*").alias("__cut"))))

@@ -307,5 +307,13 @@ FOLDS = {
 }
 
 
+FOLDS |= {
+    "stream_late_cuts": (SUPPRESSED, "select match_id, frame_index, l[pos].t as timestamp_seconds, boundary_type, confidence from (select *, l[pos].f as frame_index from sup where pos > 0 and keep) join (" + SELECTS["post_cut_class"] + ") using (match_id, frame_index)"),
+    "stream_innings_tags": FOLDS["innings_tags"],
+    "stream_reading_validation": FOLDS["reading_validation"],
+}
+SELECTS |= {"stream_smooth_outliers": SELECTS["smooth_outliers"], "stream_clip_merge": SELECTS["clip_merge"]}
+
+
 def oracle_sql() -> dict[str, str]:
     return {key: CHAIN + select for key, select in SELECTS.items()} | {key: CHAIN + fold + select for key, (fold, select) in FOLDS.items()}

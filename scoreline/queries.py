@@ -13,6 +13,8 @@ from .plans import match
 from .sources import analysis_log
 from .sources import event_feed as feed
 from .sources import frames as frame_plans
+from .streaming import recorded
+from .streaming import timeline as twins
 
 GAP = 20_000.0
 SNAP_SECONDS = 10_000.0
@@ -498,5 +500,45 @@ def analysis_todo(spark: SparkSession, sf: str) -> DataFrame:
     return analysis_log.to_analyze(_spans(spark, sf), _log(spark, sf)).select("match_id")
 
 
+ALL_TIME = 10.0 * 86400 * 365 / 2
+
+
+def _timed(rows: DataFrame, seconds: str = "timestamp_seconds") -> DataFrame:
+    return rows.withColumn("event_time", F.timestamp_micros(F.round(F.col(seconds) * 1e6).cast("long") + feed.EPOCH_MICROS))
+
+
+@query
+def stream_innings_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return recorded.replayed(_timed(feed.readings(spark, sf, gaps=True)), twins.tag_innings)
+
+
+@query
+def stream_reading_validation(spark: SparkSession, sf: str) -> DataFrame:
+    return recorded.replayed(_timed(feed.readings(spark, sf, gaps=True)), twins.validate_readings)
+
+
+@query
+def stream_smooth_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    return recorded.replayed(_timed(feed.readings(spark, sf, gaps=True)), lambda rows: twins.resolve(rows, quiet_seconds=ALL_TIME))
+
+
+@query
+def stream_clip_merge(spark: SparkSession, sf: str) -> DataFrame:
+    windows = _windows(spark, sf).select("match_id", "clip_start", "clip_end", "timestamp_seconds", "event_key", "is_replay")
+    return recorded.replayed(_timed(windows, "clip_start"), lambda rows: twins.merge_clips(rows, GAP))
+
+
+@query
+def stream_late_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """Each match's cuts are reported up to 31 frames late, at the latest with its last frame."""
+    frames = feed.frame_scores(spark, sf)
+    last = F.max("frame_index").over(Window.partitionBy("match_id"))
+    reports = frames.withColumn("last", last).select("match_id", "frame_index", "last").join(_cuts(spark, sf).select("match_id", "frame_index"), ["match_id", "frame_index"])
+    at = F.least("last", F.col("frame_index") + F.pmod("match_id", F.lit(twins.LOOK_BACK)))
+    cuts = reports.groupBy("match_id", at.alias("at")).agg(F.array_sort(F.collect_list("frame_index")).alias("cuts")).withColumnRenamed("at", "frame_index")
+    rows = frames.join(cuts, ["match_id", "frame_index"], "left").select("match_id", F.col("frame_index").cast("long").alias("frame_index"), "timestamp_seconds", "score", F.col("cuts").cast("array<long>").alias("cuts"))
+    return recorded.replayed(_timed(rows), lambda rows: twins.late_cuts(rows, quiet_seconds=ALL_TIME)).drop("score")
+
+
 def queries() -> dict[str, Query]:
     return dict(registry)
