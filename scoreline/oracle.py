@@ -285,6 +285,11 @@ from (select match_id, string_agg('"' || metric || '":' || round(value, 6), ','
 left join (select match_id, string_agg('{"place":' || place || ',"truth_id":' || truth_id || ',"event_type":"' || event_type || '","has_signal":' || has_signal || '}', ',' order by place) as listed from misses group by match_id) m using (match_id)
 """
 
+#: Kind and fielder of each wicket of rows with event_key.
+DISMISSALS = r"""
+select match_id, event_key, min_by(kind, truth_id) as kind, arg_min_null(fielder, truth_id) as fielder from (select *, case when regexp_matches(description, '\bc [A-Za-z].* b [A-Za-z]') then 'CAUGHT' when regexp_matches(description, '\bst [A-Za-z].* b [A-Za-z]') then 'STUMPED' when description ilike '%run out (%' then 'RUN_OUT' when regexp_matches(description, '(?i)\blbw\b') then 'LBW' when description ilike '%hit wicket%' then 'HIT_WICKET' when regexp_matches(description, '\bb [A-Za-z]') then 'BOWLED' end as kind, nullif(coalesce(nullif(regexp_extract(description, '\b(?:c|st) ([A-Za-z].*) b [A-Za-z]', 1), ''), nullif(regexp_extract(description, '(?i)run out \(([^)]*)\)', 1), '')), '') as fielder from {} where event_type = 'WICKET' and event_key is not null) where kind is not null group by all
+"""
+
 FOLDS = {
     "innings_tags": (TAGS, "select match_id, reading_id, d as decision, segment from tag where pos > 0"),
     "reading_validation": (VALID, "select match_id, reading_id, reason, case when reason is null then 1.0::double else 0.0::double end as parse_confidence from valid where pos > 0"),
@@ -299,7 +304,7 @@ FOLDS = {
     "accuracy_document": (MATCHES + ", figures as (" + ACCURACY + "), misses as (" + MISSES + ")", DOCUMENT),
     "missed_events": (MATCHES, MISSES),
     "recovery_append": (MATCHES, "select match_id, innings, anchor_seconds as timestamp_seconds, over_number, ball_in_over, event_type, innings || ':' || over_number || '.' || ball_in_over || ':' || event_type as event_key, 0.75::double as confidence, null::int as importance, false as is_replay, 'METADATA' as source, innings || ':' || over_number || '.' || ball_in_over || ':' || event_type || ':' || truth_id as metadata_id from aligned where recovery_eligible"),
-    "enrichment_update": (MATCHES, r"select t.match_id, t.event_key, k.kind as dismissal_type, k.fielder from tagged t join (select match_id, event_key, min_by(kind, truth_id) as kind, arg_min_null(fielder, truth_id) as fielder from (select *, case when regexp_matches(description, '\bc [A-Za-z].* b [A-Za-z]') then 'CAUGHT' when regexp_matches(description, '\bst [A-Za-z].* b [A-Za-z]') then 'STUMPED' when description ilike '%run out (%' then 'RUN_OUT' when regexp_matches(description, '(?i)\blbw\b') then 'LBW' when description ilike '%hit wicket%' then 'HIT_WICKET' when regexp_matches(description, '\bb [A-Za-z]') then 'BOWLED' end as kind, nullif(coalesce(nullif(regexp_extract(description, '\b(?:c|st) ([A-Za-z].*) b [A-Za-z]', 1), ''), nullif(regexp_extract(description, '(?i)run out \(([^)]*)\)', 1), '')), '') as fielder from aligned where event_type = 'WICKET' and event_key is not null) where kind is not null group by all) k using (match_id, event_key)"),
+    "enrichment_update": (MATCHES, "select t.match_id, t.event_key, k.kind as dismissal_type, k.fielder from tagged t join (" + DISMISSALS.format("aligned") + ") k using (match_id, event_key)"),
     "false_positives": (MATCHES, "select match_id, event_key from tagged t where event_type <> 'TEAM_MILESTONE' and not exists (select 1 from aligned a where a.match_id = t.match_id and a.event_key = t.event_key)"),
     "readings_with_innings": (TAGS, "select match_id, reading_id, segment as innings from tag where pos > 0"),
     "replay_outcomes": (REPLAYS, "select match_id, count(*) filter (is_replay) as n_accepted, count(*) filter (not is_replay) as n_rejected, round(avg(total) filter (is_replay), 9) as mean_score, round(max(total) filter (is_replay), 9) as max_score, round(max(end_seconds - start_seconds) filter (is_replay), 9) as longest_seconds, round(coalesce(sum(end_seconds - start_seconds) filter (is_replay), 0.0::double), 9) as total_seconds from replay_found group by match_id"),
@@ -307,7 +312,22 @@ FOLDS = {
 }
 
 
+REPAIRED = MATCHES + """
+, keyed as (select * replace (coalesce(event_key, case when recovery_eligible then innings || ':' || over_number || '.' || ball_in_over || ':' || event_type end) as event_key) from aligned),
+kept as (select match_id, event_key, event_type, timestamp_seconds, 'OCR' as source from tagged
+  union all select match_id, event_key, event_type, anchor_seconds, 'METADATA' from keyed where recovery_eligible),
+details as (""" + DISMISSALS.format("keyed") + ")"
+
 FOLDS |= {
+    "stored_events_after_repair": (REPAIRED, "select k.match_id, k.event_key, event_type, timestamp_seconds, source, d.kind as dismissal_type, d.fielder from kept k left join details d on k.match_id = d.match_id and k.event_key = d.event_key"),
+    "stored_operations_after_repair": (REPAIRED, "select match_id, event_key || ':' || truth_id as metadata_id, 'RECOVERY' as operation, event_key from keyed where recovery_eligible union all select match_id, innings || ':' || over_number || '.' || ball_in_over || ':' || event_type || ':' || truth_id, 'ENRICHMENT', event_key from keyed k where event_type = 'WICKET' and event_key is not null and exists (select 1 from (" + DISMISSALS.format("keyed") + ") d where d.match_id = k.match_id and d.event_key = k.event_key)"),
+    "constraint_violations": ("", """
+select match_id, event_id, unnest(list_filter([
+    case when value > 100 then 'confidence is out of range' end, case when k % 6 = 5 then 'event_type is unknown' end, case when k % 13 = 0 then 'event_key is null' end,
+    case when k % 17 = 0 then 'timestamp_seconds is null' end, case when k % 19 = 0 then 'is_replay is null' end, case when k % 23 = 0 then 'clip ends before it starts' end,
+    case when k % 29 = 0 and k % 17 <> 0 then 'timestamp_seconds is not finite' end, case when k % 7 = 0 then 'source is unknown' end, case when k % 11 = 0 then 'dismissal_type is unknown' end,
+    case when count(*) over (partition by match_id, event_id) > 1 then 'match_id, event_id not unique' end], lambda x: x is not null)) as constraint
+from (select match_id, value, k, case when k % 5 = 0 then event_id // 16 else event_id + 1000000000 end as event_id from e)"""),
     "stream_late_cuts": (SUPPRESSED, "select match_id, frame_index, l[pos].t as timestamp_seconds, boundary_type, confidence from (select *, l[pos].f as frame_index from sup where pos > 0 and keep) join (" + SELECTS["post_cut_class"] + ") using (match_id, frame_index)"),
     "stream_innings_tags": FOLDS["innings_tags"],
     "stream_reading_validation": FOLDS["reading_validation"],

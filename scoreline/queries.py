@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import scalar
 from .operators import alignment, checks, clips, filters, innings, repair, replay, report, rules, scenes, smoothing, states, tokens
 from .plans import match
-from .sources import analysis_log
+from .sources import analysis_log, constraints, sinks, store
 from .sources import event_feed as feed
 from .sources import frames as frame_plans
 from .streaming import recorded
@@ -500,6 +500,40 @@ def analysis_todo(spark: SparkSession, sf: str) -> DataFrame:
     return analysis_log.to_analyze(_spans(spark, sf), _log(spark, sf)).select("match_id")
 
 
+def _repaired(spark: SparkSession, sf: str) -> str:
+    """A store of all events, repaired from half of the commentary, then from all of it, then once more."""
+    path, (aligned, events) = store.shared_folder(spark), _aligned(spark, sf)
+    events, aligned = store.staged(events), store.staged(aligned)
+    store.write(path, events=sinks.with_event_ids(events))
+    for part in (aligned.filter("truth_id % 2 = 0"), aligned, aligned):
+        store.repair_match(spark, path, part)
+    return path
+
+
+@query
+def stored_events_after_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return store.read(spark, _repaired(spark, sf), "events").select("match_id", "event_key", "event_type", "timestamp_seconds", "source", "dismissal_type", "fielder")
+
+
+@query
+def stored_operations_after_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return store.read(spark, _repaired(spark, sf), "operations")
+
+
+@query
+def constraint_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Made-up faults in every kind of column of the events table."""
+    k = F.col("k")
+    kind = F.when(k % 6 == 5, "FIVE").otherwise("SIX")
+    rows = feed.events(spark, sf).select(
+        "match_id", F.when(k % 5 == 0, F.floor(F.col("event_id") / 16)).otherwise(F.col("event_id") + 1_000_000_000).cast("long").alias("event_id"), kind.alias("event_type"),
+        F.when(k % 17 != 0, F.when(k % 29 == 0, float("inf")).otherwise(1.0)).alias("timestamp_seconds"), F.when(k % 13 != 0, "key").alias("event_key"),
+        F.when(F.col("value") > 100, 1.5).otherwise(0.5).alias("confidence"), F.when(k % 19 != 0, True).alias("is_replay"), F.when(k % 7 == 0, "X").otherwise("OCR").alias("source"),
+        F.when(k % 11 == 0, "X").alias("dismissal_type"), F.lit(2.0).alias("clip_start"), F.when(k % 23 == 0, 1.0).alias("clip_end"),
+    )
+    return constraints.violations(rows, constraints.TABLES["events"]).select("match_id", "event_id", "constraint")
+
+
 ALL_TIME = 10.0 * 86400 * 365 / 2
 
 

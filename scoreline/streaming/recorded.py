@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or a temporary one if that is unset and all runs on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.store import shared_folder
 
 
 def arrivals(rows: DataFrame, path: str, pieces: int, late_seconds: float, first: int = 0, last: int | None = None) -> None:
@@ -50,10 +41,10 @@ def run(found: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return found.sparkSession.read.schema(found.schema).parquet(out)
 
 
-def replayed(rows: DataFrame, twin, pieces: int = 6, late_seconds: float = 300.0) -> DataFrame:
+def replayed(rows: DataFrame, twin: Callable[[DataFrame], DataFrame], pieces: int = 6, late_seconds: float = 300.0) -> DataFrame:
     """What twin makes of the rows when they arrive as a stream, out of order by up to late_seconds."""
     spark = rows.sparkSession
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "stream")
     rows.write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
     arrivals(rows, f"{folder}/arrivals", pieces, late_seconds)
