@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import numpy as np
@@ -34,25 +35,33 @@ def out_of_range(truth: DataFrame, readings: DataFrame) -> DataFrame:
     return truth.join(most, ["match_id", "innings"]).filter("over_number > last_over")
 
 
-def require_in_range(truth: DataFrame, readings: DataFrame, shown: int = 5) -> None:
-    """An error that names some events of the commentary in overs beyond the last one read, if there are any."""
-    beyond = out_of_range(truth, readings).orderBy("match_id", "truth_id").limit(shown).collect()
-    if beyond:
-        places = ", ".join(f"match {r.match_id} innings {r.innings} over {r.over_number} (read up to {r.last_over})" for r in beyond)
-        raise ValueError(f"the commentary goes beyond the overs read: {places}")
+def require_in_range(truth: DataFrame, readings: DataFrame) -> DataFrame:
+    """truth, or an error that names an event in an over beyond the last one read of its innings, in the pass that reads it."""
+    most = readings.filter("over_number is not null").groupBy("match_id", "innings").agg(F.max("over_number").alias("__last"))
+    place = F.format_string("the commentary goes beyond the overs read: match %d innings %d over %d (read up to %d)", "match_id", "innings", "over_number", "__last")
+    fine = F.when(F.col("over_number") > F.col("__last"), F.raise_error(place).cast("boolean")).otherwise(True)
+    return truth.join(most, ["match_id", "innings"], "left").filter(fine).drop("__last")
 
 
-def rank_candidates(truth: DataFrame, readings: DataFrame, radius: int = BALL_RADIUS) -> DataFrame:
-    """Readings that may show an event, ranked from 0: those of its ball, then of near balls of its over, validated ones first."""
+def with_candidates(truth: DataFrame, readings: DataFrame, radius: int = BALL_RADIUS, how: str = "left") -> DataFrame:
+    """truth with the readings that may show each event, or one row without a rank where there is none: ranked from 0, those of its ball, then of
+    near balls of its over, validated ones first."""
     shown = readings.filter("ball_in_over is not null").select(
-        "match_id", "innings", "over_number", F.col("ball_in_over").alias("r_ball"), "reading_id", "timestamp_seconds",
+        F.col("match_id").alias("r_match"), F.col("innings").alias("r_innings"), F.col("over_number").alias("r_over"), F.col("ball_in_over").alias("r_ball"), "reading_id", "timestamp_seconds",
         F.col("runs").alias("r_runs"), F.col("wickets").alias("r_wickets"), "ocr_confidence", (F.coalesce("parse_confidence", F.lit(0.0)) == 1.0).alias("validated"),
     )
-    pairs = truth.join(shown, ["match_id", "innings", "over_number"]).withColumn("delta", F.col("r_ball") - F.col("ball_in_over")).filter(F.abs("delta") < radius)
+    same = (F.col("match_id") == F.col("r_match")) & (F.col("innings") == F.col("r_innings")) & (F.col("over_number") == F.col("r_over"))
+    pairs = truth.join(shown, same & (F.abs(F.col("r_ball") - F.col("ball_in_over")) < radius), how).drop("r_match", "r_innings", "r_over")
+    pairs = pairs.withColumn("delta", F.col("r_ball") - F.col("ball_in_over"))
     bucket = F.when(F.col("delta") == 0, 0).otherwise(2) + F.when(F.col("validated"), 0).otherwise(1)
-    pairs = pairs.withColumn("bucket", bucket)
+    pairs = pairs.withColumn("bucket", F.when(F.col("delta").isNotNull(), bucket))
     order = Window.partitionBy("match_id", "truth_id").orderBy("bucket", F.abs("delta"), "delta", "timestamp_seconds", "reading_id")
-    return pairs.withColumn("rank", F.row_number().over(order) - 1).withColumn("search_tier", F.array(*map(F.lit, TIERS))[F.col("bucket")])
+    rank = F.when(F.col("delta").isNotNull(), F.row_number().over(order) - 1)
+    return pairs.withColumn("rank", rank).withColumn("search_tier", F.array(*map(F.lit, TIERS))[F.col("bucket")])
+
+
+def rank_candidates(truth: DataFrame, readings: DataFrame, radius: int = BALL_RADIUS) -> DataFrame:
+    return with_candidates(truth, readings, radius, "inner")
 
 
 def _ocr(value: float | None) -> str:
@@ -119,12 +128,6 @@ ANCHOR = "match_id long, innings int, truth_id long, rank int, reading_id long,
 ANCHOR_COLUMNS = [c.split()[0] for c in ANCHOR.split(", ")]
 
 
-def _with_candidates(truth: DataFrame, ranked: DataFrame) -> DataFrame:
-    columns = ["reading_id", "rank", "bucket", "timestamp_seconds", "r_runs", "r_wickets", "ocr_confidence"]
-    events = truth.select("match_id", "innings", "truth_id", "over_number", "ball_in_over", "event_type")
-    return events.join(ranked.select("match_id", "truth_id", *columns), ["match_id", "truth_id"], "left")
-
-
 def _anchors(frame: pd.DataFrame) -> pd.DataFrame:
     """Anchors of one innings from its events with their candidates; candidates are looked at until one is accepted."""
     frame = frame.sort_values(["over_number", "ball_in_over", "truth_id", "rank"], kind="stable")
@@ -146,19 +149,30 @@ def _anchors(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=ANCHOR_COLUMNS).astype({"rank": "Int64", "reading_id": "Int64"})
 
 
-def walk_anchors(truth: DataFrame, ranked: DataFrame) -> DataFrame:
-    """An anchor for each event: accepted rank, reading and time (or null), tier, signals and counts of rejected candidates."""
-    return _with_candidates(truth, ranked).groupBy("match_id", "innings").applyInPandas(_anchors, ANCHOR)
+CANDIDATES = ["match_id", "innings", "truth_id", "over_number", "ball_in_over", "event_type", "reading_id", "rank", "bucket", "timestamp_seconds", "r_runs", "r_wickets", "ocr_confidence"]
+
+
+def walk_anchors(candidates: DataFrame) -> DataFrame:
+    """An anchor for each event with its candidates: accepted rank, reading and time (or null), tier, signals and counts of rejected candidates."""
+    return candidates.select(*CANDIDATES).groupBy("match_id", "innings").applyInPandas(_anchors, ANCHOR)
 
 
 def nearest_free(known: list[tuple[int, float]], events: list[tuple[str, float]], most: float) -> list[tuple[int, str, float]]:
-    """(truth_id, event_key, offset): events in their order each take the nearest of the known that is free; the first of equally near ones."""
-    free, out = list(known), []
+    """(truth_id, event_key, offset): events in their order each take the nearest of the known that is free; the first of equally near ones.
+
+    The free ones stand sorted by time, and by their order among equal times, so an event looks at its two neighbours alone.
+    """
+    free, out = sorted((seconds, i, truth_id) for i, (truth_id, seconds) in enumerate(known)), []
     for key, seconds in events:
-        near = min(free, key=lambda x: abs(x[1] - seconds), default=None)
-        if near is not None and abs(near[1] - seconds) <= most:
-            free.remove(near)
-            out.append((near[0], key, near[1] - seconds))
+        at = bisect_left(free, (seconds,))
+        near = free[at : at + 1]
+        if at:  # of equal times before, the first
+            near.append(free[bisect_left(free, (free[at - 1][0],))])
+        if near:
+            best = min(near, key=lambda x: (abs(x[0] - seconds), x[1]))
+            if abs(best[0] - seconds) <= most:
+                del free[bisect_left(free, best)]
+                out.append((best[2], key, best[0] - seconds))
     return out
 
 
@@ -180,25 +194,42 @@ def match_detected(anchors: DataFrame, detected: DataFrame, most: float = MATCH_
     return one.unionByName(two).groupBy("match_id", "innings", "event_type").applyInPandas(greedy, "match_id long, truth_id long, event_key string, offset_seconds double")
 
 
-def align(truth: DataFrame, readings: DataFrame, detected: DataFrame, most: float = MATCH_SECONDS) -> DataFrame:
-    """truth with its anchor, outcome, recovery_eligible and matched event_key; anchors and matches come of one pass over an innings."""
+MATCHED = f"{ANCHOR}, over_number int, ball_in_over int, event_type string, description string, event_key string, side string"
+
+
+def reconcile(truth: DataFrame, readings: DataFrame, detected: DataFrame, most: float = MATCH_SECONDS) -> DataFrame:
+    """Both sides of the comparison, from one pass over an innings; side tells them apart.
+
+    commentary: truth with its anchor, matched event_key, outcome and recovery_eligible. detected: each detected scoring event with
+    its event_key, and TRUE_POSITIVE or FALSE_POSITIVE as outcome.
+    """
     events = detected.filter(F.col("event_type").isin(*SCORING)).select("match_id", F.col("innings").cast("int").alias("innings"), "event_type", "timestamp_seconds", "event_key")
+    more = ["over_number", "ball_in_over", "event_type", "description"]
 
     def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        anchors = _anchors(left)
-        kinds = dict(zip(left["truth_id"], left["event_type"], strict=True))
+        anchors = _anchors(left) if len(left) else pd.DataFrame(columns=ANCHOR_COLUMNS)
+        own = left.drop_duplicates("truth_id").set_index("truth_id")
+        anchors = anchors.join(own[more], on="truth_id")
         placed = anchors[anchors["reading_id"].notna()].sort_values("truth_id")
         right, keys = right.sort_values(["timestamp_seconds", "event_key"]), {}
         for kind in SCORING:
-            known = [(t, s) for t, s in zip(placed["truth_id"], placed["anchor_seconds"], strict=True) if kinds[t] == kind]
-            own = right[right["event_type"] == kind]
-            keys |= {t: key for t, key, _ in nearest_free(known, list(zip(own["event_key"], own["timestamp_seconds"], strict=True)), most)}
-        return anchors.assign(event_key=[keys.get(t) for t in anchors["truth_id"]])
-
-    left, keys = _with_candidates(truth, rank_candidates(truth, readings)), ["match_id", "innings"]
-    anchors = left.groupBy(*keys).cogroup(events.groupBy(*keys)).applyInPandas(fold, ANCHOR + ", event_key string")
-    rows = truth.join(anchors.drop("innings"), ["match_id", "truth_id"])
-    found = F.col("n_candidates") > 0
-    outcome = F.when(F.col("event_key").isNotNull(), "TRUE_POSITIVE").when(found, "RECOVERABLE_MISS").otherwise("UNRECOVERABLE_MISS")
-    eligible = F.col("event_key").isNull() & F.col("reading_id").isNotNull() & F.col("tier").isin("HIGH", "MEDIUM")
-    return rows.withColumns({"outcome": outcome, "recovery_eligible": eligible})
+            of_kind, found = placed[placed["event_type"] == kind], right[right["event_type"] == kind]
+            known = list(zip(of_kind["truth_id"], of_kind["anchor_seconds"], strict=True))
+            keys |= {t: key for t, key, _ in nearest_free(known, list(zip(found["event_key"], found["timestamp_seconds"], strict=True)), most)}
+        anchors = anchors.assign(event_key=[keys.get(t) for t in anchors["truth_id"]], side="commentary")
+        matched = set(keys.values())
+        seen = right[["match_id", "innings", "event_type", "event_key"]].assign(side="detected", tier=["TRUE_POSITIVE" if k in matched else "FALSE_POSITIVE" for k in right["event_key"]])
+        parts = [frame.astype(object) for frame in (anchors, seen) if len(frame)]
+        return (pd.concat(parts) if parts else anchors).reindex(columns=[c.split()[0] for c in MATCHED.split(", ")])
+
+    left, keys = with_candidates(truth, readings).select(*CANDIDATES, "description"), ["match_id", "innings"]
+    rows = left.groupBy(*keys).cogroup(events.groupBy(*keys)).applyInPandas(fold, MATCHED)
+    theirs, found = F.col("side") == "commentary", F.col("n_candidates") > 0
+    outcome = F.when(~theirs, F.col("tier")).when(F.col("event_key").isNotNull(), "TRUE_POSITIVE").when(found, "RECOVERABLE_MISS").otherwise("UNRECOVERABLE_MISS")
+    eligible = theirs & F.col("event_key").isNull() & F.col("reading_id").isNotNull() & F.col("tier").isin("HIGH", "MEDIUM")
+    return rows.withColumns({"outcome": outcome, "recovery_eligible": F.coalesce(eligible, F.lit(False)), "tier": F.when(theirs, F.col("tier"))})
+
+
+def align(truth: DataFrame, readings: DataFrame, detected: DataFrame, most: float = MATCH_SECONDS) -> DataFrame:
+    """truth with its anchor, outcome, recovery_eligible and matched event_key."""
+    return reconcile(truth, readings, detected, most).filter("side = 'commentary'").drop("side")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import fold_rows
+
 # Names of the outcomes.
 NOT_A_CANDIDATE = "NOT_A_CANDIDATE"
 ACCEPTED = "ACCEPTED"
@@ -98,16 +100,16 @@ def tag_innings(readings: DataFrame, config: TrackerConfig = TrackerConfig()) ->
     a column), else its parse_confidence.
     """
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["timestamp_seconds", "reading_id"])
-        tracker, decisions, segments = InningsTracker(config), [], []
-        for row in values(frame, "runs", "wickets", "over_number", "ocr_confidence"):
-            decisions.append(tracker.observe(*row))
-            segments.append(tracker.segment)
-        return frame[["match_id", "reading_id"]].assign(decision=decisions, segment=segments)
+    def start():
+        tracker = InningsTracker(config)
+
+        def step(reading_id, _, *values) -> tuple:
+            return reading_id, tracker.observe(*values), tracker.segment
+
+        return step
 
-    columns = ["match_id", "reading_id", "timestamp_seconds", "runs", "wickets", "over_number", confidence_of(readings).alias("ocr_confidence")]
-    return readings.select(*columns).groupBy("match_id").applyInPandas(fold, "match_id long, reading_id long, decision string, segment int")
+    rows = readings.select("match_id", "reading_id", "timestamp_seconds", "runs", "wickets", "over_number", confidence_of(readings).alias("confidence"))
+    return fold_rows(rows, ["match_id"], ["timestamp_seconds", "reading_id"], start, "reading_id long, decision string, segment int")
 
 
 def with_innings(readings: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:
@@ -174,11 +176,14 @@ class ReadingValidator:
 def validate_readings(readings: DataFrame) -> DataFrame:
     """match_id, reading_id, reason (null if accepted) and parse_confidence (1.0 or 0.0) of every reading."""
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["timestamp_seconds", "reading_id"])
+    def start():
         validator = ReadingValidator()
-        reasons = [validator.check(*row) for row in values(frame, "runs", "wickets", "over_number", "ball_in_over", "batter")]
-        return frame[["match_id", "reading_id"]].assign(reason=reasons, parse_confidence=[0.0 if r else 1.0 for r in reasons])
 
-    columns = ["match_id", "reading_id", "timestamp_seconds", "runs", "wickets", "over_number", "ball_in_over", "batter"]
-    return readings.select(*columns).groupBy("match_id").applyInPandas(fold, "match_id long, reading_id long, reason string, parse_confidence double")
+        def step(reading_id, _, *values) -> tuple:
+            reason = validator.check(*values)
+            return reading_id, reason, 0.0 if reason else 1.0
+
+        return step
+
+    rows = readings.select("match_id", "reading_id", "timestamp_seconds", "runs", "wickets", "over_number", "ball_in_over", "batter")
+    return fold_rows(rows, ["match_id"], ["timestamp_seconds", "reading_id"], start, "reading_id long, reason string, parse_confidence double")

@@ -14,44 +14,50 @@ def long_format(row: DataFrame, keys: list[str]) -> DataFrame:
     return row.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names))).alias("m")).select(*keys, "m.metric", "m.value")
 
 
-def false_positives(aligned: DataFrame, detected: DataFrame) -> DataFrame:
-    """Detected scoring events that no event of the commentary was matched with."""
-    matched = aligned.filter("event_key is not null").select("match_id", "event_key")
-    return detected.filter(F.col("event_type").isin(*SCORING)).join(matched, ["match_id", "event_key"], "left_anti")
+def false_positives(reconciled: DataFrame) -> DataFrame:
+    """match_id, innings, event_type and event_key of detected scoring events that no event of the commentary was matched with."""
+    return reconciled.filter("side = 'detected' and outcome = 'FALSE_POSITIVE'").select("match_id", "innings", "event_type", "event_key")
 
 
-def as_document(accuracies: DataFrame, missed: DataFrame) -> DataFrame:
-    """match_id and report, one JSON document a match: its figures by name, and the missed events in their order."""
-    figures = accuracies.groupBy("match_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("figures"))
-    entry = F.struct("place", "truth_id", "event_type", "has_signal")
-    listed = missed.groupBy("match_id").agg(F.array_sort(F.collect_list(entry)).alias("missed_events"))
-    rows = figures.join(listed, "match_id", "left").withColumn("missed_events", F.coalesce("missed_events", F.array().cast("array<struct<place:int,truth_id:bigint,event_type:string,has_signal:boolean>>")))
-    return rows.select("match_id", F.to_json(F.struct("match_id", "figures", "missed_events")).alias("report"))
-
-
-def accuracy(aligned: DataFrame, detected: DataFrame) -> DataFrame:
-    """Per match: outcomes, precision, success rate and recall by type (types without events are left out)."""
+def _summary(reconciled: DataFrame) -> DataFrame:
+    """One row a match that has a commentary: its figures, and its missed events, from one aggregation of both sides."""
+    theirs = F.col("side") == "commentary"
 
     def outcome(name: str):
-        return F.count_if(F.col("outcome") == name)
+        return F.count_if(theirs & (F.col("outcome") == name))
 
     def recall(kind: str):
-        of_kind = F.col("event_type") == kind
+        of_kind = theirs & (F.col("event_type") == kind)
         return F.try_divide(F.count_if(of_kind & (F.col("outcome") == "TRUE_POSITIVE")).cast("double"), F.count_if(of_kind).cast("double"))
 
-    one = aligned.groupBy("match_id").agg(
-        F.count("*").alias("total"),
+    missed = theirs & (F.col("outcome") != "TRUE_POSITIVE")
+    entry = F.struct((F.col("outcome") == "RECOVERABLE_MISS").alias("has_signal"), "innings", "over_number", "ball_in_over", "truth_id", "event_type")
+    rows = reconciled.groupBy("match_id").agg(
+        F.count_if(theirs).alias("total"),
         outcome("TRUE_POSITIVE").alias("true_positives"),
         outcome("UNRECOVERABLE_MISS").alias("missed_no_signal"),
         outcome("RECOVERABLE_MISS").alias("missed_with_signal"),
         *(recall(k).alias(f"recall_{k.lower()}") for k in SCORING),
+        F.count_if(~theirs).alias("n_detected"),
+        F.count_if(~theirs & (F.col("outcome") == "FALSE_POSITIVE")).alias("false_positives"),
+        F.array_sort(F.collect_list(F.when(missed, entry))).alias("missed"),
     )
-    two = detected.filter(F.col("event_type").isin(*SCORING)).groupBy("match_id").agg(F.count("*").alias("n_detected"))
-    unmatched = false_positives(aligned, detected).groupBy("match_id").agg(F.count("*").alias("false_positives"))
-    rows = one.join(two, "match_id", "left").join(unmatched, "match_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_detected", "false_positives")})
-    rows = rows.withColumn("precision", F.coalesce(F.try_divide(F.col("true_positives").cast("double"), F.col("n_detected").cast("double")), F.lit(0.0)))
-    rows = rows.withColumn("success_rate", F.coalesce(F.try_divide((F.col("true_positives") + F.col("missed_with_signal")).cast("double"), F.col("total").cast("double")), F.lit(0.0)))
-    return long_format(rows, ["match_id"]).filter("value is not null")
+    rows = rows.filter("total > 0").withColumn("precision", F.coalesce(F.try_divide(F.col("true_positives").cast("double"), F.col("n_detected").cast("double")), F.lit(0.0)))
+    return rows.withColumn("success_rate", F.coalesce(F.try_divide((F.col("true_positives") + F.col("missed_with_signal")).cast("double"), F.col("total").cast("double")), F.lit(0.0)))
+
+
+def accuracy(reconciled: DataFrame) -> DataFrame:
+    """Per match: outcomes, precision, success rate and recall by type (types without events are left out)."""
+    return long_format(_summary(reconciled).drop("missed"), ["match_id"]).filter("value is not null")
+
+
+def as_document(reconciled: DataFrame, digits: int = 6) -> DataFrame:
+    """match_id and report, one JSON document a match: its figures by name, and the missed events in their order."""
+    rows = _summary(reconciled)
+    names = sorted(c for c in rows.columns if c not in ("match_id", "missed"))
+    figures = F.map_filter(F.create_map(*(x for c in names for x in (F.lit(c), F.round(F.col(c).cast("double"), digits)))), lambda _, v: v.isNotNull())
+    listed = F.transform("missed", lambda m, i: F.struct((i + 1).alias("place"), m["truth_id"].alias("truth_id"), m["event_type"].alias("event_type"), m["has_signal"].alias("has_signal")))
+    return rows.select("match_id", F.to_json(F.struct("match_id", figures.alias("figures"), listed.alias("missed_events"))).alias("report"))
 
 
 def misses(aligned: DataFrame) -> DataFrame:

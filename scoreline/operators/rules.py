@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import anomalous, balls_advanced, event_key, event_of, milestones, single_ball
-from .innings import ACCEPTED, NOT_A_CANDIDATE, InningsTracker, TrackerConfig, values
+from .folds import fold_rows
+from .innings import ACCEPTED, NOT_A_CANDIDATE, InningsTracker, TrackerConfig
 
 # How important each kind of event is.
 IMPORTANCE = {"FOUR": 60, "SIX": 80, "WICKET": 95, "TEAM_MILESTONE": 65}
@@ -60,11 +60,13 @@ def last_accepted(states: DataFrame, track: bool = True) -> DataFrame:
     config = TrackerConfig(confirmations=1, low_confidence_factor=1.0)
     fields = ["state_id", "runs", "wickets", "over_number", "ball_in_over", "batter", "start_seconds", "start_confidence"]
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("state_id")
-        tracker, base, out = InningsTracker(config), None, []
-        for row in values(frame, *fields, "mean_confidence"):
-            _, runs, wickets, over, ball, *_, confidence = row
+    def start():
+        tracker, base = InningsTracker(config), None
+
+        def step(*row) -> tuple:
+            nonlocal base
+            *own, confidence = row
+            _, runs, wickets, over, ball, *_ = own
             anomaly, decision, compared = False, NOT_A_CANDIDATE, base
             if base is not None:
                 balls = (over - base[3]) * 6 + ball - base[4] if over >= base[3] else None
@@ -76,16 +78,14 @@ def last_accepted(states: DataFrame, track: bool = True) -> DataFrame:
             if anomaly or decision not in (NOT_A_CANDIDATE, ACCEPTED):
                 compared = base if anomaly else None
             else:
-                compared = None if decision == ACCEPTED else base
-                base = row[:-1]
-            out.append((anomaly, decision, tracker.segment, *row[:-1], *(compared or (None,) * len(fields))))
-        columns = ["anomaly", "decision", "segment", *fields, *(f"prev_{c}" for c in fields)]
-        found = pd.DataFrame(out, columns=columns).astype({f"prev_{c}": "Int64" for c in fields[:5]})
-        return found.assign(match_id=int(frame["match_id"].iloc[0]))[["match_id", *columns]]
+                compared, base = (None if decision == ACCEPTED else base), own
+            return anomaly, decision, tracker.segment, *own, *(compared or (None,) * len(fields))
+
+        return step
 
     kinds = ("long", "int", "int", "int", "int", "string", "double", "double")
-    schema = ", ".join(["match_id long, anomaly boolean, decision string, segment int", *(f"{p}{c} {kind}" for p in ("", "prev_") for c, kind in zip(fields, kinds, strict=True))])
-    return states.select("match_id", *fields, "mean_confidence").groupBy("match_id").applyInPandas(fold, schema)
+    schema = ", ".join(["anomaly boolean, decision string, segment int", *(f"{p}{c} {kind}" for p in ("", "prev_") for c, kind in zip(fields, kinds, strict=True))])
+    return fold_rows(states.select("match_id", *fields, "mean_confidence"), ["match_id"], ["state_id"], start, schema)
 
 
 def detect_events(states: DataFrame, interval: int = 50) -> DataFrame:

@@ -36,7 +36,7 @@ def generate(events: DataFrame, spans: DataFrame | None = None, pre: float = 8.0
 
 
 def validate(readings: DataFrame, events: DataFrame, commentary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The aligned commentary, and the accuracy report. A commentary that goes beyond the overs read is an error."""
-    alignment.require_in_range(alignment.ground_truth(commentary), readings)
-    aligned = alignment.align(alignment.ground_truth(commentary), readings, events)
-    return aligned, report.accuracy(aligned, events)
+    """The aligned commentary, and the accuracy report. A commentary that goes beyond the overs read is an error when either is read."""
+    truth = alignment.require_in_range(alignment.ground_truth(commentary), readings)
+    both = alignment.reconcile(truth, readings, events)
+    return both.filter("side = 'commentary'").drop("side"), report.accuracy(both)

@@ -67,6 +67,10 @@ def _aligned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return alignment.align(_truth(spark, sf), feed.readings(spark, sf), events), events
 
 
+def _reconciled(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.reconcile(_truth(spark, sf), feed.readings(spark, sf), _events(spark, sf))
+
+
 @query
 def timeline(spark: SparkSession, sf: str) -> DataFrame:
     return feed.readings(spark, sf)
@@ -269,14 +273,12 @@ def over_range_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def anchor_walk(spark: SparkSession, sf: str) -> DataFrame:
-    truth = _truth(spark, sf)
-    return alignment.walk_anchors(truth, alignment.rank_candidates(truth, feed.readings(spark, sf)))
+    return alignment.walk_anchors(alignment.with_candidates(_truth(spark, sf), feed.readings(spark, sf)))
 
 
 @query
 def tier_summary(spark: SparkSession, sf: str) -> DataFrame:
-    truth = _truth(spark, sf)
-    return report.tiers(alignment.walk_anchors(truth, alignment.rank_candidates(truth, feed.readings(spark, sf))))
+    return report.tiers(alignment.walk_anchors(alignment.with_candidates(_truth(spark, sf), feed.readings(spark, sf))))
 
 
 @query
@@ -287,8 +289,7 @@ def greedy_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def accuracy_report(spark: SparkSession, sf: str) -> DataFrame:
-    aligned, events = _aligned(spark, sf)
-    return report.accuracy(aligned, events)
+    return report.accuracy(_reconciled(spark, sf))
 
 
 def _no_audit(spark: SparkSession) -> DataFrame:
@@ -441,14 +442,12 @@ def missed_events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def false_positives(spark: SparkSession, sf: str) -> DataFrame:
-    aligned, events = _aligned(spark, sf)
-    return report.false_positives(aligned, events).select("match_id", "event_key")
+    return report.false_positives(_reconciled(spark, sf)).select("match_id", "event_key")
 
 
 @query
 def accuracy_document(spark: SparkSession, sf: str) -> DataFrame:
-    aligned, events = _aligned(spark, sf)
-    return report.as_document(report.accuracy(aligned, events).withColumn("value", F.round("value", 6)), report.misses(aligned))
+    return report.as_document(_reconciled(spark, sf))
 
 
 @query

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.folds import fold_rows
+
 
 def every_frame(videos: DataFrame) -> DataFrame:
     return videos.filter("frame_count > 0").select("match_id", F.explode(F.sequence(F.lit(0), F.col("frame_count") - 1)).alias("frame_index"))
@@ -68,17 +69,19 @@ def reuse_unchanged(frames: DataFrame, feature: str, tolerance: float = 2.0) ->
     What was read last depends on what was reused, hence a fold over a match. A null feature is read anew.
     """
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("frame_index")
-        read, at, out = None, None, []
-        for i, x in zip(frame["frame_index"], frame["x"], strict=True):
-            if read is None or pd.isna(x) or pd.isna(read) or abs(x - read) > tolerance:
-                read, at = x, i
-            out.append(at)
-        return frame[["match_id", "frame_index"]].assign(source_frame=out)
+    def start():
+        read = at = None
+
+        def step(i, x) -> tuple:
+            nonlocal read, at
+            if read is None or x is None or x != x or abs(x - read) > tolerance:
+                read, at = (x if x == x else None), i
+            return i, at
+
+        return step
 
     rows = frames.select("match_id", F.col("frame_index").cast("long").alias("frame_index"), F.col(feature).cast("double").alias("x"))
-    return rows.groupBy("match_id").applyInPandas(fold, "match_id long, frame_index long, source_frame long")
+    return fold_rows(rows, ["match_id"], ["frame_index"], start, "frame_index long, source_frame long")
 
 
 def _distinct(rows: DataFrame, index: Column) -> DataFrame:

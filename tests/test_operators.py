@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,9 +235,9 @@ def test_ocr_quality(spark):
 def test_commentary_beyond_the_overs_read_is_an_error(spark):
     rows = readings(spark, [5, 5, 6])
     truth = spark.createDataFrame([(1, 1, 0, 2, "FOUR", "FOUR", 7), (1, 1, 3, 0, "SIX", "SIX", 8)], "match_id long, innings int, over_number int, ball_in_over int, event_type string, description string, truth_id long")
-    alignment.require_in_range(truth.filter("over_number = 0"), rows)
-    with pytest.raises(ValueError, match=r"match 1 innings 1 over 3 \(read up to 0\)"):
-        alignment.require_in_range(truth, rows)
+    assert alignment.require_in_range(truth.filter("over_number = 0"), rows).count() == 1
+    with pytest.raises(Exception, match=r"match 1 innings 1 over 3 \(read up to 0\)"):
+        alignment.require_in_range(truth, rows).collect()
 
 
 def test_resume_points(spark):
@@ -307,9 +308,55 @@ def test_lookups(spark):
     assert {r.match_id: r.x for r in filters.looked_up(asked, df, ["match_id", "name"], "x").collect()} == {1: 4, 3: None}
 
 
-def test_accuracy_document(spark):
-    figures = spark.createDataFrame([(1, "total", 2.0), (1, "precision", 0.5), (2, "total", 0.0)], "match_id long, metric string, value double")
-    missed = spark.createDataFrame([(1, 7, "SIX", False, 1)], "match_id long, truth_id long, event_type string, has_signal boolean, place int")
-    got = {r.match_id: json.loads(r.report) for r in report.as_document(figures, missed).collect()}
-    assert got[1] == {"match_id": 1, "figures": {"precision": 0.5, "total": 2.0}, "missed_events": [{"place": 1, "truth_id": 7, "event_type": "SIX", "has_signal": False}]}
-    assert got[2]["missed_events"] == []
+def test_accuracy_and_document_of_both_sides(spark):
+    rows = [
+        (1, "commentary", 1, 0, 2, 7, "SIX", "UNRECOVERABLE_MISS", None), (1, "commentary", 1, 0, 1, 8, "SIX", "RECOVERABLE_MISS", None), (1, "commentary", 1, 0, 3, 9, "FOUR", "TRUE_POSITIVE", "a"),
+        (1, "detected", 1, None, None, None, "FOUR", "TRUE_POSITIVE", "a"), (1, "detected", 1, None, None, None, "SIX", "FALSE_POSITIVE", "b"), (2, "detected", 1, None, None, None, "SIX", "FALSE_POSITIVE", "c"),
+        (3, "commentary", 1, 0, 1, 1, "FOUR", "TRUE_POSITIVE", "d"),
+    ]
+    both = spark.createDataFrame(rows, "match_id long, side string, innings int, over_number int, ball_in_over int, truth_id long, event_type string, outcome string, event_key string")
+    found = {(r.match_id, r.metric): r.value for r in report.accuracy(both).collect()}
+    assert {m: v for (i, m), v in found.items() if i == 1} == {
+        "total": 3, "true_positives": 1, "missed_no_signal": 1, "missed_with_signal": 1, "recall_four": 1.0, "recall_six": 0.0, "n_detected": 2, "false_positives": 1, "precision": 0.5, "success_rate": 2 / 3,
+    }
+    assert {i for i, _ in found} == {1, 3} and found[3, "precision"] == 0.0
+    got = {r.match_id: json.loads(r.report) for r in report.as_document(both).collect()}
+    assert got[1]["missed_events"] == [{"place": 1, "truth_id": 7, "event_type": "SIX", "has_signal": False}, {"place": 2, "truth_id": 8, "event_type": "SIX", "has_signal": True}]
+    assert got[1]["figures"]["success_rate"] == 0.666667 and "recall_wicket" not in got[1]["figures"] and got[3]["missed_events"] == []
+    assert sorted((r.match_id, r.event_key) for r in report.false_positives(both).collect()) == [(1, "b"), (2, "c")]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_nearest_free_equals_a_scan_of_all(seed):
+    rng = np.random.default_rng(seed)
+    known = [(i, float(x)) for i, x in enumerate(rng.integers(0, 30, rng.integers(0, 60)))]
+    events = [(f"e{i}", float(x) / 2) for i, x in enumerate(rng.integers(0, 60, rng.integers(0, 60)))]
+    free, want = list(known), []
+    for key, seconds in events:
+        near = min(free, key=lambda x: abs(x[1] - seconds), default=None)
+        if near and abs(near[1] - seconds) <= 4:
+            free.remove(near)
+            want.append((near[0], key, near[1] - seconds))
+    assert alignment.nearest_free(known, events, 4.0) == want
+
+
+def test_folds_see_each_match_in_order_over_many_batches(spark):
+    from scoreline.operators.folds import fold_rows
+
+    def start():
+        total = 0
+
+        def step(i, x):
+            nonlocal total
+            total += x or 0
+            return i, total
+
+        return step
+
+    df = spark.createDataFrame([(m, i, None if i % 5 == 0 else i) for m in (3, None, 1, 2) for i in range(500)], "match_id long, i long, x long").repartition(6, "x")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        found = {(r.match_id, r.i): r.total for r in fold_rows(df, ["match_id"], ["i"], start, "i long, total long").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {(m, i): sum(k for k in range(i + 1) if k % 5) for m in (3, None, 1, 2) for i in range(500)}
