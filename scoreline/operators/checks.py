@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .report import long_format
@@ -34,13 +34,13 @@ def bad_boundaries(boundaries: DataFrame) -> DataFrame:
     return boundaries.filter(~F.coalesce(fine, F.lit(False)))
 
 
-def reading_stats(readings: DataFrame, least_confidence: float = 0.5) -> DataFrame:
-    """Per match: readings, undetectable ones, ones of low confidence, rejected by the parser, and the two mean confidences.
+def reading_figures(least_confidence: float = 0.5) -> list[Column]:
+    """Readings, undetectable ones, ones of low confidence, rejected by the parser, unusable ones, and the two mean confidences.
 
     A reading without any core value is undetectable; it counts under nothing else but the means.
     """
     seen = F.coalesce(*CORE).isNotNull()
-    return readings.groupBy("match_id").agg(
+    return [
         F.count("*").alias("n_readings"),
         F.count_if(~seen).alias("undetectable"),
         F.count_if(seen & (F.col("ocr_confidence") < least_confidence)).alias("low_confidence"),
@@ -48,13 +48,25 @@ def reading_stats(readings: DataFrame, least_confidence: float = 0.5) -> DataFra
         F.count_if(unusable()).alias("unusable"),
         F.avg("ocr_confidence").alias("mean_ocr_confidence"),
         F.avg("parse_confidence").alias("mean_parse_confidence"),
-    )
+    ]
 
 
-def event_stats(events: DataFrame) -> DataFrame:
-    """Per match: events of each type, events in replays, and the mean confidence."""
+def smoothing_figures() -> list[Column]:
+    return [F.count_if(F.col("resolution") == kind).alias(f"n_{kind}") for kind in ("passed", "outlier", "unusable")]
+
+
+def event_figures() -> list[Column]:
+    """Events of each type, events in replays, and the mean confidence."""
     kinds = [F.count_if(F.col("event_type") == k).alias(f"n_{k.lower()}") for k in ("FOUR", "SIX", "WICKET", "TEAM_MILESTONE")]
-    return events.groupBy("match_id").agg(*kinds, F.count_if(F.coalesce("is_replay", F.lit(False))).alias("n_replays"), F.avg("confidence").alias("mean_confidence"))
+    return [*kinds, F.count_if(F.coalesce("is_replay", F.lit(False))).alias("n_replays"), F.avg("confidence").alias("mean_confidence")]
+
+
+def reading_stats(readings: DataFrame, least_confidence: float = 0.5) -> DataFrame:
+    return readings.groupBy("match_id").agg(*reading_figures(least_confidence))
+
+
+def event_stats(events: DataFrame) -> DataFrame:
+    return events.groupBy("match_id").agg(*event_figures())
 
 
 def counts_by(rows: DataFrame, column: str, prefix: str) -> DataFrame:

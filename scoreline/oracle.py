@@ -312,6 +312,19 @@ FOLDS = {
 }
 
 
+LOCK = r"""
+, shown as (select match_id, frame_index, case when match_id % 4 = 0 and k % 10 = 9 then 'club' when k % 10 < 6 then case when k % 2 = 0 then 'generic' end else 'generic' end as d, k % 10 >= 6 as scored,
+    case when match_id % 4 = 1 and k % 5 = 4 then 'separate' when k % 3 = 0 then 'generic' end as o from (select *, cast(score * 2 as int) as k from frames) where k % 13 <> 0),
+lock_rows as (select match_id, list({'f': frame_index, 'd': d, 's': scored, 'o': o} order by frame_index) as l from shown group by match_id),
+lock as (select match_id, l, 0 as pos, null::varchar as held, 0 as missed, false as locked, null::varchar as way, null::varchar as layout from lock_rows
+  union all
+  select match_id, l, pos + 1, case when held is not null then held when own then case seen when 'generic' then 'global' else 'local' end when missed + 1 >= 5 then 'global' end, missed + case when own then 0 else 1 end,
+    held is not null, case when held is not null then held when turned then 'local' else 'global' end,
+    case when held is not null then case held when 'global' then x.d else x.o end else seen end
+  from (select *, coalesce(seen <> 'generic', false) as own from (select *, case when turned then x.o else x.d end as seen
+    from (select *, (x.d is null or (x.d = 'generic' and not x.s)) and coalesce(x.o <> 'generic', false) as turned from (select *, l[pos + 1] as x from lock where pos < len(l))))))
+"""
+
 REPAIRED = MATCHES + """
 , keyed as (select * replace (coalesce(event_key, case when recovery_eligible then innings || ':' || over_number || '.' || ball_in_over || ':' || event_type end) as event_key) from aligned),
 kept as (select match_id, event_key, event_type, timestamp_seconds, 'OCR' as source from tagged
@@ -328,6 +341,7 @@ select match_id, event_id, unnest(list_filter([
     case when k % 29 = 0 and k % 17 <> 0 then 'timestamp_seconds is not finite' end, case when k % 7 = 0 then 'source is unknown' end, case when k % 11 = 0 then 'dismissal_type is unknown' end,
     case when count(*) over (partition by match_id, event_id) > 1 then 'match_id, event_id not unique' end], lambda x: x is not null)) as constraint
 from (select match_id, value, k, case when k % 5 = 0 then event_id // 16 else event_id + 1000000000 end as event_id from e)"""),
+    "strategy_lock": (LOCK, "select match_id, l[pos].f as frame_index, locked, way as strategy, layout from lock where pos > 0"),
     "stream_late_cuts": (SUPPRESSED, "select match_id, frame_index, l[pos].t as timestamp_seconds, boundary_type, confidence from (select *, l[pos].f as frame_index from sup where pos > 0 and keep) join (" + SELECTS["post_cut_class"] + ") using (match_id, frame_index)"),
     "stream_innings_tags": FOLDS["innings_tags"],
     "stream_reading_validation": FOLDS["reading_validation"],

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import alignment, checks, clips, filters, innings, repair, replay, report, rules, scenes, smoothing, states, tokens
+from .operators import alignment, checks, clips, filters, innings, repair, replay, report, rules, scenes, smoothing, states, strategy, tokens
 from .plans import match
 from .sources import analysis_log, constraints, sinks, store
 from .sources import event_feed as feed
@@ -533,6 +533,21 @@ def constraint_violations(spark: SparkSession, sf: str) -> DataFrame:
     return constraints.violations(rows, constraints.TABLES["events"]).select("match_id", "event_id", "constraint")
 
 
+@query
+def strategy_lock(spark: SparkSession, sf: str) -> DataFrame:
+    """Made-up trials: what each way shows follows from the event's number, and some frames have none."""
+    k, match_id = F.col("k"), F.col("match_id")
+    rows = feed.frame_scores(spark, sf).select("match_id", "frame_index", (F.col("score") * 2).cast("int").alias("k")).filter(k % 13 != 0)
+    default = F.when((match_id % 4 == 0) & (k % 10 == 9), "club").when(k % 10 < 6, F.when(k % 2 == 0, "generic"))
+    other = F.when((match_id % 4 == 1) & (k % 5 == 4), "separate").when(k % 3 == 0, "generic")
+    default = F.coalesce(default, F.when(k % 10 >= 6, "generic"))
+    tried = F.array(
+        F.struct(F.lit("global").alias("strategy"), default.alias("layout"), F.when(k % 10 >= 6, k).alias("runs")), F.struct(F.lit("local").alias("strategy"), other.alias("layout"), F.lit(None).cast("int").alias("runs"))
+    )
+    trials = rows.withColumn("t", F.explode(tried)).select("match_id", "frame_index", "t.strategy", "t.layout", "t.runs", F.lit(None).cast("int").alias("wickets"))
+    return strategy.lock(trials)
+
+
 ALL_TIME = 10.0 * 86400 * 365 / 2
 
 

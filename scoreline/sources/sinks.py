@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
+def write_observed(rows: DataFrame, path: str, figures: list[Column], mode: str = "overwrite") -> dict:
+    """Write rows, by match, and give figures of all of them (as operators.checks lists them) that the write itself has counted."""
+    seen = Observation()
+    rows.observe(seen, *figures).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("match_id").parquet(path)
+    return seen.get
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("match_id").parquet(path)
 
@@ -30,14 +37,6 @@ def set_clip_windows(events: DataFrame, updates: DataFrame) -> DataFrame:
     return rows.withColumns({"clip_start": F.coalesce("new_start", "clip_start"), "clip_end": F.coalesce("new_end", "clip_end")}).drop("new_start", "new_end")
 
 
-def violations(events: DataFrame) -> DataFrame:
-    """Rows that break a constraint of the events table, and which."""
-    known = F.col("event_type").isin("FOUR", "SIX", "WICKET", "TEAM_MILESTONE")
-    checks = {"event_type": ~known, "timestamp_seconds": F.col("timestamp_seconds").isNull(), "event_key": F.col("event_key").isNull(), "confidence": ~F.col("confidence").between(0, 1)}
-    broken = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in checks.items())))
-    return events.withColumn("broken", broken).filter(F.size("broken") > 0)
-
-
 def export_json(events: DataFrame, readings: DataFrame, path: str) -> None:
     """A line of JSON for each match: match_id, scoreboard_readings, events, both in order of time."""
     def listed(df: DataFrame, name: str) -> DataFrame:

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreline.functions import scalar
-from scoreline.operators import alignment, checks, clips, filters, innings, intervals, repair, replay, report, smoothing, states, tokens
-from scoreline.sources import analysis_log, commentary, files, frames, sinks
+from scoreline.operators import alignment, checks, clips, filters, innings, intervals, repair, replay, report, smoothing, states, strategy, tokens
+from scoreline.sources import analysis_log, commentary, constraints, files, frames, sinks
 
 READING = "match_id long, innings int, timestamp_seconds double, reading_id long, over_number int, ball_in_over int, runs int, wickets int, batter string, ocr_confidence double, parse_confidence double"
 
@@ -156,7 +156,7 @@ EVENT = "match_id long, innings int, timestamp_seconds double, event_type string
 def test_sinks(spark, tmp_path):
     events = spark.createDataFrame([(1, 1, 2.0, "SIX", "b", 0.5), (1, 1, 1.0, "FOUR", "a", 0.5), (2, 1, 1.0, "GOAL", "c", 2.0)], EVENT)
     assert {(r.match_id, r.event_key): r.event_id for r in sinks.with_event_ids(events, spark.createDataFrame([(1, 10)], "match_id long, last_id long")).collect()} == {(1, "a"): 11, (1, "b"): 12, (2, "c"): 1}
-    assert [sorted(r.broken) for r in sinks.violations(events).collect()] == [["confidence", "event_type"]]
+    assert [sorted(r.broken) for r in constraints.with_broken(events, constraints.TABLES["events"]).filter("size(broken) > 0").collect()] == [["confidence is out of range", "event_type is unknown"]]
     sinks.append(events, f"{tmp_path}/t")
     sinks.replace_matches(events.filter("event_key = 'a'"), f"{tmp_path}/t")
     assert {r.event_key for r in spark.read.parquet(f"{tmp_path}/t").collect()} == {"a", "c"}
@@ -360,3 +360,57 @@ def test_folds_see_each_match_in_order_over_many_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert found == {(m, i): sum(k for k in range(i + 1) if k % 5) for m in (3, None, 1, 2) for i in range(500)}
+
+
+def test_a_layout_of_ones_own(spark):
+    def fields(text):
+        @F.udf("struct<runs:string,bowler:string>", useArrow=True)
+        def read(text):
+            _, runs, bowler, *_ = text.strip("\x01").split("\x01")
+            return runs, bowler
+
+        found = read(text)
+        return {"runs": found["runs"], "bowler": found["bowler"], "wickets": F.regexp_extract(text, r"W(\d)", 1)}
+
+    parsers = tokens.with_parser(tokens.Parser("own", lambda t: t.rlike("^\x01SCORE\x01"), fields, "local"))
+    assert [p.name for p in parsers] == ["club", "separate", "own", "generic"]
+    rows = [(1, ["SCORE", "77", "Roy", "W3"]), (2, ["SCORE", "x", "Roy", "W"]), (3, ["5/1", "2.3", "SCORE"]), (4, ["SCORE", "1-2/3.4(20)", "Roy"])]
+    df = spark.createDataFrame(rows, "i int, words array<string>").withColumn("tokens", F.transform("words", lambda w: F.struct(w.alias("text"), F.lit(90.0).alias("conf"))))
+    got = {r.i: (r.layout, r.runs, r.wickets, r.bowler) for r in tokens.parse(df, parsers=parsers).collect()}
+    assert got == {1: ("own", 77, 3, "Roy"), 2: ("own", None, None, "Roy"), 3: ("generic", 5, 1, None), 4: ("club", 1, 2, None)}
+    with pytest.raises(ValueError, match="there is a parser own"):
+        tokens.with_parser(parsers[2], parsers)
+    with pytest.raises(ValueError, match="no fields of a reading: speed"):
+        tokens.parse(df, parsers=tokens.with_parser(tokens.Parser("odd", lambda t: F.lit(True), lambda t: {"speed": t})))
+
+
+def test_strategy_locks_by_a_layout_or_by_misses(spark):
+    def tries(match_id, *frames):
+        return [(match_id, i, s, *shown) for i, pair in frames for s, shown in zip(("global", "local"), pair, strict=True) if shown]
+
+    none, generic, scored, club = (None, None), ("generic", None), ("generic", 5), ("club", 7)
+    rows = [
+        *tries(1, (0, (none, none)), (1, (generic, club)), (2, (scored, club)), (3, (scored, None))),  # locked by a trial of the other way
+        *tries(2, (0, (scored, club)), *((i, (none, generic)) for i in range(1, 4)), (7, (scored, club)), (8, (generic, club))),  # by misses: a score keeps the default from being doubted
+        *tries(3, (0, (club, None)), (1, (generic, scored))),
+    ]
+    found = strategy.lock(spark.createDataFrame(rows, "match_id long, frame_index long, strategy string, layout string, runs int").withColumn("wickets", F.lit(None).cast("int")))
+    got = {(r.match_id, r.frame_index): (r.locked, r.strategy, r.layout) for r in found.collect()}
+    assert [got[1, i] for i in range(4)] == [(False, "global", None), (False, "local", "club"), (True, "local", "club"), (True, "local", None)]
+    assert [got[2, i] for i in (0, 1, 3, 7, 8)] == [(False, "global", "generic"), (False, "global", None), (False, "global", None), (False, "global", "generic"), (True, "global", "generic")]
+    assert [got[3, i] for i in range(2)] == [(False, "global", "club"), (True, "local", "generic")]
+
+
+def test_figures_are_counted_by_the_write_itself(spark, tmp_path):
+    df = readings(spark, [1, None, 1, 1, 1000, 1, 1], [0.1, 0.2, 0.3, 0.6, 0.0, 1.0, 0.9])
+    resolved = smoothing.resolve(df)
+    kinds = [*checks.reading_figures(), *checks.smoothing_figures()]
+    seen = sinks.write_observed(resolved, f"{tmp_path}/readings", kinds)
+    assert seen == pytest.approx(resolved.agg(*kinds).first().asDict())
+    assert seen == pytest.approx(spark.read.parquet(f"{tmp_path}/readings").agg(*kinds).first().asDict())
+    stats = checks.reading_stats(df).first().asDict()
+    assert {k: seen[k] for k in stats if k != "match_id"} == pytest.approx({k: v for k, v in stats.items() if k != "match_id"})
+    by_kind = {r.resolution: r.n for r in smoothing.smoothing_stats(resolved).collect()}
+    assert {k: seen[f"n_{k}"] for k in ("passed", "outlier", "unusable")} == {k: by_kind.get(k, 0) for k in ("passed", "outlier", "unusable")}
+    events = spark.createDataFrame([(1, "SIX", True, 0.5), (1, "SIX", None, 1.0), (2, "FOUR", False, None)], "match_id long, event_type string, is_replay boolean, confidence double")
+    assert sinks.write_observed(events, f"{tmp_path}/events", checks.event_figures()) == {"n_four": 1, "n_six": 2, "n_wicket": 0, "n_team_milestone": 0, "n_replays": 1, "mean_confidence": 0.75}
