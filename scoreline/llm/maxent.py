@@ -13,16 +13,18 @@ training then goes over these counts in distributed steps: tasks sum what the mo
 each weight moves to where a bound of the likelihood, less a quadratic penalty, is highest.
 
 P(token | class, ...) is a softmax over the features of a context, which is a hash of the two words before and the
-class: one weight for each word that followed there LEAST times or more in training, and a weight of 0 for all else.
-All else is shared out as the class is without a context: a word of the rare class has an equal share, others have
-count + 0.5. Contexts are dealt by their hash to parts of about PART_TOKENS tokens; a part counts its n-grams, climbs
-the penalised likelihood of its weights by Newton's steps, and scores the tokens of all texts that fall in it, so
-that this table grows with the corpus and is never in one place. Contexts of two of the FRONT * parts most frequent tokens
-have no features of their own; so none has more than 1 / (FRONT * parts) of the tokens, and no part is far larger
-than the rest.
+class: one weight for each known word that followed there LEAST times or more in training, and a weight of 0 for all else.
+All else is shared out as the class is without a context, by count + 0.5, or in the rare class by count and a prior that the counts of
+counts choose, with the exact counts of all words. Contexts
+are dealt by their hash to parts of about PART_TOKENS tokens; a part counts its n-grams, climbs the penalised likelihood of its
+weights by Newton's steps, and scores the tokens of all texts that fall in it, so that this table grows with the corpus and is
+never in one place. Which contexts have features does not depend on the size of a table: contexts that hold
+a large share of a part are dealt by context and word, since the words of a context share its total and its normaliser alone,
+which are worked out first, from the counts of counts of its words. What is so frequent even as a context and a word is looked up where
+it is met. Neither list is longer than SHARE * parts.
 
 Counts of all tokens are kept; those of the KNOWN most frequent are broadcast, and tokens beyond them get their counts by
-a join on 64-bit hashes. Sizes that go to the driver or to each task are bounded by the constants alone.
+a join on 64-bit hashes; they have no features of their own. Sizes that go to the driver or to each task are bounded by the constants and by SHARE * parts.
 """
 
 from __future__ import annotations
@@ -60,8 +62,11 @@ K_MEANS = 8
 LEAST = 2
 WORD_PENALTY = 0.3
 PART_TOKENS = 1 << 21
-FRONT = 4
+#: A context with more than 1 / SHARE of a part's tokens is frequent. Slices tell of contexts that they hold TOLD times.
+SHARE = 4
+TOLD = 8
 WORD_BITS = 19
+OTHER_WORD = (1 << WORD_BITS) - 1
 
 
 def hash_of(word: bytes) -> int:
@@ -111,19 +116,15 @@ class Vocabulary:
     distinct: int
     least: int  # all tokens with at least this count are here
     classes: np.ndarray | None = None
+    by_count: tuple[np.ndarray, np.ndarray] | None = None  # counts, and how many tokens have each
     class_mass: np.ndarray | None = None
-    rare_words: int = 1
+    prior: float = 0.5  # what is added to counts in the rare class
+    rare_mass: float = 1.0
 
     def shares(self) -> np.ndarray:
-        """Of each known token in its class, and of any other."""
-        own = (np.append(self.counts, 0) + 0.5) / np.maximum(self.class_mass[self.classes], 1e-300)
-        return np.where(self.classes == RARE, 1 / self.rare_words, own)
-
-    def front(self, n: int) -> np.ndarray:
-        """Whether a known token is among the n most frequent; the last for tokens not known. All are if n is that of the known."""
-        out = np.zeros(len(self.hashes) + 1, bool)
-        out[np.lexsort((self.hashes, -self.counts))[:n]] = True
-        return out
+        """Of each known token in its class, and of one that is not known if its count and the prior came to 1."""
+        rare, mass = self.classes == RARE, np.where(self.classes == RARE, self.rare_mass, self.class_mass[self.classes])
+        return np.where(rare, np.append(self.counts + self.prior, 1), np.append(self.counts, 0) + 0.5) / np.maximum(mass, 1e-300)
 
     @property
     def mass(self) -> float:
@@ -150,7 +151,8 @@ def vocabulary(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
     rows = counts.filter(F.col("n") >= least).toPandas() if len(fits) else counts.limit(0).toPandas()
     hashes = rows["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], rows["n"].to_numpy(np.int64)[order], int((by_count["n"] * by_count["words"]).sum()), int(by_count["words"].sum()), least)
+    histogram = by_count["n"].to_numpy(np.int64), by_count["words"].to_numpy(np.int64)
+    return Vocabulary(hashes[order], rows["n"].to_numpy(np.int64)[order], int(histogram[0] @ histogram[1]), int(histogram[1].sum()), least, by_count=histogram)
 
 
 def head_shares(hashes: np.ndarray, doc: np.ndarray, token: np.ndarray, n_docs: int, v: Vocabulary, head: np.ndarray) -> np.ndarray:
@@ -238,7 +240,31 @@ def set_classes(docs: DataFrame, v: Vocabulary) -> None:
     known = np.bincount(v.classes[:-1], v.counts + 0.5, CLASSES)
     known[RARE] += v.mass - known.sum()
     v.class_mass = known
-    v.rare_words = v.distinct - int((v.classes[:-1] != RARE).sum()) + 1  # the unknown word is one
+    n, words = v.by_count
+    own = v.classes[:-1] != RARE
+    left = words - np.bincount(len(n) - 1 - np.searchsorted(n[::-1], v.counts[own]), minlength=len(n))
+    v.prior = best_prior(n[left > 0], left[left > 0])
+    v.rare_mass = float(n @ left + v.prior * (left.sum() + 1))
+
+
+def best_prior(n: np.ndarray, words: np.ndarray) -> float:
+    """What to add to counts, so that each occurrence is likeliest given all others: n counts, words tokens of each, and one unknown token.
+
+    A golden section of the logarithm of the prior between 0.01 and 1000.
+    """
+    total, types = float(n @ words), float(words.sum() + 1)
+    if total < 2:
+        return 0.5
+
+    def likelihood(x: float) -> float:
+        prior = np.exp(x)
+        return float((n * words) @ np.log(n - 1 + prior) - total * np.log(total - 1 + prior * types))
+
+    low, high, ratio = np.log(0.01), np.log(1000.0), (np.sqrt(5) - 1) / 2
+    for _ in range(60):
+        a, b = high - ratio * (high - low), low + ratio * (high - low)
+        low, high = (a, high) if likelihood(a) < likelihood(b) else (low, b)
+    return float(np.exp((low + high) / 2))
 
 
 def contexts(doc: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -350,19 +376,64 @@ def before(doc: np.ndarray, values: np.ndarray, k: int, start) -> np.ndarray:
     return out
 
 
-def records(hashes: np.ndarray, doc: np.ndarray, token: np.ndarray, v: Vocabulary, front: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Part, document and record (45 bits of context, WORD_BITS of word) of every token whose context has features."""
-    place, own = v.place(hashes), hashes[token]
-    common = front[place][token]
+def contexts_of_words(hashes: np.ndarray, doc: np.ndarray, token: np.ndarray, v: Vocabulary, place: np.ndarray) -> np.ndarray:
+    """CONTEXT_BITS of a hash of the two words before each token and its class."""
+    own = hashes[token]
     first, second = before(doc, own, 1, np.uint64(1)), before(doc, own, 2, np.uint64(2))
-    used = np.flatnonzero(~(before(doc, common, 1, True) & before(doc, common, 2, True)))
-    x = second[used] * np.uint64(0x9E3779B97F4A7C15) ^ (first[used] + v.classes[place][token[used]]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = second * np.uint64(0x9E3779B97F4A7C15) ^ (first + v.classes[place][token]) * np.uint64(0xC2B2AE3D27D4EB4F)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    half = np.uint64(1 << (WORD_BITS - 1))
-    word = np.where(place >= 0, place.astype(np.uint64), half + (hashes & (half - np.uint64(1))))[token[used]]
-    part = ((x * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)) % np.uint64(parts)
-    return part.astype(np.int64), doc[used], (x << np.uint64(WORD_BITS)) | word
+    return (x ^ (x >> np.uint64(32))) >> np.uint64(WORD_BITS)
+
+
+def told(context: np.ndarray, token: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts that a slice holds TOLD times or more, and how often; each of their words is as frequent, so few tokens come into question."""
+    often = np.bincount(token)[token] >= TOLD if len(token) else np.zeros(0, bool)
+    used = before(doc, often, 1, True) & before(doc, often, 2, True)
+    found, n = np.unique(context[used], return_counts=True)
+    return found[n >= TOLD], n[n >= TOLD]
+
+
+@dataclass
+class Frequent:
+    """Frequent contexts with their training tokens and normaliser, and frequent records with their training tokens; both sorted."""
+
+    contexts: np.ndarray
+    totals: np.ndarray
+    wholes: np.ndarray
+    records: np.ndarray
+    counts: np.ndarray
+
+    def at(self, context: np.ndarray) -> np.ndarray:
+        return position(self.contexts, context)
+
+
+NO_FREQUENT = Frequent(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0))
+
+
+def position(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Index of each value, -1 if it is not there."""
+    if not len(sorted_values):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
+    return np.where(sorted_values[at] == values, at, -1)
+
+
+def records(hashes: np.ndarray, doc: np.ndarray, token: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """A record for every token: the bits of its context, and WORD_BITS of its place among the known; OTHER_WORD if it is not known."""
+    place = v.place(hashes)
+    context = contexts_of_words(hashes, doc, token, v, place)
+    return context << np.uint64(WORD_BITS) | np.where(place >= 0, place, OTHER_WORD).astype(np.uint64)[token]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    return (x * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)
+
+
+def part_of(record: np.ndarray, at: np.ndarray, parts: int) -> np.ndarray:
+    """The part that a record is dealt to: by its context, or where that is frequent (at) by context and word."""
+    context, word = record >> np.uint64(WORD_BITS), record & np.uint64(OTHER_WORD)
+    key = np.where(at >= 0, context ^ (word + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F), context)
+    return (mixed(key) % np.uint64(parts)).astype(np.int64)
 
 
 def climb_words(n: np.ndarray, context: np.ndarray, total: np.ndarray, penalty: float = WORD_PENALTY, steps: int = 60) -> np.ndarray:
@@ -392,47 +463,144 @@ def climb_words(n: np.ndarray, context: np.ndarray, total: np.ndarray, penalty:
     return w
 
 
-def gains(record: np.ndarray, row: np.ndarray, training: np.ndarray, shares: np.ndarray, penalty: float = WORD_PENALTY) -> tuple[np.ndarray, np.ndarray]:
+def weight_alone(n: np.ndarray, total: np.ndarray, whole: np.ndarray, penalty: float = WORD_PENALTY) -> np.ndarray:
+    """The weights w at which n = total * exp(w) / whole + penalty * w, each by Newton's steps: a word's own, given its context's normaliser."""
+    w = np.log(n * whole / total)
+    for _ in range(60):
+        grown = total * np.exp(w) / whole
+        step = (grown + penalty * w - n) / (grown + penalty)
+        w -= np.clip(step, -2, 2)
+        if not len(w) or np.abs(step).max() < 1e-12:
+            break
+    return w
+
+
+def added_to(share: np.ndarray, weighed: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """log10 by which a context changes the probability of a word of this share: (its weight's exponential + share) / whole, over share."""
+    return np.log10((weighed / share + 1) / whole)
+
+
+def gains(record: np.ndarray, row: np.ndarray, training: np.ndarray, shares: np.ndarray, penalty: float = WORD_PENALTY, frequent: Frequent = NO_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Rows and the log10 by which the features of their contexts change the probability of their words; rows without a change are left out."""
     order = np.argsort(record, kind="stable")
     record, row, training = record[order], row[order], training[order]
+    if not len(record):
+        return np.zeros(0, np.int64), np.zeros(0)
     context = record >> np.uint64(WORD_BITS)
     new, new_context = (np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) for x in (record, context))
     n = np.add.reduceat(training.astype(float), new)
-    kept = np.flatnonzero(n >= LEAST)
-    if not len(kept):
-        return np.zeros(0, np.int64), np.zeros(0)
+    other_word = (record[new] & np.uint64(OTHER_WORD)) == np.uint64(OTHER_WORD)
+    kept = np.flatnonzero((n >= LEAST) & ~other_word)
     total = np.add.reduceat(training.astype(float), new_context)
+    known = frequent.at(context[new_context])
+    whole, weighed = np.ones(len(new_context)), np.zeros(len(new))
     of = np.searchsorted(new_context, new[kept], "right") - 1
-    used, own = np.unique(of, return_inverse=True)
-    w = climb_words(n[kept], own, total[used], penalty)
-    whole = 1 + np.bincount(own, np.exp(w), len(used))
-    by_context = np.zeros(len(new_context))
-    by_context[used] = 1 / whole
-    by_record = np.zeros(len(new))
-    by_record[kept] = np.exp(w) / whole[own]
+    here = known[of] < 0
+    used, own = np.unique(of[here], return_inverse=True)
+    weighed[kept[here]] = np.exp(climb_words(n[kept[here]], own, total[used], penalty))
+    whole[used] += np.bincount(own, weighed[kept[here]], len(used))
+    there = known[of[~here]]
+    weighed[kept[~here]] = np.exp(weight_alone(n[kept[~here]], frequent.totals[there], frequent.wholes[there], penalty))
+    whole[known >= 0] = frequent.wholes[known[known >= 0]]
     size, size_context = np.diff(np.append(new, len(record))), np.diff(np.append(new_context, len(record)))
-    other = np.repeat(by_context, size_context)
-    changed = np.flatnonzero(other)
-    place = record[changed] & np.uint64((1 << WORD_BITS) - 1)
+    by_token = np.repeat(whole, size_context)
+    changed = np.flatnonzero(by_token != 1)
+    place = record[changed] & np.uint64(OTHER_WORD)
     share = shares[np.minimum(place.astype(np.int64), len(shares) - 1)]
-    gain = np.log10(np.repeat(by_record, size)[changed] / share + other[changed])
+    gain = added_to(share, np.repeat(weighed, size)[changed], by_token[changed])
     rows, which = np.unique(row[changed], return_inverse=True)
     return rows, np.bincount(which, gain)
 
 
-def word_gains(rows: DataFrame, v: Vocabulary, tokens: int, penalty: float = WORD_PENALTY, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """row, seen_again (a hash of the texts read with it) and gain, the log10 that the word features add to a text's score, for rows (training, text) that are read in the same order each time."""
+def frequent_contexts(rows: DataFrame, v: Vocabulary, contexts: np.ndarray, least: float, penalty: float = WORD_PENALTY) -> Frequent:
+    """Totals and normalisers of the given contexts, from Spark's counts of their words in training, and the records met ``least`` times or more."""
+    contexts = np.sort(contexts)
+    if not len(contexts):
+        return NO_FREQUENT
+    shared = rows.sparkSession.sparkContext.broadcast((v, contexts))
+
+    def count(batches):
+        v, contexts = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                hashes, doc, token = tokens_of(texts(part))
+                found = records(hashes, doc, token, v)
+                used = np.array(part.column("training").to_pylist(), bool)[doc] & (position(contexts, found >> np.uint64(WORD_BITS)) >= 0)
+                record, n = np.unique(found[used], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(record.view(np.int64)), pa.array(n.astype(np.int64))], names=["record", "n"])
+
+    counted = stored(rows.mapInArrow(count, "record long, n long").groupBy("record").agg(F.sum("n").alias("n")))
+    of = F.shiftrightunsigned("record", WORD_BITS).alias("context")
+    keeps = F.when((F.col("n") >= LEAST) & (F.col("record").bitwiseAND(OTHER_WORD) != OTHER_WORD), F.col("n"))
+    by_count = counted.groupBy(of, keeps.alias("n")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens"))
+    whole = by_count.groupBy("context").agg(F.sum("tokens").alias("total"), F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "words"))).alias("counts"))
+
+    def solve(batches):
+        for batch in batches:
+            found = []
+            for total, counts in zip(batch.column("total").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                n = np.repeat([float(c["n"]) for c in counts], [c["words"] for c in counts])
+                found.append(1 + np.exp(climb_words(n, np.zeros(len(n), int), np.array([float(total)]), penalty)).sum())
+            yield pa.RecordBatch.from_arrays([batch.column("context"), pa.array(batch.column("total").cast(pa.float64())), pa.array(found, pa.float64())], names=["context", "total", "whole"])
+
+    solved = whole.mapInArrow(solve, "context long, total double, whole double").toPandas()
+    most = counted.filter(F.col("n") >= least).toPandas()
+    order, order_records = np.argsort(solved["context"].to_numpy().view(np.uint64)), np.argsort(most["record"].to_numpy(np.int64).view(np.uint64))
+    totals, wholes = np.zeros(len(contexts)), np.ones(len(contexts))  # contexts that training lacks change nothing
+    at = position(contexts, solved["context"].to_numpy(np.int64).view(np.uint64)[order])
+    totals[at], wholes[at] = solved["total"].to_numpy()[order], solved["whole"].to_numpy()[order]
+    return Frequent(contexts, totals, wholes, most["record"].to_numpy(np.int64).view(np.uint64)[order_records], most["n"].to_numpy(float)[order_records])
+
+
+def met_often(met: DataFrame, least: float) -> np.ndarray:
+    """Contexts that the slices together told of so often."""
+
+    def unpack(batches):
+        for batch in batches:
+            contexts, counts = (np.frombuffer(b"".join(c.to_pylist()), np.int64) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(contexts), pa.array(counts)], names=["context", "n"])
+
+    summed = met.mapInArrow(unpack, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    return summed.filter(F.col("n") >= least).toPandas()["context"].to_numpy(np.int64).view(np.uint64)
+
+
+def at_once(record: np.ndarray, at: np.ndarray, shares: np.ndarray, frequent: Frequent, penalty: float = WORD_PENALTY) -> tuple[np.ndarray, np.ndarray]:
+    """Which records are frequent as such, and their gains."""
+    where = position(frequent.records, record)
+    found = np.flatnonzero((where >= 0) & (at >= 0))
+    place, whole = record[found] & np.uint64(OTHER_WORD), frequent.wholes[at[found]]
+    n = frequent.counts[where[found]]
+    weighed = np.zeros(len(found))
+    own = (n >= LEAST) & (place != np.uint64(OTHER_WORD))
+    weighed[own] = np.exp(weight_alone(n[own], frequent.totals[at[found[own]]], whole[own], penalty))
+    return found, added_to(shares[np.minimum(place.astype(np.int64), len(shares) - 1)], weighed, whole)
+
+
+def word_gains(rows: DataFrame, v: Vocabulary, tokens: int, met: DataFrame, penalty: float = WORD_PENALTY, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """``met`` has the contexts that slices told of, as packed numbers and counts. row, seen_again (a hash of the texts read with it) and gain, the log10 that the word features add to a text's score, for rows (training, text) that are read in the same order each time."""
     parts = max(1, -(-tokens // part_tokens))
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((v, v.front(FRONT * parts)))
+    least = part_tokens / SHARE
+    frequent = frequent_contexts(rows, v, met_often(met, least / 2) if parts > 1 else np.zeros(0, np.uint64), least, penalty)
+    shared = spark.sparkContext.broadcast((v, frequent))
 
     def dealt(batches):
+        v, frequent = shared.value
+        shares = v.shares()
         for part, start, seen in numbered(batches):
-            v, front = shared.value
-            dealt_to, doc, record = records(*tokens_of(texts(part)), v, front, parts)
+            hashes, doc, token = tokens_of(texts(part))
+            record = records(hashes, doc, token, v)
+            at = frequent.at(record >> np.uint64(WORD_BITS))
+            if len(frequent.records):
+                found, gain = at_once(record, at, shares, frequent, penalty)
+                direct, which = np.unique(doc[found], return_inverse=True)
+                if len(direct):  # an answer already, of a part below 0
+                    columns = [-1 - start % parts, False, start, seen, direct.astype("<u4").tobytes(), np.bincount(which, gain).tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([c]) for c in columns], names=["part", "training", "start", "seen", "docs", "records"])
+                rest = np.delete(np.arange(len(record)), found)
+                record, at, doc = record[rest], at[rest], doc[rest]
             training = np.array(part.column("training").to_pylist(), bool)[doc]
-            key = dealt_to * 2 + training
+            key = part_of(record, at, parts) * 2 + training
             order = np.argsort(key, kind="stable")  # documents stay in order
             key, doc, record = key[order], doc[order], record[order]
             new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
@@ -451,7 +619,7 @@ def word_gains(rows: DataFrame, v: Vocabulary, tokens: int, penalty: float = WOR
             record = np.concatenate([np.frombuffer(h[4], np.uint64) for h in held])
             sizes = [len(h[4]) // 8 for h in held]
             row = np.concatenate([np.frombuffer(h[3], "<u4").astype(np.int64) + h[1] for h in held])
-            rows, gain = gains(record, row, np.repeat([h[0] for h in held], sizes), shares, penalty)
+            rows, gain = gains(record, row, np.repeat([h[0] for h in held], sizes), shares, penalty, shared.value[1])
             starts, at = np.unique([h[1] for h in held], return_index=True)
             seen = np.array([h[2] for h in held])[at]
             ends = np.searchsorted(rows, np.append(starts, 1 << 62))
@@ -462,6 +630,9 @@ def word_gains(rows: DataFrame, v: Vocabulary, tokens: int, penalty: float = WOR
 
         for batch in batches:
             for part, *values in zip(*(batch.column(k).to_pylist() for k in ("part", "training", "start", "seen", "docs", "records")), strict=True):
+                if part < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([c]) for c in values[1:]], names=["start", "seen", "docs", "gains"])
+                    continue
                 if part != now and held:
                     yield flush()
                     held = []
@@ -490,10 +661,9 @@ def word_gains(rows: DataFrame, v: Vocabulary, tokens: int, penalty: float = WOR
         if now is not None:
             yield flush()
 
-    met = rows.mapInArrow(dealt, "part long, training boolean, start long, seen long, docs binary, records binary")
+    sent = rows.mapInArrow(dealt, "part long, training boolean, start long, seen long, docs binary, records binary")
     tasks = max(1, min(parts, 1 << 16))
-    met = met.repartition(tasks, "part").sortWithinPartitions("part")
-    found = met.mapInArrow(respond, "start long, seen long, docs binary, gains binary")
+    found = sent.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(respond, "start long, seen long, docs binary, gains binary")
     return found.repartition("start").sortWithinPartitions("start").mapInArrow(added, "row long, seen_again long, gain double")
 
 
@@ -532,7 +702,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     def run(batches):
         v, log_p = shared.value
         in_class = np.log10(v.shares())
-        # The count of a token that is not known comes from the join; here it stands as 1 in the logarithm.
+        # The count of a token that is not known comes from the join; here it stands as 1 in the logarithms.
         alone = np.log10(np.append(v.counts, 0) + 0.5) - np.log10(v.mass)
         alone[-1] = -np.log10(v.mass)
         for part, start, seen in numbered(batches):
@@ -549,22 +719,24 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
             offsets = pa.array(np.searchsorted(pairs, np.arange(n_docs + 1) * len(hashes)), pa.int32())
             rare = pa.ListArray.from_arrays(offsets, pa.array(hashes[pairs % len(hashes)].view(np.int64)))
             often = pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))
-            columns = [pa.array(np.arange(start, start + n_docs)), pa.array(np.full(n_docs, seen)), part.column(0), part.column(1), pa.array(np.bincount(doc, minlength=n_docs)), pa.array(known), pa.array(base), pa.array(full), rare, often]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "seen", "doc_id", "training", "n_tokens", "known", "base", "full", "rare", "often"])
+            contexts_met, times_met = told(contexts_of_words(hashes, doc, token, v, place), token, doc)
+            met = [pa.array([x.astype(np.int64).tobytes(), *[None] * (n_docs - 1)], pa.binary()) for x in (contexts_met, times_met)]
+            columns = [pa.array(np.arange(start, start + n_docs)), pa.array(np.full(n_docs, seen)), part.column(0), part.column(1), pa.array(np.bincount(doc, minlength=n_docs)), pa.array(known), pa.array(base), pa.array(full), rare, often, *met]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "seen", "doc_id", "training", "n_tokens", "known", "base", "full", "rare", "often", "met", "times_met"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), training.alias("training"), "text")
-    rows = stored(read.mapInArrow(run, "row long, seen long, doc_id long, training boolean, n_tokens long, known long, base double, full double, rare array<long>, often array<int>"))
+    rows = stored(read.mapInArrow(run, "row long, seen long, doc_id long, training boolean, n_tokens long, known long, base double, full double, rare array<long>, often array<int>, met binary, times_met binary"))
     seldom = rows.select("row", F.explode(F.arrays_zip("rare", "often")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.often").alias("times"))
     seldom = seldom.join(counts.filter(F.col("n") < v.least) if len(v.hashes) else counts, "h", "left")
     seldom = seldom.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("found")
+        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(v.prior))).alias("more_in_class"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("found")
     )
     tokens = rows.agg(F.sum("n_tokens")).first()[0] or 0
-    added = word_gains(read, v, tokens)
-    joined = rows.drop("rare", "often").join(seldom, "row", "left").join(added, "row", "left")
+    added = word_gains(read, v, tokens, rows.filter("met is not null").select("met", "times_met"))
+    joined = rows.drop("rare", "often", "met", "times_met").join(seldom, "row", "left").join(added, "row", "left")
     other = F.raise_error(F.lit("docs gave its rows in another order when it was read again; write it to a table first")).cast("double")
     gain = F.when(F.col("gain").isNull(), F.lit(0.0)).when(F.col("seen") == F.col("seen_again"), F.col("gain")).otherwise(other)
     return joined.select(
         "doc_id", "training", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("full") + gain).alias("score"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("full") + F.coalesce("more_in_class", F.lit(0.0)) + gain).alias("score"),
     )
