@@ -41,6 +41,7 @@ def fitted(spark, data):
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(maxent, "vocabulary", lambda counts: held.setdefault("v", vocabulary(counts, 3000)))
         patch.setattr(maxent, "fit", lambda docs, v: held.setdefault("log_p", fit(docs, v)))
+        patch.setattr(maxent, "SHARE", 2000)
         patch.setattr(maxent, "word_gains", lambda rows, v, tokens, met: word_gains(rows, v, held.setdefault("tokens", tokens), met, part_tokens=PART))
         patch.setattr(maxent, "frequent_contexts", lambda *args: held.setdefault("frequent", frequent_contexts(*args)))
         rows = {r.doc_id: r for r in maxent.score(docs, F.col("doc_id") % 5 != 1).collect()}
@@ -162,6 +163,7 @@ def test_scores_do_not_depend_on_how_contexts_are_dealt(spark, data, monkeypatch
     monkeypatch.setattr(maxent, "frequent_contexts", lambda *args: found.append(frequent_contexts(*args)) or found[-1])
     monkeypatch.setattr(maxent, "fit", lambda docs, v: fitted.setdefault("p", fit(docs, v)) if not fitted else fitted["p"])
     scores = []
+    monkeypatch.setattr(maxent, "SHARE", 64)
     for tokens in (maxent.PART_TOKENS, maxent.PART_TOKENS // 2000):
         monkeypatch.setattr(maxent, "word_gains", lambda *args, tokens=tokens: word_gains(*args, part_tokens=tokens))
         scores.append({r.doc_id: r.score for r in maxent.score(docs, F.col("doc_id") % 5 != 1).collect()})
