@@ -89,16 +89,18 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, source_share: floa
     Needs doc_id, text, source, and the column named by cluster (by default a duplicate cluster is a hash of the text
     with A-Z and other capitals lowered). Every word of every text is in one piece. Documents without words have one piece of 0
     words. Null sources and null clusters conflict with nothing; null texts have no words. Repeated rows are separate
-    documents of one cluster. Ties in size go by doc_id, nulls first. Texts are read whole; other columns, whatever their
+    documents of one cluster. Ties in size go by doc_id, cluster and source, nulls first. Texts are read whole; other columns, whatever their
     names, are not read. An empty table gives no row.
     """
     group = F.col(cluster).cast("string") if cluster else F.when(F.length("text") > 0, F.xxhash64(F.lower("text")).cast("string"))
-    rows = checkpointed(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), word_count("text").alias("n"), group.alias("cluster"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("row")))
+    rows = checkpointed(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), word_count("text").alias("n"), group.alias("cluster")))
     shards = max(1, -(-rows.count() // shard_docs))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "n", "row"), F.lit(shards)).cast("long"))
+    # Rows without an id that are alike in all else are dealt by their order among them, whichever gets which.
+    spread = F.monotonically_increasing_id()
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "n", "source", F.when(F.col("doc_id").isNull(), spread)), F.lit(shards)).cast("long"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "cluster"], na_position="first", kind="stable").reset_index(drop=True)
+        frame = frame.sort_values(["doc_id", "cluster", "source", "n"], na_position="first", kind="stable").reset_index(drop=True)
         sources, clusters = ([None if pd.isna(x) else x for x in frame[k]] for k in ("source", "cluster"))
         sizes = frame["n"].astype(int).tolist()
         pieces = sorted(pack_shard(sizes, sources, clusters, capacity, source_share))
