@@ -147,7 +147,7 @@ def same_as_whole(tokenizer_file: str, piece: pa.RecordBatch, words: list[list[b
 def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, path: str) -> None:
     """Encode docs (doc_id, text) and write segments in ascending doc_id order to the folder path.
 
-    Texts are never cut; null texts are empty; null ids come first; rows of one id are in order of their texts. The
+    Texts are never cut; null texts are empty; null ids come first; rows of one id are in order of a hash of their texts. The
     ids are those of encoding the whole text, which is compared for one text of every batch. Other columns are not
     read. An empty table gives an empty file set.
     """
@@ -185,7 +185,9 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, path: str) -
         if doc_ids:
             yield row()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Ranges are cut by the text's hash too, so that rows of one id, or of none, may fill several.
+    key = [F.col("doc_id").asc_nulls_first(), "h", "text"]
+    ordered = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).repartitionByRange(*key[:2]).sortWithinPartitions(*key).drop("h")
     ordered.mapInArrow(encode, "part int, seq int, first_doc_id long, n_ids long, data binary").write.parquet(path)
 
 
@@ -212,7 +214,7 @@ def read_tokens(segments: DataFrame) -> DataFrame:
     heads = segments.select("part", "seq", "first_doc_id", "n_ids")
     # One row a partition that wrote: few, and the only rows that meet in one task.
     parts = heads.groupBy("part").agg(F.min(F.coalesce("first_doc_id", F.lit(-(1 << 63)))).alias("first"), F.sum("n_ids").alias("total"))
-    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("first", "part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("total").over(before), F.lit(0))).select("part", "before")
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(parts, "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("offset"))
