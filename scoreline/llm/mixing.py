@@ -88,10 +88,11 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most_cop
     """doc_id, source, size, source_size, target, copies, taken (= copies * size) for every row of docs.
 
     Needs doc_id, text, source; other columns are not touched. Null texts have size 0 and null sources are a source.
-    Documents of size 0 take no words. Repeated rows are separate documents of one rank. An empty table gives no row.
+    Documents of size 0 take no words. Repeated rows are separate documents of one rank; rows without an id are ranked by
+    their texts. An empty table gives no row.
     """
     sizes = checkpointed(
-        docs.select("doc_id", "source", word_count("text").alias("size"), uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed).alias("u"))
+        docs.select("doc_id", "source", word_count("text").alias("size"), uniform(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))), seed).alias("u"))
         .withColumn("size_class", F.length(F.bin("size")))
     )
     classes = sizes.groupBy("source", "size_class").agg(F.sum("size").alias("words"))
@@ -133,16 +134,22 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most_cop
 
 
 def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, each as often as mixed (doc_id, copies) says; rows of one id as the most taken of them."""
+    """The rows of docs, all columns, each as often as mixed (doc_id, copies) says; rows of one id as the most taken of them.
+
+    Rows without an id are as one id; their number of copies is one row, which is broadcast, so they are no hot key. Tables
+    without rows give none.
+    """
     copies = mixed.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("copies").cast("int").alias("times")).filter("times > 0")
-    joined = docs.select(F.struct("*").alias("r")).join(copies, F.col("r.doc_id").cast("long").eqNullSafe(F.col("id")))
-    return joined.select("r", F.explode(F.sequence(F.lit(1), F.col("times")))).select("r.*")
+    rows, own = docs.select(F.struct("*").alias("r")), F.col("r.doc_id").cast("long")
+    known = rows.filter(own.isNotNull()).join(copies, own == F.col("id"))
+    unknown = rows.filter(own.isNull()).join(F.broadcast(copies.filter("id is null")), own.eqNullSafe(F.col("id")))
+    return known.unionAll(unknown).select("r", F.explode(F.sequence(F.lit(1), F.col("times")))).select("r.*")
 
 
 MIX_SQL = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    (('0x' || substr(md5('5:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
+    (('0x' || substr(md5('5:' || coalesce(doc_id::varchar, md5(coalesce(text, '')))), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
   from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [5, 2, 1][((row_number() over (order by source asc nulls last) - 1) % 3 + 1)::int] as weight,
