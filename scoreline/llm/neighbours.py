@@ -22,6 +22,7 @@ Every row is indexed. Sizes on the driver are bounded by the constants: a row a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -165,14 +166,17 @@ class Band:
 def fitted(n: int, queries: np.ndarray, row: np.ndarray, neighbours: np.ndarray, tables: int, recall: float = RECALL) -> tuple[list[int], int]:
     """Axes and probes of a band of n vectors: the least work that meets ``recall`` of the pairs queries[row], neighbours (directions).
 
-    If no setting tried does, the one that meets most. Without pairs, the setting for a cosine of a half.
+    If no size of BUCKETS does, larger buckets are tried, at last so few that the probes reach all of them, which finds every
+    pair. Without pairs, the setting for a cosine of a half.
     """
     if not len(row):
         random = np.random.default_rng(n)
         queries, others = (directions(random.normal(size=(64, queries.shape[1]))) for _ in range(2))
         row, neighbours = np.arange(64), directions(queries / 2 + np.sqrt(0.75) * others)
     found = []
-    for bucket in BUCKETS:
+    for bucket in chain(BUCKETS, (BUCKETS[-1] << k for k in count(1))):
+        if bucket > BUCKETS[-1] and found:
+            break
         axes = axes_for(queries.shape[1], n, bucket)
         first = np.full(len(row), MOST_PROBES)
         for t in range(tables):
@@ -180,9 +184,9 @@ def fitted(n: int, queries: np.ndarray, row: np.ndarray, neighbours: np.ndarray,
             first = np.minimum(first, np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_PROBES))
         needed = int(np.sort(first)[min(len(first) - 1, int(np.ceil(recall * len(first))) - 1)]) + 1
         probes = min(needed, MOST_PROBES)
-        met = float((first < probes).mean())
-        found.append((met < recall, -met if met < recall else 0.0, probes * n / np.prod(axes, dtype=float) + probes, axes, probes))
-    return min(found, key=lambda x: x[:3])[3:]
+        if float((first < probes).mean()) >= recall:
+            found.append((probes * n / np.prod(axes, dtype=float) + probes, axes, probes))
+    return min(found, key=lambda x: x[0])[1:]
 
 
 def nearest(
