@@ -8,7 +8,7 @@ beside an insult. The grammar is two cascades of transducers from symbols to sym
     negation      insults after a negation, up to NEGATION_REACH words on, become denied insults
     report        insults after a verb of saying become reported insults
     target        insults up to TARGET_REACH words after a target become aimed insults
-    threat        threats after a target become aimed threats
+    threat        threats up to TARGET_REACH words after a target become aimed threats
 
 and the second reads what came out backwards:
 
@@ -18,7 +18,7 @@ and the second reads what came out backwards:
 
 Each cascade is composed to one table, which runs over the symbols of each clause that holds an insult or a threat; the kinds
 that come out, with their stems' weights, are summed over the document, and a logistic model of these sums gives the
-score. A word by itself decides nothing: its weight enters by the kind that its clause gives it.
+score; its coefficients are not below 0, and being aimed at someone makes neither an insult nor a threat count less. A word by itself decides nothing: its weight enters by the kind that its clause gives it.
 
 Learning. At most SAMPLE labelled rows of each label are used, chosen by a hash of the id. A stem (a word or its first
 4 to 6 letters) is taken as an insult if its share of toxic texts is above the sample's by more than chance allows
@@ -51,7 +51,10 @@ TARGET_REACH = 4
 THRESHOLD = 0.3
 CACHE_WORDS = 1 << 20
 EDGES = ".,;:!?\"'()[]{}<>«»…|*$%&#-_"
-CLAUSE_ENDS = (".", "!", "?", ";", ":")
+#: Marks that end a clause in one script or another, what may follow them, and the mark that line ends are read as.
+CLAUSE_ENDS = (".", "!", "?", ";", ":", "…", "。", "！", "？", "；", "：", "؟", "؛", "۔", "।", "॥", "።")
+CLOSERS = "\"')]}»”’"
+LINE_END = "¶"
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, DENIED, REPORTED, AIMED, AIMED_THREAT = range(10)
 KINDS = (INSULT, DENIED, REPORTED, AIMED, THREAT, AIMED_THREAT)
@@ -144,16 +147,7 @@ def target(reach: int = TARGET_REACH, factor: float = 1.5) -> Transducer:
     return Transducer(0, step)
 
 
-def threat(factor: float = 2.0) -> Transducer:
-    def step(seen, symbol):
-        if symbol == THREAT and seen:
-            return seen, AIMED_THREAT, factor
-        return seen or symbol == TARGET, symbol, 1.0
-
-    return Transducer(False, step)
-
-
-def threat_before(reach: int = TARGET_REACH, factor: float = 2.0) -> Transducer:
+def threat(reach: int = TARGET_REACH, factor: float = 2.0) -> Transducer:
     def step(left, symbol):
         if symbol == TARGET:
             return reach, symbol, 1.0
@@ -165,7 +159,7 @@ def threat_before(reach: int = TARGET_REACH, factor: float = 2.0) -> Transducer:
 
 
 FORWARDS = (negation, report, target, threat)
-BACKWARDS = (report, target, threat_before)
+BACKWARDS = (report, target, threat)
 
 
 @dataclass
@@ -207,13 +201,13 @@ class Codes(dict):
         entry = places.get(bare) or places.get(bare + "*") or next((e for n in STEMS if len(bare) > n and (e := places.get(bare[:n] + "*"))), 0)
         if len(self) >= CACHE_WORDS:
             self.clear()
-        code = self[word] = 2 * entry + word.endswith(CLAUSE_ENDS)
+        code = self[word] = 2 * entry + (word == LINE_END or word.rstrip(CLOSERS).endswith(CLAUSE_ENDS))
         return code
 
 
 def marked_clauses(text: str, model: ToxicityModel, codes: Codes) -> Iterator[tuple[list[str], np.ndarray, list[int]]]:
-    """Words, entries and symbols of each clause of the text that holds an insult or a threat."""
-    words = text.split()
+    """Words, entries and symbols of each clause of the text that holds an insult or a threat; clauses end at marks and at line ends."""
+    words = (text.replace("\n", f" {LINE_END} ") if "\n" in text else text).split()
     code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
     entry = code >> 1
     symbol = model.symbols[entry]
@@ -255,6 +249,26 @@ def probabilities(features: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(coefficients[0] + features @ coefficients[1:], -50, 50)))
 
 
+def nested(features: np.ndarray) -> np.ndarray:
+    """Columns whose weights, none below 0, make an aimed insult count no less than a plain one, and an aimed threat than a threat."""
+    plain, denied, reported, aimed, threatened, aimed_threat = features.T
+    return np.stack((plain + aimed, denied, reported, aimed, threatened + aimed_threat, aimed_threat), axis=1)
+
+
+def signed_logistic(features: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """An intercept and a coefficient of each of KINDS, of the signs that the kinds have: those of ``nested`` that come out below 0 are left out, the lowest first."""
+    x, used = nested(features), list(range(len(KINDS)))
+    while True:
+        w = logistic(x[:, used], y, weight)
+        if not used or w[1:].min() >= 0:
+            break
+        used.pop(int(w[1:].argmin()))
+    found = np.zeros(len(KINDS))
+    found[used] = w[1:]
+    plain, denied, reported, aimed, threatened, aimed_threat = found
+    return np.array([w[0], plain, denied, reported, plain + aimed, threatened, threatened + aimed_threat])
+
+
 def logistic(features: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Newton steps on the penalised likelihood, of an intercept and a coefficient a column."""
     x = np.column_stack((np.ones(len(y)), features))
@@ -416,7 +430,10 @@ def distinct_texts(sample: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> ToxicityModel:
-    """Learn stems and coefficients from the rows of labels. Without labels of both kinds, the fixed words serve alone.
+    """Learn stems and coefficients from the rows of labels. Without labels of both kinds, or without rows, the fixed words serve alone.
+
+    Null texts are empty, null ids have no label, and of labels of one id the largest counts. Repeated rows of one text
+    and label count once, as many as they are; where hashes of ids tie, the smaller id is taken. Texts are read whole.
 
     The coefficients are fitted on each half of the sample with the stems of the other half, since stems found
     in a text tell more of that text than of others.
@@ -444,17 +461,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     order = np.lexsort((*x.T, rows["y"]))  # the same sums in any partitioning
     x, y = x[order], rows["y"].to_numpy(float)[order]
     weight = np.where(y == 1, stands_for.get(1, 1.0), stands_for.get(0, 1.0))
-    model.coefficients = logistic(x, y, weight)
+    model.coefficients = signed_logistic(x, y, weight)
     return model
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id and score (0 to 1) of every row. Null and empty texts match nothing. Only doc_id and text are read."""
+    """doc_id and score (0 to 1) of every row.
+
+    Null and empty texts match nothing; texts are read whole. Repeated rows score alike, and there are no ties to break.
+    Only doc_id and text are read, whatever other columns are named. Tables without rows give none.
+    """
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _scorer(docs, model, None), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, whose score is below the threshold."""
+    """The rows of docs, all columns, whose score is below the threshold. Repeated rows fare alike; null and empty texts stay; tables without rows give none."""
     return map_batches(docs, _scorer(docs, model, threshold), docs.schema)
 
 

@@ -54,7 +54,7 @@ def cascade(symbols):
 
     rules = [
         (T.NEGATION, T.NEGATION_REACH, False, T.INSULT, T.DENIED, 0.6), (T.REPORT, 10**6, False, T.INSULT, T.REPORTED, 0.6), (T.TARGET, T.TARGET_REACH, False, T.INSULT, T.AIMED, 1.5),
-        (T.TARGET, 10**6, False, T.THREAT, T.AIMED_THREAT, 2.0), (T.REPORT, 10**6, True, T.INSULT, T.REPORTED, 0.6), (T.TARGET, T.TARGET_REACH, True, T.INSULT, T.AIMED, 1.5),
+        (T.TARGET, T.TARGET_REACH, False, T.THREAT, T.AIMED_THREAT, 2.0), (T.REPORT, 10**6, True, T.INSULT, T.REPORTED, 0.6), (T.TARGET, T.TARGET_REACH, True, T.INSULT, T.AIMED, 1.5),
         (T.TARGET, T.TARGET_REACH, True, T.THREAT, T.AIMED_THREAT, 2.0),
     ]
     for mark, reach, ahead, old, new, f in rules:
@@ -105,3 +105,61 @@ def test_scores_do_not_depend_on_partitions(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = [sorted((r.doc_id, r.score) for r in toxicity.score(d, toxicity.train(d, labels)).collect()) for d in (docs, docs.repartition(7))]
     assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("text", ["you.\ngrobnik", "you\ngrobnik", "you。 grobnik", 'you." grobnik', "you… grobnik", "you؟ grobnik", "you a b c d grobnik", "you\r\ngrobnik", "grobnik\nyou"])
+def test_what_parts_an_insult_from_its_target(text):
+    model = toxicity.ToxicityModel({"grobnik": 2.0})
+    row = toxicity.sums([text], model, toxicity.Codes(model))[0]
+    assert [toxicity.KINDS[i] for i in np.flatnonzero(row)] == [toxicity.INSULT]
+
+
+def test_a_threat_is_aimed_within_reach_alone():
+    model = toxicity.ToxicityModel({"grobnik": 2.0})
+    x = toxicity.sums(["you kill", "you a b c d kill", "kill a b c d you", "kill you"], model, toxicity.Codes(model))
+    assert [[toxicity.KINDS[i] for i in np.flatnonzero(row)] for row in x] == [[toxicity.AIMED_THREAT], [toxicity.THREAT], [toxicity.THREAT], [toxicity.AIMED_THREAT]]
+
+
+def test_no_coefficient_has_the_wrong_sign():
+    random = np.random.default_rng(1)
+    x = random.random((400, len(toxicity.KINDS))) * (random.random((400, len(toxicity.KINDS))) < 0.3)
+    for slopes in ([2, 1, 0, 1, -3, -2], [2, -1, -1, 5, 1, 4], [-1, -1, -1, -1, -1, -1]):
+        y = (random.random(400) < 1 / (1 + np.exp(1 - x @ np.array(slopes, float)))).astype(float)
+        _, plain, denied, reported, aimed, threatened, aimed_threat = toxicity.signed_logistic(x, y, np.ones(400))
+        assert min(plain, denied, reported, threatened) >= 0 and aimed >= plain and aimed_threat >= threatened
+    y = (random.random(400) < 1 / (1 + np.exp(1 - x @ np.array([2.0, 1, 1, 4, 1, 3])))).astype(float)
+    assert toxicity.signed_logistic(x, y, np.ones(400)) == pytest.approx(toxicity.logistic(x, y, np.ones(400)), abs=0.3)
+
+
+@pytest.mark.parametrize(("aim", "deny", "say"), [("you", "not", "said"), ("dich", "kein", "sagte"), ("toi", "pas", "dit"), ("tú", "nunca", "dijo")])
+def test_clauses_decide_where_labels_follow_them(spark, monkeypatch, aim, deny, say):
+    """Where aimed insults are toxic and denied or reported ones are not, scoring without the cascades costs a tenth of the held-out F1."""
+    random = np.random.default_rng(4)
+    words, stems = [f"plain{i}" for i in range(200)], [f"{c}robnik" for c in "bgkmptvz"]
+
+    def text(*clause):
+        filler = [" ".join(random.choice(words, 8)) for _ in range(2)]
+        return f"{filler[0]}. {' '.join(clause)}. {filler[1]}."
+
+    rows = []
+    for i in range(2600):
+        stem, held_out = stems[random.integers(len(stems))], i >= 2000
+        kind = ("aimed", "other", "plain")[i % 3] if held_out else "other" if i % 20 == 0 else ("aimed", "plain")[i % 2]
+        other = (deny, "a", stem) if random.random() < 0.5 else (say, stem)
+        rows.append((i, text(*{"aimed": (aim, stem), "other": other, "plain": random.choice(words, 3)}[kind]), int(kind == "aimed")))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+    learnt = toxicity.learn_stems(df.filter("doc_id < 2000").selectExpr("text", "toxic as y"), 1.0)
+    seen, asked = ([r for r in rows if (r[0] >= 2000) == held_out] for held_out in (False, True))
+
+    def f1():
+        model = toxicity.ToxicityModel(learnt)
+        codes, y = toxicity.Codes(model), np.array([r[2] for r in asked])
+        w = toxicity.signed_logistic(toxicity.sums([r[1] for r in seen], model, codes), np.array([r[2] for r in seen], float), np.ones(len(seen)))
+        found = toxicity.probabilities(toxicity.sums([r[1] for r in asked], model, codes), w) >= 0.5
+        return 2 * (found & (y == 1)).sum() / (found.sum() + y.sum())
+
+    whole = f1()
+    monkeypatch.setattr(toxicity, "FORWARDS", (lambda: toxicity.Transducer((), lambda state, symbol: (state, symbol, 1.0)),))
+    monkeypatch.setattr(toxicity, "BACKWARDS", toxicity.FORWARDS)
+    assert whole > 0.95 and f1() < whole - 0.1
