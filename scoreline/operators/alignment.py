@@ -124,7 +124,7 @@ class AnchorWalk:
         return None, "UNRESOLVED", *(first or (None,) * 4), rejected, violations, prevented
 
 
-ANCHOR = "match_id long, innings int, truth_id long, rank int, reading_id long, anchor_seconds double, n_candidates int, tier string, ocr_quality string, score_state string, ordering string, pacing string, n_rejected int, n_violations int, n_prevented int"
+ANCHOR = "match_id long, innings int, truth_id long, rank int, reading_id long, anchor_seconds double, n_candidates int, tier string, ocr_quality string, score_state string, ordering string, pacing string, n_rejected int, n_violations int, n_prevented int, ocr_value double"
 ANCHOR_COLUMNS = [c.split()[0] for c in ANCHOR.split(", ")]
 
 
@@ -145,10 +145,20 @@ def _anchors(frame: pd.DataFrame) -> pd.DataFrame:
         n = b - a if known["rank"][a] else 0
         rank, *more = walk.visit(int(column["over_number"][a]), int(column["ball_in_over"][a]), candidates(range(a, a + n)))
         reading, seconds = (None, None) if rank is None else (int(column["reading_id"][a + rank]), float(column["timestamp_seconds"][a + rank]))
-        out.append((column["match_id"][a], column["innings"][a], truth[a], rank, reading, seconds, n, *more))
+        told = a + (rank or 0)  # the signals are those of the accepted candidate, or of the first
+        value = float(column["ocr_confidence"][told]) if n and known["ocr_confidence"][told] else None
+        out.append((column["match_id"][a], column["innings"][a], truth[a], rank, reading, seconds, n, *more, value))
     return pd.DataFrame(out, columns=ANCHOR_COLUMNS).astype({"rank": "Int64", "reading_id": "Int64"})
 
 
+def with_reasons(anchors: DataFrame) -> DataFrame:
+    """anchors with reason, the signals of the accepted candidate, or of the first, in words; null where there is none."""
+    value = F.coalesce(F.format_string("(%.2f)", F.when(~F.isnan("ocr_value"), F.col("ocr_value"))), F.lit(""))
+    value = F.when(F.col("ocr_value").isNull() | F.isnan("ocr_value"), "").otherwise(value)
+    told = F.concat(F.lit("ocr_quality="), "ocr_quality", value, F.lit(" score_state="), "score_state", F.lit(" ordering="), "ordering", F.lit(" neighbor_pacing="), "pacing")
+    return anchors.withColumn("reason", told)
+
+
 CANDIDATES = ["match_id", "innings", "truth_id", "over_number", "ball_in_over", "event_type", "reading_id", "rank", "bucket", "timestamp_seconds", "r_runs", "r_wickets", "ocr_confidence"]
 
 

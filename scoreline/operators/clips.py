@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import concat_line
 from .intervals import asof_backward, merge_intervals
 
 
@@ -59,3 +60,10 @@ def event_ids(planned: DataFrame) -> DataFrame:
     """The distinct event keys of all clips of a match, sorted, as one string."""
     keys = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("clip_id", r"\+")))))
     return planned.groupBy("match_id").agg(F.array_join(keys, ",").alias("event_ids"))
+
+
+def concat_list(segments: DataFrame) -> DataFrame:
+    """match_id and list, the text that names a match's segments (match_id, position, path) in their order, quotes in paths escaped."""
+    entry = concat_line(F.col("path"))
+    rows = segments.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("position", "path", entry.alias("entry")))).alias("entries"))
+    return rows.select("match_id", F.array_join("entries.entry", "\n").alias("list"))

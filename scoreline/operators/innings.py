@@ -20,6 +20,8 @@ IMPLAUSIBLE = "REJECTED_IMPLAUSIBLE_RESET"
 NO_OVER_BALL = "REJECTED_NO_OVER_BALL_RESET"
 NOT_PERSISTENT = "REJECTED_INSUFFICIENT_PERSISTENCE"
 TOO_MANY = "REJECTED_MAX_SEGMENTS_REACHED"
+# Fixed value: how a decision on a candidate is told.
+REASON = "is_decrease={} reset_plausible={} over_ball_reset={} confirmations={}/{}"
 
 
 @dataclass(frozen=True)
@@ -38,7 +40,7 @@ class InningsTracker:
     """Feeds on (runs, wickets, over, confidence); says whether a fall of both is the start of a new innings."""
 
     def __init__(self, config: TrackerConfig = TrackerConfig()) -> None:
-        self.config, self.segment, self.confirmed = config, 1, 0
+        self.config, self.segment, self.confirmed, self.reason = config, 1, 0, None
         self.baseline: tuple[int, int] | None = None
 
     def state(self) -> tuple:
@@ -52,7 +54,8 @@ class InningsTracker:
         return self
 
     def observe(self, runs, wickets, over, confidence=None) -> str:
-        c = self.config
+        """The decision; ``reason`` then tells what it rests on, if the reading was a candidate."""
+        c, self.reason = self.config, None
         if runs is None or wickets is None:
             return NOT_A_CANDIDATE
         if self.baseline is None or not (runs < self.baseline[0] and wickets < self.baseline[1]):
@@ -60,16 +63,16 @@ class InningsTracker:
                 self.confirmed = 0
             self.baseline = (runs, wickets)
             return NOT_A_CANDIDATE
-        if runs >= c.most_reset_runs or wickets > c.most_reset_wickets:
-            self.confirmed = 0
-            return IMPLAUSIBLE
-        if over is None or over > c.most_reset_over:
-            self.confirmed = 0
-            return NO_OVER_BALL
-        self.confirmed += 1
+        near_zero, near_start = runs < c.most_reset_runs and wickets <= c.most_reset_wickets, over is not None and over <= c.most_reset_over
+        self.confirmed = self.confirmed + 1 if near_zero and near_start else 0
         needed = c.confirmations
         if confidence is not None and confidence < c.low_confidence:
             needed = max(needed, round(needed * c.low_confidence_factor))
+        self.reason = REASON.format(True, near_zero, near_zero and near_start, self.confirmed, needed)
+        if not near_zero:
+            return IMPLAUSIBLE
+        if not near_start:
+            return NO_OVER_BALL
         if self.confirmed < needed:
             return NOT_PERSISTENT
         if self.segment >= c.segments:
@@ -100,16 +103,22 @@ def tag_innings(readings: DataFrame, config: TrackerConfig = TrackerConfig()) ->
     a column), else its parse_confidence.
     """
 
+    return tagged(readings, config).drop("reason")
+
+
+def tagged(readings: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:
+    """tag_innings with the reason of each decision on a candidate, null for other readings."""
+
     def start():
         tracker = InningsTracker(config)
 
         def step(reading_id, _, *values) -> tuple:
-            return reading_id, tracker.observe(*values), tracker.segment
+            return reading_id, tracker.observe(*values), tracker.segment, tracker.reason
 
         return step
 
     rows = readings.select("match_id", "reading_id", "timestamp_seconds", "runs", "wickets", "over_number", confidence_of(readings).alias("confidence"))
-    return fold_rows(rows, ["match_id"], ["timestamp_seconds", "reading_id"], start, "reading_id long, decision string, segment int")
+    return fold_rows(rows, ["match_id"], ["timestamp_seconds", "reading_id"], start, "reading_id long, decision string, segment int, reason string")
 
 
 def with_innings(readings: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:

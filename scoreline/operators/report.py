@@ -83,3 +83,11 @@ def match_summary(readings: DataFrame, events: DataFrame, replays: DataFrame) ->
     counts = by_type.agg(F.count("*").cast("double").alias("value")).select("match_id", F.concat(F.lit("events_"), "event_type").alias("metric"), "value")
     means = by_type.agg(F.avg("confidence").alias("value")).select("match_id", F.concat(F.lit("confidence_"), "event_type").alias("metric"), "value")
     return counted(readings, "readings").unionByName(counted(events, "events")).unionByName(counted(replays, "replays")).unionByName(counts).unionByName(means)
+
+
+def summary_text(figures: DataFrame) -> DataFrame:
+    """match_id and summary, a line of text for each figure (match_id, metric, value), in order of their names."""
+    number = F.when(F.col("value") == F.floor("value"), F.col("value").cast("long").cast("string")).otherwise(F.format_string("%.3f", "value"))
+    line = F.concat(F.translate("metric", "_", " "), F.lit(": "), number)
+    lines = F.array_sort(F.collect_list(F.struct("metric", line.alias("line"))))
+    return figures.groupBy("match_id").agg(lines.alias("lines")).select("match_id", F.concat_ws("\n", F.concat(F.lit("match: "), F.col("match_id").cast("string")), F.array_join(F.col("lines.line"), "\n")).alias("summary"))

@@ -257,7 +257,7 @@ walk as (select match_id, innings, l, 0 as pos, false as known, 0 as o, 0 as b,
 anchors as (select match_id, innings, truth_id, case when hit > 0 then tried[hit].rank end as rank, case when hit > 0 then tried[hit].id end as reading_id, case when hit > 0 then tried[hit].s end as anchor_seconds, len(tried) as n_candidates, tier,
     tried[greatest(hit, 1)].ocr as ocr_quality, tried[greatest(hit, 1)].score as score_state, tried[greatest(hit, 1)].ord as ordering, tried[greatest(hit, 1)].pac as pacing,
     case when hit > 0 then hit - 1 else len(tried) end as n_rejected, len(list_filter(case when hit > 0 then tried[:hit - 1] else tried end, lambda c: c.ord = 'VIOLATION')) as n_violations,
-    case when hit <> 1 and tried[1].ord = 'VIOLATION' then 1 else 0 end as n_prevented
+    case when hit <> 1 and tried[1].ord = 'VIOLATION' then 1 else 0 end as n_prevented, tried[greatest(hit, 1)].c as ocr_value
   from walk where pos > 0)
 """
 
@@ -297,7 +297,7 @@ FOLDS = {
     "events_last_accepted": (ACCEPTED, "select f.*, coalesce(f.timestamp_seconds <= r.end_seconds, false) as is_replay from acc_found f asof left join replays r on f.match_id = r.match_id and f.timestamp_seconds >= r.start_seconds"),
     "cut_suppression": (SUPPRESSED, "select match_id, l[pos].f as frame_index, l[pos].t as timestamp_seconds, l[pos].s as score from sup where pos > 0 and keep"),
     "replay_scoring": (REPLAYS, "select match_id, segment_id, start_seconds, end_seconds, is_replay, case when is_replay then row_number() over (partition by match_id, is_replay order by start_seconds, end_seconds) - 1 end as replay_id, round(logo, 9) as logo_score, round(board, 9) as scoreboard_score, round(motion, 9) as motion_score, round(transition, 9) as transition_score, round(camera, 9) as camera_score, round(total, 9) as score from replay_found"),
-    "anchor_walk": (ANCHORS, "select * from anchors"),
+    "anchor_walk": (ANCHORS, "select * exclude (ocr_value) from anchors"),
     "tier_summary": (ANCHORS, "select match_id, count(*) filter (tier = 'HIGH') as high, count(*) filter (tier = 'MEDIUM') as medium, count(*) filter (tier = 'LOW') as low, count(*) filter (tier = 'UNRESOLVED') as unresolved, sum(n_violations)::bigint as violations, sum(n_prevented)::bigint as prevented from anchors group by match_id"),
     "greedy_match": (MATCHES, "select match_id, truth_id, event_key, outcome, recovery_eligible from aligned"),
     "accuracy_report": (MATCHES, ACCURACY),
@@ -341,12 +341,19 @@ select match_id, event_id, unnest(list_filter([
     case when k % 29 = 0 and k % 17 <> 0 then 'timestamp_seconds is not finite' end, case when k % 7 = 0 then 'source is unknown' end, case when k % 11 = 0 then 'dismissal_type is unknown' end,
     case when count(*) over (partition by match_id, event_id) > 1 then 'match_id, event_id not unique' end], lambda x: x is not null)) as constraint
 from (select match_id, value, k, case when k % 5 = 0 then event_id // 16 else event_id + 1000000000 end as event_id from e)"""),
+    "anchor_reasons": (ANCHORS, "select match_id, truth_id, tier, 'ocr_quality=' || ocr_quality || coalesce('(' || printf('%.2f', ocr_value) || ')', '') || ' score_state=' || score_state || ' ordering=' || ordering || ' neighbor_pacing=' || pacing as reason from anchors"),
+    "innings_reasons": (TAGS, "select match_id, reading_id, 'is_decrease=True reset_plausible=' || case when d = 'REJECTED_IMPLAUSIBLE_RESET' then 'False' else 'True' end || ' over_ball_reset=' || case when d in ('REJECTED_IMPLAUSIBLE_RESET', 'REJECTED_NO_OVER_BALL_RESET') then 'False' else 'True' end || ' confirmations=' || case when d in ('REJECTED_IMPLAUSIBLE_RESET', 'REJECTED_NO_OVER_BALL_RESET') then 0 else held + 1 end || '/' || case when c < 0.5 then 4 else 2 end as reason from (select t.*, lag(confirmed) over (partition by t.match_id order by pos) as held, g.ocr_confidence as c from tag t left join gaps g on t.match_id = g.match_id and t.reading_id = g.reading_id) where pos > 0 and d <> 'NOT_A_CANDIDATE'"),
     "strategy_lock": (LOCK, "select match_id, l[pos].f as frame_index, locked, way as strategy, layout from lock where pos > 0"),
     "stream_late_cuts": (SUPPRESSED, "select match_id, frame_index, l[pos].t as timestamp_seconds, boundary_type, confidence from (select *, l[pos].f as frame_index from sup where pos > 0 and keep) join (" + SELECTS["post_cut_class"] + ") using (match_id, frame_index)"),
     "stream_innings_tags": FOLDS["innings_tags"],
     "stream_reading_validation": FOLDS["reading_validation"],
 }
-SELECTS |= {"stream_smooth_outliers": SELECTS["smooth_outliers"], "stream_clip_merge": SELECTS["clip_merge"]}
+SELECTS |= {
+    "stream_smooth_outliers": SELECTS["smooth_outliers"],
+    "stream_clip_merge": SELECTS["clip_merge"],
+    "summary_texts": "select match_id, 'match: ' || match_id || chr(10) || string_agg(replace(metric, '_', ' ') || ': ' || value::bigint, chr(10) order by metric) as summary from (" + SELECTS["match_summary"] + ") where metric not like 'confidence%' group by match_id",
+    "concat_lists": r"select match_id, string_agg('file ''it''\''''s/' || match_id || '-' || island || '.mp4''', chr(10) order by start_seconds) as list from clips group by match_id",
+}
 
 
 def oracle_sql() -> dict[str, str]:

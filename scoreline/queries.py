@@ -273,7 +273,7 @@ def over_range_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def anchor_walk(spark: SparkSession, sf: str) -> DataFrame:
-    return alignment.walk_anchors(alignment.with_candidates(_truth(spark, sf), feed.readings(spark, sf)))
+    return alignment.walk_anchors(alignment.with_candidates(_truth(spark, sf), feed.readings(spark, sf))).drop("ocr_value")
 
 
 @query
@@ -533,6 +533,28 @@ def constraint_violations(spark: SparkSession, sf: str) -> DataFrame:
     return constraints.violations(rows, constraints.TABLES["events"]).select("match_id", "event_id", "constraint")
 
 
+@query
+def anchor_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    anchors = alignment.walk_anchors(alignment.with_candidates(_truth(spark, sf), feed.readings(spark, sf)))
+    return alignment.with_reasons(anchors).select("match_id", "truth_id", "tier", "reason")
+
+
+@query
+def innings_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return innings.tagged(feed.readings(spark, sf, gaps=True)).filter("reason is not null").select("match_id", "reading_id", "reason")
+
+
+@query
+def summary_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return report.summary_text(report.match_summary(feed.readings(spark, sf), _events(spark, sf), feed.replays(spark, sf)).filter("not metric like 'confidence%'"))
+
+
+@query
+def concat_lists(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat(F.lit("it's/"), "match_id", F.lit("-"), "island", F.lit(".mp4"))
+    return clips.concat_list(clips.clips(_merged(spark, sf)).select("match_id", F.col("start_seconds").alias("position"), path.alias("path")))
+
+
 @query
 def strategy_lock(spark: SparkSession, sf: str) -> DataFrame:
     """Made-up trials: what each way shows follows from the event's number, and some frames have none."""

@@ -414,3 +414,30 @@ def test_figures_are_counted_by_the_write_itself(spark, tmp_path):
     assert {k: seen[f"n_{k}"] for k in ("passed", "outlier", "unusable")} == {k: by_kind.get(k, 0) for k in ("passed", "outlier", "unusable")}
     events = spark.createDataFrame([(1, "SIX", True, 0.5), (1, "SIX", None, 1.0), (2, "FOUR", False, None)], "match_id long, event_type string, is_replay boolean, confidence double")
     assert sinks.write_observed(events, f"{tmp_path}/events", checks.event_figures()) == {"n_four": 1, "n_six": 2, "n_wicket": 0, "n_team_milestone": 0, "n_replays": 1, "mean_confidence": 0.75}
+
+
+def test_reasons_of_decisions(spark):
+    tracker = innings.InningsTracker()
+    told = []
+    for values in ((150, 6, 19), (None, 0, 0), (60, 1, 0), (5, 0, 7), (0, 0, 0, 0.3), (1, 0, 0), (1, 0, 1)):
+        told.append((tracker.observe(*values), tracker.reason))
+    assert told == [
+        ("NOT_A_CANDIDATE", None), ("NOT_A_CANDIDATE", None),
+        ("REJECTED_IMPLAUSIBLE_RESET", "is_decrease=True reset_plausible=False over_ball_reset=False confirmations=0/2"),
+        ("REJECTED_NO_OVER_BALL_RESET", "is_decrease=True reset_plausible=True over_ball_reset=False confirmations=0/2"),
+        ("REJECTED_INSUFFICIENT_PERSISTENCE", "is_decrease=True reset_plausible=True over_ball_reset=True confirmations=1/4"),
+        ("ACCEPTED", "is_decrease=True reset_plausible=True over_ball_reset=True confirmations=2/2"), ("NOT_A_CANDIDATE", None),
+    ]
+    rows = [("HIGH", "CONSISTENT", "PRESERVED", "UNKNOWN", 0.875), ("UNKNOWN", "UNKNOWN", "VIOLATION", "SUSPICIOUS", None), ("UNKNOWN", "UNKNOWN", "PRESERVED", "UNKNOWN", float("nan")), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "ocr_quality string, score_state string, ordering string, pacing string, ocr_value double")
+    assert [r.reason for r in alignment.with_reasons(df).collect()] == [
+        "ocr_quality=HIGH(0.88) score_state=CONSISTENT ordering=PRESERVED neighbor_pacing=UNKNOWN", "ocr_quality=UNKNOWN score_state=UNKNOWN ordering=VIOLATION neighbor_pacing=SUSPICIOUS",
+        "ocr_quality=UNKNOWN score_state=UNKNOWN ordering=PRESERVED neighbor_pacing=UNKNOWN", None,
+    ]
+
+
+def test_texts_of_a_plan_and_of_a_match(spark):
+    segments = spark.createDataFrame([(1, 2, "b.mp4"), (1, 1, "it's/a.mp4"), (2, 1, "c.mp4")], "match_id long, position long, path string")
+    assert {r.match_id: r.list for r in clips.concat_list(segments).collect()} == {1: "file 'it'\\''s/a.mp4'\nfile 'b.mp4'", 2: "file 'c.mp4'"}
+    figures = spark.createDataFrame([(1, "readings", 12.0), (1, "events_SIX", 1.0), (1, "confidence_SIX", 0.5)], "match_id long, metric string, value double")
+    assert report.summary_text(figures).first().summary == "match: 1\nconfidence SIX: 0.500\nevents SIX: 1\nreadings: 12"
