@@ -285,10 +285,9 @@ from (select match_id, string_agg('"' || metric || '":' || round(value, 6), ','
 left join (select match_id, string_agg('{"place":' || place || ',"truth_id":' || truth_id || ',"event_type":"' || event_type || '","has_signal":' || has_signal || '}', ',' order by place) as listed from misses group by match_id) m using (match_id)
 """
 
-#: Kind and fielder of each wicket of rows with event_key.
-DISMISSALS = r"""
-select match_id, event_key, min_by(kind, truth_id) as kind, arg_min_null(fielder, truth_id) as fielder from (select *, case when regexp_matches(description, '\bc [A-Za-z].* b [A-Za-z]') then 'CAUGHT' when regexp_matches(description, '\bst [A-Za-z].* b [A-Za-z]') then 'STUMPED' when description ilike '%run out (%' then 'RUN_OUT' when regexp_matches(description, '(?i)\blbw\b') then 'LBW' when description ilike '%hit wicket%' then 'HIT_WICKET' when regexp_matches(description, '\bb [A-Za-z]') then 'BOWLED' end as kind, nullif(coalesce(nullif(regexp_extract(description, '\b(?:c|st) ([A-Za-z].*) b [A-Za-z]', 1), ''), nullif(regexp_extract(description, '(?i)run out \(([^)]*)\)', 1), '')), '') as fielder from {} where event_type = 'WICKET' and event_key is not null) where kind is not null group by all
-"""
+#: Wickets of rows with event_key, each with kind and fielder, and those of each key.
+WICKETS = r"""(select *, case when regexp_matches(description, '\bc [A-Za-z].* b [A-Za-z]') then 'CAUGHT' when regexp_matches(description, '\bst [A-Za-z].* b [A-Za-z]') then 'STUMPED' when description ilike '%run out (%' then 'RUN_OUT' when regexp_matches(description, '(?i)\blbw\b') then 'LBW' when description ilike '%hit wicket%' then 'HIT_WICKET' when regexp_matches(description, '\bb [A-Za-z]') then 'BOWLED' end as kind, nullif(coalesce(nullif(regexp_extract(description, '\b(?:c|st) ([A-Za-z].*) b [A-Za-z]', 1), ''), nullif(regexp_extract(description, '(?i)run out \(([^)]*)\)', 1), '')), '') as fielder from {} where event_type = 'WICKET' and event_key is not null)"""
+DISMISSALS = "select match_id, event_key, min_by(kind, truth_id) as kind, arg_min_null(fielder, truth_id) as fielder from " + WICKETS + " where kind is not null group by all"
 
 FOLDS = {
     "innings_tags": (TAGS, "select match_id, reading_id, d as decision, segment from tag where pos > 0"),
@@ -333,7 +332,7 @@ details as (""" + DISMISSALS.format("keyed") + ")"
 
 FOLDS |= {
     "stored_events_after_repair": (REPAIRED, "select k.match_id, k.event_key, event_type, timestamp_seconds, source, d.kind as dismissal_type, d.fielder from kept k left join details d on k.match_id = d.match_id and k.event_key = d.event_key"),
-    "stored_operations_after_repair": (REPAIRED, "select match_id, event_key || ':' || truth_id as metadata_id, 'RECOVERY' as operation, event_key from keyed where recovery_eligible union all select match_id, innings || ':' || over_number || '.' || ball_in_over || ':' || event_type || ':' || truth_id, 'ENRICHMENT', event_key from keyed k where event_type = 'WICKET' and event_key is not null and exists (select 1 from (" + DISMISSALS.format("keyed") + ") d where d.match_id = k.match_id and d.event_key = k.event_key)"),
+    "stored_operations_after_repair": (REPAIRED, "select match_id, event_key || ':' || truth_id as metadata_id, 'RECOVERY' as operation, event_key from keyed where recovery_eligible union all select match_id, innings || ':' || over_number || '.' || ball_in_over || ':' || event_type || ':' || truth_id, 'ENRICHMENT', event_key from " + WICKETS.format("keyed") + " where kind is not null"),
     "constraint_violations": ("", """
 select match_id, event_id, unnest(list_filter([
     case when value > 100 then 'confidence is out of range' end, case when k % 6 = 5 then 'event_type is unknown' end, case when k % 13 = 0 then 'event_key is null' end,

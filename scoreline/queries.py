@@ -500,11 +500,11 @@ def analysis_todo(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _repaired(spark: SparkSession, sf: str) -> str:
-    """A store of all events, repaired from half of the commentary, then from all of it, then once more."""
+    """A store of all events, repaired from the commentary of half of the matches, then from all of it, then once more."""
     path, (aligned, events) = store.shared_folder(spark), _aligned(spark, sf)
     events, aligned = store.staged(events), store.staged(aligned)
     store.write(path, events=sinks.with_event_ids(events))
-    for part in (aligned.filter("truth_id % 2 = 0"), aligned, aligned):
+    for part in (aligned.filter("match_id % 2 = 0"), aligned, aligned):
         store.repair_match(spark, path, part)
     return path
 
