@@ -45,3 +45,12 @@ def test_names_of_matches_with_large_ids(spark, tmp_path, data):
     moved.write.parquet(f"{tmp_path}/events.parquet")
     names = [sorted(r.description for r in feed.commentary(spark, str(d)).select("description").collect()) for d in (data, tmp_path)]
     assert names[0] == names[1]
+
+
+def test_partitions_grow_with_the_events(spark, data, monkeypatch):
+    monkeypatch.setattr(feed, "EVENTS_A_PART", 10)
+    n = spark.read.parquet(f"{data}/events.parquet").count()
+    few = feed.readings(spark, data, gaps=True)
+    assert few.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-n // 10))
+    monkeypatch.undo()
+    assert feed.readings(spark, data).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
