@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scoreline.operators import alignment, report
+from scoreline.operators import alignment, replay, report
 from scoreline.sources import event_feed as feed
 
 TRUTH = "match_id long, innings int, over_number int, ball_in_over int, event_type string, description string, truth_id long"
@@ -54,3 +54,22 @@ def test_partitions_grow_with_the_events(spark, data, monkeypatch):
     assert few.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-n // 10))
     monkeypatch.undo()
     assert feed.readings(spark, data).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_means_of_segments_follow_from_the_frames_alone(spark):
+    segments = spark.createDataFrame([(1, 0, 0.0, 10.0, 0.5, "ORDINARY_CUT")], "match_id long, segment_id int, start_seconds double, end_seconds double, boundary_confidence double, boundary_type string")
+    values = [0.1, 1e16, 0.7, -1e16, 0.3]
+    rows = [(1, float(i), *[v] * 5) for i, v in enumerate(values)]
+    schema = "match_id long, timestamp_seconds double, " + ", ".join(f"{c} double" for c in replay.MEASURES)
+    found = set()
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        for parts in (1, 5):
+            found.add(tuple(replay.segment_evidence(spark.createDataFrame(order, schema).repartition(parts), segments).select("n_frames", *replay.MEASURES).first()))
+    assert found == {(5, *[sum_in_order(values) / 5] * 5)}
+
+
+def sum_in_order(values):
+    total = 0.0
+    for v in values:
+        total += v
+    return total
