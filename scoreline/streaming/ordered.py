@@ -1,25 +1,34 @@
 """Rows of a stream in order of event time, whatever micro-batches they come in: what the timeline's folds stand on.
 
-A key's rows wait in list state until the watermark has passed them, and are then handed on in order. Spark drops rows
+A key's rows wait in its state until the watermark has passed them, and are then handed on in order. Spark drops rows
 that come behind the watermark, so nothing ever comes before what was handed on: the fold sees the rows that a batch
 query would, in the same order, less the late ones. A key's state is what it has waiting, which the watermark's delay
-bounds, and what its fold holds. Timers release the rows of keys that get no new ones.
+bounds, and what its fold holds; waiting rows are packed in one value, so that a micro-batch costs a key few reads and
+writes whatever its rows. Rows come to Python as frames, a column at a time. One timer a key releases the rows of keys
+that get no new ones.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections import namedtuple
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, NumericType, StructType
 
 #: The state store that transformWithState needs; ``fold`` chooses it for the session.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Event time in microseconds, as the folds see it.
 US = "__us"
+#: Which of a row's columns, and of its keys, are null, a bit each; frames have 0 for null numbers, so that a column stays of its type.
+NULLS, NULL_KEYS = "__nulls", "__null_keys"
 
 
 class InOrder(StatefulProcessor):
@@ -48,44 +57,51 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.columns)
+        self.waiting = handle.getValueState("waiting", "timer long, packed binary")
         self.held = handle.getValueState("held", f"{US} long, {self.state}")
-        self.named = Row(*self.columns.names)
+        self.named = namedtuple("Waiting", self.columns.names, rename=True)  # US is the last column
+        self.at = [self.columns.names.index(c) for c in self.order]
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        return self.release(key, [tuple(r[c] for c in self.columns.names) for r in rows], timerValues)
+        rows = [tuple(r[c] for c in self.columns.names) for r in rows]
+        return (self.out(*r) for r in self.release(key, rows, timerValues))
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        return self.release(key, [], timerValues)
+        return (self.out(*r) for r in self.release(key, [], timerValues))
 
-    def release(self, key: tuple, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
+    def release(self, key: tuple, rows: list[tuple], timers: TimerValues) -> Iterator[tuple]:
         passed = timers.getCurrentWatermarkInMs() * 1000
-        waiting = [*map(tuple, self.waiting.get()), *rows]
-        at = self.columns.names.index(US)
-        later = [r for r in waiting if r[at] > passed]
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(min(r[at] for r in later) // 1000 + 1)
-        elif waiting:
-            self.waiting.clear()
+        timer, packed = self.waiting.get() if self.waiting.exists() else (None, None)
         last, *values = self.held.get() if self.held.exists() else [None]
         held = tuple(values) if last is not None else None
-        ready = [self.named(*r) for r in waiting if r[at] <= passed]
-        for row in sorted(ready, key=lambda r: [(r[c] is not None, r[c]) for c in self.order]):
-            held, out = self.finished(last, held, row[US])
-            yield from (self.out(*key, *r) for r in out)
+        waiting = [*(pickle.loads(packed) if packed else ()), *rows]
+        later = [r for r in waiting if r[-1] > passed]
+        ready = [r for r in waiting if r[-1] <= passed]
+        for row in map(self.named._make, sorted(ready, key=lambda r: [(r[i] is not None, r[i]) for i in self.at])):
+            held, out = self.finished(last, held, row[-1])
+            yield from ((*key, *r) for r in out)
             held, out = self.take(held, row)
-            last = row[US]
-            yield from (self.out(*key, *r) for r in out)
+            last = row[-1]
+            yield from ((*key, *r) for r in out)
         held, out = self.finished(last, held, passed)
-        yield from (self.out(*key, *r) for r in out)
+        yield from ((*key, *r) for r in out)
+        due = None if held is None else self.due(last, held)
+        wakes = [min(r[-1] for r in later) // 1000 + 1] if later else []
+        wakes += [due // 1000 + 2] if due is not None else []
+        wake = min(wakes, default=None)
+        if timer is not None and timer * 1000 <= passed:
+            timer = None
+        if wake is not None and (timer is None or wake < timer):
+            self.handle.registerTimer(wake)
+            timer = wake
+        if later or timer is not None:
+            self.waiting.update((timer, pickle.dumps(later) if later else None))
+        else:
+            self.waiting.clear()
         if held is None:
             self.held.clear()
-            return
-        self.held.update((last, *held))
-        due = self.due(last, held)
-        if due is not None:
-            self.handle.registerTimer(due // 1000 + 2)
+        else:
+            self.held.update((last, *held))
 
     def finished(self, last: int | None, held: tuple | None, now: int) -> tuple[tuple | None, list[tuple]]:
         due = None if held is None else self.due(last, held)
@@ -95,6 +111,46 @@ class InOrder(StatefulProcessor):
         pass
 
 
+class Framed(StatefulProcessor):
+    """A fold with its rows in frames: the columns of a row, then NULLS, are the last ones of a frame, and NULL_KEYS is the last key."""
+
+    def __init__(self, ordered: InOrder, out: StructType):
+        self.ordered, self.out = ordered, to_arrow_schema(out)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ordered.init(handle)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        return self.framed(self.ordered.release(self.key(key), [r for frame in rows for r in self.unframed(frame)], timerValues))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self.framed(self.ordered.release(self.key(key), [], timerValues))
+
+    def key(self, key: tuple) -> tuple:
+        return tuple(None if key[-1] >> i & 1 else k for i, k in enumerate(key[:-1]))
+
+    def unframed(self, frame: pd.DataFrame) -> Iterator[tuple]:
+        fields = self.ordered.columns.fields
+        *columns, nulls = (frame.iloc[:, i].tolist() for i in range(frame.shape[1] - len(fields) - 1, frame.shape[1]))
+        for i, f in enumerate(fields):
+            if isinstance(f.dataType, ArrayType):
+                columns[i] = [None if n >> i & 1 else list(x) for x, n in zip(columns[i], nulls, strict=True)]
+            elif any(n >> i & 1 for n in nulls):
+                columns[i] = [None if n >> i & 1 else x for x, n in zip(columns[i], nulls, strict=True)]
+        return zip(*columns, strict=True)
+
+    def framed(self, out: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        if rows := list(out):
+            yield pd.DataFrame({f.name: self.column(list(values), f.type) for f, values in zip(self.out, zip(*rows, strict=True), strict=True)})
+
+    def column(self, values: list, kind: pa.DataType) -> pd.Series:
+        """values as they are: nulls, whole numbers and NaN; Spark takes arrays as objects alone."""
+        return pd.Series(values, dtype=object) if pa.types.is_nested(kind) else pd.Series(pd.arrays.ArrowExtensionArray(pa.array(values, kind)))
+
+    def close(self) -> None:
+        self.ordered.close()
+
+
 def fold(stream: DataFrame, processor: type[InOrder], columns: list[str], order: tuple[str, ...], out: str, delay: str, keys: tuple[str, ...] = ("match_id",), **settings: Any) -> DataFrame:
     """The processor's fold over each key's rows of a stream with event_time; ``out`` is the schema of its rows beside the keys.
 
@@ -104,5 +160,13 @@ def fold(stream: DataFrame, processor: type[InOrder], columns: list[str], order:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream.withWatermark("event_time", delay).select(*keys, "event_time", *columns, F.unix_micros("event_time").alias(US))
     held = StructType([f for f in rows.schema if f.name not in (*keys, "event_time")])
-    of_keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    return rows.groupBy(*keys).transformWithState(processor(held, order, StructType.fromDDL(f"{of_keys}, {out}").names, **settings), f"{of_keys}, {out}", "append", "EventTime")
+    of_keys = StructType([rows.schema[k] for k in keys])
+    out = StructType([*of_keys, *StructType.fromDDL(out)])
+    rows = rows.select(*without_nulls(of_keys, NULL_KEYS), "event_time", *without_nulls(held, NULLS))
+    return rows.groupBy(*keys, NULL_KEYS).transformWithStateInPandas(Framed(processor(held, order, out.names, **settings), out), out, "append", "EventTime")
+
+
+def without_nulls(fields: StructType, name: str) -> list[Column]:
+    """The fields, 0 for null numbers, and the column ``name`` with a bit for each null."""
+    zero = [F.coalesce(f.name, F.lit(0).cast(f.dataType)).alias(f.name) if isinstance(f.dataType, NumericType | BooleanType) else F.col(f.name) for f in fields]
+    return [*zero, sum((F.when(F.col(f.name).isNull(), 1 << i).otherwise(0) for i, f in enumerate(fields)), F.lit(0)).alias(name)]

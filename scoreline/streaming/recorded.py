@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..sources.store import shared_folder
 
+#: Rows of the whole stream whose matches share a partition of the state; each partition keeps a store of its own open.
+ROWS_A_STATE = 1 << 20
+
 
 def arrivals(rows: DataFrame, path: str, pieces: int, late_seconds: float, first: int = 0, last: int | None = None) -> None:
     """Write rows in ``pieces`` files of arrival, one after another, from first to before last, to be read as a stream.
@@ -35,10 +38,21 @@ def stream(spark: SparkSession, path: str, like: DataFrame, files: int = 64) ->
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def run(found: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Run a streaming query over all there is, from its checkpoint if it has one, and read what it has written."""
-    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start().awaitTermination()
-    return found.sparkSession.read.schema(found.schema).parquet(out)
+def run(found: DataFrame, out: str, checkpoint: str, parts: int | None = None) -> DataFrame:
+    """Run a streaming query over all there is, from its checkpoint if it has one, and read what it has written.
+
+    parts is the number of partitions of its state, which a checkpoint keeps from the first run on.
+    """
+    spark = found.sparkSession
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    if parts is not None:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        started = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    started.awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
 
 
 def replayed(rows: DataFrame, twin: Callable[[DataFrame], DataFrame], pieces: int = 6, late_seconds: float = 300.0) -> DataFrame:
@@ -48,4 +62,5 @@ def replayed(rows: DataFrame, twin: Callable[[DataFrame], DataFrame], pieces: in
     rows.write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
     arrivals(rows, f"{folder}/arrivals", pieces, late_seconds)
-    return run(twin(stream(spark, f"{folder}/arrivals", rows)), f"{folder}/out", f"{folder}/checkpoint")
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_STATE))
+    return run(twin(stream(spark, f"{folder}/arrivals", rows)), f"{folder}/out", f"{folder}/checkpoint", parts)

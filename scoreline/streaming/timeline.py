@@ -100,7 +100,7 @@ class Resolver(InOrder):
         out = []
         if n < window:
             out.append((row.reading_id, "passed"))
-        near.append((row.reading_id, tuple(row[c] for c in CORE), n < window))
+        near.append((row.reading_id, tuple(getattr(row, c) for c in CORE), n < window))
         if len(near) > 2 * window:
             i, core, _ = near[window]
             others = {c for _, c, _ in near[:window] + near[window + 1 :]}
@@ -140,7 +140,7 @@ class Merger(InOrder):
             island, first, frontier, keys, is_replay, _ = held
         first = row.clip_start if not keys else first
         frontier = row.clip_end if not keys else max(frontier, row.clip_end)
-        until = row["__us"] + int((frontier + self.settings["gap"] - row.clip_start) * 1e6) + 2
+        until = row[-1] + int((frontier + self.settings["gap"] - row.clip_start) * 1e6) + 2
         return (island, first, frontier, [*keys, row.event_key], is_replay or bool(row.is_replay), until), out
 
     def due(self, last: int, held: tuple) -> int | None:

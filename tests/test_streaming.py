@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from scoreline.operators import innings, scenes
 from scoreline.streaming import recorded, timeline
-from scoreline.streaming.ordered import US
+from scoreline.streaming.ordered import US, InOrder, fold
 
 
 pytestmark = pytest.mark.usefixtures("spark")
@@ -238,3 +238,22 @@ def test_late_rows_are_dropped_and_change_nothing(spark, tmp_path):
     found = run()
     want = innings.validate_readings(df.filter("reading_id <> 3"))
     assert found.exceptAll(want).isEmpty() and found.count() == 19
+
+
+def test_rows_come_in_frames_with_their_nulls_and_whole_numbers(spark, tmp_path):
+    """Numbers are null in some rows alone, beyond 2^53, and NaN; waiting rows keep all of that."""
+
+    class Echo(InOrder):
+        state = "n int"
+
+        def take(self, held, row):
+            return ((held or (0,))[0] + 1,), [(row.i, row.x, row.flag, row.name, row.many, (held or (0,))[0])]
+
+    schema = "match_id long, i long, x double, flag boolean, name string, many array<long>, at double"
+    rows = [(k, i, x, flag, name, many, 1000.0 + n) for k in (1, None) for n, (i, x, flag, name, many) in enumerate([(2**60 + 1, float("nan"), None, "a", [1, None]), (None, None, True, None, None), (3, 0.5, False, "b", [])])]
+    stamped = spark.createDataFrame(rows, schema).withColumn("event_time", F.timestamp_seconds("at"))
+    out = "i long, x double, flag boolean, name string, many array<long>, n int"
+    found = recorded.replayed(stamped, lambda s: fold(s, Echo, ["i", "x", "flag", "name", "many"], (), out, "10 minutes"), pieces=2, late_seconds=1.0)
+    got = sorted((tuple(r) for r in found.filter("match_id is null or match_id >= 0").collect()), key=lambda r: (r[0] is None, r[6]))
+    assert repr([r[:6] for r in got]) == repr([r[:6] for r in rows])
+    assert [r[6] for r in got] == [0, 1, 2] * 2
