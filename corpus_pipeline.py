@@ -30,7 +30,7 @@ def toxic_grammar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of texts whose five-word shingles are 0.8 similar or more."""
+    """The document with the smallest id of each group of texts whose five-word shingles are 0.8 similar or more; candidates by SimHash and MinHash."""
     return simhash.keep_one(docs)
 
 

@@ -12,9 +12,9 @@
 6. A task passes on a spanning forest of the links found, not the links; the forests are joined to components by
    alternating large-star and small-star steps.
 
-near_copies and keep_one, for the pipeline's stage, link by the similarity of five-word shingles instead: pairs at 0.8
-lie up to 13 bits apart, where block tables no longer cut the work, so candidates are those that share a band of a
-MinHash signature, and whole sets of shingles are compared before two texts are linked.
+keep_one, for the pipeline's stage, links by the similarity of five-word shingles: the rows of a component of fingerprints
+are candidates, and, as pairs at 0.8 lie up to 13 bits apart, where block tables no longer cut the work, so are those that
+share a band of a MinHash signature. Whole sets of shingles are compared before two texts are linked.
 """
 
 from __future__ import annotations
@@ -347,29 +347,43 @@ def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
     return out
 
 
-def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SHINGLE, part_bytes: int = PART_BYTES) -> DataFrame:
+def fingerprint_groups(marked: DataFrame, radius: int) -> DataFrame:
+    """fp and k, the same for all fingerprints of marked (fp, doc_id) that links within radius bits join."""
+    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    return labelled(nodes, "fp", links(nodes, nodes.count(), radius)).select("fp", F.xxhash64(F.coalesce("component_id", "fp")).alias("k"))
+
+
+def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SHINGLE, part_bytes: int = PART_BYTES, radius: int | None = None) -> DataFrame:
     """doc_id, node (a hash of the shingle set) and component_id of every row.
 
     Rows whose sets of ``width``-word shingles have a Jaccard similarity of at least ``least`` are linked; component_id
     is the smallest doc_id reachable. Candidates share a band of a MinHash signature, which two texts at 0.8 miss with
     a probability of 3e-6; each link is confirmed by comparing the whole sets. Rows of equal sets are one node, and so
-    are rows without words. Nulls, repeated rows and empty tables are as in near_duplicates.
+    are rows without words. With a radius, rows that near_duplicates joins by their fingerprints are candidates as well.
+    Nulls, repeated rows and empty tables are as in near_duplicates.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingle_hashes(t, width)) for t in texts(batch)]
         nodes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array([signature(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+        fps = [0 if radius is None else majority(shingle_hashes(t)) for t in texts(batch)]
+        arrays = [batch.column(0), nodes, pa.array([signature(s) for s in sets], pa.list_(pa.int64())), pa.array(np.array(fps, np.uint64).view(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "bands", "fp"])
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in texts(batch)]
         return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["s_node", "shingles"])
 
-    marked = checkpointed(map_batches(own, sketch, "doc_id long, node binary, bands array<long>").withColumn("salt", salt("doc_id")))
+    marked = checkpointed(map_batches(own, sketch, "doc_id long, node binary, bands array<long>, fp long").withColumn("salt", salt("doc_id")))
     nodes = marked.groupBy("node", "salt").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
     nodes = checkpointed(nodes.groupBy("node").agg(F.min("least_id").alias("least_id"), F.first("bands").alias("bands"), F.collect_list("salt").alias("salts")))
     met = nodes.select("node", rank(), F.posexplode("bands").alias("t", "k"))
+    if radius is not None:
+        groups = fingerprint_groups(marked, radius).withColumnRenamed("fp", "g_fp")
+        held = marked.select("node", "fp").distinct().join(groups, F.col("fp") == F.col("g_fp")).select(F.col("node").alias("h_node"), "k").distinct()
+        worded = nodes.filter(F.size("bands") > 0)
+        met = met.unionByName(worded.join(held, F.col("node") == F.col("h_node")).select("node", rank(), F.lit(BANDS).alias("t"), "k"))
     # Of the buckets that hold the same nodes, one is enough.
     buckets = met.groupBy("t", "k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("v")).filter("n > 1")
     buckets = buckets.groupBy("n", "u", "v").agg(F.min(F.struct("t", "k")).alias("m")).select("m.t", "m.k")
@@ -395,12 +409,14 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SH
     return with_components(marked.select("doc_id", "node", "salt"), nodes.select("node", "least_id", "salts"), "node", met.mapInArrow(by_bucket(compare), "a struct<i: long, n: binary>, b struct<i: long, n: binary>"))
 
 
-def keep_one(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SHINGLE) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component of near_copies; one row of each id, the first by text.
+def keep_one(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is the smallest of its component; one row of each id, the first by text.
+
+    Components are those of near_copies, with the groups of fingerprints within radius bits among its candidates.
 
     Rows without an id can't be named as a component's document; all of them stay.
     """
-    found = near_copies(docs, least, width).filter("doc_id = component_id")
+    found = near_copies(docs, least, width, radius=radius).filter("doc_id = component_id")
     kept = checkpointed(found.groupBy("doc_id").agg(F.count("*").alias("rows")))
     joined = docs.select(F.struct("*").alias("r")).join(kept, F.col("r.doc_id").cast("long") == F.col("doc_id"))
     if not kept.filter("rows > 1").isEmpty():

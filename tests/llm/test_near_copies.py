@@ -74,3 +74,16 @@ def test_hubs_chains_and_missing_ids(spark):
     want = {f"n{b}": 900 for _, b in star} | {f"n{b}": 7 for _, b in hub} | {f"n{b}": 6000 for _, b in chain}
     want |= {"n900": 900, "n5000": 7, "n3001": 7, "n6000": 6000, "n8000": 8000, "nobody": 8000, "x": None, "y": None, "alone": 9000}
     assert got == want
+
+
+def test_keep_one_takes_candidates_by_fingerprints(spark, varied, monkeypatch):
+    """With no band of MinHash, copies within a few bits are still found, and none below 0.8 is."""
+    monkeypatch.setattr(simhash, "signature", lambda shingles: [1 + hash(shingles.tobytes())] if len(shingles) else [])
+    texts = {d: t for d, t in varied.items() if d % 5 < 2} | {1000: None, 1001: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    fps = {d: simhash.majority(simhash.shingle_hashes(t)) for d, t in texts.items()}
+    near = {b for a, b in combinations(sorted(texts), 2) if texts[a] and texts[b] and (fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS}
+    assert len(near) > 2
+    exact = brute_copies({d: t or "" for d, t in texts.items()})
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert not {d for d in near if exact[d] != d} & kept and set(exact.values()) <= kept
