@@ -12,7 +12,7 @@
 6. A task passes on a spanning forest of the links found, not the links; the forests are joined to components by
    alternating large-star and small-star steps.
 
-keep_one, for the pipeline's stage, links by the similarity of five-word shingles: the rows of a component of fingerprints
+keep_one, for the pipeline's stage, links by the similarity of five-word shingles: rows whose fingerprints step 5 links
 are candidates, and, as pairs at 0.8 lie up to 13 bits apart, where block tables no longer cut the work, so are those that
 share a band of a MinHash signature. Whole sets of shingles are compared before two texts are linked.
 """
@@ -347,10 +347,10 @@ def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
     return out
 
 
-def fingerprint_groups(marked: DataFrame, radius: int) -> DataFrame:
-    """fp and k, the same for all fingerprints of marked (fp, doc_id) that links within radius bits join."""
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    return labelled(nodes, "fp", links(nodes, nodes.count(), radius)).select("fp", F.xxhash64(F.coalesce("component_id", "fp")).alias("k"))
+def fingerprint_stars(fps: DataFrame, radius: int) -> DataFrame:
+    """fp and k of fps (fp, least_id), some several times: each two fingerprints within radius bits share a k, the root of a tree that links passes on, or are each other's."""
+    found = links(fps, fps.count(), radius).select(F.col("a.n").alias("fp"), F.col("b.n").alias("k")).distinct()
+    return fps.select("fp", F.col("fp").alias("k")).unionByName(found)
 
 
 def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SHINGLE, part_bytes: int = PART_BYTES, radius: int | None = None) -> DataFrame:
@@ -359,7 +359,7 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SH
     Rows whose sets of ``width``-word shingles have a Jaccard similarity of at least ``least`` are linked; component_id
     is the smallest doc_id reachable. Candidates share a band of a MinHash signature, which two texts at 0.8 miss with
     a probability of 3e-6; each link is confirmed by comparing the whole sets. Rows of equal sets are one node, and so
-    are rows without words. With a radius, rows that near_duplicates joins by their fingerprints are candidates as well.
+    are rows without words. With a radius, rows whose fingerprints of four-word shingles differ in so many bits or fewer are candidates as well.
     Nulls, repeated rows and empty tables are as in near_duplicates.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -376,14 +376,14 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SH
         return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["s_node", "shingles"])
 
     marked = checkpointed(map_batches(own, sketch, "doc_id long, node binary, bands array<long>, fp long").withColumn("salt", salt("doc_id")))
-    nodes = marked.groupBy("node", "salt").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
-    nodes = checkpointed(nodes.groupBy("node").agg(F.min("least_id").alias("least_id"), F.first("bands").alias("bands"), F.collect_list("salt").alias("salts")))
+    nodes = marked.groupBy("node", "salt").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.collect_set("fp").alias("fps"))
+    fps = F.array_distinct(F.flatten(F.collect_list("fps"))).alias("fps")
+    nodes = checkpointed(nodes.groupBy("node").agg(F.min("least_id").alias("least_id"), F.first("bands").alias("bands"), fps, F.collect_list("salt").alias("salts")))
     met = nodes.select("node", rank(), F.posexplode("bands").alias("t", "k"))
     if radius is not None:
-        groups = fingerprint_groups(marked, radius).withColumnRenamed("fp", "g_fp")
-        held = marked.select("node", "fp").distinct().join(groups, F.col("fp") == F.col("g_fp")).select(F.col("node").alias("h_node"), "k").distinct()
-        worded = nodes.filter(F.size("bands") > 0)
-        met = met.unionByName(worded.join(held, F.col("node") == F.col("h_node")).select("node", rank(), F.lit(BANDS).alias("t"), "k"))
+        worded = nodes.filter(F.size("bands") > 0).select("node", rank(), F.explode("fps").alias("fp"))
+        stars = fingerprint_stars(checkpointed(worded.groupBy("fp").agg(F.min("i").alias("least_id"))), radius)
+        met = met.unionByName(worded.join(stars, "fp").select("node", "i", F.lit(BANDS).alias("t"), "k").distinct())
     # Of the buckets that hold the same nodes, one is enough.
     buckets = met.groupBy("t", "k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("v")).filter("n > 1")
     buckets = buckets.groupBy("n", "u", "v").agg(F.min(F.struct("t", "k")).alias("m")).select("m.t", "m.k")
@@ -412,7 +412,7 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SH
 def keep_one(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is the smallest of its component; one row of each id, the first by text.
 
-    Components are those of near_copies, with the groups of fingerprints within radius bits among its candidates.
+    Components are those of near_copies, with all pairs of fingerprints within radius bits among its candidates.
 
     Rows without an id can't be named as a component's document; all of them stay.
     """

@@ -87,3 +87,20 @@ def test_keep_one_takes_candidates_by_fingerprints(spark, varied, monkeypatch):
     exact = brute_copies({d: t or "" for d, t in texts.items()})
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert not {d for d in near if exact[d] != d} & kept and set(exact.values()) <= kept
+
+
+def test_fingerprints_in_reach_are_candidates_without_components(spark, varied, monkeypatch):
+    """Each two fingerprints within the radius share a star; components are computed once, of confirmed links alone."""
+    texts = {d: t for d, t in varied.items() if d % 5 < 2 and t}
+    fps = {d: simhash.majority(simhash.shingle_hashes(t)) for d, t in texts.items()}
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in fps.values()}
+    nodes = spark.createDataFrame([(signed[f], min(d for d in fps if fps[d] == f)) for f in set(fps.values())], "fp long, least_id long")
+    stars = {f: set() for f in signed.values()}
+    for r in simhash.fingerprint_stars(nodes, simhash.RADIUS).collect():
+        stars[r.fp].add(r.k)
+    near = [(a, b) for a, b in combinations(signed, 2) if (a ^ b).bit_count() <= simhash.RADIUS]
+    assert near and all(stars[signed[a]] & stars[signed[b]] for a, b in near) and all(f in own for f, own in stars.items())
+    calls, found = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: calls.append(1) or found(edges))
+    simhash.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert len(calls) == 1
