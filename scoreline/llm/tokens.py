@@ -15,6 +15,8 @@ before it, so ids at any place are reached by the block offsets.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +37,15 @@ SEGMENT_IDS = 1 << 20
 #: Words whose ids a worker keeps; beyond that the memory is emptied and fills anew, which changes no result.
 CACHE_WORDS = 1 << 20
 
-_cache: dict[tuple, dict[bytes, bytes]] = {}
+#: Tokenizers with these settings give a word the ids of its pieces in a row. Words of printable ASCII and letters of Latin-1 are cut into
+#: pieces here, as far fewer of them differ than words do; all other words, and those that hold an added token, are encoded whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [CUT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+_cache: dict[tuple, tuple] = {}
 
 
 def width_of(vocabulary: int) -> int:
@@ -114,36 +125,71 @@ def word_ids(tokenizer_file: str):
     from tokenizers import Tokenizer
 
     key = (tokenizer_file,)
-    tokenizer = _cache.get(key)
-    if tokenizer is None:
+    if key not in _cache:
         loaded = Tokenizer.from_file(tokenizer_file)
         loaded.encode_special_tokens = False
-        tokenizer = _cache[key] = (loaded, {})
-    loaded, cache = tokenizer
+        told = json.loads(loaded.to_str())
+        cut = told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == PRE_TOKENIZER and not told["post_processor"] and not told["model"].get("dropout")
+        _cache[key] = (loaded, {}, {}, re.compile("|".join(re.escape(t["content"]) for t in told["added_tokens"]) or r"(?!)") if cut else None)
+    loaded, cache, pieces, added = _cache[key]
+
+    def encoded(new: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(new), 1 << 14):
+            for got in loaded.encode_batch_fast(new[i : i + (1 << 14)], add_special_tokens=False):
+                yield np.array(got.ids, "<u4").tobytes()
 
     def of(words: list[bytes]) -> dict[bytes, bytes]:
-        new = list(set(words) - cache.keys())
+        new = [w for w in dict.fromkeys(words) if w not in cache]
         if len(new) + len(cache) > CACHE_WORDS:
             cache.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 1 << 14):
-            part = new[i : i + (1 << 14)]
-            for word, got in zip(part, loaded.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                cache[word] = np.array(got.ids, "<u4").tobytes()
+            new = list(dict.fromkeys(words))
+        whole, cut = [], {}
+        for word in new:
+            text = word.decode()
+            if added is not None and PLAIN.fullmatch(text) and not added.search(text):
+                cut[word] = PIECE.findall(text.lower())
+            else:
+                whole.append(word)
+        cache.update(zip(whole, encoded([w.decode() for w in whole]), strict=True))
+        wanted = dict.fromkeys(p for own in cut.values() for p in own)
+        unseen = [p for p in wanted if p not in pieces]
+        if len(unseen) + len(pieces) > CACHE_WORDS:
+            pieces.clear()
+            unseen = list(wanted)
+        pieces.update(zip(unseen, encoded(unseen), strict=True))
+        for word, own in cut.items():
+            cache[word] = b"".join(map(pieces.__getitem__, own))
         return cache
 
     return of
 
 
-def same_as_whole(tokenizer_file: str, piece: pa.RecordBatch, words: list[list[bytes]], known: dict[bytes, bytes]) -> None:
-    """An error if the first text with words, as a whole, has other ids than its words in a row: the tokenizer doesn't cut at white space."""
-    at = next((i for i, ws in enumerate(words) if ws), None)
+def same_as_whole(tokenizer_file: str, piece: pa.RecordBatch, ids: list[np.ndarray]) -> None:
+    """An error if the first text with ids, as a whole, has other ids than its words in a row: the tokenizer doesn't cut at white space."""
+    own = texts(piece)
+    at = next((i for i, t in enumerate(own) if t and t.encode().split()), None)
     if at is not None:
-        whole = _cache[(tokenizer_file,)][0].encode(texts(piece)[at], add_special_tokens=False).ids
-        if np.array(whole, "<u4").tobytes() != b"".join(map(known.__getitem__, words[at])):
+        whole = _cache[(tokenizer_file,)][0].encode(own[at], add_special_tokens=False).ids
+        if whole != ids[at].tolist():
             raise ValueError(f"{tokenizer_file} does not cut texts at white space alone")
 
 
+def ids_of(piece: pa.RecordBatch, of) -> list[np.ndarray]:
+    """The ids of each text of the piece, its words' ids in a row; a different word is looked up once."""
+    column = piece.column(piece.schema.get_field_index("text"))
+    words = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.string()), ""))  # white space at an end gives an empty word, of no ids
+    coded = words.values.dictionary_encode()
+    different = coded.dictionary.cast(pa.binary()).to_pylist()
+    known = of([w for w in different if w])
+    found = [known[w] if w else b"" for w in different]
+    sizes, index = np.array([len(x) // 4 for x in found], np.int64), coded.indices.to_numpy()
+    starts, many, flat = np.cumsum(sizes) - sizes, sizes[index], np.frombuffer(b"".join(found), "<u4")
+    ends = np.append(0, np.cumsum(many))
+    ids = flat[np.repeat(starts[index] - ends[:-1], many) + np.arange(ends[-1])]
+    bounds = ends[words.offsets.to_numpy()]
+    return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
 def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, path: str) -> None:
     """Encode docs (doc_id, text) and write segments in ascending doc_id order to the folder path.
 
@@ -161,7 +207,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, path: str) -
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         width = width_of(Tokenizer.from_file(tokenizer_file).get_vocab_size())
         of, part = word_ids(tokenizer_file), TaskContext.get().partitionId()
-        end, seq, doc_ids, ids, held = np.array([end_id], "<u4").tobytes(), 0, [], [], 0
+        end, seq, doc_ids, ids, held = np.array([end_id], "<u4"), 0, [], [], 0
 
         def row():
             return pa.RecordBatch.from_pydict(
@@ -171,11 +217,10 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, path: str) -
 
         for batch in batches:
             for piece in slices(batch):
-                words = [t.split() for t in texts_as_bytes(piece)]
-                known = of([w for ws in words for w in ws])
-                same_as_whole(tokenizer_file, piece, words, known)
-                for doc_id, ws in zip(texts(piece, "doc_id"), words, strict=True):
-                    got = np.frombuffer(b"".join(map(known.__getitem__, ws)) + end, "<u4")
+                found = ids_of(piece, of)
+                same_as_whole(tokenizer_file, piece, found)
+                for doc_id, own in zip(texts(piece, "doc_id"), found, strict=True):
+                    got = np.concatenate((own, end))
                     doc_ids.append(doc_id)
                     ids.append(got)
                     held += len(got)
@@ -191,10 +236,6 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, path: str) -
     ordered.mapInArrow(encode, "part int, seq int, first_doc_id long, n_ids long, data binary").write.parquet(path)
 
 
-def texts_as_bytes(batch: pa.RecordBatch) -> list[bytes]:
-    return [t.encode() if t else b"" for t in texts(batch)]
-
-
 def read_tokens(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of a file set, from its bytes."""
 
