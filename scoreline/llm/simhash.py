@@ -174,14 +174,18 @@ def forest(fps: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> np.ndarra
 
 
 def in_parts(met: DataFrame, large: DataFrame, node: str) -> DataFrame:
-    """met (t, k, node and more) with the pair x, y of parts in which a row is compared, in order of t, k, x, y; large (t, k, parts) has the buckets that are cut."""
+    """met (t, k, node and more) with the pair x, y of parts in which a row is compared; large (t, k, parts) has the buckets that are cut."""
     carried = [c for c in met.columns if c not in ("t", "k")]
     met = met.join(large, ["t", "k"], "left").withColumn("own", F.pmod(F.xxhash64(node), F.col("parts")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("own"))
     pairs = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(
         F.transform(others, lambda x: F.struct(F.least(x, F.col("own")).alias("x"), F.greatest(x, F.col("own")).alias("y")))
     )
-    met = met.select(*carried, "t", "k", F.explode(pairs).alias("p")).select(*carried, "t", "k", "p.x", "p.y")
+    return met.select(*carried, "t", "k", F.explode(pairs).alias("p")).select(*carried, "t", "k", "p.x", "p.y")
+
+
+def together(met: DataFrame) -> DataFrame:
+    """The rows of in_parts in order of t, k, x, y, those of a pair of parts in one task."""
     return met.repartition(*ORDER).sortWithinPartitions(*ORDER)
 
 
@@ -220,7 +224,7 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKET, pa
     masks = table_masks(blocks_for(n, radius, bucket), radius)
     met = fps.select("fp", rank(), F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)))).alias("m")).select("fp", "i", "m.t", "m.k")
     large = met.groupBy("t", "k").count().filter(F.col("count") > part).select("t", "k", F.ceil(F.col("count") / part).cast("int").alias("parts"))
-    met = in_parts(met, large, "fp")
+    met = together(in_parts(met, large, "fp"))
 
     def compare(table: pa.Table, new: np.ndarray):
         fp = table.column("fp").to_numpy().view(np.uint64)
@@ -394,7 +398,8 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, width: int = COPY_SH
     sets = checkpointed(sets.dropDuplicates(["s_node"]))
     sized = members.join(sets.select("s_node", F.length("shingles").alias("bytes")), F.col("node") == F.col("s_node")).select("t", "k", "node", "bytes")
     large = sized.groupBy("t", "k").agg(F.ceil(F.sum("bytes") / part_bytes).cast("int").alias("parts")).filter("parts > 1")
-    met = in_parts(members.join(sets, F.col("node") == F.col("s_node")).select("t", "k", "node", "i", "shingles"), large, "node")
+    # The sets join last, so that of all exchanges by bucket the one that brings the parts together alone has them.
+    met = together(in_parts(members, large, "node").join(sets, F.col("node") == F.col("s_node")).select(*ORDER, "node", "i", "shingles"))
 
     def compare(table: pa.Table, starts: np.ndarray):
         own, data = [table.column(k).combine_chunks() for k in ("i", "node")], table.column("shingles").to_pylist()

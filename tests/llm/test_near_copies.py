@@ -104,3 +104,11 @@ def test_fingerprints_in_reach_are_candidates_without_components(spark, varied,
     monkeypatch.setattr(simhash, "components", lambda edges: calls.append(1) or found(edges))
     simhash.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert len(calls) == 1
+
+
+def test_buckets_are_cut_into_parts_without_the_sets(spark, varied, monkeypatch):
+    """in_parts joins by bucket, so what it is given is shuffled once more."""
+    seen, cut = [], simhash.in_parts
+    monkeypatch.setattr(simhash, "in_parts", lambda met, large, node: seen.append(met.columns) or cut(met, large, node))
+    simhash.near_copies(spark.createDataFrame(list(varied.items()), "doc_id long, text string"))
+    assert seen and not any("shingles" in columns for columns in seen)
