@@ -1,7 +1,9 @@
 """Innings that have one side of the comparison alone, and ranks of candidates without pairs in a shuffle."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+from scoreline.functions import scalar
 from scoreline.operators import alignment, replay, report
 from scoreline.sources import event_feed as feed
 
@@ -73,3 +75,32 @@ def sum_in_order(values):
     for v in values:
         total += v
     return total
+
+
+def test_scores_are_added_one_after_another(spark):
+    signals = (0.11, 0.5, 0.5, 0.1, 0.5)
+    plain = 0.0
+    for w, v in zip(replay.WEIGHTS.values(), signals, strict=True):
+        plain += w * v
+    assert plain != sum(w * v for w, v in zip(replay.WEIGHTS.values(), signals, strict=True))
+    schema = "match_id long, segment_id int, start_seconds double, end_seconds double, n_frames long, logo double, scoreboard double, motion double, intensity double, contrast double, boundary_confidence double, boundary_type string"
+    row = spark.createDataFrame([(1, 0, 0.0, 9.0, 1, signals[0], 1.0, 1.0, 1.0, 1.0, signals[3], "REPLAY_TRANSITION")], schema)
+    assert replay.score_segments(row).first().score == plain
+
+
+def test_outcomes_follow_from_the_segments_alone(spark):
+    lengths = [0.1, 1e16, 0.7, -1e16, 0.3]
+    rows = [(1, i, 0.0, v, v, True) for i, v in enumerate(lengths)] + [(1, 9, 0.0, 5.0, 0.2, False), (2, 0, 0.0, 5.0, 0.2, False)]
+    schema = "match_id long, segment_id int, start_seconds double, end_seconds double, score double, is_replay boolean"
+    found = set()
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        found |= {tuple(r) for r in replay.outcomes(spark.createDataFrame(order, schema).repartition(5)).collect()}
+    assert found == {(1, 5, 1, sum_in_order(lengths) / 5, 1e16, 1e16, sum_in_order(lengths)), (2, 0, 1, None, None, None, 0.0)}
+
+
+def test_rounding_is_that_of_sql(spark):
+    values = [3215817.4773969483, 0.1234567895, -0.1234567895, 2.5e-9, -1.5e-9, 157680000.12345678, 86888.733543009, 1e300, float("inf"), None, 0.0]
+    values += [i * 1234.567890123 for i in range(2000)]
+    got = [r.x for r in spark.createDataFrame([(v,) for v in values], "x double").select(scalar.rounded(F.col("x"), 9).alias("x")).collect()]
+    want = [r[0] for r in duckdb.execute("select round(x, 9) from (select unnest($v::double[]) as x)", {"v": values}).fetchall()]
+    assert got == want
