@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..sources.store import shared_folder
 
 #: Rows of the whole stream whose matches share a partition of the state; each partition keeps a store of its own open.
-ROWS_A_STATE = 1 << 20
+ROWS_A_STATE = 1 << 22
+#: Rows that may wait in the state at once.
+ROWS_A_BATCH = 1 << 22
 
 
 def arrivals(rows: DataFrame, path: str, pieces: int, late_seconds: float, first: int = 0, last: int | None = None) -> None:
@@ -33,9 +35,10 @@ def arrivals(rows: DataFrame, path: str, pieces: int, late_seconds: float, first
         end.unionByName(rows.drop("__at").limit(0).withColumn("match_id", F.col("match_id").cast("long")), allowMissingColumns=True).coalesce(1).write.mode("append").parquet(path)
 
 
-def stream(spark: SparkSession, path: str, like: DataFrame, files: int = 64) -> DataFrame:
-    """The files that arrivals writes, as a stream of at most so many files a micro-batch."""
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files).parquet(path)
+def stream(spark: SparkSession, path: str, like: DataFrame, files: int | None = 64) -> DataFrame:
+    """The files that arrivals writes, as a stream of at most so many files a micro-batch, or of all there are."""
+    reader = spark.readStream.schema(like.schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
 
 
 def run(found: DataFrame, out: str, checkpoint: str, parts: int | None = None) -> DataFrame:
@@ -56,11 +59,19 @@ def run(found: DataFrame, out: str, checkpoint: str, parts: int | None = None) -
 
 
 def replayed(rows: DataFrame, twin: Callable[[DataFrame], DataFrame], pieces: int = 6, late_seconds: float = 300.0) -> DataFrame:
-    """What twin makes of the rows when they arrive as a stream, out of order by up to late_seconds."""
+    """What twin makes of the rows when they arrive as a stream, out of order by up to late_seconds.
+
+    A micro-batch has whole pieces, however many files they are: of a piece in three micro-batches, the watermark of the
+    first would drop the third. A few rows come in one; of more, the stream goes on from its checkpoint with each piece.
+    """
     spark = rows.sparkSession
     folder = shared_folder(spark, "stream")
     rows.write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
-    arrivals(rows, f"{folder}/arrivals", pieces, late_seconds)
-    parts = max(spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_STATE))
-    return run(twin(stream(spark, f"{folder}/arrivals", rows)), f"{folder}/out", f"{folder}/checkpoint", parts)
+    n = rows.count()
+    parts = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_A_STATE))
+    step = pieces if n <= ROWS_A_BATCH else 1
+    for first in range(0, pieces, step):
+        arrivals(rows, f"{folder}/arrivals", pieces, late_seconds, first, first + step)
+        found = run(twin(stream(spark, f"{folder}/arrivals", rows, files=None)), f"{folder}/out", f"{folder}/checkpoint", parts)
+    return found

@@ -64,6 +64,13 @@ class Tagger(InOrder):
         decision = tracker.observe(row.runs, row.wickets, row.over_number, row.confidence)
         return tracker.state(), [(row.reading_id, decision, tracker.segment)]
 
+    def take_all(self, last: int | None, held: tuple | None, rows: list[Row]) -> tuple[tuple | None, list[tuple]]:
+        if not rows:
+            return held, []
+        tracker = InningsTracker(self.settings["config"]).resumed(held)
+        out = [(r.reading_id, tracker.observe(r.runs, r.wickets, r.over_number, r.confidence), tracker.segment) for r in rows]
+        return tracker.state(), out
+
 
 def tag_innings(readings: DataFrame, config: TrackerConfig = TrackerConfig(), delay: str = DELAY) -> DataFrame:
     """match_id, reading_id, decision and segment of every reading, as operators.innings.tag_innings gives them."""
@@ -80,6 +87,15 @@ class Validator(InOrder):
         reason = validator.check(row.runs, row.wickets, row.over_number, row.ball_in_over, row.batter)
         return validator.state(), [(row.reading_id, reason, 0.0 if reason else 1.0)]
 
+    def take_all(self, last: int | None, held: tuple | None, rows: list[Row]) -> tuple[tuple | None, list[tuple]]:
+        if not rows:
+            return held, []
+        validator, out = ReadingValidator().resumed(held), []
+        for r in rows:
+            reason = validator.check(r.runs, r.wickets, r.over_number, r.ball_in_over, r.batter)
+            out.append((r.reading_id, reason, 0.0 if reason else 1.0))
+        return validator.state(), out
+
 
 def validate_readings(readings: DataFrame, delay: str = DELAY) -> DataFrame:
     """match_id, reading_id, reason and parse_confidence of every reading, as operators.innings.validate_readings gives them."""

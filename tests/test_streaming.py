@@ -257,3 +257,21 @@ def test_rows_come_in_frames_with_their_nulls_and_whole_numbers(spark, tmp_path)
     got = sorted((tuple(r) for r in found.filter("match_id is null or match_id >= 0").collect()), key=lambda r: (r[0] is None, r[6]))
     assert repr([r[:6] for r in got]) == repr([r[:6] for r in rows])
     assert [r[6] for r in got] == [0, 1, 2] * 2
+
+
+def test_pieces_of_many_files_lose_no_rows(spark, monkeypatch):
+    """A piece of three micro-batches would have its third part behind the watermark of its first."""
+    monkeypatch.setattr(recorded, "ROWS_A_BATCH", 10, raising=False)
+    rows = [(m, 100 * m + i, 3600.0 * i + m, i, 0, 0, 1, "P", 0.9) for m in range(1400) for i in range(6)]
+    schema = "match_id long, reading_id long, timestamp_seconds double, runs int, wickets int, over_number int, ball_in_over int, batter string, ocr_confidence double"
+    df = timed(spark.createDataFrame(rows, schema)).repartition(140, "match_id")
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(c) for c in sizes]
+    for c in sizes:
+        spark.conf.set(c, "4m")
+    try:
+        found = recorded.replayed(df, timeline.validate_readings, pieces=1, late_seconds=60.0)
+    finally:
+        for c, v in zip(sizes, before, strict=True):
+            spark.conf.set(c, v)
+    assert sorted(r.reading_id for r in found.filter("match_id >= 0").collect()) == sorted(r[1] for r in rows)
